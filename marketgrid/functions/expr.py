@@ -100,3 +100,20 @@ def ffill(x: ColumnLike, w: WindowSpec) -> Column:
 
 def first_of_run(flag: Column) -> Column:
     return F.coalesce(flag, F.lit(False)).cast("int")
+
+
+def safe_corr(a: ColumnLike, b: ColumnLike, w: WindowSpec | None = None) -> Column:
+    """Pearson correlation over the rows where both exist, as an aggregate or over `w`; NULL on a flat side."""
+    both = c(a).isNotNull() & c(b).isNotNull()
+    x, y = F.when(both, c(a)), F.when(both, c(b))
+    on = (lambda e: e.over(w)) if w is not None else (lambda e: e)
+    scale = on(F.stddev_pop(x)) * on(F.stddev_pop(y))
+    return on(F.covar_pop(x, y)) / F.nullif(scale, F.lit(0.0))
+
+
+def safe_slope(y: ColumnLike, x: ColumnLike, w: WindowSpec | None = None) -> Column:
+    """Least-squares slope of y on x over complete pairs; NULL when x is flat."""
+    both = c(y).isNotNull() & c(x).isNotNull()
+    u, v = F.when(both, c(x)), F.when(both, c(y))
+    on = (lambda e: e.over(w)) if w is not None else (lambda e: e)
+    return on(F.covar_pop(u, v)) / F.nullif(on(F.var_pop(u)), F.lit(0.0))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.expr import ColumnLike, c, clip, div, expanding, ffill, roll_growth, roll_mean, roll_std, rolling, trailing, win
+from ..functions.expr import ColumnLike, c, clip, div, expanding, ffill, roll_growth, roll_mean, roll_std, rolling, safe_corr, trailing, win
 
 
 def zscore(x: ColumnLike, w: WindowSpec, window: int = 60, min_periods: int | None = None) -> Column:
@@ -52,10 +52,8 @@ def rolling_corr(a: ColumnLike, b: ColumnLike, w: WindowSpec, window: int = 36,
     """Pearson correlation of the rows where both values exist; NULL on a flat window."""
     m = window // 2 if min_periods is None else min_periods
     f = trailing(w, window)
-    both = c(a).isNotNull() & c(b).isNotNull()
-    x, y = F.when(both, c(a)), F.when(both, c(b))
-    ok = (F.count(x).over(f) >= m) & (F.stddev_samp(x).over(f) > 0) & (F.stddev_samp(y).over(f) > 0)
-    return F.when(ok, F.corr(x, y).over(f))
+    pair = F.when(c(b).isNotNull(), c(a))
+    return F.when(F.count(pair).over(f) >= m, safe_corr(a, b, f))
 
 
 def rank_pct(x: ColumnLike, w: WindowSpec, window: int = 120, min_periods: int | None = None) -> Column:
@@ -313,10 +311,7 @@ def signal_catalog(df: DataFrame, x: str = "x", d: str = "d") -> DataFrame:
     """Coverage, span, mean, sd and lag-1 autocorrelation of each signal."""
     rows = df.withColumn("_prev", F.lag(x).over(win(["signal"], d)))
     known = F.when(F.col(x).isNotNull(), F.col(d))
-    both = F.col(x).isNotNull() & F.col("_prev").isNotNull()
-    a, b = F.when(both, F.col(x)), F.when(both, F.col("_prev"))
-    ok = (F.stddev_samp(a) > 0) & (F.stddev_samp(b) > 0)
     g = rows.groupBy("signal").agg(
         F.count(x).alias("n_obs"), (F.count(x) / F.count("*")).alias("coverage"), F.min(known).alias("first"), F.max(known).alias("last"),
-        F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.when(ok, F.corr(a, b)).alias("autocorr_1"))
+        F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), safe_corr(x, "_prev").alias("autocorr_1"))
     return g.withColumn("family", library_family("signal"))

@@ -70,7 +70,7 @@ def with_views(body: str) -> str:
     if not ordered:
         return body
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in ordered)
-    head = "WITH RECURSIVE " if re.match(r"\s*WITH\s+RECURSIVE\b", body, re.I) else "WITH "
+    head = "WITH RECURSIVE "
     stripped = re.sub(r"^\s*WITH(\s+RECURSIVE)?\s+", "", body, flags=re.I)
     glue = ",\n" if stripped != body else "\n"
     return head + ctes + glue + stripped
