@@ -10,6 +10,7 @@ from ..functions.expr import r6, win
 from ..operators import align as A
 from ..operators import covariance as V
 from ..operators import weights as P
+from ..session import stored
 from .registry import query, view
 from .series import out, sq
 
@@ -19,12 +20,12 @@ U = ["universe"]
 def ex_m(t):
     """Excess returns of one universe, complete dates."""
     x = t.excess_m.withColumn("universe", F.lit("all"))
-    return A.complete_dates(x, U, "x")
+    return stored(A.complete_dates(x, U, "x"))
 
 
 def ex_q(t):
     """Quarterly returns of many universes, pairwise complete."""
-    return t.univ_ret_q.filter("r is not null").select("universe", "asset", "d", F.col("r").alias("x"))
+    return stored(t.univ_ret_q.filter("r is not null").select("universe", "asset", "d", F.col("r").alias("x")))
 
 
 def due(first: int, every: int):

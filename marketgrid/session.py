@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,21 +21,22 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise through a reliable checkpoint so that a lost executor costs no replay.
+def stored(df: DataFrame) -> DataFrame:
+    """Write an intermediate panel once and read it back, for plans that use it several times.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a session without
-    that setting (a local test) gets a folder of its own.
+    The table goes to the shared folder the cluster names in ``spark.checkpoint.dir``, so a lost executor
+    costs no replay of the scans before it, and its true size is known to the planner. Only a session
+    without that setting (a local test) gets a folder of its own.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "marketgrid-checkpoint"))
-    return df.checkpoint(eager=False)
+    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "marketgrid-stored")
+    path = f"{base.rstrip('/')}/panel-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
