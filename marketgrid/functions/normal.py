@@ -9,16 +9,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _STD = NormalDist()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def norm_cdf(x: pd.Series) -> pd.Series:
     return x.map(lambda v: 0.5 * math.erfc(-v / math.sqrt(2.0)) if pd.notna(v) else None).astype(float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def norm_ppf(p: pd.Series) -> pd.Series:
     return p.map(lambda v: _STD.inv_cdf(v) if pd.notna(v) and 0.0 < v < 1.0 else None).astype(float)
 
@@ -40,12 +41,12 @@ def _t_sf(t: float, df: float) -> float:
     return 0.5 - body if t >= 0 else 0.5 + body
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_sf(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([_t_sf(a, b) if pd.notna(a) and pd.notna(b) else None for a, b in zip(t, df)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_ppf(p: pd.Series, df: pd.Series) -> pd.Series:
     """Quantile by bisection on the tail function."""
 

@@ -59,6 +59,11 @@ def _block_products(key_cols: list[str]):
     return run
 
 
+def series_means(panel: DataFrame, by: list[str], asset: str = "asset", x: str = "x") -> DataFrame:
+    """Overall mean of each series: the origin that pair sums are taken about."""
+    return panel.filter(F.col(x).isNotNull()).groupBy(*by, asset).agg(F.avg(x).alias("_c"))
+
+
 def pair_sums(panel: DataFrame, by: list[str], asset: str = "asset", d: str = "d", x: str = "x", chunk: Column | None = None,
               label: list[str] | None = None, weight: str | None = None, block: int = BLOCK) -> DataFrame:
     """Sums of powers of (x_i, x_j) over the dates where both exist, i <= j, per chunk.
@@ -69,7 +74,7 @@ def pair_sums(panel: DataFrame, by: list[str], asset: str = "asset", d: str = "d
     label = label or []
     keys = [*by, *label, "chunk"]
     known = panel.filter(F.col(x).isNotNull())
-    means = known.groupBy(*by, asset).agg(F.avg(x).alias("_c"))
+    means = series_means(panel, by, asset, x)
     blk = F.floor((F.row_number().over(win(by, asset)) - 1) / block).cast("int")
     names = means.withColumn("_blk", blk).withColumn("_nblk", F.max("_blk").over(Window.partitionBy(*by)) + 1)
     rows = known.withColumn("chunk", (chunk if chunk is not None else F.year(d)).cast("long")).join(names, [*by, asset])
@@ -212,7 +217,7 @@ def chunks(cal: DataFrame, by: list[str], due: Column, lookback: int | None = No
     return c.withColumn("lo", lo).withColumn("hi", F.col("chunk"))
 
 
-def epoch_sums(sums: DataFrame, epochs: DataFrame, by: list[str], label: list[str] | None = None, rolling: bool = False, d: str = "d") -> DataFrame:
+def epoch_sums(sums: DataFrame, epochs: DataFrame, by: list[str], label: list[str] | None = None, rolling: bool = False, d: str = "d", extra: list[str] | None = None) -> DataFrame:
     """Pair sums of the history of every due date: running totals at its end, minus those at its start when rolling."""
     keys = [*by, *(label or [])]
     last = epochs.groupBy(*by).agg(F.max("hi").alias("_k"))
@@ -222,13 +227,14 @@ def epoch_sums(sums: DataFrame, epochs: DataFrame, by: list[str], label: list[st
     # a pair without rows in a chunk keeps its total through it
     run = run.join(last, by).withColumn("_next", F.coalesce("_next", F.col("_k") + 1)).filter(F.col("_next") > F.col("chunk"))
     run = run.withColumn("chunk", F.explode(F.sequence("chunk", F.col("_next") - 1))).drop("_next", "_k")
-    due = epochs.filter("due").select(*keys, d, "lo", "hi")
+    extra = extra or []
+    due = epochs.filter("due").select(*keys, d, *extra, "lo", "hi")
     at_end = due.withColumn("chunk", F.col("hi") - 1).join(run, [*keys, "chunk"]).drop("chunk")
     if not rolling:
         return at_end.drop("lo", "hi")
     start = run.select(*keys, "i", "j", (F.col("chunk") + 1).alias("lo"), *[F.col(k).alias(f"_{k}") for k in SUMS])
     j = at_end.join(start, [*keys, "lo", "i", "j"], "left")
-    out = j.select(*keys, d, "i", "j", *[(F.col(k) - F.coalesce(f"_{k}", F.lit(0.0))).alias(k) for k in SUMS])
+    out = j.select(*keys, d, *extra, "i", "j", *[(F.col(k) - F.coalesce(f"_{k}", F.lit(0.0))).alias(k) for k in SUMS])
     return out.filter("n > 0.5")
 
 
