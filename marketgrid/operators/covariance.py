@@ -65,11 +65,11 @@ def series_means(panel: DataFrame, by: list[str], asset: str = "asset", x: str =
 
 
 def pair_sums(panel: DataFrame, by: list[str], asset: str = "asset", d: str = "d", x: str = "x", chunk: Column | None = None,
-              label: list[str] | None = None, weight: str | None = None, block: int = BLOCK) -> DataFrame:
+              label: list[str] | None = None, weight: str | None = None, block: int = BLOCK, centre: bool = True) -> DataFrame:
     """Sums of powers of (x_i, x_j) over the dates where both exist, i <= j, per chunk.
 
-    x is taken relative to the asset's overall mean, which leaves central moments unchanged and keeps the
-    running totals well conditioned.
+    With `centre`, x is taken relative to the asset's overall mean, which leaves central moments unchanged and
+    keeps the running totals well conditioned.
     """
     label = label or []
     keys = [*by, *label, "chunk"]
@@ -78,7 +78,7 @@ def pair_sums(panel: DataFrame, by: list[str], asset: str = "asset", d: str = "d
     blk = F.floor((F.row_number().over(win(by, asset)) - 1) / block).cast("int")
     names = means.withColumn("_blk", blk).withColumn("_nblk", F.max("_blk").over(Window.partitionBy(*by)) + 1)
     rows = known.withColumn("chunk", (chunk if chunk is not None else F.year(d)).cast("long")).join(names, [*by, asset])
-    rows = rows.select(*keys, F.col(d).alias("_d"), F.col(asset).cast("string").alias("_asset"), (F.col(x) - F.col("_c")).alias("_x"), "_blk",
+    rows = rows.select(*keys, F.col(d).alias("_d"), F.col(asset).cast("string").alias("_asset"), (F.col(x) - F.col("_c") if centre else F.col(x)).cast("double").alias("_x"), "_blk",
                        (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_wt"),
                        F.explode(F.sequence(F.lit(0), F.col("_nblk") - 1)).alias("_o"))
     rows = rows.withColumn("_lo", F.least("_blk", "_o")).withColumn("_hi", F.greatest("_blk", "_o")).drop("_o")
@@ -256,14 +256,21 @@ def cov_windowed(panel: DataFrame, by: list[str], due, kind: str = "ledoit_wolf"
 
 
 def cov_regime(panel: DataFrame, labels: DataFrame, by: list[str], due, min_regime: int = 24, ppy: int = 12, kind: str = "ledoit_wolf",
-               asset: str = "asset", d: str = "d", x: str = "x") -> DataFrame:
-    """As `cov_windowed`, on rows whose label equals the due date's label once there are enough of them."""
-    cal = calendar(panel, by, d)
-    ch = chunks(cal, by, due, None, d).join(labels.select(*[k for k in by if k in labels.columns], d, "label"), [*[k for k in by if k in labels.columns], d], "left")
+               asset: str = "asset", d: str = "d", x: str = "x", observed: bool = False) -> DataFrame:
+    """As `cov_windowed`, on rows whose label equals the due date's label once there are enough of them.
+
+    With `observed` the state is the last label seen before the due date, else the due date's own label.
+    """
+    on = [*[k for k in by if k in labels.columns], d]
+    ch = chunks(calendar(panel, by, d), by, due, None, d).join(labels.select(*on, "label"), on, "left")
+    w = win(by, d)
+    state = F.last("label", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) if observed else F.col("label")
+    ch = ch.withColumn("state", state)
     rows = panel.join(ch.select(*by, d, "chunk", "label"), [*by, d]).withColumn("label", F.coalesce("label", F.lit("")))
     sums = pair_sums(rows, by, asset, d, x, chunk=F.col("chunk"), label=["label"])
     every = epoch_sums(sums.groupBy(*by, "chunk", "i", "j").agg(*[F.sum(k).alias(k) for k in SUMS]), ch, by, d=d)
-    own = epoch_sums(sums, ch.filter("label is not null"), by, ["label"], d=d).drop("label").filter(F.col("n") >= min_regime)
+    own = epoch_sums(sums, ch.drop("label").withColumnRenamed("state", "label").filter("label is not null"), by, ["label"], d=d).drop("label")
+    own = own.filter(F.col("n") >= min_regime)
     chosen = own.withColumn("scope", F.lit("regime")).unionByName(
         every.join(own.select(*by, d).distinct(), [*by, d], "left_anti").withColumn("scope", F.lit("all")))
     if kind == "sample":
