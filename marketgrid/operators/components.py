@@ -330,7 +330,7 @@ def adaptive_choice(cand: DataFrame, returns: DataFrame, by: list[str], burn_in:
             if ok.sum() >= min_pairs:
                 ra, rb = pd.Series(a[ok]).rank().to_numpy(), pd.Series(b[ok]).rank().to_numpy()
                 if ra.std() > 0 and rb.std() > 0:
-                    ic = float(np.corrcoef(ra, rb)[0, 1])
+                    ic = round(float(np.corrcoef(ra, rb)[0, 1]), 12)  # below that, candidates tie
             out.append((g, ic))
         res = pd.DataFrame(out, columns=["rn", "ic"]).astype({"ic": float})
         for k in keys:

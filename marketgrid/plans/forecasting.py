@@ -116,12 +116,12 @@ def _(t):
     return out(FC.forward_sum_target(t.excess_m, ["asset"], "x", 3), "target")
 
 
-view("evt", "SELECT asset, d, CASE WHEN r IS NULL THEN NULL WHEN r < -0.3 THEN 1.0 ELSE 0.0 END AS y, r FROM ret_m")
+view("evt", "SELECT asset, d, CASE WHEN r IS NULL THEN NULL WHEN r < -0.1 THEN 1.0 ELSE 0.0 END AS y, r FROM ret_m")
 view("evt_f", "SELECT asset, d, y, r, CASE WHEN LEAD(1, 5) OVER (PARTITION BY asset ORDER BY d) IS NOT NULL THEN MAX(y) OVER (PARTITION BY asset ORDER BY d ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING) END AS target FROM evt")
 
 
 def evt(t):
-    return t.ret_m.select("asset", "d", F.when(F.col("r") < -0.3, 1.0).when(F.col("r").isNotNull(), 0.0).alias("y"), "r")
+    return t.ret_m.select("asset", "d", F.when(F.col("r") < -0.1, 1.0).when(F.col("r").isNotNull(), 0.0).alias("y"), "r")
 
 
 @query("forward_event_target", sq({"target": "target"}, "evt_f"))

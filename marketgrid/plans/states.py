@@ -159,7 +159,7 @@ def _(t):
     return out(s, "mean_spread", "mean_f_stat", "balance", "median_episode", "pct_episodes_le2", keys=("n_labelled", "n_states_used"))
 
 
-@query("state_vs_label", "SELECT asset, round(AVG(p) FILTER (WHERE y = 1), 6)+0.0 AS mean_inside, round(AVG(p) FILTER (WHERE y = 0), 6)+0.0 AS mean_outside, round(corr(p, y), 6)+0.0 AS correlation, COUNT(*) FILTER (WHERE y = 1) AS months_inside FROM auc_m GROUP BY 1")
+@query("state_vs_label", "SELECT asset, round(AVG(p) FILTER (WHERE y = 1), 6)+0.0 AS mean_inside, round(AVG(p) FILTER (WHERE y = 0), 6)+0.0 AS mean_outside, round(CASE WHEN stddev_pop(y) > 0 THEN corr(p, y) END, 6)+0.0 AS correlation, COUNT(*) FILTER (WHERE y = 1) AS months_inside FROM auc_m GROUP BY 1")
 def _(t):
     from .evidence import auc_input
 
@@ -244,7 +244,7 @@ view("ad_c", """SELECT asset, d, 0 AS pos, 'mom3' AS candidate, CASE WHEN COUNT(
 view("ad_f", "SELECT asset, d, row_number() OVER (PARTITION BY asset ORDER BY d) - 1 AS rn, LEAD(r) OVER (PARTITION BY asset ORDER BY d) AS fwd FROM ret_m")
 view("ad_w", """SELECT c.asset, c.pos, c.candidate, g.g, c.x, f.fwd FROM ad_c c JOIN ad_f f USING (asset, d) JOIN (SELECT unnest(range(24, 83, 6)) AS g) g ON f.rn >= greatest(g.g - 36, 0) AND f.rn < g.g - 1 WHERE c.x IS NOT NULL AND f.fwd IS NOT NULL""")
 view("ad_r", """SELECT asset, pos, candidate, g, rank() OVER (PARTITION BY asset, pos, g ORDER BY x) + (COUNT(*) OVER (PARTITION BY asset, pos, g, x) - 1)/2.0 AS rx, rank() OVER (PARTITION BY asset, pos, g ORDER BY fwd) + (COUNT(*) OVER (PARTITION BY asset, pos, g, fwd) - 1)/2.0 AS ry FROM ad_w""")
-view("ad_b", "SELECT asset, g, arg_min(candidate, (-ic, pos)) AS candidate FROM (SELECT asset, pos, candidate, g, CASE WHEN COUNT(*) >= 12 THEN corr(rx, ry) ELSE NULL END AS ic FROM ad_r GROUP BY 1, 2, 3, 4) WHERE ic IS NOT NULL GROUP BY 1, 2")
+view("ad_b", "SELECT asset, g, arg_min(candidate, (-ic, pos)) AS candidate FROM (SELECT asset, pos, candidate, g, CASE WHEN COUNT(*) >= 12 THEN round(corr(rx, ry), 12) ELSE NULL END AS ic FROM ad_r GROUP BY 1, 2, 3, 4) WHERE ic IS NOT NULL GROUP BY 1, 2")
 
 
 @query("adaptive_window_signal", """WITH z AS (SELECT asset, d, candidate, COALESCE((x - AVG(x) OVER (PARTITION BY d, candidate))/NULLIF(stddev_samp(x) OVER (PARTITION BY d, candidate), 0), 0) AS z FROM ad_c)
