@@ -20,8 +20,8 @@ def spine(df: DataFrame, by: list[str], step: str, d: str = "d", common: bool =
     """
     ends = df.groupBy(*by).agg(F.min(d).alias("_lo"), F.max(d).alias("_hi"))
     if common:
-        span = ends.agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
-        ends = ends.select(*by).join(F.broadcast(span))  # one row
+        lo, hi = ends.agg(F.min("_lo")).scalar(), ends.agg(F.max("_hi")).scalar()
+        ends = ends.select(*by, lo.alias("_lo"), hi.alias("_hi"))
     return ends.select(*by, F.explode(F.sequence("_lo", "_hi", F.expr(f"INTERVAL {step}"))).alias(d))
 
 
@@ -57,7 +57,7 @@ def asof_next(left: DataFrame, right: DataFrame, by: list[str], cols: list[str],
 def publication_asof(left: DataFrame, series: DataFrame, lags: DataFrame, by: list[str], x: str,
                      default_days: int = 30, d: str = "d") -> DataFrame:
     """As-of join on the release date: stamp plus a per-series lag in calendar days."""
-    released = (series.join(F.broadcast(lags), by, "left")
+    released = (series.join(lags, by, "left")
                 .withColumn(d, F.date_add(d, F.coalesce(F.col("lag"), F.lit(default_days)))))
     return asof(left, released, by, x, d)
 
@@ -71,7 +71,7 @@ def lag_by_dim(x: str | Column, k: str, offsets: list[int], w) -> Column:
 
 def publication_shift(df: DataFrame, lags: DataFrame, offsets: list[int], by: list[str], x: str) -> DataFrame:
     """Shift each series by its own number of rows; series without an entry stay."""
-    return (df.join(F.broadcast(lags), by, "left").withColumn("lag", F.coalesce("lag", F.lit(0)))
+    return (df.join(lags, by, "left").withColumn("lag", F.coalesce("lag", F.lit(0)))
             .withColumn(x, lag_by_dim(x, "lag", sorted({0, *offsets}), win(by))).drop("lag"))
 
 
@@ -88,10 +88,9 @@ def common_start(df: DataFrame, series: str = "series", x: str = "x", d: str = "
     """Rows from the latest first-valid date on, on dates where every series has a value."""
     valid = df.filter(F.col(x).isNotNull())
     first = valid.groupBy(series).agg(F.min(d).alias("_f"))
-    bound = first.agg(F.max("_f").alias("_start"), F.count("*").alias("_n"))
-    kept = valid.join(F.broadcast(bound), F.col(d) >= F.col("_start"))
-    full = kept.groupBy(d).agg(F.count("*").alias("_k"), F.first("_n").alias("_m")).filter("_k = _m").select(d)
-    return kept.join(full, d, "left_semi").drop("_start", "_n")
+    kept = valid.filter(F.col(d) >= first.agg(F.max("_f")).scalar())
+    full = kept.groupBy(d).agg(F.count("*").alias("_k")).filter(F.col("_k") == first.agg(F.count("*")).scalar()).select(d)
+    return kept.join(full, d, "left_semi")
 
 
 def complete_dates(df: DataFrame, by: list[str], x: str, d: str = "d", asset: str = "asset") -> DataFrame:
@@ -113,12 +112,11 @@ def stack(frames: dict[str, DataFrame], key: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [f.withColumn(key, F.lit(k)) for k, f in frames.items()])
 
 
-def spec_grid(spark, **params: list) -> DataFrame:
-    """Every combination of parameter values, exploded from one row."""
-    out = spark.range(1).select()
+def with_spec_grid(df: DataFrame, **params: list) -> DataFrame:
+    """Each row under every combination of parameter values; filter or group on them afterwards. No join."""
     for name, values in params.items():
-        out = out.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
-    return out
+        df = df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    return df
 
 
 def pivot_wide(df: DataFrame, index: list[str], column: str, value: str, names: list) -> DataFrame:

@@ -99,7 +99,7 @@ def band_trades(returns: DataFrame, path: DataFrame, band: float, kind: str = "l
 
 def cost_rates(assets: DataFrame, bps: DataFrame, fallback: float = FALLBACK_BPS, multiplier: float = 1.0) -> DataFrame:
     """Rate per unit traded for every asset; (asset, rate). `bps` is a lookup of fixed size."""
-    return assets.select("asset").distinct().join(F.broadcast(bps), "asset", "left").select(
+    return assets.select("asset").distinct().join(bps, "asset", "left").select(
         "asset", (F.coalesce("bps", F.lit(fallback)) * multiplier / 10_000.0).alias("rate"))
 
 
@@ -151,7 +151,7 @@ def backtest(returns: DataFrame, targets: DataFrame, rates: DataFrame, turnover:
     tot = ep.groupBy(*KEYS, "epoch").agg(((F.sum("_grown") + 1.0 - F.sum("target")) if drift else F.max(F.lit(1.0))).alias("_tot"))
     ended = ep.join(tot, [*KEYS, "epoch"]).select(*KEYS, "asset", (F.col("epoch") + 1).alias("epoch"), (F.col("_grown") / F.col("_tot")).alias("_pre"))
     moved = F.abs(F.col("target") - F.coalesce("_pre", F.lit(0.0)))
-    trades = ep.join(ended, [*KEYS, "asset", "epoch"], "left").join(F.broadcast(rates), "asset").groupBy(*KEYS, "epoch").agg(
+    trades = ep.join(ended, [*KEYS, "asset", "epoch"], "left").join(rates, "asset").groupBy(*KEYS, "epoch").agg(
         F.min("d").alias("d"), F.sum(moved * F.col("rate")).alias("cost"), F.sum(moved).alias("turnover"))
     if turnover == "one_way":
         trades = trades.withColumn("turnover", F.when(F.col("epoch") == 1, 0.0).otherwise(F.col("turnover") / 2.0))
@@ -189,7 +189,7 @@ def break_even_cost(bt: DataFrame, benchmark: DataFrame, ppy: int = 12) -> DataF
 
 def portfolio_duration(held: DataFrame, durations: DataFrame) -> DataFrame:
     """Weighted duration per date; `durations` is (asset, dur)."""
-    return held.join(F.broadcast(durations), "asset").groupBy(*KEYS, "d").agg(F.sum(F.col("held") * F.col("dur")).alias("duration"))
+    return held.join(durations, "asset").groupBy(*KEYS, "d").agg(F.sum(F.col("held") * F.col("dur")).alias("duration"))
 
 
 def duration_matched_benchmark(bench: DataFrame, bench_dur: DataFrame, target_dur: DataFrame, by: list[str]) -> DataFrame:

@@ -27,7 +27,7 @@ def block_panel(series: DataFrame, specs: DataFrame, by: list[str], x: str = "x"
     """
     keys = [*by, "series"]
     m = series.filter(F.col(x).isNotNull()).groupBy(*keys, month_end().alias("d")).agg(F.max_by(x, "d").alias("x"))
-    m = m.join(F.broadcast(specs), "series")
+    m = m.join(specs, "series")
     w = win(keys)
     base = F.lag("x", 12).over(w)
     tr = F.when(F.col("how") == "yoy", div("x", base) - 1.0).when(F.col("how") == "diff12", F.col("x") - base).when(F.col("how") == "neg_diff12", base - F.col("x"))
@@ -168,7 +168,7 @@ def cp_factor(curve: DataFrame, maturities=(2, 3, 4, 5), horizon: int = 12) -> t
             yield pd.DataFrame({"curve": pdf["curve"], "gamma": list(_solve_moments(pdf))})
 
     gamma = m.mapInPandas(run, schema)
-    scored = x.join(F.broadcast(gamma), "curve")
+    scored = x.join(gamma, "curve")
     fit = F.col("gamma")[0] + sum((F.col("gamma")[k + 1] * F.col("f")[k] for k in range(5)), F.lit(0.0))
     scored = scored.withColumn("factor", fit)
     used = F.col("y").isNotNull()

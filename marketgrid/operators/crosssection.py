@@ -191,9 +191,9 @@ def apply_tilt(df: DataFrame, base: str, forecast: str, keys: list[str], strengt
     scale = (F.col("_t") > 1.0) if allow_cash else (F.col("_t") > 0.0)
     d = d.withColumn("_w", F.when(scale, F.col("_w") / F.col("_t")).otherwise(F.col("_w")))
     if caps is not None:
-        d = d.join(F.broadcast(caps), asset, "left").withColumn("_w", F.least("_w", F.coalesce("cap", F.col("_w")))).drop("cap")
+        d = d.join(caps, asset, "left").withColumn("_w", F.least("_w", F.coalesce("cap", F.col("_w")))).drop("cap")
     if group_caps is not None:
-        d = d.join(F.broadcast(group_caps), asset, "left").withColumn("_g", F.sum("_w").over(Window.partitionBy(*keys, "grp")))
+        d = d.join(group_caps, asset, "left").withColumn("_g", F.sum("_w").over(Window.partitionBy(*keys, "grp")))
         hit = F.col("grp").isNotNull() & (F.col("_g") > F.col("grp_cap")) & (F.col("_g") > 0)
         d = d.withColumn("_w", F.when(hit, F.col("_w") * F.col("grp_cap") / F.col("_g")).otherwise(F.col("_w"))).drop("grp", "grp_cap", "_g")
     return d.withColumn(out, F.col("_w")).drop("_w", "_ex", "_t")

@@ -399,7 +399,7 @@ def carry_roll_edges(curve: DataFrame, bonds: DataFrame, funds: DataFrame, zero:
 
     `bonds` is (curve, asset, maturity, dur); `funds` is (asset, d, r).
     """
-    p = pack(curve, zero).join(F.broadcast(bonds), "curve")
+    p = pack(curve, zero).join(bonds, "curve")
     grid0 = F.element_at("ten", 1)
     now = interp_row("ten", "ys", F.col("maturity"))
     rolled = interp_row("ten", "ys", F.greatest(F.col("maturity") - 1 / 12, grid0))

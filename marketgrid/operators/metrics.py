@@ -73,7 +73,7 @@ def edge_vs(table: DataFrame, benchmark: str, metric: str = "sharpe", by: list[s
     """A metric minus the benchmark row's."""
     by = by or []
     b = table.filter(F.col(strategy) == benchmark).select(*by, F.col(metric).alias("_b"))
-    joined = table.join(b, by) if by else table.join(F.broadcast(b))
+    joined = table.join(b, by) if by else table.withColumn("_b", b.scalar())
     return joined.withColumn(f"{metric}_edge", F.col(metric) - F.col("_b")).drop("_b")
 
 
@@ -146,7 +146,7 @@ def spread_sensitivity(df: DataFrame, spreads: list[float], by: list[str] = ["st
 
 def blended_financing(weights: DataFrame, rates: DataFrame, by: list[str], unleverable: list[str], asset: str = "asset") -> DataFrame:
     """Weight-average financing: all positions in proportion, or an overlay on the leverable sleeve only."""
-    j = weights.join(F.broadcast(rates), asset)
+    j = weights.join(rates, asset)
     free = ~F.col(asset).isin(*unleverable)
     return j.groupBy(*by).agg(F.sum(F.col("w") * F.col("bp")).alias("proportional_bp"),
                               div(F.sum(F.when(free, F.col("w") * F.col("bp"))), F.sum(F.when(free, F.col("w")))).alias("overlay_bp"))
@@ -162,10 +162,10 @@ def lever_to_benchmark(df: DataFrame, benchmark: str, spreads: DataFrame, by: li
     keys = ["strategy", *by]
     v = df.filter("r is not null").groupBy(*keys).agg((F.stddev_samp("r") * F.sqrt(F.lit(float(ppy)))).alias("_v"))
     b = v.filter(F.col("strategy") == benchmark).select(*by, F.col("_v").alias("_b"))
-    lev = (v.join(b, by) if by else v.join(F.broadcast(b))).withColumn("leverage", required_leverage("_v", "_b"))
+    lev = (v.join(b, by) if by else v.withColumn("_b", b.scalar())).withColumn("leverage", required_leverage("_v", "_b"))
     if mode == "aligned":
         lev = lev.withColumn("leverage", F.when(F.col("strategy") == benchmark, 1.0).otherwise(F.col("leverage")))
-    rows = df.filter("r is not null").join(lev.select(*keys, "leverage"), keys).join(F.broadcast(spreads), "strategy")
+    rows = df.filter("r is not null").join(lev.select(*keys, "leverage"), keys).join(spreads, "strategy")
     levered = lever_series("r", "rf", "leverage", "spread_bp", ppy)
     return rows.withColumn("levered", levered if mode == "aligned" else F.when(F.col("leverage") <= 1.0, F.col("r")).otherwise(levered))
 
@@ -179,8 +179,8 @@ def breakeven_spread(df: DataFrame, benchmark: str, ppy: int = 12, top: float =
     ex = F.col("r") - F.col("rf")
     root = F.sqrt(F.lit(float(ppy)))
     g = df.filter("r is not null").groupBy("strategy").agg((F.stddev_samp("r") * root).alias("_v"), (F.avg(ex) * ppy).alias("_m"), (F.stddev_samp(ex) * root).alias("_s"))
-    b = g.filter(F.col("strategy") == benchmark).select(F.col("_v").alias("_bv"), (F.col("_m") / F.col("_s")).alias("_bs"))
-    j = g.filter(F.col("strategy") != benchmark).join(F.broadcast(b)).withColumn("leverage", required_leverage("_v", "_bv")).filter("leverage > 1")
+    b = g.filter(F.col("strategy") == benchmark)
+    j = g.filter(F.col("strategy") != benchmark).withColumn("_bv", b.select("_v").scalar()).withColumn("_bs", b.select(F.col("_m") / F.col("_s")).scalar()).withColumn("leverage", required_leverage("_v", "_bv")).filter("leverage > 1")
     free = F.col("leverage") * (F.col("_m") - F.col("_bs") * F.col("_s"))
     return j.select("strategy", "leverage", clip(free / (F.col("leverage") - 1.0) * 1e4, 0.0, top).alias("breakeven_bp"))
 

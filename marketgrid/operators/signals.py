@@ -212,6 +212,20 @@ def monthly_curve_block(curve: DataFrame, bond_returns: DataFrame | None = None,
     return reduce(DataFrame.unionByName, out)
 
 
+def bond_signal_panel(curve: DataFrame, bond_returns: DataFrame, factor: DataFrame | None = None, term_premium: DataFrame | None = None) -> DataFrame:
+    """Every bond predictor at month ends: level, slope, curvature, forward spreads, carry with roll, factor, term premium."""
+    s = curve_factors(curve, level_span=(1.5, 30.0), slope_short=0.5).withColumn("d", F.last_day("d"))
+    out = [long(s, ["level", "slope", "curvature"])]
+    out.append(forward_spreads(forward_rates(curve)).select(F.concat(F.lit("fb"), "n").alias("signal"), F.last_day("d").alias("d"), F.col("fb").alias("x")))
+    r = bond_returns.select(F.concat(F.lit("carry_roll_"), F.format_string("%.0f", "maturity"), F.lit("y")).alias("signal"), "d", (F.col("carry") + F.col("rolldown")).alias("x"))
+    out.append(resample_sum(r, ["signal"], "x", scale=12.0))
+    if factor is not None:
+        out.append(factor.select(F.lit("cp_factor").alias("signal"), F.last_day("d").alias("d"), F.col("factor").alias("x")))
+    if term_premium is not None:
+        out.append(resample_last(term_premium.select(F.lit("term_premium").alias("signal"), "d", "x"), ["signal"], "x").select("signal", "d", "x"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def monthly_credit_block(levels: DataFrame, lag: int = 1) -> DataFrame:
     """Three spreads with one- and three-row change, z and rank, all shifted by the publication lag; `levels` has BAA, AAA, DGS10."""
     w = win(U)

@@ -97,7 +97,7 @@ def group_risk_budget(cov: DataFrame, groups: DataFrame, keys: list[str], budget
     """
     gi = groups.select(F.col("asset").alias("i"), F.col("grp"))
     gj = groups.select(F.col("asset").alias("j"), F.col("grp").alias("_gj"))
-    inner = cov.select(*keys, "i", "j", "s").join(F.broadcast(gi), "i").join(F.broadcast(gj), "j").filter("grp = _gj").drop("_gj")
+    inner = cov.select(*keys, "i", "j", "s").join(gi, "i").join(gj, "j").filter("grp = _gj").drop("_gj")
     gk = [*keys, "grp"]
     w = cov_rule(inner, gk, "erc")
     wi = w.select(*gk, F.col("asset").alias("i"), F.col("w").alias("_wi"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.expr import ffill, r6, trailing, win
 from ..operators import align as A
 from ..operators import dates as D
+from ..session import scratch_path
 from ..sources import files, holdout, specs
 from .registry import query, view
 
@@ -206,8 +209,7 @@ def _(t):
   (SELECT unnest([12, 24, 36]) AS lb), (SELECT unnest([1, 2, 3]) AS k) WHERE rn <= lb AND rn % k = 0 GROUP BY 1, 2, 3""")
 def _(t):
     rows = t.ret_m.withColumn("rn", F.row_number().over(win(["asset"])))
-    grid = A.spec_grid(t.spark, lb=[12, 24, 36], k=[1, 2, 3])
-    hit = rows.join(F.broadcast(grid), (F.col("rn") <= F.col("lb")) & (F.col("rn") % F.col("k") == 0))
+    hit = A.with_spec_grid(rows, lb=[12, 24, 36], k=[1, 2, 3]).filter((F.col("rn") <= F.col("lb")) & (F.col("rn") % F.col("k") == 0))
     return hit.groupBy("asset", "lb", "k").agg(F.count("*").alias("n"), r6(F.avg("r")).alias("mean_r"))
 
 
@@ -295,3 +297,78 @@ def _(t):
 def _(t):
     grid = A.reindex(t.events_h, A.spine(t.events_h, ["series"], "1 hour", "h"), ["series", "h"])
     return D.coverage(grid, ["series"], "x", "h").withColumn("coverage", r6("coverage"))
+
+
+# ---- files ----
+
+
+@query("write_panel", "SELECT asset, d, round(r, 6)+0.0 AS r, YEAR(d) AS y FROM ret_m")
+def _(t):
+    path = scratch_path(t.spark, "written")
+    files.write_panel(t.ret_m.select("asset", "d", "r", F.year("d").alias("y")), path, ["y"])
+    back = files.read_optional(t.spark, path, "asset string, d date, r double, y int")
+    return back.select("asset", "d", r6("r").alias("r"), "y")
+
+
+@query("read_optional", "SELECT asset, COUNT(*) AS n FROM ret_m WHERE false GROUP BY 1")
+def _(t):
+    gone = files.read_optional(t.spark, f"{t.sf_dir}/no_such_panel.parquet", "asset string, d date, r double")
+    return gone.groupBy("asset").agg(F.count("*").alias("n"))
+
+
+_CSV = """SELECT {d} AS d, CAST(tenor AS DOUBLE) AS tenor, round(y, 6)+0.0 AS y FROM (SELECT d, CASE l WHEN 1 THEN 1 WHEN 2 THEN 5 ELSE 10 END AS tenor, CASE WHEN MONTH(d) = 3 AND l = 2 THEN NULL ELSE y END AS y FROM
+  (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS d, l_linenumber AS l, ROUND(AVG(l_discount)*100, 4) AS y FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2))"""
+
+
+def curve_csv(t):
+    """A curve file with a free-text preamble, written from the quotes."""
+    q = t.cmt_m.filter("tenor <= 1").groupBy("d").agg(*[F.round(F.max(F.when(F.col("tenor") == k, F.col("par"))), 4).alias(n) for k, n in ((0.25, "a"), (0.5, "b"), (1.0, "c"))])
+    b = F.when(F.month("d") == 3, "NA").otherwise(F.format_string("%.4f", "b"))
+    row = F.concat_ws(",", F.col("d").cast("string"), F.lit("NA"), F.format_string("%.4f", "a"), b, F.format_string("%.4f", "c")).alias("value")
+    head = t.spark.range(1).select(F.explode(F.array(F.lit("Yield curve estimates, percent"), F.lit("Date,BETA0,SVENY01,SVENY05, SVENY10"))).alias("value"))
+    path = scratch_path(t.spark, "curve")
+    head.unionByName(q.select(row)).write.text(path)
+    return files.read_preamble_csv(t.spark, path, files.preamble_header(t.spark, path))
+
+
+@query("read_curve_csv", _CSV.format(d="d"))
+def _(t):
+    return files.curve_yields(curve_csv(t), "SVENY").select("d", "tenor", r6("y").alias("y"))
+
+
+@query("read_curve_params", "SELECT d, round(y, 6)+0.0 AS SVENY01, CAST(NULL AS DOUBLE) AS BETA0 FROM (" + _CSV.format(d="d") + ") WHERE tenor = 1")
+def _(t):
+    p = files.curve_params(curve_csv(t), ("BETA0", "SVENY01"))
+    return p.select("d", r6("SVENY01").alias("SVENY01"), "BETA0")
+
+
+@query("append_audit", """SELECT layer, reason, "rows" FROM (SELECT 'holdout' AS layer, 'first' AS reason, COUNT(*) AS "rows" FROM ret_m WHERE d BETWEEN DATE '1999-01-01' AND DATE '2001-12-31' UNION ALL
+  SELECT 'development', 'second', COUNT(*) FROM ret_m WHERE d BETWEEN DATE '1995-02-01' AND DATE '1998-12-31')""")
+def _(t):
+    path = scratch_path(t.spark, "audit")
+    holdout.unseal(t.ret_m, "holdout", "first", path, LAYERS)
+    holdout.unseal(t.ret_m, "development", "second", path, LAYERS)
+    return holdout.access_log(t.spark, path).select("layer", "reason", "rows")
+
+
+@query("record_spec_log", "SELECT phase, COUNT(*) AS specs FROM spec_log GROUP BY 1")
+def _(t):
+    """Two appends of the same specs leave one line each."""
+    path = scratch_path(t.spark, "specs")
+    rows = spec_rows(t)
+    for batch in (rows.filter("phase <> 'P'"), rows):
+        specs.record(t.spark, batch, path)
+    return specs.counts(specs.load(t.spark, path))
+
+
+@query("window_udaf", "SELECT asset, d, round(CASE WHEN COUNT(r) OVER w >= 6 THEN product(1 + r) OVER w - 1 END, 6)+0.0 AS m FROM ret_m WINDOW w AS (PARTITION BY asset ORDER BY d ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)")
+def _(t):
+    """A user aggregate over a row frame; built-ins come first, this is the hook for the rest."""
+
+    @F.pandas_udf(T.DoubleType())
+    def grow(v: pd.Series) -> float:
+        return float((1.0 + v).prod() - 1.0)
+
+    f = trailing(win(["asset"]), 6)
+    m = F.when(F.count("r").over(f) >= 6, grow("r").over(f))
+    return t.ret_m.filter("r is not null").select("asset", "d", r6(m).alias("m")).unionByName(t.ret_m.filter("r is null").select("asset", "d", F.lit(None).cast("double").alias("m")))

@@ -379,3 +379,16 @@ def _(t):
     i = t.macro_m.select(F.lit("all").alias("u"), "d", (F.col("price") * 1e3).alias("inv"), F.col("growth").alias("gdp"))
     dr = dret(t).filter("asset = 'LARGE'").select(F.lit("all").alias("u"), "d", "r")
     return block(S.literature_panel(v, index_m(t), o, i, dr, t.ret_m, "MEDIUM", "STANDARD", window=36, min_periods=18, min_obs=24))
+
+
+@query("bond_signal_panel", """WITH c AS (SELECT last_day(d) AS d, AVG(zero) FILTER (WHERE tenor BETWEEN 1.5 AND 30) AS level, MAX(CASE WHEN tenor = 10 THEN zero END) - MAX(CASE WHEN tenor = 0.5 THEN zero END) AS slope,
+  2*MAX(CASE WHEN tenor = 10 THEN zero END) - MAX(CASE WHEN tenor = 2 THEN zero END) - MAX(CASE WHEN tenor = 30 THEN zero END) AS curvature FROM disc_m GROUP BY 1)
+  SELECT 'level' AS signal, d, round(level, 6)+0.0 AS x FROM c UNION ALL SELECT 'slope', d, round(slope, 6)+0.0 FROM c UNION ALL SELECT 'curvature', d, round(curvature, 6)+0.0 FROM c
+  UNION ALL SELECT 'fb' || a.n, last_day(a.d), round(a.f - b.f, 6)+0.0 FROM fwd_m a JOIN fwd_m b ON a.d = b.d AND b.n = 1 WHERE a.n > 1
+  UNION ALL SELECT 'carry_roll_' || CAST(g.maturity AS INT) || 'y', g.d, round(COALESCE(SUM(carry + rolldown), 0)*12, 6)+0.0 FROM cmr_grid g LEFT JOIN cmr_m c ON c.maturity = g.maturity AND last_day(c.d) = g.d GROUP BY g.maturity, g.d
+  UNION ALL SELECT 'term_premium', last_day(d), round(arg_max(x, d), 6)+0.0 FROM ser_m WHERE series = 'THREEFYTP10' GROUP BY 2""")
+def _(t):
+    from .curve import cmr, curve
+
+    tp = ser_m(t).filter("series = 'THREEFYTP10'")
+    return block(S.bond_signal_panel(stored(curve(t)), stored(cmr(t)), term_premium=tp))

@@ -106,7 +106,7 @@ def _(t):
 @query("cost_model", "SELECT asset, round(rate, 8)+0.0 AS rate, round(AVG(rate) OVER (), 8)+0.0 AS avg_rate FROM bt_rate")
 def _(t):
     r = rates(t)
-    return r.join(F.broadcast(B.average_rate(r).withColumnRenamed("rate", "avg_rate"))).select("asset", r6("rate", 8).alias("rate"), r6("avg_rate", 8).alias("avg_rate"))
+    return r.withColumn("avg_rate", B.average_rate(r).scalar()).select("asset", r6("rate", 8).alias("rate"), r6("avg_rate", 8).alias("avg_rate"))
 
 
 @query("schedule_every_n", "SELECT n, d FROM bt_cal, (SELECT unnest([1, 5, 12]) AS n) WHERE rn >= 24 AND (rn = 24 OR rn % n = 0)")
@@ -261,7 +261,7 @@ def _(t):
   SELECT d, round(k, 6)+0.0 AS scale, round(k*r + (1 - k)*rf, 6)+0.0 AS matched FROM k JOIN bench_m USING (d) JOIN rf_m USING (d)""")
 def _(t):
     dims = t.dim(DUR, "asset string, dur double")
-    bd = returns(t).join(F.broadcast(dims), "asset").groupBy("d").agg(F.avg("dur").alias("duration"))
+    bd = returns(t).join(dims, "asset").groupBy("d").agg(F.avg("dur").alias("duration"))
     bench = t.bench_m.select("d", F.col("r").alias("b")).join(t.rf_m, "d")
     return out(B.duration_matched_benchmark(bench, bd, B.portfolio_duration(held(t), dims), B.KEYS), "scale", "matched", keys=("d",))
 
@@ -281,6 +281,6 @@ def _(t):
     r = stored(returns(t).join(t.rf_m, "d"))
     cal = V.chunks(V.calendar(r, U), U, due(FIRST, 24))
     epochs = cal.filter("due").select("universe", F.col("d").alias("epoch"), F.col("rn").alias("_e"))
-    hist = r.join(cal.select("universe", "d", "rn"), ["universe", "d"]).join(F.broadcast(epochs), "universe").filter("rn < _e")
+    hist = r.join(cal.select("universe", "d", "rn"), ["universe", "d"]).join(epochs, "universe").filter("rn < _e")
     w = P.train_rule(hist, U, lambda train, rf: 1.0 / train.std() / (1.0 / train.std()).sum())
     return out(w, "w", keys=("epoch", "asset"))

@@ -28,15 +28,17 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
     return spark
 
 
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A fresh path in the shared folder named by ``spark.checkpoint.dir``; a session without it gets a folder of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "marketgrid-stored")
+    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write an intermediate panel once and read it back, for plans that use it several times.
 
-    The table goes to the shared folder the cluster names in ``spark.checkpoint.dir``, so a lost executor
-    costs no replay of the scans before it, and its true size is known to the planner. Only a session
-    without that setting (a local test) gets a folder of its own.
+    A lost executor then costs no replay of the scans before it, and the planner knows the true size.
     """
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "marketgrid-stored")
-    path = f"{base.rstrip('/')}/panel-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, "panel")
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)

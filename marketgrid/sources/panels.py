@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +40,9 @@ class Tables:
         raise AttributeError(name)
 
     def dim(self, rows: list[tuple], schema: str) -> DataFrame:
-        """A lookup table of fixed size."""
-        return self.spark.createDataFrame(rows, schema)
+        """A lookup table of literal rows. It becomes a local relation, so the planner knows its size."""
+        names = [f.split()[0] for f in schema.split(",")]
+        return self.spark.createDataFrame(pa.table({k: list(v) for k, v in zip(names, zip(*rows))}), schema)
 
     def _unit_price(self, lines: DataFrame, *keys) -> DataFrame:
         return lines.groupBy(*keys).agg(
