@@ -127,7 +127,7 @@ def hac_lag(n: Column) -> Column:
 
 
 def _lagged_products(df: DataFrame, by: list[str], e: str, lag: str, order: str) -> DataFrame:
-    """Rows (by, k, product of e with its k-th lag) for k = 1..lag of the row's series.
+    """Rows (by, _lagk, product of e with its k-th lag) for _lagk = 1..lag of the row's series.
 
     Each row carries its own recent values (a trailing frame of at most the largest lag), so no self-join.
     """
@@ -136,7 +136,7 @@ def _lagged_products(df: DataFrame, by: list[str], e: str, lag: str, order: str)
     recent = F.reverse(F.collect_list(e).over(w.rowsBetween(-top, -1)))
     d = df.select(*by, lag, F.col(e).alias("_e"), recent.alias("_r"))
     d = d.withColumn("_p", F.slice("_r", F.lit(1), F.col(lag)))
-    return d.select(*by, lag, "_e", F.posexplode("_p").alias("_k", "_v")).select(*by, lag, (F.col("_k") + 1).alias("k"), (F.col("_e") * F.col("_v")).alias("p"))
+    return d.select(*by, lag, "_e", F.posexplode("_p").alias("_k", "_v")).select(*by, lag, (F.col("_k") + 1).alias("_lagk"), (F.col("_e") * F.col("_v")).alias("_prod"))
 
 
 def clark_west(df: DataFrame, by: list[str], y: str = "y", f: str = "forecast", b: str = "bench", min_rows: int = 24, order: str = "d") -> DataFrame:
@@ -147,8 +147,8 @@ def clark_west(df: DataFrame, by: list[str], y: str = "y", f: str = "forecast",
     k = k.withColumn("_m", F.avg("_h").over(whole)).withColumn("_e", F.col("_h") - F.col("_m")).withColumn("_l", hac_lag(F.col("_n")))
     k = k.withColumn("_lag", F.greatest("_l", F.lit(1)))
     base = k.groupBy(*by).agg(F.max("_n").alias("n"), F.max("_m").alias("mean"), F.avg(F.col("_e") * F.col("_e")).alias("_g0"), F.max("_l").alias("_l"))
-    auto = _lagged_products(k, by, "_e", "_lag", order).groupBy(*by, "k").agg(F.avg("p").alias("_g"))
-    weighted = auto.join(base.select(*by, "_l"), by).groupBy(*by).agg(F.sum(2.0 * (1.0 - F.col("k") / (F.col("_l") + 1.0)) * F.col("_g")).alias("_gs"))
+    auto = _lagged_products(k, by, "_e", "_lag", order).groupBy(*by, "_lagk").agg(F.avg("_prod").alias("_g"))
+    weighted = auto.join(base.select(*by, "_l"), by).groupBy(*by).agg(F.sum(2.0 * (1.0 - F.col("_lagk") / (F.col("_l") + 1.0)) * F.col("_g")).alias("_gs"))
     j = base.join(weighted, by, "left")
     se = F.sqrt(F.greatest(F.col("_g0") + F.coalesce("_gs", F.lit(0.0)), F.lit(1e-18)) / F.col("n"))
     return j.select(*by, "n", "mean", (F.col("mean") / se).alias("stat"))

@@ -34,6 +34,7 @@ VIEWS: dict[str, str] = {
                       FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3)""",
     "strat_m": "SELECT asset AS strategy, d, r, rf FROM ret_m JOIN rf_m USING (d) WHERE r IS NOT NULL",
     "excess_m": "SELECT asset, d, r - rf AS x FROM ret_m JOIN rf_m USING (d) WHERE r IS NOT NULL",
+    "ex_c": "SELECT * FROM excess_m WHERE d IN (SELECT d FROM excess_m GROUP BY 1 HAVING COUNT(*) = (SELECT COUNT(DISTINCT asset) FROM excess_m))",
 }
 
 

@@ -46,7 +46,7 @@ def lw_views(prefix: str, src: str, key: str) -> None:
       delta_dm*CASE WHEN i = j THEN s ELSE rbar*sqrt(vi*vj) END + (1 - delta_dm)*s AS s_dm FROM {prefix}_p p JOIN {prefix}_d g ON p.{key} = g.{key} WHERE i <= j""")
 
 
-view("ex_one", "SELECT 'all' AS universe, asset, d, x FROM excess_m")
+view("ex_one", "SELECT 'all' AS universe, asset, d, x FROM ex_c")
 view("ex_rn", "SELECT *, dense_rank() OVER (ORDER BY d) - 1 AS rn FROM ex_one")
 lw_views("lw_all", "ex_one", "universe")
 # epochs: rows 24, then every 12th, expanding and 36-row histories
@@ -196,7 +196,7 @@ def _(t):
     return out(V.moments(with_rf(t), U), "mu", "geometric", keys=("asset",))
 
 
-@query("portfolio_stats", """WITH w AS (SELECT asset, CASE asset WHEN 'PROMO' THEN 0.3 ELSE 0.1 END AS w FROM (SELECT DISTINCT asset FROM ret_m)), c AS (SELECT a.asset AS i, b.asset AS j, covar_samp(a.x, b.x)*12 AS s FROM excess_m a JOIN excess_m b USING (d) GROUP BY 1, 2),
+@query("portfolio_stats", """WITH w AS (SELECT asset, CASE asset WHEN 'PROMO' THEN 0.3 ELSE 0.1 END AS w FROM (SELECT DISTINCT asset FROM ret_m)), c AS (SELECT a.asset AS i, b.asset AS j, covar_samp(a.x, b.x)*12 AS s FROM ex_c a JOIN ex_c b USING (d) GROUP BY 1, 2),
   r AS (SELECT SUM(w*mu) AS e, 1 - SUM(w) AS cash FROM w JOIN (SELECT asset, AVG(x)*12 AS mu FROM excess_m GROUP BY 1) USING (asset)), v AS (SELECT sqrt(SUM(a.w*b.w*s)) AS vol FROM c JOIN w a ON a.asset = i JOIN w b ON b.asset = j)
   SELECT round(e, 6)+0.0 AS exp_excess_return, round(cash, 6)+0.0 AS cash_weight, round(vol, 6)+0.0 AS vol, round(e/vol, 6)+0.0 AS sharpe FROM r, v""")
 def _(t):

@@ -147,7 +147,7 @@ def _(t):
     return R.enforce_persistence(labelled(t), U).select("d", "regime", "steady")
 
 
-@query("separation", """WITH j AS (SELECT e.asset, e.d, e.x, l.label FROM excess_m e LEFT JOIN lab_r l USING (d)), g AS (SELECT asset, label, COUNT(*) AS n, AVG(x) AS m FROM j WHERE label IS NOT NULL GROUP BY 1, 2 HAVING COUNT(*) >= 12),
+@query("separation", """WITH j AS (SELECT e.asset, e.d, e.x, l.label FROM ex_c e LEFT JOIN lab_r l USING (d)), g AS (SELECT asset, label, COUNT(*) AS n, AVG(x) AS m FROM j WHERE label IS NOT NULL GROUP BY 1, 2 HAVING COUNT(*) >= 12),
   k AS (SELECT j.asset, COUNT(DISTINCT g.label) AS k, COUNT(*) AS n, AVG(x) AS gm, (MAX(m) - MIN(m))*12 AS spread, SUM(POW(x - m, 2)) AS ssw FROM j JOIN g ON g.asset = j.asset AND g.label = j.label GROUP BY 1 HAVING COUNT(DISTINCT g.label) >= 2),
   b AS (SELECT k.asset, SUM(g.n*POW(g.m - k.gm, 2)) AS ssb FROM k JOIN g ON g.asset = k.asset GROUP BY 1), h AS (SELECT AVG(spread) AS ms, AVG((ssb/(k - 1))/(ssw/(n - k))) AS mf FROM k JOIN b USING (asset)),
   days AS (SELECT d, label, LAG(label) OVER (ORDER BY d) AS p FROM (SELECT DISTINCT d, label FROM j)), runs AS (SELECT run, COUNT(*) AS l FROM (SELECT label, SUM(CASE WHEN label = p THEN 0 ELSE 1 END) OVER (ORDER BY d) AS run FROM days) WHERE label IS NOT NULL GROUP BY 1),
@@ -215,7 +215,7 @@ def _(t):
     return out(R.episodic_weights(x, stored(lab(t)), equal_bench(x), U, due(24, 6), min_months=6), "w", "alpha", keys=("d", "asset", "action", "state"))
 
 
-view("rmt0", "SELECT e.asset, e.d, e.x, l.label, l.ep, row_number() OVER (PARTITION BY e.asset, l.ep ORDER BY e.d) AS run FROM excess_m e LEFT JOIN ep_rows l USING (d)")
+view("rmt0", "SELECT e.asset, e.d, e.x, l.label, l.ep, row_number() OVER (PARTITION BY e.asset, l.ep ORDER BY e.d) AS run FROM ex_c e LEFT JOIN ep_rows l USING (d)")
 view("rmt1", """SELECT a.asset, a.d, a.label, a.run, AVG(b.x)*12 AS mu, COUNT(b.x) FILTER (WHERE b.label = a.label AND b.ep < a.ep) AS n, AVG(b.x) FILTER (WHERE b.label = a.label AND b.ep < a.ep)*12 AS mr,
   COUNT(DISTINCT b.ep) FILTER (WHERE b.label = a.label AND b.ep < a.ep) AS ncomp FROM rmt0 a JOIN rmt0 b ON a.asset = b.asset AND b.d <= a.d WHERE a.label IS NOT NULL GROUP BY 1, 2, 3, 4""")
 view("rmt2", "SELECT *, CASE WHEN n < 6 THEN 0 ELSE n/(n + 60.0)*(mr - mu) END AS e, CASE WHEN ncomp < 1 THEN 0 ELSE 1 - POW(0.5, run) END AS alpha FROM rmt1")
@@ -231,7 +231,7 @@ def _(t):
     return out(R.regime_mean_tilt(x, stored(lab(t)), equal_bench(x), U), "w", "alpha", keys=("d", "asset", "n_obs"))
 
 
-@query("regime_edge_table", """WITH u AS (SELECT asset, AVG(x)*12 AS mu FROM excess_m GROUP BY 1), g AS (SELECT label, asset, COUNT(*) AS n, AVG(x)*12 AS raw FROM excess_m JOIN lab_r USING (d) WHERE label IS NOT NULL GROUP BY 1, 2 HAVING COUNT(*) >= 6)
+@query("regime_edge_table", """WITH u AS (SELECT asset, AVG(x)*12 AS mu FROM ex_c GROUP BY 1), g AS (SELECT label, asset, COUNT(*) AS n, AVG(x)*12 AS raw FROM ex_c JOIN lab_r USING (d) WHERE label IS NOT NULL GROUP BY 1, 2 HAVING COUNT(*) >= 6)
   SELECT label AS regime, asset, n, round(raw, 6)+0.0 AS raw, round(mu, 6)+0.0 AS unconditional, round(n/(n + 60.0)*raw + (1 - n/(n + 60.0))*mu, 6)+0.0 AS shrunk FROM g JOIN u USING (asset)""")
 def _(t):
     return out(R.regime_edge_table(ex_m(t), lab(t), U), "raw", "unconditional", "shrunk", keys=("regime", "asset", "n"))
@@ -259,8 +259,8 @@ def _(t):
 
 # ---- tails ----
 
-view("uni_m", "SELECT asset, d, x, (rank() OVER (PARTITION BY asset ORDER BY x) + (COUNT(*) OVER (PARTITION BY asset, x) - 1)/2.0)/(COUNT(*) OVER (PARTITION BY asset) + 1.0) AS u FROM excess_m")
-view("cut_m", "SELECT e.*, x < quantile_cont(x, 0.25) OVER (PARTITION BY asset) AS lo, x > quantile_cont(x, 0.75) OVER (PARTITION BY asset) AS hi FROM excess_m e")
+view("uni_m", "SELECT asset, d, x, (rank() OVER (PARTITION BY asset ORDER BY x) + (COUNT(*) OVER (PARTITION BY asset, x) - 1)/2.0)/(COUNT(*) OVER (PARTITION BY asset) + 1.0) AS u FROM ex_c")
+view("cut_m", "SELECT e.*, x < quantile_cont(x, 0.25) OVER (PARTITION BY asset) AS lo, x > quantile_cont(x, 0.75) OVER (PARTITION BY asset) AS hi FROM ex_c e")
 
 
 @query("to_uniform", sq({"u": "u"}, "uni_m"))

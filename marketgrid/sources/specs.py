@@ -10,7 +10,7 @@ SPEC_SCHEMA = ("phase string, family string, name string, config map<string,stri
 
 
 def _quoted(x: Column) -> Column:
-    return F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(x, r"\\", r"\\\\\\\\"), '"', r'\\\\"'), F.lit('"'))
+    return F.concat(F.lit('"'), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
 
 
 def fingerprint() -> Column:
