@@ -150,8 +150,8 @@ def _(t):
 @query("separation", """WITH j AS (SELECT e.asset, e.d, e.x, l.label FROM ex_c e LEFT JOIN lab_r l USING (d)), g AS (SELECT asset, label, COUNT(*) AS n, AVG(x) AS m FROM j WHERE label IS NOT NULL GROUP BY 1, 2 HAVING COUNT(*) >= 12),
   k AS (SELECT j.asset, COUNT(DISTINCT g.label) AS k, COUNT(*) AS n, AVG(x) AS gm, (MAX(m) - MIN(m))*12 AS spread, SUM(POW(x - m, 2)) AS ssw FROM j JOIN g ON g.asset = j.asset AND g.label = j.label GROUP BY 1 HAVING COUNT(DISTINCT g.label) >= 2),
   b AS (SELECT k.asset, SUM(g.n*POW(g.m - k.gm, 2)) AS ssb FROM k JOIN g ON g.asset = k.asset GROUP BY 1), h AS (SELECT AVG(spread) AS ms, AVG((ssb/(k - 1))/(ssw/(n - k))) AS mf FROM k JOIN b USING (asset)),
-  days AS (SELECT d, label, LAG(label) OVER (ORDER BY d) AS p FROM (SELECT DISTINCT d, label FROM j)), runs AS (SELECT run, COUNT(*) AS l FROM (SELECT label, SUM(CASE WHEN label = p THEN 0 ELSE 1 END) OVER (ORDER BY d) AS run FROM days) WHERE label IS NOT NULL GROUP BY 1),
-  c AS (SELECT label, COUNT(*) AS c FROM days WHERE label IS NOT NULL GROUP BY 1)
+  lab_days AS (SELECT d, label, LAG(label) OVER (ORDER BY d) AS p FROM (SELECT DISTINCT d, label FROM j)), runs AS (SELECT run, COUNT(*) AS l FROM (SELECT label, SUM(CASE WHEN label = p THEN 0 ELSE 1 END) OVER (ORDER BY d) AS run FROM lab_days) WHERE label IS NOT NULL GROUP BY 1),
+  c AS (SELECT label, COUNT(*) AS c FROM lab_days WHERE label IS NOT NULL GROUP BY 1)
   SELECT round(ms, 6)+0.0 AS mean_spread, round(mf, 6)+0.0 AS mean_f_stat, (SELECT CAST(SUM(c) AS BIGINT) FROM c) AS n_labelled, (SELECT COUNT(*) FROM c WHERE c > 11) AS n_states_used, (SELECT round(MIN(c)/MAX(c), 6)+0.0 FROM c) AS balance,
   (SELECT round(quantile_cont(l, 0.5), 6)+0.0 FROM runs) AS median_episode, (SELECT round(AVG(CAST(l <= 2 AS DOUBLE)), 6)+0.0 FROM runs) AS pct_episodes_le2 FROM h""")
 def _(t):
