@@ -13,29 +13,37 @@ from pyspark.sql.window import Window
 
 from ..functions.expr import c, div, safe_corr
 from ..functions.normal import norm_cdf, norm_ppf, norm_sf, t_ppf, t_sf
+from ..session import stored
 from .crosssection import avg_rank, with_wide_rank
 
 EULER = 0.5772156649015329
 SEED = 20260830
 
 
-def _draw_sql(seed: int, n: str, rep: str, t: str, p: float) -> tuple[str, str]:
-    """SQL of (block starts here, start position) for one step; both from one hash."""
-    h = f"md5(concat_ws(':', '{seed}', cast({rep} as string), cast({t} as string)))"
-    u = f"(cast(conv(substr({h}, 1, 13), 16, 10) as double) / 4503599627370496.0D)"
-    v = f"(cast(conv(substr({h}, 14, 13), 16, 10) as double) / 4503599627370496.0D)"
-    return f"({t} = 0 or {u} < {1.0 / max(p, 1.0)!r}D)", f"cast(floor({v} * {n}) as int)"
+def _hash_sql(seed: int, rep: str, t: str) -> str:
+    return f"md5(concat_ws(':', '{seed}', cast({rep} as string), cast({t} as string)))"
 
 
-def bootstrap_index(lengths: DataFrame, reps: int, mean_block: float = 12.0, seed: int = SEED) -> DataFrame:
+def _draw_sql(h: str, n: str, t: str, mean_block: float) -> tuple[str, str]:
+    """SQL of (a block starts at this step, its start position), both from the step's hash."""
+    u, v = (f"(cast(conv(substr({h}, {k}, 13), 16, 10) as double) / 4503599627370496.0D)" for k in (1, 14))
+    return f"({t} = 0 or {u} < {1.0 / max(mean_block, 1.0)!r}D)", f"cast(floor({v} * {n}) as int)"
+
+
+def _spread(df: DataFrame, blocks: int, *keys: str) -> DataFrame:
+    """Hash partitions in a fixed number: the rows are few and small, the work per row is not, so size-based coalescing must not merge them."""
+    return df.repartition(max(blocks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
+def bootstrap_index(lengths: DataFrame, reps: int, mean_block: float = 12.0, seed: int = SEED, blocks: int = 64) -> DataFrame:
     """Resampled positions (by..., rep, t, idx) for each row of `lengths`, which holds the column n.
 
     Within a block the position advances by one and wraps, so idx = (start + t - t_start) mod n.
     """
     by = [k for k in lengths.columns if k != "n"]
-    jump, start = _draw_sql(seed, "n", "rep", "t", mean_block)
-    grid = lengths.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).repartition("rep")
-    g = grid.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
+    jump, start = _draw_sql("_h", "n", "t", mean_block)
+    grid = _spread(lengths.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))), blocks, "rep")
+    g = grid.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1))).withColumn("_h", F.expr(_hash_sql(seed, "rep", "t")))
     g = g.withColumn("_b", F.when(F.expr(jump), F.struct(F.expr(start).alias("s"), F.col("t").alias("t0"))))
     w = Window.partitionBy(*by, "rep").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     g = g.withColumn("_b", F.last("_b", ignorenulls=True).over(w))
@@ -44,12 +52,13 @@ def bootstrap_index(lengths: DataFrame, reps: int, mean_block: float = 12.0, see
 
 def _resampled_sums(paths: DataFrame, by: list[str], reps: int, mean_block: float, seed: int, blocks: int, with_b: bool) -> DataFrame:
     """Sums of each resample; `paths` has arrays S (and B) and the length n per key."""
-    jump, start = _draw_sql(seed, "n", "rep", "t", mean_block)
+    jump, start = _draw_sql("x.h", "n", "x.t", mean_block)
     per = -(-reps // blocks)
-    spread = paths.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(*by, "_blk")
+    spread = _spread(paths.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), blocks, *by, "_blk")
     lo = F.col("_blk") * per
     spread = spread.withColumn("rep", F.explode(F.filter(F.sequence(lo, lo + per - 1), lambda r: r < reps)))
-    spread = spread.withColumn("_d", F.expr(f"transform(sequence(0, cast(n as int) - 1), t -> struct({jump} as j, {start} as s))"))
+    spread = spread.withColumn("_d", F.expr(
+        f"transform(transform(sequence(0, cast(n as int) - 1), t -> struct(t as t, {_hash_sql(seed, 'rep', 't')} as h)), x -> struct({jump} as j, {start} as s))"))
     nxt = "case when d.j then d.s else (a.i + 1) % cast(n as int) end"
     x, y = f"element_at(S, {nxt} + 1)", f"element_at(B, {nxt} + 1)"
     extra0 = ", 0D as b, 0D as bb" if with_b else ""
@@ -84,7 +93,8 @@ def sharpe_difference(df: DataFrame, by: list[str], reps: int = 5000, mean_block
     """
     paths = _arrays(excess_pairs(df, s, b, rf), by, {"S": "xs", "B": "xb"})
     draws = _resampled_sums(paths, by, reps, mean_block, seed, blocks, True)
-    draws = draws.select(*by, "rep", (_sharpe_from_sums("s", "ss", "n", ppy) - _sharpe_from_sums("b", "bb", "n", ppy)).alias("draw"))
+    # one short row per resample, read twice below: written once rather than folded twice
+    draws = stored(draws.select(*by, "rep", (_sharpe_from_sums("s", "ss", "n", ppy) - _sharpe_from_sums("b", "bb", "n", ppy)).alias("draw")))
     base = excess_pairs(df, s, b, rf).groupBy(*by).agg(
         _sharpe("xs", ppy).alias("sharpe_strategy"), _sharpe("xb", ppy).alias("sharpe_benchmark"), F.count("*").alias("n_months"))
     base = base.withColumn("difference", F.col("sharpe_strategy") - F.col("sharpe_benchmark"))
@@ -111,7 +121,7 @@ def reality_check(df: DataFrame, by: list[str], strategy: str = "strategy", x: s
     k = known.join(full, [*by, d], "left_semi")
     keys = [*by, strategy]
     paths = _arrays(k, keys, {"S": x}, d).filter(F.col("n") >= min_rows)
-    boot = _resampled_sums(paths, keys, reps, mean_block, seed, blocks, False).select(*keys, "rep", "n", (F.col("s") / F.col("n")).alias("m"))
+    boot = stored(_resampled_sums(paths, keys, reps, mean_block, seed, blocks, False).select(*keys, "rep", "n", (F.col("s") / F.col("n")).alias("m")))
     om = boot.groupBy(*keys).agg(F.greatest(F.stddev_samp("m") * F.sqrt(F.max("n")), F.lit(1e-12)).alias("omega"))
     obs = k.groupBy(*keys).agg(F.avg(x).alias("dbar"), F.count("*").alias("_n")).join(om, keys)
     obs = obs.withColumn("t_obs", F.sqrt("_n") * F.col("dbar") / F.col("omega"))

@@ -42,7 +42,8 @@ def bt_chain(prefix: str, targets: str, drift: bool = True) -> None:
 
 
 def returns(t):
-    return t.ret_m.filter("r is not null").select(F.lit("all").alias("universe"), "asset", "d", "r")
+    """Monthly returns of one universe, written once: targets, drift and costs all read them."""
+    return stored(t.ret_m.filter("r is not null").select(F.lit("all").alias("universe"), "asset", "d", "r"))
 
 
 def rates(t):
@@ -65,7 +66,7 @@ def annual_targets(r, share: float = 0.9):
     p = iv_path(r)
     flag = (F.col("rn") == FIRST) | (F.year("d") != F.year(F.lag("d").over(win(["universe", "asset"]))))
     p = p.withColumn("due", flag).filter("due")
-    return p.select("universe", F.lit("iv_annual").alias("strategy"), "asset", "d", (F.col("w") * share).alias("target"))
+    return stored(p.select("universe", F.lit("iv_annual").alias("strategy"), "asset", "d", (F.col("w") * share).alias("target")))
 
 
 view("tg_annual", "SELECT 'iv_annual' AS strategy, asset, d, w*0.9 AS target FROM bt_w WHERE rn = 24 OR YEAR(d) <> (SELECT YEAR(c.d) FROM bt_cal c WHERE c.rn = bt_w.rn - 1)")
@@ -153,7 +154,7 @@ def bd_sql(cond):
 
 
 def fixed_mix(t):
-    r = stored(returns(t))
+    r = returns(t)
     p = with_rn(r).filter(F.col("rn") >= FIRST)
     mix = F.when(F.col("asset") == "PROMO", 0.3).otherwise(0.14)
     return r, p.select("universe", F.lit("mix").alias("strategy"), "asset", "d", mix.alias("target"))
@@ -178,7 +179,7 @@ bt_chain("btl", "lo_t")
 
 
 def long_path(t):
-    r = stored(returns(t))
+    r = returns(t)
     p = with_rn(r).filter((F.col("rn") >= FIRST) & (F.col("rn") % 6 == 0))
     z = F.when(~((F.year("d") == 1999) & (F.col("asset") == "PROMO")), F.greatest("r", F.lit(0.0)))
     return r, p.select("universe", F.lit("lo").alias("strategy"), "asset", "d", z.alias("target"))
@@ -196,7 +197,7 @@ bt_chain("bts", "ls_t", drift=False)
 
 @query("backtest_spread", "SELECT strategy, d, round(gross - cost, 6)+0.0 AS net, round(cost, 6)+0.0 AS cost FROM bts")
 def _(t):
-    r = stored(returns(t))
+    r = returns(t)
     p = with_rn(r).filter((F.col("rn") >= FIRST) & (F.col("rn") % 3 == 0))
     z = F.when(~((F.year("d") == 1999) & (F.month("d") < 7)), F.col("r") - F.avg("r").over(X.over(["universe", "d"])))
     tg = B.hold_last_valid(p.select("universe", F.lit("ls").alias("strategy"), "asset", "d", z.alias("target")))
@@ -209,7 +210,7 @@ def _(t):
     cov = V.cov_windowed(x, U, due(FIRST, 12))
     nw = V.nw_variance_factor(x, ["universe", "asset"], min_obs=60)
     w = P.cov_rules(V.cov_stale_adjust(cov, nw, U), ["universe", "d"], ["erc", "hrp", "equal"])
-    r = stored(returns(t))
+    r = returns(t)
     bt = B.backtest(r, w.select("universe", F.col("rule").alias("strategy"), "asset", "d", F.col("w").alias("target")), rates(t), turnover="one_way", renormalise=True)
     return out(bt, "net", "turnover", keys=("strategy", "d"))
 
@@ -222,7 +223,7 @@ bt_chain("bte", "ed_t")
 
 @query("backtest_edges", sq({"net": "gross - cost", "turnover": "turnover"}, "bte", "strategy, d"))
 def _(t):
-    r = stored(returns(t))
+    r = returns(t)
     p = with_rn(r).withColumn("e", F.lag("r").over(win(["universe", "asset"]))).filter(F.col("rn") >= FIRST)
     tg = X.with_edge_tilt(p, "e", ["universe", "d"], out="target").withColumn("strategy", F.lit("edge"))
     return out(B.backtest(r, tg, rates(t)), "net", "turnover", keys=("strategy", "d"))
@@ -278,7 +279,7 @@ def _(t):
 
 @query("weight_fn_train")
 def _(t):
-    r = stored(returns(t).join(t.rf_m, "d"))
+    r = returns(t).join(t.rf_m, "d")
     cal = V.chunks(V.calendar(r, U), U, due(FIRST, 24))
     epochs = cal.filter("due").select("universe", F.col("d").alias("epoch"), F.col("rn").alias("_e"))
     hist = r.join(cal.select("universe", "d", "rn"), ["universe", "d"]).join(epochs, "universe").filter("rn < _e")
