@@ -47,7 +47,7 @@ ZN = "(s.z0 + (s.z1 - s.z0)*({t} - s.t0)/(s.t1 - s.t0))"
 
 def quotes(t):
     m, y = F.month("d"), F.year("d")
-    return t.cmt_m.filter(~((m == 5) & (F.col("tenor") == 30)) & ~((y == 1998) & (m == 6) & (F.col("tenor") > 1))).withColumn("curve", F.lit("usd"))
+    return t.cmt_m.filter(~((m == 5) & (F.col("tenor") == 30)) & ~((y == 1998) & (m == 6) & (F.col("tenor") > 1))).withColumn("curve", F.when(F.col("tenor") > 0, "usd"))
 
 
 def curve(t):

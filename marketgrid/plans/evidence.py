@@ -277,10 +277,10 @@ def _(t):
     return out(FC.auc(auc_input(t), ["asset"]), "auc", keys=("asset",))
 
 
-@query("auc_wide", """WITH k AS (SELECT *, rank() OVER (ORDER BY p) + (COUNT(*) OVER (PARTITION BY p) - 1)/2.0 AS rk FROM auc_m)
-  SELECT round((SUM(rk) FILTER (WHERE y = 1) - COUNT(*) FILTER (WHERE y = 1)*(COUNT(*) FILTER (WHERE y = 1) + 1)/2.0)/(COUNT(*) FILTER (WHERE y = 1)*COUNT(*) FILTER (WHERE y = 0)), 6)+0.0 AS auc FROM k""")
+@query("auc_wide", """WITH g AS (SELECT substr(asset, 1, 1) AS u, y, p FROM auc_m), k AS (SELECT *, rank() OVER (PARTITION BY u ORDER BY p) + (COUNT(*) OVER (PARTITION BY u, p) - 1)/2.0 AS rk FROM g)
+  SELECT u, round((SUM(rk) FILTER (WHERE y = 1) - COUNT(*) FILTER (WHERE y = 1)*(COUNT(*) FILTER (WHERE y = 1) + 1)/2.0)/NULLIF(COUNT(*) FILTER (WHERE y = 1)*COUNT(*) FILTER (WHERE y = 0), 0), 6)+0.0 AS auc FROM k GROUP BY 1""")
 def _(t):
-    return out(FC.auc(auc_input(t).withColumn("u", F.lit("all")), ["u"], wide=True), "auc", keys=())
+    return out(FC.auc(auc_input(t).withColumn("u", F.substring("asset", 1, 1)), ["u"], wide=True), "auc", keys=("u",))
 
 
 @query("brier", "SELECT asset, round(AVG(POW(p - y, 2)), 6)+0.0 AS brier FROM auc_m GROUP BY 1")
