@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -29,8 +30,16 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
 
 
 def scratch_path(spark: SparkSession, kind: str) -> str:
-    """A fresh path in the shared folder named by ``spark.checkpoint.dir``; a session without it gets a folder of its own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "marketgrid-stored")
+    """A fresh path in the shared folder named by ``spark.checkpoint.dir``.
+
+    Only a single-JVM session may go without that setting: its one machine sees its own temporary folder. On a
+    cluster a local folder would leave each executor with files that the others can't read, so that is refused.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = os.path.join(tempfile.gettempdir(), "marketgrid-stored")
     return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
@@ -41,4 +50,4 @@ def stored(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "panel")
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
