@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup
+from . import decontam, neardup, secrets
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,39 @@ _WORDS = r"'[^\x20\x09-\x0D]+'"
 )
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+_ITEM_WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+
+@query(
+    "op1_decontamination",
+    rf"""
+    WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, {_ITEM_WORDS}) AS w FROM benchmark),
+    wins AS (SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS g
+             FROM (SELECT item, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT item, w, least(len(w), 10) AS k FROM items WHERE len(w) > 0))),
+    docs AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, {_ITEM_WORDS}), []) AS w FROM documents),
+    grams AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS g
+              FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, (SELECT DISTINCT k FROM wins) WHERE len(w) >= k)),
+    hits AS (SELECT doc_id, i, k, item FROM grams JOIN wins USING (k, g)),
+    hit AS (SELECT doc_id, COUNT(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hits) GROUP BY doc_id),
+    named AS (SELECT doc_id, COUNT(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id),
+    seen AS (SELECT t, COUNT(*) AS n FROM (SELECT unnest(list_distinct(w)) AS t FROM docs) GROUP BY t),
+    rare AS (SELECT item, t FROM (SELECT item, t, row_number() OVER (PARTITION BY item ORDER BY coalesce(n, 0), t) AS r
+             FROM (SELECT DISTINCT item, unnest(w) AS t FROM items) LEFT JOIN seen USING (t)) WHERE r <= 4),
+    needed AS (SELECT item, COUNT(*) AS need FROM rare GROUP BY item),
+    posts AS (SELECT doc_id, item, t, p FROM (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM docs) JOIN rare USING (t)),
+    close AS (SELECT DISTINCT a.doc_id, a.item FROM posts a JOIN posts b ON a.doc_id = b.doc_id AND a.item = b.item AND b.p BETWEEN a.p AND a.p + 19 JOIN needed ON needed.item = a.item
+              GROUP BY a.doc_id, a.item, a.p, need HAVING COUNT(DISTINCT b.t) = need),
+    near AS (SELECT doc_id, COUNT(*) AS n_near FROM close GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+    FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN near USING (doc_id)""",
+)
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.summary(decontam.matches(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@query("op2_secrets")
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
