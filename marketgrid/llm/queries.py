@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, neardup, secrets
+from . import decontam, neardup, packing, secrets, warc
 from .common import table
 
+TOKENIZER = "byte_bpe_50k.tiktoken"  # the same vocabulary as byte_bpe_50k.json, as ranks
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -79,3 +83,26 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_secrets")
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op3_warc",
+    """
+    WITH rows AS (SELECT page_id, coalesce(html, '') AS p FROM pages),
+    keyed AS (SELECT page_id, octet_length(encode(p)) AS n, sha1(p) AS h, p, MAX(page_id) OVER (PARTITION BY p) AS top FROM rows),
+    bits AS (SELECT *, list_transform(range(8), lambda i: CAST('0x' || substr(h, CAST(i * 5 + 1 AS INTEGER), 5) AS BIGINT)) AS v FROM keyed)
+    SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+           array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v[j // 4 + 1] >> CAST(15 - 5 * (j % 4) AS INTEGER)) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest,
+           CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+    FROM bits""",
+)
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType
+    found = warc.read(*warc.write(spark, pages))
+    return found.select(F.expr("nullif(page_id, 'None')").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
+@query("op5_packing")
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
