@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, neardup, packing, secrets, warc
+from . import decontam, langid, neardup, packing, quality, secrets, warc
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"  # the same vocabulary as byte_bpe_50k.json, as ranks
@@ -106,3 +106,53 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_packing")
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+@query("op4_language")
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.split_identify(spark, table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def _vote_sql(name: str, a: str, b: str | None, good: tuple, bad: tuple) -> str:
+    value = f"CAST({a} AS DOUBLE)" if b is None else f"CASE WHEN {b} > 0 THEN CAST({a} AS DOUBLE) / {b} END"
+    inside = lambda r: " AND ".join(f"({value}) {o} {x}" for o, x in ((">=", r[0]), ("<=", r[1])) if x is not None)
+    return f"CASE WHEN ({value}) IS NULL THEN 0 WHEN {inside(good)} THEN 1 WHEN NOT ({inside(bad)}) THEN -1 ELSE 0 END AS {name}"
+
+
+_ODDS = "ln(prior / (1 - prior)) + " + " + ".join(f"CASE WHEN {r} < 0 THEN ln(g_{r} / b_{r}) WHEN {r} > 0 THEN ln((1 - g_{r}) / (1 - b_{r})) ELSE 0 END" for r in quality.NAMES)
+
+
+def _estimate_sql() -> str:
+    """Each round of the estimation as a row (prior, two chances a rule), from the round before."""
+    start = ", ".join(f"CAST({quality.IF_GOOD[0]} AS DOUBLE) AS g_{r}, CAST({quality.IF_BAD[0]} AS DOUBLE) AS b_{r}" for r in quality.NAMES)
+    out = [f"e0 AS (SELECT CAST({quality.PRIOR} AS DOUBLE) AS prior, {start})"]
+    fit = lambda r, c, q, low, high: f"CASE WHEN SUM(n * {q} * abs({r})) > 0 THEN least(greatest(SUM(CASE WHEN {r} < 0 THEN n * {q} ELSE 0 END) / SUM(n * {q} * abs({r})), {low}), {high}) ELSE MAX({c}_{r}) END AS {c}_{r}"
+    fits = ", ".join(f"{fit(r, 'g', 'q', *quality.IF_GOOD[1:])}, {fit(r, 'b', '(1 - q)', *quality.IF_BAD[1:])}" for r in quality.NAMES)
+    for i in range(quality.ROUNDS):
+        out.append(f"e{i + 1} AS MATERIALIZED (SELECT least(greatest(SUM(n * q) / SUM(n), 0.01), 0.99) AS prior, {fits} FROM (SELECT *, 1 / (1 + exp(-({_ODDS}))) AS q FROM patterns, e{i}))")
+    return ",\n    ".join(out)
+
+
+def _quality_sql() -> str:
+    rules = ", ".join(quality.NAMES)
+    return rf"""
+    WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+    cut AS (SELECT rid, doc_id, text, regexp_extract_all(text, {_WORDS}) AS w, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM texts),
+    triples AS (SELECT rid, i, g, COUNT(*) OVER (PARTITION BY rid, g) AS c FROM (SELECT rid, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM cut))),
+    again AS (SELECT rid, COUNT(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM triples WHERE c > 1) GROUP BY rid),
+    counts AS (SELECT rid, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+               length(regexp_replace(text, '[^!]+', '', 'g')) AS n_shouts, length(regexp_replace(text, '[^A-ZÀ-ÖØ-Þ]+', '', 'g')) AS n_capitals, length(regexp_replace(text, '[^|]+', '', 'g')) AS n_bars,
+               len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM cut LEFT JOIN again USING (rid)),
+    voted AS (SELECT *, {", ".join(_vote_sql(*r) for r in quality.RULES)} FROM counts),
+    patterns AS MATERIALIZED (SELECT {rules}, CAST(COUNT(*) AS DOUBLE) AS n FROM voted GROUP BY {rules}),
+    {_estimate_sql()}
+    SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+           CAST(n_repeat_words AS BIGINT) AS n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+           NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 1 / (1 + exp(-({_ODDS}))) >= 0.5 AS kept
+    FROM voted, e{quality.ROUNDS}"""
+
+
+@query("op9_quality", _quality_sql())
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judged(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
