@@ -18,6 +18,7 @@ from .common import batches, mix, octets, stored
 from .components import components
 
 WORDS, BANDS, ROWS, PERCENT = 5, 30, 4, 75
+SKETCH = 16  # longs of a parity sketch
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _GOLDEN = np.uint64(0xD1B54A32D192ED03)
 _STEP = 100_000  # words whose bytes are hashed at a time
@@ -98,10 +99,23 @@ def _signatures(words: int, bands: int, rows: int):
     return run
 
 
+def odd_sketch(elements: np.ndarray) -> np.ndarray:
+    """SKETCH longs whose bits are the parities of the counts in as many hash classes.
+
+    Each element of the symmetric difference of two sets flips one bit, so the sketches of the sets differ in at
+    most that many bits: a difference of more bits than a link allows rules the link out, without error.
+    """
+    counts = np.bincount((elements >> np.uint64(20)).astype(np.int64) & (SKETCH * 64 - 1), minlength=SKETCH * 64)
+    return np.packbits(counts & 1).view(np.int64)
+
+
 def _sets(words: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it):
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingle_set(t, words).tobytes() for t in octets(batch.column("text"))], pa.binary())], ["node", "items"])
+            found = [shingle_set(t, words) for t in octets(batch.column("text"))]
+            flat = np.concatenate([*(odd_sketch(x) for x in found), np.empty(0, np.int64)])
+            sketches = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * SKETCH), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tobytes() for x in found], pa.binary()), sketches], ["node", "items", "sketch"])
 
     return run
 
@@ -132,9 +146,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bands: int = BANDS, row
 
     Equal texts fold into one class before anything else, so copies never meet in a bucket. A pair at
     exactly the threshold misses all bands with a chance of (1 - 0.75**rows)**bands, 1e-5 here. In a bucket
-    each class is first compared with the bucket's first class; only where classes of different groups still
-    share a bucket are these compared, across groups, so a large group of near copies costs about one
-    comparison for each member and band, and no candidate link is skipped.
+    each class is first compared with one leader; only where classes of different groups still share a bucket
+    are these compared, across groups. Of those pairs a parity sketch rules out nearly all that can't be links,
+    by a bound that never errs, so few rows are made and no candidate link is skipped.
 
     Null and wordless texts have an empty set and are alone; their component_id is their own doc_id. Repeated
     rows are copies of each other. A null doc_id takes part by its text and is never the smallest id; a class of
@@ -146,22 +160,24 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bands: int = BANDS, row
         signed.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id())
     )
     placed = classes.select("node", "n", F.explode("bands").alias("b"))
-    shared = placed.groupBy("b").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("b", "lead")
+    order = F.col("node").bitwiseXOR(F.col("b"))  # another order of the classes in each bucket
+    shared = placed.groupBy("b").agg(F.min(order).alias("lo"), F.max(order).alias("hi")).where("lo < hi").select("b", F.col("lo").bitwiseXOR(F.col("b")).alias("lead"))
     members = stored(placed.join(shared, "b"))
 
     wanted = classes.select("node", "key").join(members.select("node").distinct(), "node")
     found = texts.select("key", "text").join(wanted, "key").groupBy("node").agg(F.first("text").alias("text"))
-    sets = stored(found.mapInArrow(_sets(words), "node long, items binary"))
-    first = stored(members.where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct())
+    sets = stored(found.mapInArrow(_sets(words), "node long, items binary, sketch array<long>"))
+    first = stored(members.where("node <> lead").select(F.least("lead", "node").alias("u"), F.greatest("lead", "node").alias("v")).distinct())
     links = stored(_verified(first, sets, percent))
     groups = stored(components(links))
 
     grouped = members.join(groups, "node", "left").select("b", "node", "n", F.coalesce("comp", "node").alias("comp"))
     open_ = grouped.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("b")
-    rest = stored(grouped.join(open_, "b"))
+    rest = stored(grouped.join(open_, "b").join(sets.select("node", "sketch"), "node"))
     if rest.limit(1).count():
-        other = rest.select("b", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "comp")))
-        near = (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent)
+        other = rest.select("b", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "comp", "sketch")))
+        apart = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch2")[i])) for i in range(SKETCH)), F.lit(0))
+        near = (F.col("n") + F.col("n2")) * (100 - percent) >= apart * (100 + percent)
         pairs = rest.join(other, "b").where((F.col("comp") < F.col("comp2")) & near).select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
         more = stored(_verified(pairs.join(first, ["u", "v"], "left_anti"), sets, percent))
         if more.limit(1).count():
