@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, neardup, packing, quality, secrets, warc
+from . import decontam, langid, licenses, neardup, packing, preference, quality, sanitise, secrets, warc
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"  # the same vocabulary as byte_bpe_50k.json, as ranks
@@ -156,3 +156,89 @@ def _quality_sql() -> str:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judged(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_PRIVATE = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "TRUE"),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "list_max(list_transform(string_split(v, '.'), lambda x: CAST(x AS HUGEINT))) <= 255"),
+    "card": (r"[0-9]([\x20-]?[0-9])+", "length(d) BETWEEN 13 AND 19 AND list_sum(list_transform(range(length(d)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(d[length(d) - i] AS INT) ELSE CAST(d[length(d) - i] AS INT) * 2 - CASE WHEN d[length(d) - i] > '4' THEN 9 ELSE 0 END END)) % 10 = 0"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "length(d) BETWEEN 9 AND 15"),
+}
+
+
+def _spans_sql(source: str, text: str, pattern: str, keep: str) -> str:
+    """(keep columns, v, start, stop) of all matches, from what lies between them and the matches themselves."""
+    return f"""(SELECT {keep}, v, CAST(SUM(length(g) + length(v)) OVER (PARTITION BY {keep} ORDER BY i) - length(v) AS BIGINT) AS start, CAST(SUM(length(g) + length(v)) OVER (PARTITION BY {keep} ORDER BY i) AS BIGINT) AS stop
+        FROM (SELECT {keep}, unnest(m) AS v, unnest(g[1:len(m)]) AS g, generate_subscripts(m, 1) AS i
+              FROM (SELECT {keep}, regexp_extract_all({text}, '{pattern}') AS m, string_split_regex({text}, '{pattern}') AS g FROM {source})))"""
+
+
+def _sanitise_sql() -> str:
+    digits = "regexp_replace(v, '[^0-9]', '', 'g')"
+    parts = " UNION ALL ".join(
+        f"SELECT rid, {i} AS k, '{kind}' AS kind, v, start, stop FROM (SELECT *, {digits} AS d FROM {_spans_sql('texts', 'text', pattern, 'rid')}) WHERE {good}" for i, (kind, (pattern, good)) in enumerate(_PRIVATE.items())
+    )
+    return rf"""
+    WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+    base AS MATERIALIZED ({parts}),
+    ctx AS (SELECT rid, row_number() OVER () AS c, kind || ':' || CASE WHEN kind IN ('card', 'phone') THEN {digits} ELSE lower(v) END AS entity, text, stop, greatest(start - {sanitise.REACH}, 0) AS low,
+            substr(text, greatest(start - {sanitise.REACH}, 0) + 1, start - greatest(start - {sanitise.REACH}, 0)) AS l, substr(text, stop + 1, {sanitise.REACH}) AS r FROM base JOIN texts USING (rid)),
+    sides AS (SELECT rid, c * 2 AS c, entity, low + CASE WHEN low > 0 THEN length(regexp_extract(l, '^[\p{{L}}\p{{Nd}}]*')) ELSE 0 END AS spot, CASE WHEN low > 0 THEN regexp_replace(l, '^[\p{{L}}\p{{Nd}}]*', '') ELSE l END AS side FROM ctx
+              UNION ALL SELECT rid, c * 2 + 1, entity, stop, CASE WHEN length(text) - stop > {sanitise.REACH} THEN regexp_replace(r, '[\p{{L}}\p{{Nd}}]+$', '') ELSE r END FROM ctx),
+    placed AS (SELECT rid, entity, lower(v) AS term, spot + start AS start, spot + stop AS stop FROM {_spans_sql('sides', 'side', sanitise.TERM, 'rid, c, entity, spot')}),
+    near AS (SELECT * FROM placed p WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = p.rid AND b.start < p.stop AND p.start < b.stop)),
+    together AS (SELECT entity, term, COUNT(DISTINCT rid) AS n FROM near GROUP BY entity, term HAVING COUNT(DISTINCT rid) >= {sanitise.SUPPORT}),
+    entities AS (SELECT entity, COUNT(DISTINCT rid) AS n_entity FROM near GROUP BY entity),
+    words AS (SELECT term, COUNT(*) AS n_term FROM (SELECT unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{Nd}}]+'), lambda w: length(w) >= 3))) AS term FROM texts) GROUP BY term),
+    told AS (SELECT entity, term FROM together JOIN entities USING (entity) JOIN words USING (term), (SELECT COUNT(*) AS total FROM texts)
+             WHERE n_entity < total AND ln(CAST(total * n AS DOUBLE) / (n_entity * n_term)) >= {sanitise.REVEALED} * ln(CAST(total AS DOUBLE) / n_entity)),
+    terms AS (SELECT DISTINCT rid, start, stop FROM near JOIN told USING (entity, term)),
+    named AS (SELECT rid, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY k, start) AS base, COUNT(*) FILTER (kind = 'email') AS n_email, COUNT(*) FILTER (kind = 'ip') AS n_ip,
+              COUNT(*) FILTER (kind = 'card') AS n_card, COUNT(*) FILTER (kind = 'phone') AS n_phone FROM base GROUP BY rid),
+    extra AS (SELECT rid, string_agg('term:' || start || ':' || stop, ',' ORDER BY start, stop) AS extra, COUNT(*) AS n_terms FROM terms GROUP BY rid)
+    SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256,
+           concat_ws(',', base, extra) AS spans, coalesce(n_terms, 0) AS n_terms
+    FROM texts LEFT JOIN named USING (rid) LEFT JOIN extra USING (rid)"""
+
+
+@query("op6_sanitisation", _sanitise_sql())
+def op6_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.summary(sanitise.findings(table(spark, sf_dir, "documents")))
+
+
+def _preference_sql() -> str:
+    clean = lambda c, empty: f"replace(replace(coalesce({c}, '{empty}'), '<|', '< |'), '|>', '| >')"
+    show = lambda x: f"coalesce(array_to_string(list_transform({x}, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), ''), '')"
+    ends = lambda x: f"list_transform(range(1, len({x}) + 1), lambda i: list_sum(list_transform({x}[1:i], lambda t: 5 + length(t.role) + length(t.text) + 8)))"
+    mask = lambda x: f"coalesce(array_to_string(list_filter(list_transform({ends(x)}, lambda e, i: CASE WHEN {x}[i].role = 'assistant' THEN CAST(e - length({x}[i].text) - 8 AS BIGINT) || ':' || CAST(e AS BIGINT) END), lambda s: s IS NOT NULL), ','), '')"
+    return f"""
+    WITH convs AS (SELECT conv_id, list({{'turn': turn, 'role': {clean('role', 'unknown')}, 'text': {clean('text', '')}}} ORDER BY turn, {clean('role', 'unknown')}, {clean('text', '')}) AS t FROM conversations GROUP BY conv_id),
+    pairs AS (SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, MIN(conv_id) FILTER (conv_id % 2 = 0) AS chosen_id, MIN(conv_id) FILTER (conv_id % 2 = 1) AS rejected_id FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+    both_ AS (SELECT pair_id, chosen_id, rejected_id, coalesce(a.t, []) AS a, coalesce(b.t, []) AS b FROM pairs LEFT JOIN convs a ON a.conv_id = chosen_id LEFT JOIN convs b ON b.conv_id = rejected_id),
+    cut AS (SELECT *, len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: len(list_filter(range(1, i + 1), lambda j: a[j].role <> b[j].role OR a[j].text <> b[j].text)) = 0)) AS n FROM both_),
+    parts AS (SELECT pair_id, chosen_id, rejected_id, n, a[1:n] AS p, a[n + 1:] AS c, b[n + 1:] AS r FROM cut)
+    SELECT pair_id, chosen_id, rejected_id, CAST(n AS BIGINT) AS n_prompt_turns, {show('p')} AS prompt, {show('c')} AS chosen, {show('r')} AS rejected, {mask('c')} AS chosen_mask, {mask('r')} AS rejected_mask FROM parts"""
+
+
+@query("op7_preference", _preference_sql())
+def op7_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return preference.format_pairs(turns, preference.neighbours(turns))
+
+
+def _license_sql() -> str:
+    quoted = ", ".join(f"('{n}', '{t.replace(chr(39), chr(39) * 2)}')" for n, t in sorted(licenses.TEMPLATES.items()))
+    words = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{Nd}]+'), lambda x: x <> '')"
+    grams = "CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END"
+    return f"""
+    WITH docs AS (SELECT rid, doc_id, {grams} AS s FROM (SELECT row_number() OVER () AS rid, doc_id, {words} AS w FROM documents)),
+    lib AS (SELECT name, list_distinct({grams}) AS s FROM (SELECT name, {words} AS w FROM (VALUES {quoted}) AS t(name, text))),
+    items AS (SELECT name, len(s) AS n, unnest(s) AS x FROM lib),
+    held AS (SELECT rid, name FROM (SELECT DISTINCT rid, x FROM (SELECT rid, unnest(s) AS x FROM docs)) JOIN items USING (x) GROUP BY rid, name, n HAVING 100 * COUNT(*) >= 75 * n),
+    named AS (SELECT rid, string_agg(name, ',' ORDER BY name) AS licenses FROM held GROUP BY rid)
+    SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(licenses, '') AS licenses FROM docs LEFT JOIN named USING (rid)"""
+
+
+@query("op10_licenses", _license_sql())
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("n_candidates")
