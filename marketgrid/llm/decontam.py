@@ -51,7 +51,7 @@ def _blocks(benchmark: DataFrame, limit: int) -> Iterator[tuple[list[tuple[str |
         yield block, True
 
 
-def _postings(shared, keep: bool):
+def _postings(shared, first: str, keep: bool):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {w: i for i, w in enumerate(shared.value)}
         for batch in batches(it):
@@ -65,7 +65,7 @@ def _postings(shared, keep: bool):
                 terms.append(term)
                 counts.append(count.astype(np.int32))
                 places.append(order)
-            names = ["doc_id", *(["text"] if keep else []), "hits", "items", "near"]
+            names = [first, *(["text"] if keep else []), "hits", "items", "near"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sizes, pa.int64()), pa.array(terms, _INTS), pa.array(counts, _INTS), pa.array(places, _INTS)], [*names, "n_words", "terms", "counts", "places"])
 
     return run
@@ -122,7 +122,7 @@ def _close(lists: dict[int, np.ndarray], terms: list[int], span: int) -> bool:
     return bool((last.astype(np.int64) - begins < span).any())
 
 
-def _search(shared, window: int, span: int, keep: bool):
+def _search(shared, window: int, span: int, carried: str, keep: bool):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = shared.value
         names, phrases, near = plan["names"], plan["phrases"], plan["near"]
@@ -156,13 +156,13 @@ def _search(shared, window: int, span: int, keep: bool):
                 hits[i] = [{"start": a, "stop": b} for a, b in merged]
                 items[i] = sorted({*items[i], *(names[n] for n in numbers if names[n] is not None)})
                 close[i] = sorted({*close[i], *(names[n] for n in nearby if names[n] is not None)})
-            first = ["doc_id", *(["text"] if keep else []), "n_words"]
+            first = [carried, *(["text"] if keep else []), "n_words"]
             yield pa.RecordBatch.from_arrays([*(column(c) for c in first), pa.array(hits, _RUNS), pa.array(items, _NAMES), pa.array(close, _NAMES)], [*first, "hits", "items", "near"])
 
     return run
 
 
-def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near_terms: int = NEAR_TERMS, near_span: int = NEAR_SPAN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near_terms: int = NEAR_TERMS, near_span: int = NEAR_SPAN, block_bytes: int = BLOCK_BYTES, first: str = "doc_id") -> DataFrame:
     """(doc_id, n_words, hits, items, near) for each row of ``docs(doc_id, text)`` against ``benchmark(item_id, text)``.
 
     hits: runs [start, stop) of words that lie inside occurrences of item windows of ``window`` words (a shorter
@@ -172,19 +172,20 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window:
     Test items go out in blocks of bounded size, one after another, each over the whole index; what is found
     is carried along the documents' own rows. Null and wordless texts have no words and no hits; items of that
     kind match nothing; an item with a null id marks words but isn't listed; equal ids count once. Repeated rows
-    are answered each; an empty table on either side gives no hits. Other columns are ignored.
+    are answered each; an empty table on either side gives no hits. Other columns are ignored; ``first`` names the
+    one to carry along in place of doc_id.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = docs.schema[first].dataType.simpleString()
     empty = [F.expr(f"cast(array() as {c.split(' ', 1)[1]})").alias(c.split(" ", 1)[0]) for c in _STATE.split(", ")]
-    state = docs.select("doc_id", "text", *empty)
+    state = docs.select(first, "text", *empty)
     for items, last in _blocks(benchmark, block_bytes):
         text = "" if last else "text string, "
         terms = sorted({w for _, found in items for w in found})
         shared = spark.sparkContext.broadcast(terms)
-        index = stored(state.mapInArrow(_postings(shared, not last), f"doc_id {kind}, {text}{_STATE}, n_words long, terms array<int>, counts array<int>, places array<int>"))
+        index = stored(state.mapInArrow(_postings(shared, first, not last), f"{first} {kind}, {text}{_STATE}, n_words long, terms array<int>, counts array<int>, places array<int>"))
         seen = {r[0]: r[1] for r in index.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}  # a row for each term of the block
         plan = spark.sparkContext.broadcast(_plan(items, {w: i for i, w in enumerate(terms)}, seen, window, near_terms))
-        state = index.mapInArrow(_search(plan, window, near_span, not last), f"doc_id {kind}, {text}n_words long, {_STATE}")
+        state = index.mapInArrow(_search(plan, window, near_span, first, not last), f"{first} {kind}, {text}n_words long, {_STATE}")
     return state
 
 
@@ -197,6 +198,6 @@ def summary(found: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without a word inside an occurrence of an item's window; rows that share a doc_id, null too, go together."""
-    tainted = matches(spark, docs, benchmark, **options).where(F.size("hits") > 0).select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(tainted, docs["doc_id"].eqNullSafe(tainted["_bad_id"]), "left_anti")
+    """The rows of ``docs``, with all their columns, that have no word inside an occurrence of an item's window; without a join."""
+    found = matches(spark, docs.select(F.struct("*").alias("row"), "text"), benchmark, first="row", **options)
+    return found.where(F.size("hits") == 0).select("row.*")

@@ -192,6 +192,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bands: int = BANDS, row
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One row of ``docs`` for each group, with all its columns: that with the group's smallest doc_id."""
+    """One row of ``docs`` for each group, with all its columns: that with the group's smallest doc_id.
+
+    A row without a doc_id can't be that one and goes; of rows that share the smallest doc_id any one stays.
+    """
     kept = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
     return docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi").dropDuplicates(["doc_id"])

@@ -38,9 +38,9 @@ def _count(pattern: str) -> Column:
     return F.length(F.regexp_replace("text", pattern, "")).cast("long")
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, counts) of each whole text; a null text is an empty one."""
-    split = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def features(docs: DataFrame, first: str = "doc_id") -> DataFrame:
+    """Counts of each whole text, after the column ``first``; a null text is an empty one."""
+    split = docs.select(first, F.coalesce("text", F.lit("")).alias("text"))
     cut = split.withColumns(
         {
             "w": F.filter(F.split("text", r"[ \t-\r]+"), lambda x: x != ""),
@@ -53,7 +53,7 @@ def features(docs: DataFrame) -> DataFrame:
     ).drop("text")
     triples = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2)))
     counted = cut.select(
-        "doc_id", "n_symbols", "n_shouts", "n_capitals", "n_bars", F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        first, "n_symbols", "n_shouts", "n_capitals", "n_bars", F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), triples.alias("h"),
     )
     pairs = F.when(F.size(F.array_distinct("h")) < F.size("h"), F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
@@ -114,7 +114,7 @@ def weight(chances: tuple[float, float]) -> dict[int, float]:
     return {-1: math.log(a / b), 0: 0.0, 1: math.log((1 - a) / (1 - b))}
 
 
-def judged(docs: DataFrame) -> DataFrame:
+def judged(docs: DataFrame, first: str = "doc_id") -> DataFrame:
     """Counts, votes, posterior, base_failed and kept for each row of ``docs(doc_id, text)``.
 
     base_failed: fewer than MIN_WORDS words, or more than MAX_REPEAT percent of the words in repeated three-word
@@ -123,7 +123,7 @@ def judged(docs: DataFrame) -> DataFrame:
     have no words and fail. Repeated rows are judged alike; an empty table gives an empty table; other columns are
     ignored.
     """
-    voted = stored(votes(features(docs)))
+    voted = stored(votes(features(docs, first)))
     rows = voted.groupBy(*NAMES).count().orderBy(*NAMES).collect()
     prior, chances = estimate([(tuple(r)[:-1], r[-1]) for r in rows])
     weights = [weight(c) for c in chances]
@@ -133,6 +133,5 @@ def judged(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that `judged` keeps, all columns; rows that share a doc_id, null too, stay if one of them is kept."""
-    good = judged(docs).where("kept").select(F.col("doc_id").alias("_good_id")).distinct()
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["_good_id"]), "left_semi")
+    """The rows of ``docs`` that `judged` keeps, with all their columns; each row is judged by its own text, without a join."""
+    return judged(docs.select(F.struct("*").alias("row"), "text"), "row").where("kept").select("row.*")
