@@ -207,8 +207,9 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model | None) -> DataF
     """lang_pred and its calibrated probability, after the columns of ``docs`` other than text; texts are read whole.
 
     Null texts and texts without a letter are `und` with score 0, as is everything where nothing was learned. Ties
-    go to the first language in order. Repeated rows are answered each; an empty table gives an empty table.
+    go to the first language in order. Columns of the result's names are replaced. Repeated rows are answered each; an empty table gives an empty table.
     """
+    docs = docs.drop("lang_pred", "score")
     rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     return docs.mapInArrow(_predict(spark.sparkContext.broadcast(model)), f"{rest}, lang_pred string, score double")
 

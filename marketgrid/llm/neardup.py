@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, mix, octets, stored
+from .common import batches, free_name, mix, octets, stored
 from .components import components
 
 WORDS, BANDS, ROWS, PERCENT = 5, 30, 4, 75
@@ -196,5 +196,6 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
     A row without a doc_id can't be that one and goes; of rows that share the smallest doc_id any one stays.
     """
-    kept = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    name = free_name(docs, "kept_id")
+    kept = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, docs["doc_id"] == kept[name], "left_semi").dropDuplicates(["doc_id"])

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, stored
+from .common import stored
 
 KINDS = ("email", "ip", "card", "phone")
 REACH, SUPPORT, REVEALED = 60, 2, 0.8
@@ -126,8 +126,8 @@ def _disclosing(docs: DataFrame, near: DataFrame, support: int, revealed: float)
     return scored.where((F.col("n_entity") < F.col("total")) & (shared >= revealed * F.log(F.col("total") / F.col("n_entity")))).select("entity", "term", (F.col("both") == F.col("n_term")).alias("only"))
 
 
-def findings(docs: DataFrame, keep: bool = False, reach: int = REACH, support: int = SUPPORT, revealed: float = REVEALED) -> DataFrame:
-    """(doc_id, base, terms) for each row of ``docs(doc_id, text)``; with ``keep`` after all columns of docs.
+def findings(docs: DataFrame, first: str = "doc_id", reach: int = REACH, support: int = SUPPORT, revealed: float = REVEALED) -> DataFrame:
+    """(doc_id, base, terms) for each row of ``docs(doc_id, text)``; ``first`` names the column to keep in place of doc_id.
 
     base: spans of the base patterns by kind, then place. terms: spans near an entity that reveal it, by place,
     valued [REMOVED], or by their class [NUMBER], [NAME] or [TERM]. Counts of documents cover the whole table:
@@ -136,13 +136,9 @@ def findings(docs: DataFrame, keep: bool = False, reach: int = REACH, support: i
     data stay as they are.
 
     Null texts are empty. Repeated rows count as documents of their own. An empty table gives an empty table.
-    Working columns are named so that they can't clash with those of docs.
+    Other columns are ignored.
     """
-    own = docs if keep else docs.select("doc_id", "text")
-    alias = {c: free_name(own, c) for c in ("rid", "base", "contexts")}
-    if any(k != v for k, v in alias.items()):
-        raise ValueError("docs has a column named rid, base or contexts; rename it")
-    found = stored(_found(own, reach) if keep else _found(own, reach).drop("text"))
+    found = stored(_found(docs.select(first, "text"), reach).drop("text"))
     near = stored(_near_terms(found))
     told = _disclosing(docs, near, support, revealed)
     label = F.when(F.col("only"), "[REMOVED]").when(F.col("shown").rlike(r"^\p{Nd}+$"), "[NUMBER]").when(F.col("shown").rlike(r"^\p{Lu}"), "[NAME]").otherwise("[TERM]")
@@ -165,19 +161,23 @@ def summary(found: DataFrame) -> DataFrame:
 def sanitised(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with base spans replaced by their kind in brackets and revealing terms removed or generalised.
 
-    Where spans overlap, the earlier and then the longer one is replaced and the others go with it. Null texts stay null.
+    Where spans overlap, the earlier and then the longer one is replaced and the others go with it. Null texts stay
+    null; n_chars, where present, follows the text; all other columns stay as they are.
     """
-    found = findings(docs, keep=True, **options)
+    found = findings(docs.select(F.struct("*").alias("row"), "text"), "row", **options)
     order = lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(b["stop"] - a["stop"])
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+    whole = F.col("row.text")
 
     def step(acc: Column, s: Column) -> Column:
         mark = F.when(s["kind"] == "term", F.when(s["value"] == "[REMOVED]", "").otherwise(s["value"])).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        piece = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
+        piece = F.substring(whole, acc["at"] + 1, s["start"] - acc["at"])
         new = F.struct(s["stop"].alias("at"), F.concat(acc["out"], F.array(piece, mark)).alias("out"))
         return F.when(s["start"] >= acc["at"], new).otherwise(F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["out"].alias("out")))
 
-    done = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    text = F.aggregate(F.array_sort(F.concat("base", "terms"), order), start, step, done)
-    out = found.withColumn("text", F.when(F.size("base") + F.size("terms") > 0, text).otherwise(F.col("text"))).drop("base", "terms")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    done = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(whole, acc["at"] + 1, F.length(whole)))
+    text = F.when(F.size("base") + F.size("terms") > 0, F.aggregate(F.array_sort(F.concat("base", "terms"), order), start, step, done)).otherwise(whole)
+    row = F.col("row").withField("text", text)
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+    return found.select(row.alias("row")).select("row.*")
