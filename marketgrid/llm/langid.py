@@ -43,7 +43,8 @@ def grams(text: bytes | None) -> np.ndarray:
     if (low == 32).all():
         return np.empty(0, np.uint16)
     space = low == 32
-    low = np.concatenate([[32], low[~(space & np.concatenate([[True], space[:-1]]))], [32]]).astype(np.uint32)
+    low = low[~(space & np.concatenate([[True], space[:-1]]))]  # runs of spaces as one, none at the start
+    low = np.concatenate([[32], low if low[-1] == 32 else np.append(low, 32)]).astype(np.uint32)
     place = lambda x: ((x * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
     two = low[:-1] * np.uint32(0x01000193) ^ low[1:]
     three = two[:-1] * np.uint32(0x01000193) ^ low[2:]
