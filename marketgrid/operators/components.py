@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.expr import c, div, safe_corr, win
+from ..functions.expr import div, finite, safe_corr, win
 from .covariance import cov_of, pair_sums, total
+from .crosssection import avg_rank
 from .curves import bond_excess_returns, forward_rates, pack
 from .dates import month_end
 
@@ -34,94 +35,139 @@ def block_panel(series: DataFrame, specs: DataFrame, by: list[str], x: str = "x"
     return m.withColumn("_t", tr).select(*keys, "d", F.lag("_t", lag).over(w).alias("x"))
 
 
-def _history(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf.pivot(index="d", columns="series", values="x").sort_index()
+def _pairs(cells: str) -> Column:
+    """Every (i, j, xi, xj) with i at or before j of a date's sorted (series, x) cells."""
+    n = F.size(cells)
+    line = lambda p: F.transform(F.slice(cells, p + 1, n - p), lambda q: F.struct(F.get(cells, p)["series"].alias("i"), q["series"].alias("j"), F.get(cells, p)["x"].alias("xi"), q["x"].alias("xj")))
+    return F.explode(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), line)))
 
 
-def _covered(wide: pd.DataFrame, upto: int, min_obs: int, coverage: float, min_cols: int):
-    """Standardised complete rows of the sufficiently covered, non-constant columns, or None."""
-    part = wide.iloc[: upto + 1]
-    keep = part.columns[part.notna().mean().to_numpy() >= coverage]
-    rows = part[keep].dropna()
-    if len(rows) < min_obs or len(keep) < min_cols:
-        return None
-    sd = rows.std()
-    live = sd[sd > 0].index
-    if len(live) < min_cols:
+def _centred(panel: DataFrame, by: list[str]) -> DataFrame:
+    """Known cells about each series' overall mean, which keeps running sums well conditioned and changes no score."""
+    known = panel.filter(F.col("x").isNotNull()).select(*by, "series", "d", "x")
+    mean = known.groupBy(*by, "series").agg(F.avg("x").alias("_c"))
+    return known.join(mean, [*by, "series"]).select(*by, "series", "d", (F.col("x") - F.col("_c")).alias("x"))
+
+
+def _recursive_moments(panel: DataFrame, by: list[str], min_obs: int, coverage: float, min_cols: int) -> DataFrame:
+    """(by, d, n, cells) per date: the covariances of its covered series over the complete dates so far.
+
+    A series is covered where it is known on at least `coverage` of the dates so far. Only a few distinct sets of
+    series are ever covered, so each set gets its own running pair sums over its complete dates, and every date
+    reads the sums of its set. cells hold (i, j, covariance, mean of i, i on the last complete date).
+    """
+    dates = panel.select(*by, "d").distinct().withColumn("pos", F.row_number().over(win(by)) - 1)
+    x = _centred(panel, by)
+    names = x.select(*by, "series").distinct()
+    grid = dates.join(names, by).join(x, [*by, "series", "d"], "left")
+    seen = F.count("x").over(win([*by, "series"]).rowsBetween(Window.unboundedPreceding, 0))
+    held = grid.withColumn("_s", F.when(seen / (F.col("pos") + 1) >= coverage, F.col("series"))).groupBy(*by, "d", "pos").agg(F.sort_array(F.collect_list("_s")).alias("cols"))
+    due = held.filter((F.col("pos") >= min_obs) & (F.size("cols") >= min_cols))
+    sets = due.select(*by, "cols").distinct()
+    cells = x.join(sets.select(*by, "cols", F.explode("cols").alias("series")), [*by, "series"])
+    whole = cells.groupBy(*by, "cols", "d").agg(F.sort_array(F.collect_list(F.struct("series", "x"))).alias("_v")).filter(F.size("_v") == F.size("cols"))
+    run = win([*by, "cols", "i", "j"]).rowsBetween(Window.unboundedPreceding, 0)
+    p = whole.withColumn("_p", _pairs("_v")).select(*by, "cols", "d", "_p.*")
+    sums = p.select(*by, "cols", "d", "i", "j", F.col("xi").alias("last"), F.count(F.lit(1)).over(run).alias("n"), F.sum("xi").over(run).alias("si"), F.sum("xj").over(run).alias("sj"), F.sum(F.col("xi") * F.col("xj")).over(run).alias("sij"))
+    s = (F.col("sij") - F.col("si") * F.col("sj") / F.col("n")) / (F.col("n") - 1)
+    done = sums.filter(F.col("n") >= min_obs).groupBy(*by, "cols", "d", "n").agg(F.collect_list(F.struct("i", "j", s.alias("s"), (F.col("si") / F.col("n")).alias("mi"), "last")).alias("cells"))
+    # each date takes its set's latest complete date: one sort of both kinds of rows
+    none = F.lit(None)
+    both = done.select(*by, "cols", "d", "n", "cells", F.lit(0).alias("_due")).unionByName(due.select(*by, "cols", "d", none.cast("long").alias("n"), none.cast(done.schema["cells"].dataType).alias("cells"), F.lit(1).alias("_due")))
+    back = Window.partitionBy(*by, "cols").orderBy("d", "_due").rowsBetween(Window.unboundedPreceding, 0)
+    filled = both.withColumn("n", F.last("n", ignorenulls=True).over(back)).withColumn("cells", F.last("cells", ignorenulls=True).over(back))
+    return filled.filter("_due = 1 and cells is not null").select(*by, "d", "n", "cells")
+
+
+def _eigen(cells, min_cols: int):
+    """(names, shares descending, vectors in columns, standardised last row) of one date's moments, or None."""
+    names = sorted({r["i"] for r in cells})
+    at = {k: m for m, k in enumerate(names)}
+    cov, mean, last = np.zeros((len(names), len(names))), np.zeros(len(names)), np.zeros(len(names))
+    for r in cells:
+        i, j = at[r["i"]], at[r["j"]]
+        cov[i, j] = cov[j, i] = r["s"]
+        if i == j:
+            mean[i], last[i] = r["mi"], r["last"]
+    live = np.diag(cov) > 1e-24
+    if live.sum() < min_cols:
         return None
-    return (rows[live] - rows[live].mean()) / sd[live]
+    sd = np.sqrt(np.diag(cov)[live])
+    vals, vecs = np.linalg.eigh(cov[np.ix_(live, live)] / np.outer(sd, sd))
+    return np.array(names)[live], vals[::-1], vecs[:, ::-1], (last[live] - mean[live]) / sd
+
+
+def _score(load: np.ndarray, value: float, z: np.ndarray, n: int) -> float:
+    """The last row on a component, in units of the component's own deviation, which its eigenvalue gives."""
+    return float(z @ load / (np.sqrt(max(value, 0.0) * (n - 1) / n) + 1e-12))
+
+
+def _per_date(moments: DataFrame, by: list[str], fields: list[str], solve) -> DataFrame:
+    """One small eigenproblem per row; `solve(cells, n)` gives the fields or None."""
+    keys = [*by, "d"]
+    schema = T.StructType([moments.schema[k] for k in keys] + [T.StructField(k, T.DoubleType()) for k in fields])
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(*k, *v) for *k, n, cells in pdf[[*keys, "n", "cells"]].itertuples(index=False) if (v := solve(cells, n)) is not None]
+            yield pd.DataFrame(rows, columns=[*keys, *fields])
+
+    return moments.mapInPandas(run, schema)
 
 
 def recursive_pc1(panel: DataFrame, by: list[str], min_obs: int = 60, coverage: float = 0.6) -> DataFrame:
-    """Per date, the last score of the first component of the history so far, in units of its own sd; (by, d, score).
+    """Per date, the last score of the first component of the history so far, in units of its own sd; (by, d, score)."""
 
-    One group is one panel: dates by a handful of indicators.
-    """
-    schema = T.StructType([panel.schema[k] for k in by] + [T.StructField("d", T.DateType()), T.StructField("score", T.DoubleType())])
+    def solve(cells, n):
+        e = _eigen(cells, 2)
+        if e is None:
+            return None
+        _, vals, vecs, z = e
+        load = vecs[:, 0]
+        return (_score(load if load.sum() >= 0 else -load, vals[0], z, n),)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = _history(pdf)
-        out = []
-        for i in range(min_obs, len(wide)):
-            z = _covered(wide, i, min_obs, coverage, 2)
-            if z is None:
-                continue
-            _, vecs = np.linalg.eigh(np.cov(z.to_numpy(), rowvar=False))
-            load = vecs[:, -1] * (1.0 if vecs[:, -1].sum() >= 0 else -1.0)
-            s = z.to_numpy() @ load
-            out.append((wide.index[i], float(s[-1] / (s.std() + 1e-12))))
-        res = pd.DataFrame(out, columns=["d", "score"])
-        for k in by:
-            res[k] = pdf[k].iloc[0]
-        return res[[*by, "d", "score"]]
-
-    return panel.groupBy(*by).applyInPandas(run, schema)
+    return _per_date(_recursive_moments(panel, by, min_obs, coverage, 2), by, ["score"], solve)
 
 
 def recursive_pc12(panel: DataFrame, by: list[str], growth: list[str], prices: list[str], min_obs: int = 60, coverage: float = 0.6) -> DataFrame:
     """Two joint components per date, named after the block that carries more of their loadings; none when both land on one block."""
-    fields = [T.StructField("d", T.DateType())] + [T.StructField(k, T.DoubleType()) for k in ("growth", "inflation", "explained")]
-    schema = T.StructType([panel.schema[k] for k in by] + fields)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = _history(pdf)
-        out = []
-        for i in range(min_obs, len(wide)):
-            z = _covered(wide, i, min_obs, coverage, 4)
-            if z is None:
-                continue
-            vals, vecs = np.linalg.eigh(np.cov(z.to_numpy(), rowvar=False))
-            in_g, in_p = z.columns.isin(growth), z.columns.isin(prices)
-            found = {}
-            for load in (vecs[:, -1], vecs[:, -2]):
-                side = in_g if np.abs(load[in_g]).sum() > np.abs(load[in_p]).sum() else in_p
-                sign = np.sign(load[side].sum()) or 1.0
-                s = z.to_numpy() @ load * sign
-                found["growth" if side is in_g else "inflation"] = float(s[-1] / (s.std() + 1e-12))
-            if len(found) == 2:
-                out.append((wide.index[i], found["growth"], found["inflation"], float(vals[-2:].sum() / vals.sum())))
-        res = pd.DataFrame(out, columns=["d", "growth", "inflation", "explained"])
-        for k in by:
-            res[k] = pdf[k].iloc[0]
-        return res[[*by, "d", "growth", "inflation", "explained"]]
-
-    return panel.groupBy(*by).applyInPandas(run, schema)
+    def solve(cells, n):
+        e = _eigen(cells, 4)
+        if e is None:
+            return None
+        names, vals, vecs, z = e
+        sides = {"growth": np.isin(names, growth), "inflation": np.isin(names, prices)}
+        score = {}
+        for load, value in zip(vecs[:, :2].T, vals[:2], strict=True):
+            heavy = {k: np.abs(load[m]).sum() for k, m in sides.items()}
+            side = "growth" if heavy["growth"] > heavy["inflation"] else "inflation"
+            flip = -1.0 if load[sides[side]].sum() < 0 else 1.0
+            score[side] = _score(flip * load, value, z, n)
+        return (score["growth"], score["inflation"], float(vals[:2].sum() / vals.sum())) if len(score) == 2 else None
+
+    return _per_date(_recursive_moments(panel, by, min_obs, coverage, 4), by, ["growth", "inflation", "explained"], solve)
 
 
 def variance_explained(panel: DataFrame, by: list[str]) -> DataFrame:
     """Full-sample shares of the first two components of each standardised block, complete rows."""
-    schema = T.StructType([panel.schema[k] for k in by] + [T.StructField("n_series", T.LongType()), T.StructField("n_months", T.LongType()),
-                                                          T.StructField("pc1_share", T.DoubleType()), T.StructField("pc2_share", T.DoubleType())])
+    x = _centred(panel, by)
+    width = panel.select(*by, "series").distinct().groupBy(*by).agg(F.count("*").alias("n_series"))
+    rows = x.groupBy(*by, "d").agg(F.sort_array(F.collect_list(F.struct("series", "x"))).alias("_v")).join(width, by).filter(F.size("_v") == F.col("n_series"))
+    p = rows.withColumn("_p", _pairs("_v")).select(*by, "n_series", "_p.*")
+    sums = p.groupBy(*by, "n_series", "i", "j").agg(F.count(F.lit(1)).alias("n"), F.covar_samp("xi", "xj").alias("s"))
+    cells = sums.groupBy(*by, "n_series", "n").agg(F.collect_list(F.struct("i", "j", "s", F.lit(0.0).alias("mi"), F.lit(0.0).alias("last"))).alias("cells"))
+    schema = T.StructType([panel.schema[k] for k in by] + [T.StructField("n_series", T.LongType()), T.StructField("n_months", T.LongType()), T.StructField("pc1_share", T.DoubleType()), T.StructField("pc2_share", T.DoubleType())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = _history(pdf).dropna()
-        vals = np.linalg.eigvalsh(np.corrcoef(wide.to_numpy(), rowvar=False))[::-1]
-        res = pd.DataFrame({"n_series": [wide.shape[1]], "n_months": [len(wide)], "pc1_share": [vals[0] / vals.sum()], "pc2_share": [vals[1] / vals.sum()]})
-        for k in by:
-            res[k] = pdf[k].iloc[0]
-        return res[[f.name for f in schema.fields]]
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for *k, series, n, cell in pdf[[*by, "n_series", "n", "cells"]].itertuples(index=False):
+                if (e := _eigen(cell, 2)) is not None:
+                    out.append((*k, series, n, e[1][0] / e[1].sum(), e[1][1] / e[1].sum()))
+            yield pd.DataFrame(out, columns=[f.name for f in schema.fields])
 
-    return panel.groupBy(*by).applyInPandas(run, schema)
+    return cells.mapInPandas(run, schema)
 
 
 # ---- forward-rate factor ----
@@ -305,8 +351,8 @@ def adaptive_choice(cand: DataFrame, returns: DataFrame, by: list[str], burn_in:
     """Candidate with the highest trailing rank correlation with the forward return, re-chosen every `step` rows.
 
     `cand` is (by, asset, d, pos, candidate, x), `returns` (by, asset, d, r). Output (by, asset, d, candidate) on every
-    live date. A group is one (asset, candidate) history; only its choice-date correlations leave the task. Ties and dates
-    without any correlation go to the first candidate.
+    live date. Ranks are windows by (asset, candidate, choice date), so a long history is split by its choices. Ties and
+    dates without any correlation go to the first candidate.
     """
     w = win([*by, "asset"])
     f = returns.withColumn("rn", F.row_number().over(w) - 1)
@@ -317,27 +363,15 @@ def adaptive_choice(cand: DataFrame, returns: DataFrame, by: list[str], burn_in:
         f = f.withColumn("fwd", F.when(F.count("r").over(ahead) == horizon, F.sum("r").over(ahead)))
     j = cand.join(f.select(*by, "asset", "d", "rn", "fwd"), [*by, "asset", "d"])
     keys = [*by, "asset", "pos", "candidate"]
-    schema = T.StructType([j.schema[k] for k in keys] + [T.StructField("rn", T.IntegerType()), T.StructField("ic", T.DoubleType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rn")
-        x, y = pdf["x"].to_numpy(dtype=float), pdf["fwd"].to_numpy(dtype=float)
-        out = []
-        for g in range(burn_in, len(pdf), step):
-            a, b = x[max(0, g - window): g - horizon], y[max(0, g - window): g - horizon]
-            ok = np.isfinite(a) & np.isfinite(b)
-            ic = None
-            if ok.sum() >= min_pairs:
-                ra, rb = pd.Series(a[ok]).rank().to_numpy(), pd.Series(b[ok]).rank().to_numpy()
-                if ra.std() > 0 and rb.std() > 0:
-                    ic = round(float(np.corrcoef(ra, rb)[0, 1]), 12)  # below that, candidates tie
-            out.append((g, ic))
-        res = pd.DataFrame(out, columns=["rn", "ic"]).astype({"ic": float})
-        for k in keys:
-            res[k] = pdf[k].iloc[0]
-        return res[[*keys, "rn", "ic"]]
-
-    ic = j.groupBy(*keys).applyInPandas(run, schema)
+    # a row takes part in the choices made from horizon + 1 to `window` rows later
+    first = F.ceil(F.greatest(F.col("rn") + horizon + 1 - burn_in, F.lit(0)) / step) * step + burn_in
+    pairs = j.select(*keys, "rn", finite("x").alias("x"), finite("fwd").alias("y")).filter("x is not null and y is not null")
+    each = pairs.withColumn("_from", first.cast("long")).withColumn("_to", (F.col("rn") + window).cast("long")).filter("_from <= _to")
+    each = each.select(*keys, "x", "y", F.explode(F.sequence("_from", "_to", F.lit(step).cast("long"))).alias("g"))
+    ranked = each.select(*keys, "g", avg_rank("x", [*keys, "g"]).alias("rx"), avg_rank("y", [*keys, "g"]).alias("ry"))
+    scored = ranked.groupBy(*keys, "g").agg(F.when(F.count("*") >= min_pairs, F.round(safe_corr("rx", "ry"), 12)).alias("ic"))  # below that, candidates tie
+    due = j.filter((F.col("rn") >= burn_in) & ((F.col("rn") - burn_in) % step == 0)).select(*keys, "rn")
+    ic = due.join(scored.withColumnRenamed("g", "rn"), [*keys, "rn"], "left")
     score = F.struct(F.coalesce(F.col("ic"), F.lit(float("-inf"))).alias("ic"), (-F.col("pos")).alias("p"), F.col("candidate"))
     pick = ic.groupBy(*by, "asset", "rn").agg(F.max(score).alias("_b")).select(*by, "asset", "rn", F.col("_b.candidate").alias("candidate"))
     live = f.filter(F.col("rn") >= burn_in).select(*by, "asset", "d", "rn")

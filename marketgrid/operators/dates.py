@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import compound, win
+from ..functions.expr import compound, expanding, win
 
 
 def month_end(d: str = "d") -> Column:
@@ -43,7 +43,7 @@ def quarter_sign_to_months(df: DataFrame, by: list[str], x: str, d: str = "d") -
     g = q.withColumn("neg", (F.coalesce(F.col(x) / F.lag(x).over(win(by, "q")) - 1 < 0, F.lit(False))).cast("double"))
     months = month_spine(df, by, d)
     keyed = months.join(g.select(*by, F.col("q").alias(d), "neg"), [*by, d], "left")
-    return keyed.withColumn("neg", F.last("neg", ignorenulls=True).over(win(by, d).rowsBetween(-10**6, 0)))
+    return keyed.withColumn("neg", F.last("neg", ignorenulls=True).over(expanding(win(by, d))))
 
 
 def period_bucket(months: int, d: str = "d") -> Column:

@@ -126,17 +126,15 @@ def hac_lag(n: Column) -> Column:
     return F.floor(4.0 * F.pow(n / 100.0, F.lit(2.0 / 9.0))).cast("int")
 
 
-def _lagged_products(df: DataFrame, by: list[str], e: str, lag: str, order: str) -> DataFrame:
-    """Rows (by, _lagk, product of e with its k-th lag) for _lagk = 1..lag of the row's series.
+def _with_lags(df: DataFrame, by: list[str], values: list[str], lag: str, order: str) -> DataFrame:
+    """Rows (by, lag, _lagk, values, values of the _lagk-th row before as _p_*) for _lagk = 1..lag of the row's series.
 
-    Each row carries its own recent values (a trailing frame of at most the largest lag), so no self-join.
+    The lag is the series' own, so each row asks for exactly the rows it needs, by their number; the join's key
+    holds that number, which spreads a long series.
     """
-    w = Window.partitionBy(*by).orderBy(order)
-    top = 64  # floor(4 * (n / 100)^(2/9)) passes 64 only beyond 26 million rows of one series
-    recent = F.reverse(F.collect_list(e).over(w.rowsBetween(-top, -1)))
-    d = df.select(*by, lag, F.col(e).alias("_e"), recent.alias("_r"))
-    d = d.withColumn("_p", F.slice("_r", F.lit(1), F.col(lag)))
-    return d.select(*by, lag, "_e", F.posexplode("_p").alias("_k", "_v")).select(*by, lag, (F.col("_k") + 1).alias("_lagk"), (F.col("_e") * F.col("_v")).alias("_prod"))
+    rows = df.select(*by, lag, *values, F.row_number().over(Window.partitionBy(*by).orderBy(order)).alias("_rn"))
+    ask = rows.withColumn("_lagk", F.explode(F.sequence(F.lit(1), F.col(lag)))).withColumn("_rn", F.col("_rn") - F.col("_lagk")).filter("_rn > 0")
+    return ask.join(rows.select(*by, "_rn", *[F.col(v).alias(f"_p{v}") for v in values]), [*by, "_rn"]).drop("_rn")
 
 
 def clark_west(df: DataFrame, by: list[str], y: str = "y", f: str = "forecast", b: str = "bench", min_rows: int = 24, order: str = "d") -> DataFrame:
@@ -147,7 +145,7 @@ def clark_west(df: DataFrame, by: list[str], y: str = "y", f: str = "forecast",
     k = k.withColumn("_m", F.avg("_h").over(whole)).withColumn("_e", F.col("_h") - F.col("_m")).withColumn("_l", hac_lag(F.col("_n")))
     k = k.withColumn("_lag", F.greatest("_l", F.lit(1)))
     base = k.groupBy(*by).agg(F.max("_n").alias("n"), F.max("_m").alias("mean"), F.avg(F.col("_e") * F.col("_e")).alias("_g0"), F.max("_l").alias("_l"))
-    auto = _lagged_products(k, by, "_e", "_lag", order).groupBy(*by, "_lagk").agg(F.avg("_prod").alias("_g"))
+    auto = _with_lags(k, by, ["_e"], "_lag", order).groupBy(*by, "_lagk").agg(F.avg(F.col("_e") * F.col("_p_e")).alias("_g"))
     weighted = auto.join(base.select(*by, "_l"), by).groupBy(*by).agg(F.sum(2.0 * (1.0 - F.col("_lagk") / (F.col("_l") + 1.0)) * F.col("_g")).alias("_gs"))
     j = base.join(weighted, by, "left")
     se = F.sqrt(F.greatest(F.col("_g0") + F.coalesce("_gs", F.lit(0.0)), F.lit(1e-18)) / F.col("n"))
@@ -170,13 +168,10 @@ def nw_ols(df: DataFrame, by: list[str], y: str = "y", x: str = "x", order: str
     k = k.withColumn("_lag", lag)
     base = k.groupBy(*by).agg(F.max("_n").alias("n"), F.max("_a").alias("alpha"), F.max("_b").alias("beta"), F.max("_mx").alias("_mx"), F.max("_vx").alias("_vx"),
                               F.max("_lag").alias("_lag"), F.sum(F.col("_e") * F.col("_e")).alias("_s00"), F.sum(F.col("_e") * F.col("_xe")).alias("_s01"), F.sum(F.col("_xe") * F.col("_xe")).alias("_s11"))
-    w = Window.partitionBy(*by).orderBy(order)
-    recent = F.reverse(F.collect_list(F.struct("_e", "_xe")).over(w.rowsBetween(-64, -1)))
-    past = k.select(*by, "_lag", "_e", "_xe", F.slice(recent, F.lit(1), F.col("_lag")).alias("_p"))
-    past = past.select(*by, "_lag", "_e", "_xe", F.posexplode("_p").alias("_k", "_v"))
-    wt = 1.0 - (F.col("_k") + 1.0) / (F.col("_lag") + 1.0)
-    cross = past.groupBy(*by).agg(F.sum(2.0 * wt * F.col("_e") * F.col("_v._e")).alias("_c00"), F.sum(wt * (F.col("_e") * F.col("_v._xe") + F.col("_xe") * F.col("_v._e"))).alias("_c01"),
-                                  F.sum(2.0 * wt * F.col("_xe") * F.col("_v._xe")).alias("_c11"))
+    past = _with_lags(k, by, ["_e", "_xe"], "_lag", order)
+    wt = 1.0 - F.col("_lagk") / (F.col("_lag") + 1.0)
+    cross = past.groupBy(*by).agg(F.sum(2.0 * wt * F.col("_e") * F.col("_p_e")).alias("_c00"), F.sum(wt * (F.col("_e") * F.col("_p_xe") + F.col("_xe") * F.col("_p_e"))).alias("_c01"),
+                                  F.sum(2.0 * wt * F.col("_xe") * F.col("_p_xe")).alias("_c11"))
     j = base.join(cross, by)
     s00, s01, s11 = F.col("_s00") + F.col("_c00"), F.col("_s01") + F.col("_c01"), F.col("_s11") + F.col("_c11")
     n, mx, vx = F.col("n"), F.col("_mx"), F.col("_vx")

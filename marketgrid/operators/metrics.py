@@ -170,11 +170,11 @@ def lever_to_benchmark(df: DataFrame, benchmark: str, spreads: DataFrame, by: li
     return rows.withColumn("levered", levered if mode == "aligned" else F.when(F.col("leverage") <= 1.0, F.col("r")).otherwise(levered))
 
 
-def breakeven_spread(df: DataFrame, benchmark: str, ppy: int = 12, top: float = 600.0) -> DataFrame:
+def breakeven_spread(df: DataFrame, benchmark: str, ppy: int = 12) -> DataFrame:
     """Spread at which the levered Sharpe meets the benchmark's.
 
     A constant charge moves the mean only, so the levered Sharpe is linear in the spread and the break-even
-    is a ratio, clipped to [0, top].
+    is a ratio; where even free financing falls short it is 0.
     """
     ex = F.col("r") - F.col("rf")
     root = F.sqrt(F.lit(float(ppy)))
@@ -182,7 +182,7 @@ def breakeven_spread(df: DataFrame, benchmark: str, ppy: int = 12, top: float =
     b = g.filter(F.col("strategy") == benchmark)
     j = g.filter(F.col("strategy") != benchmark).withColumn("_bv", b.select("_v").scalar()).withColumn("_bs", b.select(F.col("_m") / F.col("_s")).scalar()).withColumn("leverage", required_leverage("_v", "_bv")).filter("leverage > 1")
     free = F.col("leverage") * (F.col("_m") - F.col("_bs") * F.col("_s"))
-    return j.select("strategy", "leverage", clip(free / (F.col("leverage") - 1.0) * 1e4, 0.0, top).alias("breakeven_bp"))
+    return j.select("strategy", "leverage", clip(free / (F.col("leverage") - 1.0) * 1e4, 0.0).alias("breakeven_bp"))
 
 
 def certainty_equivalent_of(ex: Column, gamma: float, ppy: int) -> Column:

@@ -23,6 +23,7 @@ PUBLICATION_DAYS = {"CPIAUCSL": 45, "CPILFESL": 45, "PCEPI": 60, "INDPRO": 45, "
 # fixed values: publication lag in months
 PUBLICATION_MONTHS = {"CPIAUCSL": 1, "CPILFESL": 1, "PCEPILFE": 1, "INDPRO": 1, "UNRATE": 1, "PAYEMS": 1, "UMCSENT": 1, "HOUST": 1, "PERMIT": 1,
                       "AWHMAN": 1, "NEWORDER": 1, "M2SL": 1, "ISRATIO": 2, "BAA": 1, "AAA": 1}
+# fixed values: stale assets, windows, roles and the macro series of each signal
 STALE_ASSETS = ("hy", "ig")
 MOM_WINDOWS, REV_WINDOWS = (5, 21, 63, 126, 252), (1, 5)
 MA_PAIRS = ((5, 21), (10, 50), (21, 126), (50, 200))
@@ -250,20 +251,21 @@ def monthly_volatility_block(levels: DataFrame, returns: DataFrame, roles: dict
 
 
 def monthly_macro_block(levels: DataFrame) -> DataFrame:
-    """Eight year-on-year rates with deviations, seven levels with change and z, the Sahm gap, oil; `levels` is publication-shifted."""
+    """Eight year-on-year rates with deviations, seven levels with change and z, the Sahm gap, oil; `levels` is publication-shifted.
+
+    A series that `levels` lacks gives its signals without values.
+    """
     w = win(U)
-    have = set(levels.columns)
-    first = {f"{k}_yoy": T.yoy(sid, w) for sid, k in MACRO_YOY if sid in have}
-    s = levels.select("*", *[v.alias(k) for k, v in first.items()], *([roll_mean("UNRATE", w, 3).alias("_u3")] if "UNRATE" in have else []))
+    absent = [sid for sid in (*(s for s, _ in (*MACRO_YOY, *MACRO_LEVEL)), "DCOILWTICO") if sid not in levels.columns]
+    levels = levels.select("*", *[F.lit(None).cast("double").alias(sid) for sid in absent])
+    first = {f"{k}_yoy": T.yoy(sid, w) for sid, k in MACRO_YOY}
+    s = levels.select("*", *[v.alias(k) for k, v in first.items()], roll_mean("UNRATE", w, 3).alias("_u3"))
     cols = {k: F.col(k) for k in first}
     cols |= {f"{k}_dev": T.trend_deviation(k, w) for k in first}
     for sid, k in MACRO_LEVEL:
-        if sid in have:
-            cols |= {k: F.col(sid), f"{k}_chg": T.diff(sid, w), f"{k}_z": T.zscore(sid, w)}
-    if "UNRATE" in have:
-        cols["sahm"] = F.col("_u3") - rolling(F.min, "_u3", w, 12)
-    if "DCOILWTICO" in have:
-        cols |= {"oil_yoy": T.yoy("DCOILWTICO", w), "oil_z": T.zscore("DCOILWTICO", w)}
+        cols |= {k: F.col(sid), f"{k}_chg": T.diff(sid, w), f"{k}_z": T.zscore(sid, w)}
+    cols["sahm"] = F.col("_u3") - rolling(F.min, "_u3", w, 12)
+    cols |= {"oil_yoy": T.yoy("DCOILWTICO", w), "oil_z": T.zscore("DCOILWTICO", w)}
     return long(s.select("d", *[v.alias(k) for k, v in cols.items()]), list(cols))
 
 

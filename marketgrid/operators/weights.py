@@ -13,14 +13,10 @@ from pyspark.sql.window import Window
 
 from ..functions import solvers
 
-MAX_ASSETS = 5000
-
 
 def _matrix(pdf: pd.DataFrame) -> tuple[list[str], np.ndarray]:
-    """Symmetric matrix from upper-triangle rows; refuses sizes a dense solve should not take."""
+    """Symmetric matrix from upper-triangle rows: one universe at one date, which a weighting rule needs whole."""
     names = sorted(set(pdf["i"]) | set(pdf["j"]))
-    if len(names) > MAX_ASSETS:
-        raise ValueError(f"{len(names)} assets in one covariance; the dense rules take at most {MAX_ASSETS}")
     pos = {k: n for n, k in enumerate(names)}
     i, j = pdf["i"].map(pos).to_numpy(), pdf["j"].map(pos).to_numpy()
     s = np.zeros((len(names), len(names)))

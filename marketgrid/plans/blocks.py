@@ -20,7 +20,7 @@ _DAY = "CAST(l_shipdate AS DATE)"
 view("ser_d", f"""SELECT CASE l_linenumber WHEN 1 THEN 'DGS3MO' WHEN 2 THEN 'DAAA' WHEN 3 THEN 'DBAA' WHEN 4 THEN 'DGS2' WHEN 5 THEN 'DGS5' WHEN 6 THEN 'DGS10' ELSE 'DGS30' END AS series, {_DAY} AS d, AVG(l_discount)*100 AS x FROM lineitem GROUP BY 1, 2
   UNION ALL SELECT CASE l_returnflag WHEN 'R' THEN 'VXVCLS' WHEN 'N' THEN 'VIXCLS' ELSE 'DCOILWTICO' END, {_DAY}, AVG(l_tax)*400 + 5 FROM lineitem GROUP BY 1, 2""")
 view("ser_m", """SELECT k.series, m.d, m.x FROM (SELECT o_orderpriority AS p, CAST(date_trunc('month', o_orderdate) AS DATE) AS d, AVG(o_totalprice)/1e5 AS x FROM orders GROUP BY 1, 2) m JOIN
-  (VALUES ('1-URGENT', 'CPIAUCSL'), ('1-URGENT', 'UNRATE'), ('2-HIGH', 'CPILFESL'), ('2-HIGH', 'UMCSENT'), ('3-MEDIUM', 'INDPRO'), ('3-MEDIUM', 'NFCI'), ('4-NOT SPECIFIED', 'PAYEMS'), ('4-NOT SPECIFIED', 'ANFCI'), ('5-LOW', 'ICSA'), ('5-LOW', 'THREEFYTP10')) k(p, series) ON k.p = m.p""")
+  (VALUES ('1-URGENT', 'CPIAUCSL'), ('1-URGENT', 'UNRATE'), ('2-HIGH', 'CPILFESL'), ('2-HIGH', 'UMCSENT'), ('3-MEDIUM', 'INDPRO'), ('3-MEDIUM', 'NFCI'), ('4-NOT SPECIFIED', 'PAYEMS'), ('4-NOT SPECIFIED', 'ANFCI'), ('5-LOW', 'ICSA'), ('5-LOW', 'THREEFYTP10'), ('1-URGENT', 'PCEPILFE'), ('2-HIGH', 'M2SL'), ('3-MEDIUM', 'HOUST'), ('4-NOT SPECIFIED', 'PERMIT'), ('5-LOW', 'AWHMAN'), ('1-URGENT', 'T10Y3M')) k(p, series) ON k.p = m.p""")
 view("days", f"SELECT DISTINCT {_DAY} AS d FROM lineitem")
 view("dret", "SELECT a.asset, days.d, r.r FROM days CROSS JOIN (SELECT DISTINCT asset FROM px_d) a LEFT JOIN ret_d r ON r.asset = a.asset AND r.d = days.d")
 _STEP = ["DAAA", "DBAA", "DGS10", "VIXCLS", "VXVCLS", "DCOILWTICO"]
@@ -40,12 +40,13 @@ def ser_d(t):
     return a.unionByName(t.lineitem.groupBy(tax.alias("series"), day).agg((F.avg("l_tax") * 400 + 5).alias("x")))
 
 
-PRIORITY = (("1-URGENT", "CPIAUCSL", "UNRATE"), ("2-HIGH", "CPILFESL", "UMCSENT"), ("3-MEDIUM", "INDPRO", "NFCI"), ("4-NOT SPECIFIED", "PAYEMS", "ANFCI"), ("5-LOW", "ICSA", "THREEFYTP10"))
+PRIORITY = (("1-URGENT", "CPIAUCSL", "UNRATE", "PCEPILFE", "T10Y3M"), ("2-HIGH", "CPILFESL", "UMCSENT", "M2SL"), ("3-MEDIUM", "INDPRO", "NFCI", "HOUST"), ("4-NOT SPECIFIED", "PAYEMS", "ANFCI", "PERMIT"),
+            ("5-LOW", "ICSA", "THREEFYTP10", "AWHMAN"))
 
 
 def ser_m(t):
     m = t.orders.groupBy(F.col("o_orderpriority").alias("p"), F.trunc(F.col("o_orderdate").cast("date"), "month").alias("d")).agg((F.avg("o_totalprice") / 1e5).alias("x"))
-    codes = F.coalesce(*[F.when(F.col("p") == p, F.array(F.lit(a), F.lit(b))) for p, a, b in PRIORITY])
+    codes = F.coalesce(*[F.when(F.col("p") == p, F.array(*[F.lit(k) for k in codes])) for p, *codes in PRIORITY])
     return m.select(F.explode(codes).alias("series"), "d", "x")
 
 
@@ -249,11 +250,11 @@ def _(t):
     return block(S.monthly_volatility_block(S.month_levels(ser_d(t), ["VIXCLS"]), mret(t), ROLES))
 
 
-MACRO_IDS = ["CPIAUCSL", "CPILFESL", "INDPRO", "PAYEMS", "UNRATE", "UMCSENT", "NFCI", "ANFCI", "ICSA", "DCOILWTICO"]
-_YOY = {f"{k}_yoy": pc(s, 12) for s, k in S.MACRO_YOY if s in MACRO_IDS}
+MACRO_IDS = ["CPIAUCSL", "CPILFESL", "INDPRO", "PAYEMS", "UNRATE", "UMCSENT", "NFCI", "ANFCI", "ICSA", "DCOILWTICO", "PCEPILFE", "M2SL", "HOUST", "PERMIT", "AWHMAN", "T10Y3M"]
+_YOY = {f"{k}_yoy": pc(s, 12) for s, k in S.MACRO_YOY}
 view("mb_mac0", mlev(MACRO_IDS, S.PUBLICATION_MONTHS))
 view("mb_mac", "SELECT *, " + ", ".join(f"{e} AS {k}" for k, e in _YOY.items()) + f", {gd('AVG', 'UNRATE', 3)} AS u3 FROM mb_mac0")
-_LEV = {n: e for s, k in S.MACRO_LEVEL if s in MACRO_IDS for n, e in ((k, s), (f"{k}_chg", df_(s)), (f"{k}_z", zs(s, 60, 20)))}
+_LEV = {n: e for s, k in S.MACRO_LEVEL for n, e in ((k, s), (f"{k}_chg", df_(s)), (f"{k}_z", zs(s, 60, 20)))}
 MMAC_SQL = long_sql({**{k: k for k in _YOY}, **{f"{k}_dev": f"({k} - {gd('AVG', k, 36, 12)})" for k in _YOY}, **_LEV, "sahm": f"(u3 - {gd('MIN', 'u3', 12)})", "oil_yoy": pc("DCOILWTICO", 12), "oil_z": zs("DCOILWTICO", 60, 20)}, "mb_mac")
 
 

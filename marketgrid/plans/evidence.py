@@ -245,10 +245,10 @@ def _(t):
     """27 specs (lookback x cadence x cost) from one table of running pair sums."""
     x = ex_m(t)
     cal = V.calendar(x, U).withColumn("chunk", F.col("rn").cast("long"))
-    specs = [(f"L{lb or 'all'}_e{ev}", lb or 10**6, ev) for lb in (0, 24, 36) for ev in (3, 6, 12)]
-    rows = F.explode(F.array(*[F.struct(F.lit(s).alias("spec"), F.lit(lb).alias("lb"), F.lit(ev).alias("ev")) for s, lb, ev in specs]))
+    specs = [(f"L{lb or 'all'}_e{ev}", lb, ev) for lb in (None, 24, 36) for ev in (3, 6, 12)]
+    rows = F.explode(F.array(*[F.struct(F.lit(s).alias("spec"), F.lit(lb).cast("int").alias("lb"), F.lit(ev).alias("ev")) for s, lb, ev in specs]))
     due = cal.withColumn("_s", rows).select("universe", "d", "rn", "_s.*").filter("rn >= 36 and (rn = 36 or rn % ev = 0)")
-    due = due.select("universe", "d", "spec", F.greatest(F.col("rn") - F.col("lb"), F.lit(0)).cast("long").alias("lo"), F.col("rn").cast("long").alias("hi"), F.lit(True).alias("due"))
+    due = due.select("universe", "d", "spec", F.coalesce(F.greatest(F.col("rn") - F.col("lb"), F.lit(0)), F.lit(0)).cast("long").alias("lo"), F.col("rn").cast("long").alias("hi"), F.lit(True).alias("due"))
     sums = V.pair_sums(x.join(cal.select("universe", "d", "chunk"), ["universe", "d"]), U, chunk=F.col("chunk"))
     ep = V.epoch_sums(sums, due, U, rolling=True, extra=["spec"])
     w = P.cov_rule(V.ledoit_wolf(ep, ["universe", "d", "spec"]), ["universe", "d", "spec"], "erc")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.expr import r6, win
+from ..functions.expr import expanding, r6, win
 from ..operators import backtest as B
 from ..operators import covariance as V
 from ..operators import crosssection as X
@@ -56,7 +56,7 @@ def with_rn(r):
 
 def iv_path(r):
     """Inverse-volatility weights from the rows before each date, for every live date."""
-    past = win(["universe", "asset"]).rowsBetween(-10**6, -1)
+    past = expanding(win(["universe", "asset"]), 1)
     p = with_rn(r).withColumn("iv", 1.0 / F.stddev_samp("r").over(past)).filter(F.col("rn") >= FIRST)
     return p.withColumn("w", X.normalise("iv", ["universe", "d"]))
 

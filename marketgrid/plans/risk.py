@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions.expr import r6, win
+from ..functions.expr import expanding, r6, win
 from ..operators import align as A
 from ..operators import covariance as V
 from ..operators import weights as P
@@ -119,7 +119,7 @@ def _(t):
     cal = V.calendar(x, U).withColumn("epoch", V.refit_epoch(F.col("rn"), 24, 12))
     rows = x.join(cal, ["universe", "d"])
     per = rows.groupBy("universe", F.coalesce(F.col("epoch") + 1, F.lit(0)).alias("epoch")).agg(F.sum("x").alias("s"), F.count("x").alias("c"), F.countDistinct("d").alias("k"))
-    w = win(["universe"], "epoch").rowsBetween(-10**6, 0)
+    w = expanding(win(["universe"], "epoch"))
     cum = per.select("universe", "epoch", (F.sum("s").over(w) / F.sum("c").over(w)).alias("mean_x"), F.sum("k").over(w).alias("n"))
     return cal.filter("epoch is not null").join(cum, ["universe", "epoch"]).select("d", r6("mean_x").alias("mean_x"), "n")
 
@@ -255,7 +255,7 @@ def _(t):
     x = ex_m(t)
     cov = V.cov_windowed(x, U, due(24, 12))
     w = win(["universe", "asset"])
-    mu = x.select("universe", "asset", "d", (F.avg("x").over(w.rowsBetween(-10**6, -1)) * 12).alias("mu"))
+    mu = x.select("universe", "asset", "d", (F.avg("x").over(expanding(w, 1)) * 12).alias("mu"))
     return out(P.mean_variance(cov, mu, KD), "w", keys=("d", "asset"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.expr import r6, win
 from ..operators import metrics as M
@@ -125,7 +126,7 @@ def _(t):
 @query("blended_financing", """WITH w AS (SELECT d AS strategy, asset, vol/SUM(vol) OVER (PARTITION BY d) AS w, CASE asset WHEN 'ECONOMY' THEN 3 WHEN 'LARGE' THEN 15 WHEN 'MEDIUM' THEN 50 ELSE 110 END AS bp FROM px_m)
   SELECT strategy, round(SUM(w*bp), 6)+0.0 AS proportional_bp, round(SUM(w*bp) FILTER (WHERE asset NOT IN ('PROMO', 'SMALL'))/SUM(w) FILTER (WHERE asset NOT IN ('PROMO', 'SMALL')), 6)+0.0 AS overlay_bp FROM w GROUP BY 1""")
 def _(t):
-    total = F.sum("vol").over(win(["d"], "asset").rowsBetween(-10**6, 10**6))
+    total = F.sum("vol").over(Window.partitionBy("d"))
     w = t.px_m.select(F.col("d").alias("strategy"), "asset", (F.col("vol") / total).alias("w"))
     rates = t.dim([("ECONOMY", 3.0), ("LARGE", 15.0), ("MEDIUM", 50.0), ("PROMO", 110.0), ("SMALL", 110.0), ("STANDARD", 110.0)], "asset string, bp double")
     return out(M.blended_financing(w, rates, ["strategy"], ["PROMO", "SMALL"]), "proportional_bp", "overlay_bp", keys=("strategy",))
@@ -146,7 +147,7 @@ def _(t):
 
 
 @query("breakeven_spread", """WITH e AS (SELECT strategy, stddev_samp(r)*sqrt(12) AS v, AVG(r - rf)*12 AS m, stddev_samp(r - rf)*sqrt(12) AS s FROM strat_m GROUP BY 1), b AS (SELECT v AS bv, m/s AS bs FROM e WHERE strategy = 'SMALL')
-  SELECT strategy, round(bv/v, 6)+0.0 AS leverage, round(least(greatest((bv/v)*(m - bs*s)/(bv/v - 1)*1e4, 0), 600), 6)+0.0 AS breakeven_bp FROM e, b WHERE strategy <> 'SMALL' AND bv/v > 1""")
+  SELECT strategy, round(bv/v, 6)+0.0 AS leverage, round(greatest((bv/v)*(m - bs*s)/(bv/v - 1)*1e4, 0), 6)+0.0 AS breakeven_bp FROM e, b WHERE strategy <> 'SMALL' AND bv/v > 1""")
 def _(t):
     return out(M.breakeven_spread(t.strat_m, "SMALL"), "leverage", "breakeven_bp", keys=("strategy",))
 

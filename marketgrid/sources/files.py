@@ -27,7 +27,9 @@ def read_optional(spark: SparkSession, path: str, schema: T.StructType | str) ->
     """A table, or an empty frame with the given schema where none exists."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:  # only a missing path; an unreadable or foreign table is an error
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
         return spark.createDataFrame([], schema)
 
 

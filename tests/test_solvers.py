@@ -4,6 +4,7 @@ import pytest
 from helpers import random_wide
 from marketgrid.functions import solvers as S
 from marketgrid.operators import learn as L
+from marketgrid.operators import weights as W
 
 
 def cov(seed=0, n=6):
@@ -44,15 +45,21 @@ def test_two_asset_hrp_is_inverse_variance():
     assert S.inverse_vol(s) == pytest.approx([2 / 3, 1 / 3])
 
 
-def test_group_budget_balances_group_risk():
+def test_group_budget_balances_group_risk(spark):
     s = cov(1)
-    g = ["a", "a", "b", "b", "b", "c"]
-    w = S.group_risk_budget(s, g)
-    vol = []
-    for k in "abc":
-        i = [n for n, x in enumerate(g) if x == k]
-        vol.append(np.sqrt(w[i] @ s[np.ix_(i, i)] @ w[i]))
-    assert np.ptp(vol) < 1e-9 * max(vol) + 1e-12
+    groups = {"a0": "a", "a1": "a", "b2": "b", "b3": "b", "b4": "b", "c5": "c"}
+    names = list(groups)
+    rows = [("u", names[i], names[j], float(s[i, j])) for i in range(6) for j in range(i, 6)]
+    got = W.group_risk_budget(spark.createDataFrame(rows, "universe string, i string, j string, s double"), spark.createDataFrame(list(groups.items()), "asset string, grp string"), ["universe"])
+    by = {r.asset: r.w for r in got.collect()}
+    w = np.array([by[k] for k in names])
+    risks = []
+    for g in "abc":
+        i = [n for n, k in enumerate(names) if groups[k] == g]
+        inner = w[i] * (s[np.ix_(i, i)] @ w[i])
+        risks.append(np.sqrt(inner.sum()))
+        assert np.ptp(inner) < 1e-8 * inner.max() + 1e-12  # equal risk inside the group
+    assert w.sum() == pytest.approx(1.0) and np.ptp(risks) < 1e-8 * max(risks)
 
 
 def test_mean_variance_respects_gross_limit():
