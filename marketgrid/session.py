@@ -48,6 +48,9 @@ def stored(df: DataFrame) -> DataFrame:
 
     A lost executor then costs no replay of the scans before it, and the planner knows the true size.
     """
-    path = scratch_path(df.sparkSession, "panel")
+    spark = df.sparkSession
+    path = scratch_path(spark, "panel")
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)  # with the driver's end
     return df.sparkSession.read.schema(df.schema).parquet(path)

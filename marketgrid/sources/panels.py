@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import win
+from ..session import stored
 
 TENORS = {1: 0.25, 2: 0.5, 3: 1.0, 4: 2.0, 5: 5.0, 6: 10.0, 7: 30.0}
 
@@ -53,9 +54,20 @@ class Tables:
         part = self.part.select("p_partkey", F.col("p_type").alias("asset"))
         return self.lineitem.join(part, F.col("l_partkey") == part.p_partkey)
 
+    @cached_property
+    def months(self) -> DataFrame:
+        """Sums by (asset, month), the one pass over the lines that all monthly panels share; written once.
+
+        Lines without a part keep a null asset, so the market and the rates cover every line.
+        """
+        part = self.part.select("p_partkey", F.col("p_type").alias("asset"))
+        lines = self.lineitem.join(part, F.col("l_partkey") == part.p_partkey, "left")
+        sums = [F.sum(k).alias(a) for k, a in (("l_extendedprice", "value"), ("l_quantity", "vol"), ("l_discount", "discount"))]
+        return stored(lines.groupBy("asset", month("l_shipdate").alias("d")).agg(*sums, F.count("l_discount").alias("n_discount")))
+
     @cached_property
     def px_m(self) -> DataFrame:
-        return self._unit_price(self.priced_lines, "asset", month("l_shipdate").alias("d"))
+        return self.months.filter("asset is not null").select("asset", "d", (F.col("value") / F.col("vol")).alias("px"), "vol")
 
     @cached_property
     def ret_m(self) -> DataFrame:
@@ -71,11 +83,11 @@ class Tables:
 
     @cached_property
     def rf_m(self) -> DataFrame:
-        return self.lineitem.groupBy(month("l_shipdate").alias("d")).agg((F.avg("l_discount") / 12).alias("rf"))
+        return self.months.groupBy("d").agg((F.sum("discount") / F.sum("n_discount") / 12).alias("rf"))
 
     @cached_property
     def bench_m(self) -> DataFrame:
-        px = self._unit_price(self.lineitem.withColumn("asset", F.lit("market")), "asset", month("l_shipdate").alias("d"))
+        px = self.months.groupBy(F.lit("market").alias("asset"), "d").agg((F.sum("value") / F.sum("vol")).alias("px"), F.sum("vol").alias("vol"))
         return with_return(px, ["asset"])
 
     @cached_property
