@@ -1,4 +1,8 @@
-"""Connected components of an edge table by alternating star contraction; no neighbourhood is ever collected."""
+"""Connected components of an edge table by alternating star contraction; no neighbourhood is ever collected.
+
+The smallest neighbours are written before they are joined back: AQE splits a hot key of a join only where both
+sides come straight from a shuffle, and the centre of a star may hold most of the edges.
+"""
 
 from __future__ import annotations
 
@@ -11,13 +15,13 @@ from .common import stored
 def _pull(edges: DataFrame) -> DataFrame:
     """(u, v): each larger neighbour v of u is linked with the smallest neighbour of u."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
     return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _push(edges: DataFrame) -> DataFrame:
     """(u, v) with v < u: the smaller neighbours of u and u itself are linked with the smallest of them."""
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+    low = stored(edges.groupBy("u").agg(F.min("v").alias("m")))
     joined = edges.join(low, "u")
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
 

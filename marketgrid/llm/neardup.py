@@ -161,7 +161,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bands: int = BANDS, row
     )
     placed = classes.select("node", "n", F.explode("bands").alias("b"))
     order = F.col("node").bitwiseXOR(F.col("b"))  # another order of the classes in each bucket
-    shared = placed.groupBy("b").agg(F.min(order).alias("lo"), F.max(order).alias("hi")).where("lo < hi").select("b", F.col("lo").bitwiseXOR(F.col("b")).alias("lead"))
+    # aggregates that are joined back by their key are written first, so that AQE can split a hot key of the join
+    shared = stored(placed.groupBy("b").agg(F.min(order).alias("lo"), F.max(order).alias("hi")).where("lo < hi").select("b", F.col("lo").bitwiseXOR(F.col("b")).alias("lead")))
     members = stored(placed.join(shared, "b"))
 
     wanted = classes.select("node", "key").join(members.select("node").distinct(), "node")
@@ -172,7 +173,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bands: int = BANDS, row
     groups = stored(components(links))
 
     grouped = members.join(groups, "node", "left").select("b", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    open_ = grouped.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("b")
+    open_ = stored(grouped.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("b"))
     rest = stored(grouped.join(open_, "b").join(sets.select("node", "sketch"), "node"))
     if rest.limit(1).count():
         other = rest.select("b", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "comp", "sketch")))
@@ -184,7 +185,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bands: int = BANDS, row
             groups = stored(components(groups.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(more)))
 
     joined = classes.select("key", "node", "low").join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    lowest = joined.groupBy("comp").agg(F.min("low").alias("component_id"))
+    lowest = stored(joined.groupBy("comp").agg(F.min("low").alias("component_id")))
     named = joined.join(lowest, "comp").select("key", "component_id")
     out = signed.select("doc_id", "n_shingles", "key").join(named, "key", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

@@ -115,10 +115,11 @@ def _disclosing(docs: DataFrame, near: DataFrame, support: int, revealed: float)
     """(entity, term, only) of the terms that reveal an entity; only: the term occurs nowhere else."""
     pairs = near.select("rid", "entity", "term").distinct()
     together = pairs.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
-    entities = near.select("rid", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    # written before they are joined by their key, so that AQE can split a hot entity or term
+    entities = stored(near.select("rid", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")))
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     words = texts.select(F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{Nd}]+"), lambda w: F.length(w) >= 3))).alias("term"))
-    terms = words.groupBy("term").agg(F.count("*").alias("n_term"))
+    terms = stored(words.groupBy("term").agg(F.count("*").alias("n_term")))
     known = together.join(entities, "entity").join(terms, "term")
     total = docs.agg(F.count("*").alias("total"))
     scored = known.withColumn("total", total.scalar())

@@ -183,7 +183,7 @@ def roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     rows = pages.select("page_id", F.coalesce("url", F.lit("about:blank")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("url", F.regexp_replace("url", "[\\x00-\\x20\\x7F]+", "%20"))
     keyed = rows.withColumn("bytes", F.octet_length("html")).withColumn("key", F.sha2("html", 256))
-    top = keyed.where(F.col("bytes") >= min_bytes).groupBy("key").agg(F.max("page_id").alias("top"), F.count("*").alias("copies")).where("copies > 1 and top is not null").select("key", "top")
+    top = stored(keyed.where(F.col("bytes") >= min_bytes).groupBy("key").agg(F.max("page_id").alias("top"), F.count("*").alias("copies")).where("copies > 1 and top is not null").select("key", "top"))  # written, so that AQE can split a hot payload
     again = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
     return keyed.join(top, "key", "left").select(
         F.col("page_id").cast("string").alias("page_id"), "url", "html", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("top").cast("string")).alias("refers_to")
