@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions.expr import r6, roll_std, win
@@ -156,7 +158,7 @@ def ml_inputs(t):
 
 def linear(t, specs):
     x, y = ml_inputs(t)
-    coefs = L.linear_coefficients(x, y, specs, min_train=30, refit_every=12, horizon=1, embargo=3, max_features=6)
+    coefs = L.linear_coefficients(x, y, specs, min_train=30, refit_every=12, horizon=1, embargo=3)
     return L.linear_forecasts(x, stored(coefs)), y
 
 
@@ -169,35 +171,46 @@ def _(t):
 @query("linear_models")
 def _(t):
     x, y = ml_inputs(t)
-    c = L.linear_coefficients(x, y, SPECS, min_train=30, refit_every=24, horizon=1, embargo=3, max_features=6)
+    c = L.linear_coefficients(x, y, SPECS, min_train=30, refit_every=24, horizon=1, embargo=3)
     return out(c, "b", "mx", "sx", keys=("asset", "fit", "spec", "signal"))
 
 
+def tree_wide(t):
+    p = stored(panel(t))
+    names = sorted(r[0] for r in p.select("signal").distinct().collect())  # a dozen signals
+    return stored(p.groupBy("asset", "d", "y").pivot("signal", names).agg(F.first("x"))), names
+
+
+def forest(t, specs):
+    wide, names = tree_wide(t)
+    return L.walk_forward_trees(wide, names, specs, min_train=30, refit_every=24, embargo=3)
+
+
 @query("tune_grid")
 def _(t):
+    """The best parameters of every model's grid by mean out-of-sample R2."""
     specs = [(f"ridge_{p['alpha']:g}", "ridge", p) for p in L.GRIDS["ridge"]] + [(f"enet_{p['alpha']:g}_{p['l1_ratio']:g}", "elastic_net", p) for p in L.GRIDS["elastic_net"]]
+    trees = [(f"forest_{p['max_depth']}", "random_forest", p) for p in L.GRIDS["random_forest"]] + [(f"boost_{p['learning_rate']:g}", "gradient_boosting", p) for p in L.GRIDS["gradient_boosting"]]
     f, y = linear(t, specs)
+    f = stored(f.select("asset", "d", "spec", "forecast").unionByName(forest(t, trees)))
     b = FC.prevailing_mean(y, ["asset"], min_obs=MIN)
     scored = FC.oos_r2(f.join(b, ["asset", "d"]), ["asset", "spec"]).groupBy("spec").agg(F.avg("r2").alias("score"))
-    model = scored.withColumn("model", F.when(F.col("spec").startswith("ridge"), "ridge").otherwise("elastic_net"))
+    model = scored.join(t.dim([(name, m) for name, m, _p in specs + trees], "spec string, model string"), "spec")
     return model.groupBy("model").agg(F.max_by("spec", "score").alias("best"), r6(F.max("score")).alias("score"))
 
 
 @query("tree_models")
 def _(t):
-    p = stored(panel(t))
-    names = [f"mom3_{a}" for a in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")]
-    wide = stored(p.groupBy("asset", "d", "y").pivot("signal", names).agg(F.first("x")))
-    f = L.walk_forward_trees(wide, names, "random_forest", {"n_estimators": 10, "max_depth": 3}, min_train=30, refit_every=24, embargo=3)
-    g = L.walk_forward_trees(wide, names, "shallow_tree", None, min_train=30, refit_every=24, embargo=3)
-    return out(f.withColumn("model", F.lit("random_forest")).unionByName(g.withColumn("model", F.lit("shallow_tree"))), "forecast", keys=("asset", "model", "d"))
+    f = forest(t, [(m, m, None) for m in ("random_forest", "gradient_boosting", "shallow_tree")])
+    return out(f.withColumnRenamed("spec", "model"), "forecast", keys=("asset", "model", "d"))
 
 
 @query("walk_forward_classifier")
 def _(t):
     w = win(["asset"])
-    e = FC.visible_target(evt(t), ["asset"], "y", 6, lag=6).select("asset", "d", F.col("target").alias("y"), F.lag("r", 1).over(w).alias("x1"), F.lag("r", 2).over(w).alias("x2"))
-    return out(L.walk_forward_classifier(stored(e), ["x1", "x2"], "logit", min_train=36, refit_every=24), "p")
+    e = stored(FC.visible_target(evt(t), ["asset"], "y", 6, lag=6).select("asset", "d", F.col("target").alias("y"), F.lag("r", 1).over(w).alias("x1"), F.lag("r", 2).over(w).alias("x2")))
+    each = [L.walk_forward_classifier(e, ["x1", "x2"], m, min_train=36, refit_every=24).withColumn("model", F.lit(m)) for m in L.CLASSIFIERS]
+    return out(reduce(lambda a, b: a.unionByName(b), each), "p", keys=("asset", "d", "model"))
 
 
 @query("skill_split", """WITH f AS (SELECT f.*, bench, row_number() OVER (PARTITION BY f.asset, signal ORDER BY f.d) - 1 AS k FROM fc_m f JOIN bench_fc b USING (asset, d)),
