@@ -17,7 +17,9 @@ from ..session import stored
 from .crosssection import avg_rank, with_wide_rank
 
 EULER = 0.5772156649015329
+# fixed values: seed and resamples of the study
 SEED = 20260830
+REPS = 5000
 
 
 def _hash_sql(seed: int, rep: str, t: str) -> str:
@@ -84,7 +86,7 @@ def _arrays(df: DataFrame, by: list[str], cols: dict[str, str], d: str = "d") ->
     return g.select(*by, F.size("_p").cast("double").alias("n"), *[F.col(f"_p.{k}").alias(k) for k in cols])
 
 
-def sharpe_difference(df: DataFrame, by: list[str], reps: int = 5000, mean_block: float = 12.0, ppy: int = 12, seed: int = SEED, blocks: int = 64,
+def sharpe_difference(df: DataFrame, by: list[str], reps: int = REPS, mean_block: float = 12.0, ppy: int = 12, seed: int = SEED, blocks: int = 64,
                       s: str = "r", b: str = "b", rf: str | None = "rf") -> DataFrame:
     """Bootstrap of the Sharpe gap to a benchmark: observed values, se, 95% interval, p-values.
 
@@ -112,7 +114,7 @@ def _sharpe(x: str, ppy: int) -> Column:
     return F.when(sd > 1e-12, F.avg(x) / F.nullif(sd, F.lit(0.0)) * F.sqrt(F.lit(float(ppy)))).otherwise(0.0)
 
 
-def reality_check(df: DataFrame, by: list[str], strategy: str = "strategy", x: str = "x", reps: int = 5000, mean_block: float = 12.0, seed: int = SEED,
+def reality_check(df: DataFrame, by: list[str], strategy: str = "strategy", x: str = "x", reps: int = REPS, mean_block: float = 12.0, seed: int = SEED,
                   blocks: int = 64, d: str = "d", min_rows: int = 24) -> DataFrame:
     """Reality check and superior predictive ability over a family, on complete dates; x is the gain over the benchmark."""
     n_s = df.groupBy(*by, strategy).agg(F.lit(1).alias("_o")).groupBy(*by).agg(F.count("*").alias("_w"))

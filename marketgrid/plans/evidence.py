@@ -18,6 +18,7 @@ from .registry import query, view
 from .risk import U, ex_m
 from .scoring import SPANS
 from .series import out, sq
+from .sqlmath import phi, quantile, t_cdf, t_quantile
 
 view("ev", "SELECT f.asset, f.signal, f.d, f.y, f.forecast, b.bench FROM fc_m f JOIN bench_fc b ON b.asset = f.asset AND b.d = f.d WHERE f.forecast IS NOT NULL AND b.bench IS NOT NULL")
 view("r2_m", "SELECT asset, signal, COUNT(*) AS n, 1 - AVG(POW(y - forecast, 2))/AVG(POW(y - bench, 2)) AS r2 FROM ev GROUP BY 1, 2 HAVING COUNT(*) >= 12")
@@ -50,7 +51,7 @@ def _(t):
     return out(FC.clark_west(scored(t), AS), "mean", "stat", keys=("asset", "signal", "n"))
 
 
-@query("clark_west_p")
+@query("clark_west_p", sq({"stat": "stat", "p": f"1 - {phi('abs(stat)')}"}, "cw_m", "asset, signal, n"))
 def _(t):
     c = I.with_normal_p(FC.clark_west(scored(t), AS), "stat")
     return out(c, "stat", "p", keys=("asset", "signal", "n"))
@@ -90,7 +91,11 @@ def _(t):
     return out(I.paired_t(x, ["strategy", "span"]), "mean_difference", "se", "t_stat", keys=("strategy", "span", "n_obs"))
 
 
-@query("paired_t_p")
+view("pt_all", "SELECT strategy, COUNT(*) AS n_obs, AVG(xs - xb)*12 AS md, stddev_samp(xs - xb)/sqrt(COUNT(*))*12 AS se, AVG(xs - xb)/(stddev_samp(xs - xb)/sqrt(COUNT(*))) AS t FROM (SELECT s.strategy, s.r - s.rf AS xs, b.r - s.rf AS xb FROM strat_m s JOIN bench_m b USING (d)) GROUP BY 1")
+view("pt_q", f"SELECT n_obs, {t_quantile(0.975, 'n_obs - 1')} AS c FROM (SELECT DISTINCT n_obs FROM pt_all)")
+
+
+@query("paired_t_p", f"""SELECT strategy, n_obs, round(t, 6)+0.0 AS t_stat, round(1 - {t_cdf('t', 'n_obs - 1')}, 6)+0.0 AS p_one_sided, round(md - c*se, 6)+0.0 AS ci_lo, round(md + c*se, 6)+0.0 AS ci_hi FROM pt_all JOIN pt_q USING (n_obs)""")
 def _(t):
     p = I.with_t_interval(I.paired_t(I.excess_pairs(strat_b(t)), ["strategy"]))
     return out(p, "t_stat", "p_one_sided", "ci_lo", "ci_hi", keys=("strategy", "n_obs"))
@@ -103,18 +108,17 @@ def boot_sql(reps, n):
       SELECT rep, t, n, md5('20260830:' || rep || ':' || t) AS h FROM (SELECT unnest(range(0, {reps}))::INT AS rep), (SELECT n, unnest(range(0, n))::INT AS t FROM ({n})))) WINDOW w AS (PARTITION BY rep, n ORDER BY t)"""
 
 
-view("boot200", boot_sql(200, "SELECT COUNT(DISTINCT d)::INT AS n FROM strat_m"))
-view("boot1k", boot_sql(1000, "SELECT COUNT(DISTINCT d)::INT AS n FROM strat_m"))
+view("boot", boot_sql(I.REPS, "SELECT COUNT(DISTINCT d)::INT AS n FROM strat_m"))
 
 
-@query("stationary_bootstrap_index", "SELECT rep, t, CAST(idx AS INT) AS idx FROM boot200")
+@query("stationary_bootstrap_index", "SELECT rep, t, CAST(idx AS INT) AS idx FROM boot")
 def _(t):
     n = t.strat_m.agg(F.countDistinct("d").alias("n"))
-    return I.bootstrap_index(n, 200).select("rep", "t", "idx")
+    return I.bootstrap_index(n, I.REPS).select("rep", "t", "idx")
 
 
 view("sd_x", "SELECT s.strategy, row_number() OVER (PARTITION BY s.strategy ORDER BY s.d) - 1 AS i, s.r - s.rf AS xs, b.r - s.rf AS xb FROM strat_m s JOIN bench_m b USING (d) WHERE b.r IS NOT NULL")
-view("sd_d", "SELECT strategy, rep, (AVG(xs)/stddev_samp(xs) - AVG(xb)/stddev_samp(xb))*sqrt(12) AS draw FROM boot1k JOIN sd_x ON i = idx GROUP BY 1, 2")
+view("sd_d", "SELECT strategy, rep, (AVG(xs)/stddev_samp(xs) - AVG(xb)/stddev_samp(xb))*sqrt(12) AS draw FROM boot JOIN sd_x ON i = idx GROUP BY 1, 2")
 view("sd_o", "SELECT strategy, COUNT(*) AS n_months, AVG(xs)/stddev_samp(xs)*sqrt(12) AS ss, AVG(xb)/stddev_samp(xb)*sqrt(12) AS sb FROM sd_x GROUP BY 1")
 
 
@@ -123,12 +127,12 @@ view("sd_o", "SELECT strategy, COUNT(*) AS n_months, AVG(xs)/stddev_samp(xs)*sqr
   SELECT strategy, n_months, round(ss, 6)+0.0 AS sharpe_strategy, round(sb, 6)+0.0 AS sharpe_benchmark, round(ss - sb, 6)+0.0 AS difference, round(se, 6)+0.0 AS se, round(lo, 6)+0.0 AS ci_lo, round(hi, 6)+0.0 AS ci_hi,
   round(p1, 6)+0.0 AS p_one_sided, round(p2, 6)+0.0 AS p_upper FROM sd_o JOIN m USING (strategy) JOIN p USING (strategy)""")
 def _(t):
-    s = I.sharpe_difference(stored(strat_b(t)), ["strategy"], reps=1000)
+    s = I.sharpe_difference(stored(strat_b(t)), ["strategy"])
     return out(s, *[k for k in s.columns if k not in ("strategy", "n_months")], keys=("strategy", "n_months"))
 
 
 view("rc_x", "SELECT strategy, i, xs - xb AS x FROM sd_x")
-view("rc_b", "SELECT strategy, rep, AVG(x) AS m, ANY_VALUE(n) AS n FROM boot200 JOIN rc_x ON i = idx GROUP BY 1, 2")
+view("rc_b", "SELECT strategy, rep, AVG(x) AS m, ANY_VALUE(n) AS n FROM boot JOIN rc_x ON i = idx GROUP BY 1, 2")
 view("rc_s", "SELECT strategy, dbar, n, omega, sqrt(n)*dbar/omega AS t_obs, sqrt(n)*dbar/omega >= -sqrt(2*ln(greatest(ln(n), 1.0001))) AS keep FROM (SELECT strategy, AVG(x) AS dbar, COUNT(*) AS n FROM rc_x GROUP BY 1) JOIN (SELECT strategy, greatest(stddev_samp(m)*sqrt(ANY_VALUE(n)), 1e-12) AS omega FROM rc_b GROUP BY 1) USING (strategy)")
 
 
@@ -137,7 +141,7 @@ view("rc_s", "SELECT strategy, dbar, n, omega, sqrt(n)*dbar/omega AS t_obs, sqrt
   SELECT n_strategies, n_months, best, round(bt, 6)+0.0 AS best_t, round(greatest(bt, 0), 6)+0.0 AS spa_statistic, n_in_null, (SELECT round(AVG(CAST(w >= greatest(bt, 0) AS DOUBLE)), 6)+0.0 FROM z) AS p_reality_check, (SELECT round(AVG(CAST(h >= greatest(bt, 0) AS DOUBLE)), 6)+0.0 FROM z) AS p_spa FROM o""")
 def _(t):
     g = stored(strat_b(t).select(F.lit("all").alias("family"), "strategy", "d", (F.col("r") - F.col("b")).alias("x")))
-    return out(I.reality_check(g, ["family"], reps=200), "best_t", "spa_statistic", "p_reality_check", "p_spa", keys=("n_strategies", "n_months", "best", "n_in_null"))
+    return out(I.reality_check(g, ["family"]), "best_t", "spa_statistic", "p_reality_check", "p_spa", keys=("n_strategies", "n_months", "best", "n_in_null"))
 
 
 @query("shape_moments", """WITH m AS (SELECT strategy, COUNT(*) AS n, AVG(r) AS m, stddev_samp(r) AS s, stddev_pop(r) AS p FROM strat_m GROUP BY 1)
@@ -146,7 +150,15 @@ def _(t):
     return out(I.shape_moments(t.strat_m, ["strategy"]), "sr", "skew", "kurtosis", keys=("strategy", "n"))
 
 
-@query("deflated_sharpe")
+view("ds_m", """WITH m AS (SELECT strategy, COUNT(*) AS n, AVG(r) AS m, stddev_samp(r) AS s, stddev_pop(r) AS p FROM strat_m GROUP BY 1)
+  SELECT strategy, n, ANY_VALUE(m/s) AS sr, AVG(POW((r - m)/p, 3)) AS g3, AVG(POW((r - m)/p, 4)) AS g4 FROM strat_m JOIN m USING (strategy) GROUP BY 1, 2""")
+view("ds_q", f"SELECT {quantile(1 - 1 / 50)} AS q1, {quantile(1 - 1 / (50 * 2.718281828459045))} AS q2, {quantile(0.95)} AS q95")
+view("ds_z", f"SELECT *, sqrt(1.0/n)*((1 - {I.EULER})*q1 + {I.EULER}*q2) AS sr0, 1 - g3*sr + (g4 - 1)/4.0*sr*sr AS shape FROM ds_m, ds_q")
+view("ds_y", "SELECT *, (sr - sr0)*sqrt(n - 1)/sqrt(greatest(shape, 1e-12)) AS zz FROM ds_z")
+
+
+@query("deflated_sharpe", f"""SELECT strategy, n, 50 AS n_trials, round(sr*sqrt(12), 6)+0.0 AS sharpe_annual, round(sr0*sqrt(12), 6)+0.0 AS expected_max_under_null, round(g3, 6)+0.0 AS skew, round(g4, 6)+0.0 AS kurtosis,
+  round({phi('zz')}, 6)+0.0 AS deflated_sharpe_prob, CASE WHEN sr > sr0 THEN round(1 + shape*POW(q95/greatest(sr - sr0, 1e-6), 2), 6)+0.0 END AS min_track_record_months FROM ds_y""")
 def _(t):
     d = I.deflated_sharpe(t.strat_m, ["strategy"], n_trials=50)
     return out(d, *[k for k in d.columns if k not in ("strategy", "n", "n_trials")], keys=("strategy", "n", "n_trials"))
@@ -231,12 +243,19 @@ def _(t):
     return out(I.jobson_korkie(I.excess_pairs(M.with_windows(strat_b(t), SPANS)), ["strategy", "span"]), "z", keys=("strategy", "span", "n"))
 
 
-@query("significance_compare_p")
+view("sp_x", "SELECT strategy, span, xs, xb, row_number() OVER (PARTITION BY strategy, span ORDER BY d) - 1 AS i, COUNT(*) OVER (PARTITION BY strategy, span) AS n FROM jk_x")
+view("sp_boot", boot_sql(I.REPS, "SELECT DISTINCT CAST(n AS INT) AS n FROM sp_x"))
+view("sp_d", "SELECT strategy, span, rep, (AVG(xs)/stddev_samp(xs) - AVG(xb)/stddev_samp(xb))*sqrt(12) AS draw FROM sp_boot b JOIN sp_x x ON x.i = b.idx AND x.n = b.n GROUP BY 1, 2, 3")
+view("sp_o", "SELECT strategy, span, (AVG(xs)/stddev_samp(xs) - AVG(xb)/stddev_samp(xb))*sqrt(12) AS edge FROM sp_x GROUP BY 1, 2")
+
+
+@query("significance_compare_p", f"""WITH m AS (SELECT strategy, span, AVG(draw) AS m FROM sp_d GROUP BY 1, 2), p AS (SELECT d.strategy, d.span, AVG(CAST(draw - m >= abs(edge) AS DOUBLE)) AS p FROM sp_d d JOIN m USING (strategy, span) JOIN sp_o USING (strategy, span) GROUP BY 1, 2)
+  SELECT jk.strategy, jk.span, jk.n, round(edge, 6)+0.0 AS edge, round(z, 6)+0.0 AS z, round(1 - {phi('abs(z)')}, 6)+0.0 AS p_t, round(p, 6)+0.0 AS p_boot FROM jk JOIN sp_o USING (strategy, span) JOIN p USING (strategy, span)""")
 def _(t):
     s = stored(M.with_windows(strat_b(t), SPANS))
     keys = ["strategy", "span"]
     z = I.with_normal_p(I.jobson_korkie(I.excess_pairs(s), keys), "z", "p_t")
-    b = I.sharpe_difference(s, keys, reps=500).select(*keys, F.col("p_one_sided").alias("p_boot"), F.col("difference").alias("edge"))
+    b = I.sharpe_difference(s, keys).select(*keys, F.col("p_one_sided").alias("p_boot"), F.col("difference").alias("edge"))
     return out(z.join(b, keys), "edge", "z", "p_t", "p_boot", keys=("strategy", "span", "n"))
 
 

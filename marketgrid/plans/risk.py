@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from ..functions.expr import expanding, r6, win
 from ..operators import align as A
 from ..operators import covariance as V
+from ..operators import crosssection as X
 from ..operators import weights as P
 from ..session import stored
-from .registry import query, view
+from .registry import QUERIES, query, view
 from .series import out, sq
 
 U = ["universe"]
@@ -259,7 +260,7 @@ def _(t):
     return out(P.mean_variance(cov, mu, KD), "w", keys=("d", "asset"))
 
 
-@query("weight_fn_cov")
+@query("weight_fn_cov", "SELECT ed AS d, i AS asset, round((1/s)/SUM(1/s) OVER (PARTITION BY ed), 6)+0.0 AS w FROM lw_ep WHERE i = j")
 def _(t):
     return out(P.cov_rule(lw_epochs(t), KD, lambda s: np.diag(1.0 / s) / np.diag(1.0 / s).sum()), "w", keys=("d", "asset"))
 
@@ -268,3 +269,99 @@ def _(t):
 def _(t):
     w = P.cov_rules(lw_epochs(t), KD, ["equal", "inverse_vol", "erc", "hrp"])
     return out(w, "w", keys=("d", "rule", "asset"))
+
+
+# ---- checks of the solvers by the conditions that define their weights ----
+
+
+def with_risk(cov, w):
+    """Weights w with the covariance-weighted sum of all weights beside each: (universe, d, asset, w, sw)."""
+    full = V.mirror(cov.select(*KD, "i", "j", "s"), ["s"])
+    sw = full.join(w.select(*KD, F.col("asset").alias("j"), F.col("w").alias("_w")), [*KD, "j"]).groupBy(*KD, F.col("i").alias("asset")).agg(F.sum(F.col("s") * F.col("_w")).alias("sw"))
+    return w.join(sw, [*KD, "asset"])
+
+
+def solved(t, rule, raw):
+    """The rule's weights with the unclipped solution and its product with the matrix."""
+    cov = stored(lw_epochs(t))
+    r = with_risk(cov, stored(P.cov_rule(cov, KD, raw))).select(*KD, "asset", F.col("w").alias("raw"), "sw")
+    sd = cov.filter("i = j").select(*KD, F.col("i").alias("asset"), F.sqrt("s").alias("sd"))
+    return stored(P.cov_rule(cov, KD, rule)).join(r, [*KD, "asset"]).join(sd, [*KD, "asset"])
+
+
+_ASSETS = "SELECT ed AS d, i AS asset, {} FROM lw_ep WHERE i = j"
+
+
+@query("erc_check", _ASSETS.format("round(1.0/COUNT(*) OVER (PARTITION BY ed), 6)+0.0 AS risk_share, 1.0::DOUBLE AS total"))
+def _(t):
+    """Equal-risk weights: every asset has the same share of the variance, and weights sum to one."""
+    cov = stored(lw_epochs(t))
+    w = with_risk(cov, stored(P.cov_rule(cov, KD, "erc"))).withColumn("rc", F.col("w") * F.col("sw"))
+    one = X.over(KD)
+    return out(w.withColumn("risk_share", F.col("rc") / F.sum("rc").over(one)).withColumn("total", F.sum("w").over(one)), "risk_share", "total", keys=("d", "asset"))
+
+
+@query("group_risk_budget_check", _ASSETS.format("round(1.0/COUNT(*) OVER (PARTITION BY ed, CASE WHEN i < 'M' THEN 'a' WHEN i < 'S' THEN 'b' ELSE 'c' END), 6)+0.0 AS inner_share, 1.0::DOUBLE AS group_vol, 1.0::DOUBLE AS total"))
+def _(t):
+    """Risk is equal inside each group, the groups' own volatilities are equal, and weights sum to one."""
+    names = [("ECONOMY", "a"), ("LARGE", "a"), ("MEDIUM", "b"), ("PROMO", "b"), ("SMALL", "c"), ("STANDARD", "c")]
+    g = t.dim(names, "asset string, grp string")
+    cov = stored(lw_epochs(t))
+    w = stored(P.group_risk_budget(cov, g, KD)).join(g, "asset")
+    inside = cov.join(g.select(F.col("asset").alias("i"), F.col("grp").alias("gi")), "i").join(g.select(F.col("asset").alias("j"), F.col("grp").alias("gj")), "j").filter("gi = gj")
+    r = with_risk(inside, w).withColumn("rc", F.col("w") * F.col("sw"))
+    one, grp = X.over(KD), X.over([*KD, "grp"])
+    r = r.withColumn("v", F.sqrt(F.sum("rc").over(grp))).withColumn("inner_share", F.col("rc") / F.sum("rc").over(grp))
+    return out(r.withColumn("group_vol", F.col("v") / F.max("v").over(one)).withColumn("total", F.sum("w").over(one)), "inner_share", "group_vol", "total", keys=("d", "asset"))
+
+
+@query("min_variance_check", _ASSETS.format("1.0::DOUBLE AS first_order, 0.0::DOUBLE AS gap"))
+def _(t):
+    """The unclipped solution has equal marginal variances; the weights are its positive part, scaled to one."""
+    s = solved(t, "min_variance", lambda m: np.linalg.solve(m, np.ones(len(m))))
+    long = F.greatest(F.col("raw") * F.signum(F.sum("raw").over(X.over(KD))), F.lit(0.0))
+    s = s.withColumn("_l", long).withColumn("gap", F.col("w") - F.col("_l") / F.sum("_l").over(X.over(KD)))
+    return out(s.withColumn("first_order", F.col("sw")), "first_order", "gap", keys=("d", "asset"))
+
+
+@query("max_diversification_check", _ASSETS.format("1.0::DOUBLE AS first_order, 0.0::DOUBLE AS gap"))
+def _(t):
+    """The unclipped solution's marginal variances are the volatilities; the weights are its positive part."""
+    s = solved(t, "max_diversification", lambda m: np.linalg.solve(m, np.sqrt(np.diag(m))))
+    s = s.withColumn("_l", F.greatest("raw", F.lit(0.0))).withColumn("gap", F.col("w") - F.col("_l") / F.sum("_l").over(X.over(KD)))
+    return out(s.withColumn("first_order", F.col("sw") / F.col("sd")), "first_order", "gap", keys=("d", "asset"))
+
+
+@query("mean_variance_check", "WITH m AS (SELECT e.ed, h.asset, AVG(h.x)*12 AS mu FROM ep_m e JOIN hist_m h ON h.ed = e.ed GROUP BY 1, 2) SELECT ed AS d, asset, round(mu, 6)+0.0 AS mu, TRUE AS within FROM m")
+def _(t):
+    """Weights times the matrix point along the means, with a gross exposure of at most two."""
+    x = ex_m(t)
+    cov = stored(V.cov_windowed(x, U, due(24, 12)))
+    mu = x.select("universe", "asset", "d", (F.avg("x").over(expanding(win(["universe", "asset"]), 1)) * 12).alias("m"))
+    w = with_risk(cov, stored(P.mean_variance(cov, mu.withColumnRenamed("m", "mu"), KD))).join(mu, [*KD, "asset"])
+    one = X.over(KD)
+    scale = F.sum(F.col("sw") * F.col("m")).over(one) / F.sum(F.col("sw") * F.col("sw")).over(one)
+    return out(w.withColumn("mu", F.col("sw") * scale).withColumn("within", F.sum(F.abs("w")).over(one) <= 2.0 + 1e-9), "mu", keys=("d", "asset", "within"))
+
+
+@query("hrp_check", "SELECT ed AS d, COUNT(*) AS assets, 1.0::DOUBLE AS total, TRUE AS positive FROM lw_ep WHERE i = j GROUP BY 1")
+def _(t):
+    """Hierarchical weights are positive and sum to one over all assets."""
+    w = P.cov_rule(lw_epochs(t), KD, "hrp")
+    return w.groupBy("d").agg(F.count("*").alias("assets"), r6(F.sum("w")).alias("total"), F.min(F.col("w") > 0).alias("positive"))
+
+
+@query("rule_registry_check", """WITH v AS (SELECT ed AS d, 1/greatest(sqrt(s*12), 1e-9) AS iv FROM lw_ep WHERE i = j), h AS (SELECT d, SUM(iv*iv)/POW(SUM(iv), 2) AS c, COUNT(*) AS n FROM v GROUP BY 1)
+  SELECT d, 'equal' AS rule, round(1.0/n, 6)+0.0 AS concentration, 1.0::DOUBLE AS total FROM h UNION ALL SELECT d, 'inverse_vol', round(c, 6)+0.0, 1.0 FROM h""")
+def _(t):
+    w = P.cov_rules(lw_epochs(t), KD, ["equal", "inverse_vol"])
+    return w.groupBy("d", "rule").agg(r6(F.sum(F.col("w") * F.col("w"))).alias("concentration"), r6(F.sum("w")).alias("total"))
+
+
+@query("corr_eigen_check", """WITH f AS (SELECT universe, i, j, CASE WHEN i = j THEN 1 ELSE rho END AS r FROM rho_q UNION ALL SELECT universe, j, i, rho FROM rho_q WHERE i <> j), q AS (SELECT a.universe, a.i, b.j, SUM(a.r*b.r) AS r FROM f a JOIN f b ON a.universe = b.universe AND a.j = b.i GROUP BY 1, 2, 3)
+  SELECT f.universe, round(SUM(CASE WHEN f.i = f.j THEN f.r ELSE 0 END), 3)+0.0 AS trace, round(SUM(f.r*f.r), 3)+0.0 AS squares, round(SUM(f.r*q.r), 3)+0.0 AS cubes FROM f JOIN q ON q.universe = f.universe AND q.i = f.j AND q.j = f.i GROUP BY 1""")
+def _(t):
+    """Power sums of the eigenvalues against traces of the matrix powers."""
+    e = QUERIES["corr_eigen"](t.spark, t.sf_dir)
+    p = lambda k: r6(F.sum(F.pow("eigenvalue", F.lit(k))), 3)
+    return e.groupBy("universe").agg(p(1.0).alias("trace"), p(2.0).alias("squares"), p(3.0).alias("cubes"))

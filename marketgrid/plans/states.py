@@ -15,6 +15,7 @@ from .curve import curve
 from .registry import query, view
 from .risk import U, due, ex_m
 from .series import out, sq
+from .sqlmath import newton, phi
 
 REG = R.REGIMES
 
@@ -293,7 +294,10 @@ def _(t):
     return out(lo.unionByName(hi), "rho", keys=("side", "i", "j"))
 
 
-@query("normal_score_corr")
+view("ns_u", f"SELECT asset, d, {newton(phi, 'exp(-0.5*z*z)/sqrt(2*pi())', 'u', 0.0)} AS z FROM uni_m")
+
+
+@query("normal_score_corr", "SELECT a.asset AS i, b.asset AS j, round(CASE WHEN a.asset = b.asset THEN 1 ELSE corr(a.z, b.z) END, 6)+0.0 AS rho FROM ns_u a JOIN ns_u b ON a.d = b.d AND a.asset <= b.asset GROUP BY 1, 2")
 def _(t):
     return out(K.normal_score_corr(K.to_uniform(ex_m(t), U), U), "rho", keys=("i", "j"))
 
@@ -327,7 +331,16 @@ def _(t):
     return out(f, "growth", "inflation", "explained", keys=("d", "regime"))
 
 
-@query("variance_explained")
+# eigenvalues of a 2x2 and a 3x3 correlation matrix in closed form
+view("ve_x", """WITH b AS (SELECT series, d, x, LAG(x, 12) OVER (PARTITION BY series ORDER BY d) AS p FROM blk), r AS (SELECT series, d, CASE WHEN series < '3' OR series > '5' THEN x/p - 1 WHEN series < '4' THEN x - p ELSE p - x END AS x FROM b)
+  SELECT series, d, LAG(x) OVER (PARTITION BY series ORDER BY d) AS x FROM r""")
+view("ve_w", "SELECT d, " + ", ".join(f"MAX(CASE WHEN series LIKE '{k}-%' THEN x END) AS x{k}" for k in range(1, 6)) + " FROM ve_x GROUP BY d")
+view("ve_g", "SELECT COUNT(*) AS n, corr(x1, x2) AS a, corr(x1, x3) AS b, corr(x2, x3) AS c FROM ve_w WHERE x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL")
+view("ve_t", "SELECT n, sqrt((a*a + b*b + c*c)/3) AS q, acos(a*b*c/POW((a*a + b*b + c*c)/3, 1.5))/3 AS th FROM ve_g")
+
+
+@query("variance_explained", """SELECT 'growth' AS block, 3::BIGINT AS n_series, n AS n_months, round((1 + 2*q*cos(th))/3, 6)+0.0 AS pc1_share, round((1 + 2*q*cos(th - 2*pi()/3))/3, 6)+0.0 AS pc2_share FROM ve_t
+  UNION ALL SELECT 'inflation', 2, COUNT(*), round((1 + abs(corr(x4, x5)))/2, 6)+0.0, round((1 - abs(corr(x4, x5)))/2, 6)+0.0 FROM ve_w WHERE x4 IS NOT NULL AND x5 IS NOT NULL""")
 def _(t):
     side = F.when(F.col("series") < "4", "growth").otherwise("inflation")
     return out(CO.variance_explained(blk(t).withColumn("block", side), ["block"]), "pc1_share", "pc2_share", keys=("block", "n_series", "n_months"))
@@ -355,3 +368,29 @@ def _(t):
 def _(t):
     f = CO.svensson_fit_grid(curve(t).filter("tenor >= 0.25"))
     return out(f, "beta0", "tau1", "tau2", "rmse", keys=("curve", "d"))
+
+
+# ---- checks of fits and rotations by the conditions that define them ----
+
+
+@query("curve_pca_check", "SELECT k AS pc, 1.0::DOUBLE AS norm, 0.0::DOUBLE AS gap FROM (SELECT unnest([1, 2, 3]) AS k)")
+def _(t):
+    """Loadings have length one, and a component's variance is its share of the total."""
+    c = stored(curve(t))
+    load, scores = CO.curve_pca(c)
+    w = win(["curve", "tenor"])
+    total = c.select("curve", "tenor", (F.col("zero") - F.lag("zero").over(w)).alias("x")).groupBy("curve", "tenor").agg(F.var_samp("x").alias("v")).groupBy("curve").agg(F.sum("v").alias("total"))
+    each = load.groupBy("curve", "pc").agg(F.sum(F.col("loading") * F.col("loading")).alias("norm"), F.max("share").alias("share"))
+    var = scores.groupBy("curve", "pc").agg(F.var_samp("score").alias("v"))
+    j = each.join(var, ["curve", "pc"]).join(total, "curve").withColumn("gap", F.col("v") / F.col("total") - F.col("share"))
+    return out(j, "norm", "gap", keys=("pc",))
+
+
+@query("cp_factor_check", "SELECT k, 0.0::DOUBLE AS slope FROM (SELECT unnest([0, 1, 2, 3, 4]) AS k)")
+def _(t):
+    """The residual of the mean excess return on the factor is orthogonal to every forward rate."""
+    c = stored(curve(t))
+    f, _g = CO.cp_factor(c)
+    x = CO._cp_inputs(c, (2, 3, 4, 5), 12).filter("y is not null").join(f, ["curve", "d"]).withColumn("e", F.col("y") - F.col("factor"))
+    each = x.select("curve", "e", F.posexplode("f").alias("k", "v"))
+    return out(each.groupBy("curve", "k").agg((F.covar_samp("e", "v") / F.var_samp("v")).alias("slope")), "slope", keys=("k",))
