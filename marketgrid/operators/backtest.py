@@ -8,11 +8,8 @@ Only band schedules depend on their own path and fold over dates, one group per
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.expr import c, clip, div, ffill, win
@@ -58,40 +55,41 @@ def train_window(rn: Column, lag: int = 1, window: int | None = None) -> tuple[C
     return (F.lit(0) if window is None else F.greatest(end - window, F.lit(0))), end
 
 
+def _total(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+
+
 def band_trades(returns: DataFrame, path: DataFrame, band: float, kind: str = "l1", min_gap: int = 1, d: str = "d") -> DataFrame:
     """Trade dates of a no-trade band, (universe, strategy, d).
 
     "l1": total distance of the proposed target from the drifted weights reaches the band; "max": largest
     drift from the last traded target exceeds it. The first date always trades. `path` holds a target per
-    (universe, strategy, asset, d). One strategy's dates by assets form a group, bounded by the calendar.
+    (universe, strategy, asset, d); a missing one counts as zero. A strategy's dates are one row of arrays, bounded
+    by the calendar, and the fold over them stays in the engine.
     """
-    j = path.select(*KEYS, "asset", d, "target").join(returns.select("universe", "asset", d, "r"), ["universe", "asset", d])
-    schema = T.StructType([j.schema[k] for k in KEYS] + [j.schema[d]])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        tgt = pdf.pivot(index=d, columns="asset", values="target").sort_index()
-        ret = pdf.pivot(index=d, columns="asset", values="r").reindex(tgt.index)[tgt.columns].fillna(0.0).to_numpy()
-        goal, dates = tgt.to_numpy(), list(tgt.index)
-        held = last = None
-        last_at, trades = 0, []
-        for i in range(len(dates)):
-            if held is None:
-                go = True
-            elif i - last_at < min_gap:
-                go = False
-            elif kind == "l1":
-                go = np.abs(goal[i] - held).sum() >= band
-            else:
-                go = np.abs(held - last).max() > band
-            if go:
-                held, last, last_at = goal[i], goal[i], i
-                trades.append(dates[i])
-            grown = held * (1.0 + ret[i])
-            total = grown.sum() + 1.0 - held.sum()
-            held = grown / total if total > 0 else held
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in KEYS}, d: trades})
-
-    return j.groupBy(*KEYS).applyInPandas(fold, schema)
+    if kind not in ("l1", "max"):
+        raise ValueError(f"unknown band: {kind}")
+    grid = path.select(*KEYS, d).distinct().join(path.select(*KEYS, "asset").distinct(), KEYS)
+    cells = grid.join(path.select(*KEYS, "asset", d, "target"), [*KEYS, "asset", d], "left").join(returns.select("universe", "asset", d, "r"), ["universe", "asset", d], "left")
+    cell = F.struct("asset", F.coalesce("target", F.lit(0.0)).cast("double").alias("goal"), F.coalesce("r", F.lit(0.0)).cast("double").alias("r"))
+    dates = cells.groupBy(*KEYS, d).agg(F.sort_array(F.collect_list(cell)).alias("_c")).select(*KEYS, F.struct(F.col(d).alias("d"), F.col("_c.goal").alias("goal"), F.col("_c.r").alias("r")).alias("_d"))
+    paths = dates.groupBy(*KEYS).agg(F.sort_array(F.collect_list("_d")).alias("_p"))
+    day = path.schema[d].dataType.simpleString()
+    none = F.expr("cast(array() as array<double>)")
+    start = F.struct(none.alias("held"), none.alias("last"), F.lit(0).alias("at"), F.lit(0).alias("i"), F.expr(f"cast(array() as array<{day}>)").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        far = lambda a, b: F.zip_with(a, b, lambda u, v: F.abs(u - v))
+        off = _total(far(x["goal"], acc["held"])) >= band if kind == "l1" else F.array_max(far(acc["held"], acc["last"])) > band
+        go = (F.size(acc["held"]) == 0) | ((acc["i"] - acc["at"] >= min_gap) & off)
+        held = F.when(go, x["goal"]).otherwise(acc["held"])
+        grown = F.zip_with(held, x["r"], lambda h, r: h * (1.0 + r))
+        whole = _total(grown) + 1.0 - _total(held)
+        drifted = F.when(whole > 0, F.transform(grown, lambda g: g / whole)).otherwise(held)
+        return F.struct(drifted.alias("held"), F.when(go, x["goal"]).otherwise(acc["last"]).alias("last"), F.when(go, acc["i"]).otherwise(acc["at"]).alias("at"), (acc["i"] + 1).alias("i"),
+                        F.when(go, F.concat(acc["out"], F.array(x["d"]))).otherwise(acc["out"]).alias("out"))
+
+    return paths.select(*KEYS, F.explode(F.aggregate("_p", start, step, lambda acc: acc["out"])).alias(d))
 
 
 # ---- cost ----

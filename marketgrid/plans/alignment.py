@@ -239,10 +239,12 @@ def _(t):
     return wide.select("d", *[r6(a).alias(a) for a in ASSETS])
 
 
-@query("crosstab", """SELECT o_orderstatus AS status, COUNT(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS "1-URGENT",
-  COUNT(*) FILTER (WHERE o_orderpriority = '2-HIGH') AS "2-HIGH" FROM orders GROUP BY 1""")
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+@query("crosstab", "SELECT o_orderstatus AS status, " + ", ".join(f"COUNT(*) FILTER (WHERE o_orderpriority = '{p}') AS \"{p}\"" for p in PRIORITIES) + " FROM orders GROUP BY 1")
 def _(t):
-    return A.crosstab(t.orders.withColumnRenamed("o_orderstatus", "status"), "status", "o_orderpriority", ["1-URGENT", "2-HIGH"])
+    return A.crosstab(t.orders.withColumnRenamed("o_orderstatus", "status"), "status", "o_orderpriority", list(PRIORITIES))
 
 
 @query("resample_last", "SELECT asset, last_day(d) AS d, round(arg_max(px, d), 6)+0.0 AS px FROM px_d GROUP BY 1, 2")
@@ -319,16 +321,17 @@ def _(t):
     return parts[0].unionByName(parts[1]).groupBy("asset").agg(F.count("*").alias("n"))
 
 
-_CSV = """SELECT {d} AS d, CAST(tenor AS DOUBLE) AS tenor, round(y, 6)+0.0 AS y FROM (SELECT d, CASE l WHEN 1 THEN 1 WHEN 2 THEN 5 ELSE 10 END AS tenor, CASE WHEN MONTH(d) = 3 AND l = 2 THEN NULL ELSE y END AS y FROM
-  (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS d, l_linenumber AS l, ROUND(AVG(l_discount)*100, 4) AS y FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2))"""
+_CSV = """SELECT {d} AS d, CAST(tenor AS DOUBLE) AS tenor, round(y, 6)+0.0 AS y FROM (SELECT d, CASE l WHEN 1 THEN 1 ELSE 5*(l - 1) END AS tenor, CASE WHEN MONTH(d) = 3 AND l = 2 THEN NULL ELSE y END AS y FROM
+  (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS d, l_linenumber AS l, ROUND(AVG(l_discount)*100, 4) AS y FROM lineitem GROUP BY 1, 2))"""
 
 
 def curve_csv(t):
-    """A curve file with a free-text preamble, written from the quotes."""
-    q = t.cmt_m.filter("tenor <= 1").groupBy("d").agg(*[F.round(F.max(F.when(F.col("tenor") == k, F.col("par"))), 4).alias(n) for k, n in ((0.25, "a"), (0.5, "b"), (1.0, "c"))])
-    b = F.when(F.month("d") == 3, "NA").otherwise(F.format_string("%.4f", "b"))
-    row = F.concat_ws(",", F.col("d").cast("string"), F.lit("NA"), F.format_string("%.4f", "a"), b, F.format_string("%.4f", "c")).alias("value")
-    head = t.spark.range(1).select(F.explode(F.array(F.lit("Yield curve estimates, percent"), F.lit("Date,BETA0,SVENY01,SVENY05, SVENY10"))).alias("value"))
+    """A curve file with a free-text preamble, written from all quote lines; one column says NA every March."""
+    lines = [(0.25, "01"), (0.5, "05"), (1.0, "10"), (2.0, "15"), (5.0, "20"), (10.0, "25"), (30.0, "30")]
+    q = t.cmt_m.groupBy("d").agg(*[F.round(F.max(F.when(F.col("tenor") == k, F.col("par"))), 4).alias(f"y{n}") for k, n in lines])
+    cell = lambda n: F.when((F.month("d") == 3) & F.lit(n == "05"), "NA").otherwise(F.coalesce(F.format_string("%.4f", f"y{n}"), F.lit("NA")))
+    row = F.concat_ws(",", F.col("d").cast("string"), F.lit("NA"), *[F.when(F.col(f"y{n}").isNull(), "NA").otherwise(cell(n)) for _, n in lines]).alias("value")
+    head = t.spark.range(1).select(F.explode(F.array(F.lit("Yield curve estimates, percent"), F.lit("Date,BETA0,SVENY01,SVENY05, " + ",".join(f"SVENY{n}" for _, n in lines[2:])))).alias("value"))
     path = scratch_path(t.spark, "curve")
     head.unionByName(q.select(row)).write.text(path)
     return files.read_preamble_csv(t.spark, path, files.preamble_header(t.spark, path))

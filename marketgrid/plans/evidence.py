@@ -212,17 +212,17 @@ def _(t):
     return out(FC.multiplicity(FC.signal_rank(scan(t), 6)), "expected_by_chance", "ratio", keys=("pairs", "significant"))
 
 
-view("top_m", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY r2 DESC, signal) AS rank FROM scan_m) WHERE rank <= 4")
+view("top_m", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY r2 DESC, signal) AS rank FROM scan_m) WHERE rank <= 10")
 
 
 @query("top_k_per_asset", sq({"r2": "r2"}, "top_m", "asset, rank, signal, family"))
 def _(t):
-    return out(FC.top_k_per_asset(scan(t), 4), "r2", keys=("asset", "rank", "signal", "family"))
+    return out(FC.top_k_per_asset(scan(t), 10), "r2", keys=("asset", "rank", "signal", "family"))
 
 
 @query("recurring_signals", "SELECT signal, family, COUNT(DISTINCT asset) AS assets, round(quantile_cont(r2, 0.5), 6)+0.0 AS median_r2, round(MAX(r2), 6)+0.0 AS best_r2, arg_max(asset, r2) AS best_on FROM top_m GROUP BY 1, 2 HAVING COUNT(DISTINCT asset) >= 2")
 def _(t):
-    return out(FC.recurring_signals(FC.top_k_per_asset(scan(t), 4), 2), "median_r2", "best_r2", keys=("signal", "family", "assets", "best_on"))
+    return out(FC.recurring_signals(FC.top_k_per_asset(scan(t), 10), 2), "median_r2", "best_r2", keys=("signal", "family", "assets", "best_on"))
 
 
 @query("score_table", """SELECT p.strategy, round(p.cagr, 6)+0.0 AS ret, round(p.vol, 6)+0.0 AS vol, round(p.sharpe, 6)+0.0 AS sharpe, round(p.sharpe - b.s, 6)+0.0 AS vs_bench, round(o.alpha*1200, 6)+0.0 AS alpha_pct_yr, round(o.t_alpha, 6)+0.0 AS t_alpha, round(o.beta, 6)+0.0 AS beta

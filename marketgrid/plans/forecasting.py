@@ -99,18 +99,18 @@ def _(t):
 
 
 @query("interactions", """WITH c AS (SELECT signal, abs(corr(COALESCE(s.x, 0), m.y)) AS s FROM sig1 s JOIN (SELECT d, AVG(x) AS y FROM excess_m GROUP BY 1) m USING (d) GROUP BY 1 HAVING COUNT(s.x) > 60),
-  k AS (SELECT signal FROM c ORDER BY s DESC, signal LIMIT 3), l AS (SELECT d, regime FROM label_m WHERE asset = 'PROMO'),
+  k AS (SELECT signal FROM c ORDER BY s DESC, signal LIMIT 3), l AS (SELECT asset AS who, d, regime FROM label_m),
   g AS (SELECT unnest(['goldilocks', 'reflation', 'stagflation', 'deflation']) AS st)
-  SELECT signal || ' x ' || st AS signal, d, round(x*CASE WHEN lower(regime) = st THEN 1 ELSE 0 END, 6)+0.0 AS x FROM sig1 JOIN k USING (signal) JOIN l USING (d), g""")
+  SELECT who AS asset, signal || ' x ' || st AS signal, d, round(x*CASE WHEN lower(regime) = st THEN 1 ELSE 0 END, 6)+0.0 AS x FROM sig1 JOIN k USING (signal) JOIN l USING (d), g""")
 def _(t):
     from .series import label_m
 
     s = stored(signals(t))
     y = t.excess_m.groupBy("d").agg(F.avg("x").alias("y"))
     top = FC.select_features(s.join(y, "d").withColumn("u", F.lit("all")), ["u"], 3, fill=True, min_known=60)
-    lab = label_m(t).filter("asset = 'PROMO'")
-    dm = T.regime_dummies(lab.select("d", "regime"), ["d"])
-    return out(T.interactions(s.join(top.select("signal"), "signal", "left_semi"), dm, ["d"]), "x", keys=("signal", "d"))
+    lab = stored(label_m(t).select("asset", "d", "regime"))
+    best = s.join(top.select("signal"), "signal", "left_semi").select("signal", "d", "x").join(lab.select("asset", "d"), "d")
+    return out(T.interactions(best, T.regime_dummies(lab, ["asset", "d"]), ["asset", "d"]), "x", keys=("asset", "signal", "d"))
 
 
 @query("forward_sum_target", f"SELECT asset, d, round({gd('SUM', 'x', 3)}, 6)+0.0 AS target FROM excess_m")
@@ -136,14 +136,12 @@ def _(t):
     return out(FC.visible_target(evt(t), ["asset"], "y", 6), "target")
 
 
-@query("recession_labels", """WITH m AS (SELECT last_day(d) AS m, CASE WHEN arg_max(px, d) < 2500 THEN 1.0 ELSE 0.0 END AS flag FROM px_d WHERE asset = 'SMALL' AND MONTH(d) <> 4 GROUP BY 1),
-  k AS (SELECT DISTINCT last_day(d) AS d FROM px_d) SELECT k.d, m.flag FROM k ASOF LEFT JOIN m ON k.d >= m.m""")
+@query("recession_labels", "SELECT asset, last_day(d) AS d, CASE WHEN arg_max(px, d) < 2500 THEN 1.0 ELSE 0.0 END AS flag FROM px_d GROUP BY 1, 2")
 def _(t):
     from ..operators import dates as D
 
-    s = t.px_d.filter("asset = 'SMALL'").withColumn("flag", F.when(F.month("d") != 4, F.when(F.col("px") < 2500, 1.0).otherwise(0.0)))
-    m = D.resample_last(s.select("asset", "d", "flag"), ["asset"], "flag")
-    return A.fill_forward(m, ["asset"], "flag").select("d", "flag")
+    s = t.px_d.select("asset", "d", F.when(F.col("px") < 2500, 1.0).otherwise(0.0).alias("flag"))
+    return A.fill_forward(D.resample_last(s, ["asset"], "flag"), ["asset"], "flag").select("asset", "d", "flag")
 
 
 # ---- models ----

@@ -71,12 +71,12 @@ def _(t):
     return out(M.edge_vs(c, "MEDIUM", by=["span"]), "sharpe_edge", keys=("strategy", "span"))
 
 
-@query("realized_stats", """WITH p AS (SELECT d, SUM(r/6) AS r, ANY_VALUE(rf) AS rf FROM strat_m GROUP BY 1), g AS (SELECT *, product(1 + r) OVER (ORDER BY d) AS g FROM p), x AS (SELECT *, g/MAX(g) OVER (ORDER BY d) - 1 AS dd FROM g)
+@query("realized_stats", """WITH p AS (SELECT d, SUM(r)/(SELECT COUNT(DISTINCT strategy) FROM strat_m) AS r, ANY_VALUE(rf) AS rf FROM strat_m GROUP BY 1), g AS (SELECT *, product(1 + r) OVER (ORDER BY d) AS g FROM p), x AS (SELECT *, g/MAX(g) OVER (ORDER BY d) - 1 AS dd FROM g)
   SELECT round(POW(product(1 + r), 12.0/COUNT(*)) - 1, 6)+0.0 AS geometric_return, round(AVG(r)*12, 6)+0.0 AS arithmetic_return, round(stddev_samp(r)*sqrt(12), 6)+0.0 AS vol, round(MIN(dd), 6)+0.0 AS max_drawdown, COUNT(*) AS months,
   round(AVG(r - rf)*12/(stddev_samp(r)*sqrt(12)), 6)+0.0 AS sharpe FROM x""")
 def _(t):
     r = t.strat_m.select(F.lit("all").alias("universe"), F.col("strategy").alias("asset"), "d", "r", "rf")
-    w = r.select("universe", "asset").distinct().withColumn("w", F.lit(1.0 / 6))
+    w = r.select("universe", "asset").distinct().withColumn("w", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("universe")))
     return out(M.realized_stats(r, w, ["universe"]), "geometric_return", "arithmetic_return", "vol", "max_drawdown", "sharpe", keys=("months",))
 
 

@@ -169,12 +169,12 @@ def _(t):
 _CAND = " UNION ALL ".join(
     f"SELECT asset, d, {2 * k} AS pos, 'mom{n}' AS candidate, round({gd('AVG', 'r', n, lag=2)}*{n}, 6)+0.0 AS x FROM ret_m UNION ALL "
     f"SELECT asset, d, {2 * k + 1}, 'momsharpe{n}', round({gd('AVG', 'r', n, lag=2)}/NULLIF({gd('stddev_samp', 'r', n, lag=2)}, 0), 6)+0.0 FROM ret_m"
-    for k, n in enumerate((3, 6, 12)))
+    for k, n in enumerate((3, 6, 9, 12, 18, 24, 30, 36)))
 
 
 @query("momentum_sharpe", _CAND)
 def _(t):
-    c = T.momentum_candidates(t.ret_m, ["asset"], windows=(3, 6, 12), skip=2)
+    c = T.momentum_candidates(t.ret_m, ["asset"], windows=(3, 6, 9, 12, 18, 24, 30, 36), skip=2)
     return out(c, "x", keys=("asset", "d", "pos", "candidate"))
 
 

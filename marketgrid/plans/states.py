@@ -207,7 +207,8 @@ def _(t):
 
 
 def equal_bench(x):
-    return x.select("universe", "asset").distinct().withColumn("w", F.lit(1.0 / 6))
+    """Equal weights over the assets of each universe."""
+    return x.select("universe", "asset").distinct().withColumn("w", 1.0 / F.count(F.lit(1)).over(X.over(["universe"])))
 
 
 @query("episodic_weights")
@@ -221,9 +222,9 @@ view("rmt1", """SELECT a.asset, a.d, a.label, a.run, AVG(b.x)*12 AS mu, COUNT(b.
   COUNT(DISTINCT b.ep) FILTER (WHERE b.label = a.label AND b.ep < a.ep) AS ncomp FROM rmt0 a JOIN rmt0 b ON a.asset = b.asset AND b.d <= a.d WHERE a.label IS NOT NULL GROUP BY 1, 2, 3, 4""")
 view("rmt2", "SELECT *, CASE WHEN n < 6 THEN 0 ELSE n/(n + 60.0)*(mr - mu) END AS e, CASE WHEN ncomp < 1 THEN 0 ELSE 1 - POW(0.5, run) END AS alpha FROM rmt1")
 view("rmt3", "SELECT *, stddev_pop(e) OVER (PARTITION BY d) AS sd, AVG(e) OVER (PARTITION BY d) AS me FROM rmt2")
-view("rmt4", "SELECT *, CASE WHEN sd < 1e-12 OR ncomp < 1 THEN 1.0/6 ELSE greatest(1.0/6 + alpha*least(greatest((e - me)/sd*0.15, -0.15), 0.15), 0) END AS w0 FROM rmt3")
-view("rmt5", "SELECT *, SUM(abs(w0 - 1.0/6)) OVER (PARTITION BY d) AS ex FROM rmt4")
-view("rmt6", "SELECT *, CASE WHEN ex > 0.4 THEN greatest(1.0/6 + (w0 - 1.0/6)*0.4/ex, 0) ELSE w0 END AS w1 FROM rmt5")
+view("rmt4", "SELECT rmt3.*, eq, CASE WHEN sd < 1e-12 OR ncomp < 1 THEN eq ELSE greatest(eq + alpha*least(greatest((e - me)/sd*0.15, -0.15), 0.15), 0) END AS w0 FROM rmt3, (SELECT 1.0/COUNT(DISTINCT asset) AS eq FROM ex_c)")
+view("rmt5", "SELECT *, SUM(abs(w0 - eq)) OVER (PARTITION BY d) AS ex FROM rmt4")
+view("rmt6", "SELECT *, CASE WHEN ex > 0.4 THEN greatest(eq + (w0 - eq)*0.4/ex, 0) ELSE w0 END AS w1 FROM rmt5")
 
 
 @query("regime_mean_tilt", "SELECT d, asset, n AS n_obs, round(alpha, 6)+0.0 AS alpha, round(CASE WHEN SUM(w1) OVER (PARTITION BY d) > 1 THEN w1/SUM(w1) OVER (PARTITION BY d) ELSE w1 END, 6)+0.0 AS w FROM rmt6")
@@ -238,10 +239,11 @@ def _(t):
     return out(R.regime_edge_table(ex_m(t), lab(t), U), "raw", "unconditional", "shrunk", keys=("regime", "asset", "n"))
 
 
-view("ad_c", """SELECT asset, d, 0 AS pos, 'mom3' AS candidate, CASE WHEN COUNT(r) OVER w3 >= 3 THEN AVG(r) OVER w3*3 END AS x FROM ret_m WINDOW w3 AS (PARTITION BY asset ORDER BY d ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)
-  UNION ALL SELECT asset, d, 1, 'momsharpe3', CASE WHEN COUNT(r) OVER w3 >= 3 THEN AVG(r) OVER w3/NULLIF(stddev_samp(r) OVER w3, 0) END FROM ret_m WINDOW w3 AS (PARTITION BY asset ORDER BY d ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)
-  UNION ALL SELECT asset, d, 2, 'mom6', CASE WHEN COUNT(r) OVER w6 >= 6 THEN AVG(r) OVER w6*6 END FROM ret_m WINDOW w6 AS (PARTITION BY asset ORDER BY d ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)
-  UNION ALL SELECT asset, d, 3, 'momsharpe6', CASE WHEN COUNT(r) OVER w6 >= 6 THEN AVG(r) OVER w6/NULLIF(stddev_samp(r) OVER w6, 0) END FROM ret_m WINDOW w6 AS (PARTITION BY asset ORDER BY d ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)""")
+AD_WINDOWS = (3, 6, 9, 12, 18, 24, 30, 36)
+view("ad_c", " UNION ALL ".join(
+    f"SELECT asset, d, {2 * k} AS pos, 'mom{n}' AS candidate, CASE WHEN COUNT(r) OVER w >= {n} THEN AVG(r) OVER w*{n} END AS x FROM ret_m WINDOW w AS (PARTITION BY asset ORDER BY d ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) UNION ALL "
+    f"SELECT asset, d, {2 * k + 1}, 'momsharpe{n}', CASE WHEN COUNT(r) OVER w >= {n} THEN AVG(r) OVER w/NULLIF(stddev_samp(r) OVER w, 0) END FROM ret_m WINDOW w AS (PARTITION BY asset ORDER BY d ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+    for k, n in enumerate(AD_WINDOWS)))
 view("ad_f", "SELECT asset, d, row_number() OVER (PARTITION BY asset ORDER BY d) - 1 AS rn, LEAD(r) OVER (PARTITION BY asset ORDER BY d) AS fwd FROM ret_m")
 view("ad_w", """SELECT c.asset, c.pos, c.candidate, g.g, c.x, f.fwd FROM ad_c c JOIN ad_f f USING (asset, d) JOIN (SELECT unnest(range(24, 83, 6)) AS g) g ON f.rn >= greatest(g.g - 36, 0) AND f.rn < g.g - 1 WHERE c.x IS NOT NULL AND f.fwd IS NOT NULL""")
 view("ad_r", """SELECT asset, pos, candidate, g, rank() OVER (PARTITION BY asset, pos, g ORDER BY x) + (COUNT(*) OVER (PARTITION BY asset, pos, g, x) - 1)/2.0 AS rx, rank() OVER (PARTITION BY asset, pos, g ORDER BY fwd) + (COUNT(*) OVER (PARTITION BY asset, pos, g, fwd) - 1)/2.0 AS ry FROM ad_w""")
@@ -252,7 +254,7 @@ view("ad_b", "SELECT asset, g, arg_min(candidate, (-ic, pos)) AS candidate FROM
   SELECT f.asset, f.d, b.candidate, round(z.z, 6)+0.0 AS z FROM ad_f f ASOF JOIN ad_b b ON b.asset = f.asset AND f.rn >= b.g JOIN z ON z.asset = f.asset AND z.d = f.d AND z.candidate = b.candidate""")
 def _(t):
     r = stored(t.ret_m.select(F.lit("all").alias("universe"), "asset", "d", "r"))
-    cand = T.momentum_candidates(r, ["universe", "asset"], windows=(3, 6), skip=1)
+    cand = T.momentum_candidates(r, ["universe", "asset"], windows=AD_WINDOWS, skip=1)
     ch = CO.adaptive_choice(cand, r, U, burn_in=24, step=6, window=36, horizon=1, min_pairs=12)
     z = cand.withColumn("z", X.xs_z("x", ["universe", "d", "candidate"], fill=True))
     return out(ch.join(z, ["universe", "asset", "d", "candidate"]), "z", keys=("asset", "d", "candidate"))
