@@ -255,7 +255,7 @@ def curve_pca(curve: DataFrame, n_components: int = 3, zero: str = "zero") -> tu
     w = Window.partitionBy("curve", "tenor").orderBy("d")
     ch = curve.select("curve", "d", "tenor", (F.col(zero) - F.lag(zero).over(w)).alias("x")).filter("x is not null")
     ch = ch.withColumn("asset", F.format_string("%012.6f", "tenor"))
-    cov = total(pair_sums(ch, ["curve"]), ["curve"]).select("curve", "i", "j", cov_of().alias("s"))
+    cov = total(pair_sums(ch, ["curve"], order=2), ["curve"]).select("curve", "i", "j", cov_of().alias("s"))
 
     def eigen(pdf: pd.DataFrame) -> pd.DataFrame:
         names = sorted(set(pdf["i"]) | set(pdf["j"]))

@@ -18,10 +18,15 @@ from pyspark.sql.window import Window
 from ..functions.expr import safe_corr, win
 
 SUMS = ("n", "s10", "s01", "s20", "s02", "s11", "s30", "s03", "s21", "s12", "s22", "s31", "s13")
+SECOND = SUMS[:6]  # what covariances and correlations need; shrinkage needs the rest
 BLOCK = 256
 
 
-def _block_products(key_cols: list[str]):
+def _sums(df: DataFrame) -> list[str]:
+    return [k for k in SUMS if k in df.columns]
+
+
+def _block_products(key_cols: list[str], names: tuple[str, ...]):
     """Pair sums of one (chunk, block pair): powers of the two dense blocks multiplied once."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -43,18 +48,19 @@ def _block_products(key_cols: list[str]):
         na, xa, ma = dense(lo)
         nb, xb, mb = (na, xa, ma) if lo == hi else dense(hi)
         if not len(na) or not len(nb):
-            return pd.DataFrame(columns=[*key_cols, "i", "j", *SUMS])
-        left = {0: ma * wt[:, None], 1: xa * wt[:, None], 2: xa**2 * wt[:, None], 3: xa**3 * wt[:, None]}
-        right = {0: mb, 1: xb, 2: xb**2, 3: xb**3}
+            return pd.DataFrame(columns=[*key_cols, "i", "j", *names])
+        top = max(int(e) for k in names for e in k[1:])
+        left = {k: (xa**k if k else ma) * wt[:, None] for k in range(top + 1)}
+        right = {k: xb**k if k else mb for k in range(top + 1)}
         i, j = np.triu_indices(len(na)) if lo == hi else np.indices((len(na), len(nb))).reshape(2, -1)
         out = {k: first[k] for k in key_cols}
         frame = pd.DataFrame({"i": na[i], "j": nb[j]})
-        for name in SUMS:
+        for name in names:
             a, b = (0, 0) if name == "n" else (int(name[1]), int(name[2]))
             frame[name] = (left[a].T @ right[b])[i, j]
         for k, v in out.items():
             frame[k] = v
-        return frame[frame["n"] > 0][[*key_cols, "i", "j", *SUMS]]
+        return frame[frame["n"] > 0][[*key_cols, "i", "j", *names]]
 
     return run
 
@@ -65,8 +71,8 @@ def series_means(panel: DataFrame, by: list[str], asset: str = "asset", x: str =
 
 
 def pair_sums(panel: DataFrame, by: list[str], asset: str = "asset", d: str = "d", x: str = "x", chunk: Column | None = None,
-              label: list[str] | None = None, weight: str | None = None, block: int = BLOCK, centre: bool = True) -> DataFrame:
-    """Sums of powers of (x_i, x_j) over the dates where both exist, i <= j, per chunk.
+              label: list[str] | None = None, weight: str | None = None, block: int = BLOCK, centre: bool = True, order: int = 4) -> DataFrame:
+    """Sums of powers of (x_i, x_j) over the dates where both exist, i <= j, per chunk; up to the given order, 2 or 4.
 
     With `centre`, x is taken relative to the asset's overall mean, which leaves central moments unchanged and
     keeps the running totals well conditioned.
@@ -83,13 +89,14 @@ def pair_sums(panel: DataFrame, by: list[str], asset: str = "asset", d: str = "d
                        F.explode(F.sequence(F.lit(0), F.col("_nblk") - 1)).alias("_o"))
     rows = rows.withColumn("_lo", F.least("_blk", "_o")).withColumn("_hi", F.greatest("_blk", "_o")).drop("_o")
     types = {f.name: f.dataType for f in rows.schema.fields}
+    names_ = SECOND if order == 2 else SUMS
     schema = T.StructType([T.StructField(k, types[k]) for k in keys] + [T.StructField(k, T.StringType()) for k in ("i", "j")]
-                          + [T.StructField(k, T.DoubleType()) for k in SUMS])
-    return rows.groupBy(*keys, "_lo", "_hi").applyInPandas(_block_products(keys), schema)
+                          + [T.StructField(k, T.DoubleType()) for k in names_])
+    return rows.groupBy(*keys, "_lo", "_hi").applyInPandas(_block_products(keys, names_), schema)
 
 
 def total(sums: DataFrame, keys: list[str]) -> DataFrame:
-    return sums.groupBy(*keys, "i", "j").agg(*[F.sum(k).alias(k) for k in SUMS])
+    return sums.groupBy(*keys, "i", "j").agg(*[F.sum(k).alias(k) for k in _sums(sums)])
 
 
 def cov_of(ddof: int = 1) -> Column:
@@ -115,12 +122,12 @@ def mirror(pairs: DataFrame, values: list[str], swaps: dict[str, str] | None = N
 
 def cov_sample(panel: DataFrame, by: list[str], ppy: int = 12, **kw) -> DataFrame:
     """Pairwise sample covariance, annualised; upper triangle (by, i, j, s)."""
-    t = total(pair_sums(panel, by, **kw), by)
+    t = total(pair_sums(panel, by, order=2, **kw), by)
     return t.select(*by, "i", "j", (cov_of() * ppy).alias("s"), "n")
 
 
 def corr_matrix(panel: DataFrame, by: list[str], **kw) -> DataFrame:
-    return total(pair_sums(panel, by, **kw), by).select(*by, "i", "j", F.when(F.col("i") == F.col("j"), 1.0).otherwise(corr_of()).alias("rho"), "n")
+    return total(pair_sums(panel, by, order=2, **kw), by).select(*by, "i", "j", F.when(F.col("i") == F.col("j"), 1.0).otherwise(corr_of()).alias("rho"), "n")
 
 
 def mean_pair_corr(corr: DataFrame, by: list[str]) -> DataFrame:
@@ -195,7 +202,7 @@ def cov_ewma(panel: DataFrame, by: list[str], lam: float = 0.97, ppy: int = 12,
     cal = panel.select(*by, d).distinct()
     age = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(d).desc())) - 1
     wts = cal.withColumn("_w", F.pow(F.lit(lam), age))
-    t = total(pair_sums(panel.join(wts, [*by, d]), by, weight="_w", **kw), by)
+    t = total(pair_sums(panel.join(wts, [*by, d]), by, weight="_w", order=2, **kw), by)
     return t.select(*by, "i", "j", (cov_of(0) * ppy).alias("s"))
 
 
@@ -222,7 +229,7 @@ def epoch_sums(sums: DataFrame, epochs: DataFrame, by: list[str], label: list[st
     keys = [*by, *(label or [])]
     last = epochs.groupBy(*by).agg(F.max("hi").alias("_k"))
     wp = Window.partitionBy(*keys, "i", "j").orderBy("chunk")
-    run = sums.select(*keys, "i", "j", "chunk", *[F.sum(k).over(wp.rowsBetween(Window.unboundedPreceding, 0)).alias(k) for k in SUMS],
+    run = sums.select(*keys, "i", "j", "chunk", *[F.sum(k).over(wp.rowsBetween(Window.unboundedPreceding, 0)).alias(k) for k in _sums(sums)],
                       F.lead("chunk").over(wp).alias("_next"))
     # a pair without rows in a chunk keeps its total through it
     run = run.join(last, by).withColumn("_next", F.coalesce("_next", F.col("_k") + 1)).filter(F.col("_next") > F.col("chunk"))
@@ -232,9 +239,9 @@ def epoch_sums(sums: DataFrame, epochs: DataFrame, by: list[str], label: list[st
     at_end = due.withColumn("chunk", F.col("hi") - 1).join(run, [*keys, "chunk"]).drop("chunk")
     if not rolling:
         return at_end.drop("lo", "hi")
-    start = run.select(*keys, "i", "j", (F.col("chunk") + 1).alias("lo"), *[F.col(k).alias(f"_{k}") for k in SUMS])
+    start = run.select(*keys, "i", "j", (F.col("chunk") + 1).alias("lo"), *[F.col(k).alias(f"_{k}") for k in _sums(sums)])
     j = at_end.join(start, [*keys, "lo", "i", "j"], "left")
-    out = j.select(*keys, d, *extra, "i", "j", *[(F.col(k) - F.coalesce(f"_{k}", F.lit(0.0))).alias(k) for k in SUMS])
+    out = j.select(*keys, d, *extra, "i", "j", *[(F.col(k) - F.coalesce(f"_{k}", F.lit(0.0))).alias(k) for k in _sums(sums)])
     return out.filter("n > 0.5")
 
 
@@ -246,7 +253,7 @@ def cov_windowed(panel: DataFrame, by: list[str], due, kind: str = "ledoit_wolf"
     counts rows of `cal` when given, else of the panel.
     """
     ch = chunks(cal if cal is not None else calendar(panel, by, d), by, due, lookback, d)
-    sums = pair_sums(panel.join(ch.select(*by, d, "chunk"), [*by, d]), by, asset, d, x, chunk=F.col("chunk"))
+    sums = pair_sums(panel.join(ch.select(*by, d, "chunk"), [*by, d]), by, asset, d, x, chunk=F.col("chunk"), order=2 if kind == "sample" else 4)
     e = epoch_sums(sums, ch, by, rolling=lookback is not None, d=d).filter(F.col("n") >= min_obs)
     if kind == "sample":
         return e.select(*by, d, "i", "j", (cov_of() * ppy).alias("s"), "n")
@@ -268,7 +275,7 @@ def cov_regime(panel: DataFrame, labels: DataFrame, by: list[str], due, min_regi
     ch = ch.withColumn("state", state)
     rows = panel.join(ch.select(*by, d, "chunk", "label"), [*by, d]).withColumn("label", F.coalesce("label", F.lit("")))
     sums = pair_sums(rows, by, asset, d, x, chunk=F.col("chunk"), label=["label"])
-    every = epoch_sums(sums.groupBy(*by, "chunk", "i", "j").agg(*[F.sum(k).alias(k) for k in SUMS]), ch, by, d=d)
+    every = epoch_sums(sums.groupBy(*by, "chunk", "i", "j").agg(*[F.sum(k).alias(k) for k in _sums(sums)]), ch, by, d=d)
     own = epoch_sums(sums, ch.drop("label").withColumnRenamed("state", "label").filter("label is not null"), by, ["label"], d=d).drop("label")
     own = own.filter(F.col("n") >= min_regime)
     chosen = own.withColumn("scope", F.lit("regime")).unionByName(

@@ -77,7 +77,7 @@ def linear_coefficients(panel: DataFrame, target: DataFrame, specs: list[tuple[s
     due = (F.col("rn") >= min_train) & ((F.col("rn") - min_train) % refit_every == 0)
     ch = chunks(cal, [asset], due, None, d)
     ch = ch.withColumn("fit", F.lead(d, horizon + embargo).over(win([asset], d)))
-    sums = pair_sums(train.join(ch.select(asset, d, "chunk"), [asset, d]), [asset], "series", d, "x", chunk=F.col("chunk"))
+    sums = pair_sums(train.join(ch.select(asset, d, "chunk"), [asset, d]), [asset], "series", d, "x", chunk=F.col("chunk"), order=2)
     ep = epoch_sums(sums, ch, [asset], d=d).join(ch.filter("due and fit is not null").select(asset, d, "fit"), [asset, d])
     centre = series_means(train, [asset], "series").select(asset, F.col("series").alias("i"), "_c")
     ep = ep.join(centre, [asset, "i"], "left")

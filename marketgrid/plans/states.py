@@ -321,6 +321,38 @@ def _(t):
     return out(blk(t), "x", keys=("series", "d"))
 
 
+def by_block(t):
+    return blk(t).withColumn("block", F.when(F.col("series") < "4", "growth").otherwise("inflation"))
+
+
+@query("block_factors")
+def _(t):
+    """The first component of each indicator block, recursively."""
+    return out(CO.recursive_pc1(by_block(t), ["block"], min_obs=30), "score", keys=("block", "d"))
+
+
+@query("joint_factors")
+def _(t):
+    """Two components of all indicators together, named after the block they load on."""
+    f = CO.recursive_pc12(blk(t), U, ["1-URGENT", "2-HIGH", "3-MEDIUM"], ["4-NOT SPECIFIED", "5-LOW"], min_obs=30)
+    return out(f, "growth", "inflation", "explained", keys=("d",))
+
+
+# the inflation block has two series, whose first component is their standardised sum or difference
+view("bf_n", "SELECT d, x4, x5, COUNT(*) FILTER (WHERE x4 IS NOT NULL AND x5 IS NOT NULL) OVER w AS n, AVG(CASE WHEN x5 IS NOT NULL THEN x4 END) OVER w AS m4, AVG(CASE WHEN x4 IS NOT NULL THEN x5 END) OVER w AS m5, stddev_samp(CASE WHEN x5 IS NOT NULL THEN x4 END) OVER w AS s4, stddev_samp(CASE WHEN x4 IS NOT NULL THEN x5 END) OVER w AS s5, corr(x4, x5) OVER w AS rho FROM ve_w WINDOW w AS (ORDER BY d)")
+
+
+view("bf_d", "SELECT d, row_number() OVER (ORDER BY d) AS k, COUNT(x4) OVER (ORDER BY d) AS c4, COUNT(x5) OVER (ORDER BY d) AS c5 FROM ve_w WHERE d IN (SELECT d FROM ve_x WHERE series > '4')")
+view("bf_s", "SELECT d, n, abs((x4 - m4)/s4 + CASE WHEN rho >= 0 THEN 1 ELSE -1 END*(x5 - m5)/s5)/sqrt(2)/(sqrt((1 + abs(rho))*(n - 1)/n) + 1e-12) AS size FROM bf_n WHERE n >= 30 AND x4 IS NOT NULL AND x5 IS NOT NULL")
+
+
+@query("block_factors_check", "SELECT d, size FROM (SELECT d, round(last_value(size IGNORE NULLS) OVER (ORDER BY d), 6)+0.0 AS size, k, c4, c5 FROM bf_d LEFT JOIN bf_s USING (d)) WHERE k > 30 AND c4 >= 0.6*k AND c5 >= 0.6*k AND size IS NOT NULL")
+def _(t):
+    """Size of the inflation block's score against its closed form."""
+    f = CO.recursive_pc1(by_block(t).filter("block = 'inflation'"), ["block"], min_obs=30)
+    return f.select("d", r6(F.abs("score")).alias("size"))
+
+
 @query("recursive_pc1")
 def _(t):
     return out(CO.recursive_pc1(blk(t), U, min_obs=30), "score", keys=("d",))
@@ -344,8 +376,7 @@ view("ve_t", "SELECT n, sqrt((a*a + b*b + c*c)/3) AS q, acos(a*b*c/POW((a*a + b*
 @query("variance_explained", """SELECT 'growth' AS block, 3::BIGINT AS n_series, n AS n_months, round((1 + 2*q*cos(th))/3, 6)+0.0 AS pc1_share, round((1 + 2*q*cos(th - 2*pi()/3))/3, 6)+0.0 AS pc2_share FROM ve_t
   UNION ALL SELECT 'inflation', 2, COUNT(*), round((1 + abs(corr(x4, x5)))/2, 6)+0.0, round((1 - abs(corr(x4, x5)))/2, 6)+0.0 FROM ve_w WHERE x4 IS NOT NULL AND x5 IS NOT NULL""")
 def _(t):
-    side = F.when(F.col("series") < "4", "growth").otherwise("inflation")
-    return out(CO.variance_explained(blk(t).withColumn("block", side), ["block"]), "pc1_share", "pc2_share", keys=("block", "n_series", "n_months"))
+    return out(CO.variance_explained(by_block(t), ["block"]), "pc1_share", "pc2_share", keys=("block", "n_series", "n_months"))
 
 
 @query("cp_factor")
