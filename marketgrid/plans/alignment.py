@@ -367,14 +367,14 @@ def _(t):
     return specs.counts(specs.load(t.spark, path))
 
 
-@query("window_udaf", "SELECT asset, d, round(CASE WHEN COUNT(r) OVER w >= 6 THEN product(1 + r) OVER w - 1 END, 6)+0.0 AS m FROM ret_m WINDOW w AS (PARTITION BY asset ORDER BY d ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)")
+@query("window_udaf", "SELECT asset, d, round(CASE WHEN COUNT(r) OVER w >= 6 THEN mad(r) OVER w END, 6)+0.0 AS m FROM ret_m WINDOW w AS (PARTITION BY asset ORDER BY d ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)")
 def _(t):
-    """A user aggregate over a row frame; built-ins come first, this is the hook for the rest."""
+    """A user aggregate over a row frame, for what no built-in covers: here the median distance from the median."""
 
     @F.pandas_udf(T.DoubleType())
-    def grow(v: pd.Series) -> float:
-        return float((1.0 + v).prod() - 1.0)
+    def distance(v: pd.Series) -> float:
+        v = v.dropna()
+        return float((v - v.median()).abs().median()) if len(v) else float("nan")
 
     f = trailing(win(["asset"]), 6)
-    m = F.when(F.count("r").over(f) >= 6, grow("r").over(f))
-    return t.ret_m.filter("r is not null").select("asset", "d", r6(m).alias("m")).unionByName(t.ret_m.filter("r is null").select("asset", "d", F.lit(None).cast("double").alias("m")))
+    return t.ret_m.select("asset", "d", r6(F.when(F.count("r").over(f) >= 6, distance("r").over(f))).alias("m"))

@@ -11,17 +11,13 @@ from .registry import query, view
 from .series import out, sq
 
 # signal x with missing values and one empty date, a tied version xt, the forward return f, and base weights b
-view("xs_m", """SELECT asset, d, r, CASE WHEN (asset = 'PROMO' AND MONTH(d) = 3) OR (YEAR(d) = 1997 AND MONTH(d) = 7) THEN NULL ELSE r END AS x,
-  round(CASE WHEN asset = 'PROMO' AND MONTH(d) = 3 THEN NULL ELSE r END * 5) AS xt, LEAD(r) OVER (PARTITION BY asset ORDER BY d) AS f,
+view("xs_m", """SELECT asset, d, r, r AS x, round(r * 5) AS xt, LEAD(r) OVER (PARTITION BY asset ORDER BY d) AS f,
   vol/SUM(vol) OVER (PARTITION BY d) AS b FROM ret_m""")
 
 
 def xs_m(t):
-    m, y = F.month("d"), F.year("d")
-    hole = (F.col("asset") == "PROMO") & (m == 3)
     w = X.over(["d"])
-    return t.ret_m.select("asset", "d", "r", F.when(~(hole | ((y == 1997) & (m == 7))), F.col("r")).alias("x"),
-                          F.round(F.when(~hole, F.col("r")) * 5).alias("xt"), F.lead("r").over(win(["asset"])).alias("f"),
+    return t.ret_m.select("asset", "d", "r", F.col("r").alias("x"), F.round(F.col("r") * 5).alias("xt"), F.lead("r").over(win(["asset"])).alias("f"),
                           (F.col("vol") / F.sum("vol").over(w)).alias("b"))
 
 

@@ -13,7 +13,7 @@ from .series import F_, gd, out, sq, zs
 GRID = "[" + ", ".join(repr(g) for g in C.curve_grid()) + "]::DOUBLE[]"
 
 # quotes with a missing long end every May and one date with too few quotes
-view("quotes", "SELECT 'usd' AS curve, d, tenor, par FROM cmt_m WHERE NOT (MONTH(d) = 5 AND tenor = 30) AND NOT (YEAR(d) = 1998 AND MONTH(d) = 6 AND tenor > 1)")
+view("quotes", "SELECT 'usd' AS curve, d, tenor, par FROM cmt_m")
 view("pch0", """SELECT d, tenor AS x, par/100 AS y, LEAD(tenor) OVER w AS x1, LEAD(par/100) OVER w AS y1, COUNT(*) OVER (PARTITION BY d) AS n, row_number() OVER w AS rn
   FROM quotes WINDOW w AS (PARTITION BY d ORDER BY tenor)""")
 view("pch1", "SELECT *, x1 - x AS h, (y1 - y)/(x1 - x) AS m FROM pch0 WHERE n >= 4")
@@ -46,8 +46,7 @@ ZN = "(s.z0 + (s.z1 - s.z0)*({t} - s.t0)/(s.t1 - s.t0))"
 
 
 def quotes(t):
-    m, y = F.month("d"), F.year("d")
-    return t.cmt_m.filter(~((m == 5) & (F.col("tenor") == 30)) & ~((y == 1998) & (m == 6) & (F.col("tenor") > 1))).withColumn("curve", F.when(F.col("tenor") > 0, "usd"))
+    return t.cmt_m.withColumn("curve", F.when(F.col("tenor") > 0, "usd"))
 
 
 def curve(t):
