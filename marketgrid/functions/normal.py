@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .expr import ColumnLike, c
+
 # fixed values: rational approximation of the normal quantile, AS 241 (centre, middle, far tail)
 _A = (3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4, 4.5921953931549871457e4, 6.7265770927008700853e4, 3.3430575583588128105e4, 2.5090809287301226727e3)
 _B = (1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3, 2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4, 5.2264952788528545610e3)
@@ -31,8 +33,9 @@ def _integral(f, top: Column) -> Column:
     return top * F.aggregate(grid, F.lit(0.0), lambda acc, g: acc + g["w"] * f(top * g["n"]))
 
 
-def norm_ppf(p: Column) -> Column:
+def norm_ppf(p: ColumnLike) -> Column:
     """Quantile; NULL outside (0, 1)."""
+    p = c(p)
     q = p - 0.5
     near = F.lit(0.180625) - q * q
     r = F.sqrt(-F.log(F.least(p, 1.0 - p)))
@@ -40,14 +43,15 @@ def norm_ppf(p: Column) -> Column:
     return F.when((p > 0.0) & (p < 1.0), F.when(F.abs(q) <= 0.425, q * _polynomial(_A, near) / _polynomial(_B, near)).otherwise(F.signum(q) * tail))
 
 
-def norm_cdf(x: Column) -> Column:
+def norm_cdf(x: ColumnLike) -> Column:
+    x = c(x)
     top = F.least(F.abs(x), F.lit(12.0))  # beyond that the tail is below 1e-32
     body = _integral(lambda v: F.exp(-0.5 * v * v), top) / float(np.sqrt(2 * np.pi))
     return F.when(x.isNotNull() & ~F.isnan(x), F.when(x >= 0, 0.5 + body).otherwise(0.5 - body))
 
 
-def norm_sf(x: Column) -> Column:
-    return norm_cdf(-x)
+def norm_sf(x: ColumnLike) -> Column:
+    return norm_cdf(-c(x))
 
 
 def log_gamma(x: Column) -> Column:
@@ -62,14 +66,16 @@ def _t_scale(df: Column) -> Column:
     return F.exp(log_gamma((df + 1.0) / 2.0) - log_gamma(df / 2.0)) / F.sqrt(F.lit(float(np.pi)))
 
 
-def t_sf(t: Column, df: Column) -> Column:
+def t_sf(t: ColumnLike, df: ColumnLike) -> Column:
     """Upper tail: P(0 < T < |t|) is the scaled integral of cos(a)^(df - 1) with t = sqrt(df) tan(a)."""
+    t, df = c(t), c(df)
     body = _t_scale(df) * _integral(lambda a: F.pow(F.cos(a), df - 1.0), F.atan(F.abs(t) / F.sqrt(df)))
     return F.when(t.isNotNull() & (df >= 1.0), F.when(t >= 0, 0.5 - body).otherwise(0.5 + body))
 
 
-def t_ppf(p: Column, df: Column) -> Column:
+def t_ppf(p: ColumnLike, df: ColumnLike) -> Column:
     """Quantile by Newton steps from the normal one; from that side they approach without overshooting."""
+    p, df = c(p), c(df)
 
     def step(t: Column, _: Column) -> Column:
         density = _t_scale(df) / F.sqrt(df) * F.pow(1.0 + t * t / df, -(df + 1.0) / 2.0)
