@@ -132,7 +132,7 @@ def _write(base: str, frame_bytes: int, file_bytes: int, level: int):
         for batch in batches(it):
             bundle = bundle or _Bundle(base, frame_bytes, file_bytes, level)
             names, urls, kinds, refers = (batch.column(c).to_pylist() for c in ("page_id", "url", "record_type", "refers_to"))
-            spots = [bundle.add(record(str(n), u, p or b"", k, r)) for n, u, p, k, r in zip(names, urls, octets(batch.column("html")), kinds, refers, strict=True)]
+            spots = [bundle.add(record(n or "", u, p or b"", k, r)) for n, u, p, k, r in zip(names, urls, octets(batch.column("html")), kinds, refers, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([s[i] for s in spots], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int64())))], ["page_id", "file", "frame", "at"])
         if bundle is not None:
             bundle.close()
@@ -162,7 +162,7 @@ def _read(base: str):
                 digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                 if fields["WARC-Type"] == "response" and (len(payload) != length or payload_digest(payload) != digest):
                     raise ValueError(f"payload of {fields['WARC-Record-ID']} is damaged")
-                strip = lambda x: x and x.removeprefix(f"<{_ID}").removesuffix(">")
+                strip = lambda x: x and (x.removeprefix(f"<{_ID}").removesuffix(">") or None)
                 out.append((strip(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], length, digest, fields["WARC-Type"], strip(fields.get("WARC-Refers-To")), payload.decode() if fields["WARC-Type"] == "response" else None))
             columns = list(zip(*out, strict=True)) or [()] * 7
             kinds = [pa.string(), pa.string(), pa.int64(), *[pa.string()] * 4]
@@ -196,7 +196,8 @@ def write(spark: SparkSession, pages: DataFrame, base: str | None = None, min_by
     Each task writes files of about ``file_bytes`` into the folder, by default a new one in the shared scratch
     folder, through a file system that is chosen by the folder's scheme. The index (page_id, file, frame, at) is
     written with Spark's committer, so it lists the files of the attempts that count, whatever other attempts
-    left behind. A null html is an empty payload and a null url is about:blank; an empty table writes no file.
+    left behind. A null html is an empty payload, a null url is about:blank and a null page_id an empty one; an empty
+    table writes no file.
     """
     base = base or scratch_path(spark, "warc")
     rows = roles(pages, min_bytes)

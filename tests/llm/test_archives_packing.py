@@ -25,7 +25,7 @@ def want(pages):
         p = (html or "").encode()
         ids = [j for j, _, h in pages if (h or "").encode() == p and j is not None]
         again = bool(ids) and max(ids) != i
-        out.append((str(i), len(p), warc.payload_digest(p), "revisit" if again else "response", str(max(ids)) if again else None))
+        out.append((None if i is None else str(i), len(p), warc.payload_digest(p), "revisit" if again else "response", str(max(ids)) if again else None))
     return sorted(out, key=repr)
 
 
