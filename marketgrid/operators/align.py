@@ -33,10 +33,11 @@ def reindex(df: DataFrame, grid: DataFrame, on: list[str]) -> DataFrame:
 def asof(left: DataFrame, right: DataFrame, by: list[str], x: str, d: str = "d") -> DataFrame:
     """Last non-null right value at or before each left date.
 
-    One union and one sort per entity: linear in both sides, where a range join would be quadratic.
+    One union and one sort per entity: linear in both sides, where a range join would be quadratic. The value keeps
+    its own type.
     """
-    keys = left.select(*by, d).withColumn("_x", F.lit(None).cast("double")).withColumn("_left", F.lit(1))
-    vals = right.select(*by, d, F.col(x).cast("double").alias("_x")).withColumn("_left", F.lit(0))
+    keys = left.select(*by, d).withColumn("_x", F.lit(None).cast(right.schema[x].dataType)).withColumn("_left", F.lit(1))
+    vals = right.select(*by, d, F.col(x).alias("_x")).withColumn("_left", F.lit(0))
     w = Window.partitionBy(*by).orderBy(d, "_left").rowsBetween(Window.unboundedPreceding, 0)
     return (keys.unionByName(vals)
             .withColumn(x, F.last("_x", ignorenulls=True).over(w))

@@ -287,15 +287,16 @@ BETA_LOW, BETA_HIGH = (0.0, -20.0, -30.0, -30.0), (20.0, 20.0, 30.0, 30.0)
 
 
 def _bounded_fit(basis: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Box-bounded least squares for a stack of bases (g, m, 4); coefficients and squared errors.
+    """Box-bounded least squares for stacks of bases (dates, grid, tenors, 4) on curves (dates, tenors).
 
-    Unbounded solutions inside the box stand; the rest are improved by exact coordinate steps.
+    Gives coefficients (dates, grid, 4) and squared errors (dates, grid). Unbounded solutions inside the box stand;
+    the rest are improved by exact coordinate steps.
     """
     lo, hi = np.array(BETA_LOW), np.array(BETA_HIGH)
-    gram = np.einsum("gmi,gmj->gij", basis, basis)
-    cross = np.einsum("gmi,m->gi", basis, y)
-    b = np.einsum("gij,gj->gi", np.linalg.pinv(gram, hermitian=True), cross)
-    out = ((b < lo) | (b > hi)).any(axis=1)
+    gram = np.swapaxes(basis, -1, -2) @ basis
+    cross = (np.swapaxes(basis, -1, -2) @ y[:, None, :, None])[..., 0]
+    b = (np.linalg.pinv(gram, hermitian=True) @ cross[..., None])[..., 0]
+    out = ((b < lo) | (b > hi)).any(axis=-1)
     if out.any():
         g, k = gram[out], cross[out]
         v = np.clip(b[out], lo, hi)
@@ -304,42 +305,53 @@ def _bounded_fit(basis: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarr
                 rest = k[:, i] - np.einsum("gj,gj->g", g[:, i], v) + g[:, i, i] * v[:, i]
                 v[:, i] = np.clip(rest / g[:, i, i], lo[i], hi[i])
         b[out] = v
-    err = ((np.einsum("gmi,gi->gm", basis, b) - y) ** 2).sum(axis=1)
+    err = (((basis @ b[..., None])[..., 0] - y[:, None, :]) ** 2).sum(axis=-1)
     return b, err
 
 
-def svensson_fit_grid(curve: DataFrame, value: str = "zero", levels: int = 4, width: int = 12, min_points: int = 6) -> DataFrame:
+def _zoomed_fit(m: np.ndarray, y: np.ndarray, levels: int, width: int) -> np.ndarray:
+    """(dates, 7): the four coefficients, both decays and the rmse of curves y (dates, tenors) on tenors m.
+
+    All dates move together: every level solves their stacked grids at once and narrows each date's own box.
+    """
+    low, high = np.array([0.1, 1.0]), np.array([10.0, 30.0])
+    box_lo, box_hi = np.tile(low, (len(y), 1)), np.tile(high, (len(y), 1))
+    steps = np.linspace(0, 1, width)
+    best = np.full((len(y), 7), np.inf)
+    rows = np.arange(len(y))
+    for _ in range(levels):
+        grid = box_lo[:, None, :] * (box_hi / box_lo)[:, None, :] ** steps[None, :, None]
+        t1, t2 = np.repeat(grid[:, None, :, 0], width, 1).reshape(len(y), -1), np.repeat(grid[:, :, None, 1], width, 2).reshape(len(y), -1)
+        x1, x2 = m / t1[..., None], m / t2[..., None]
+        s1, s2 = (1 - np.exp(-x1)) / x1, (1 - np.exp(-x2)) / x2
+        b, err = _bounded_fit(np.stack([np.ones_like(x1), s1, s1 - np.exp(-x1), s2 - np.exp(-x2)], axis=-1), y)
+        err = np.where(t2 - t1 >= 0.5, err, np.inf)
+        k = err.argmin(axis=1)
+        found = np.column_stack([b[rows, k], t1[rows, k], t2[rows, k], err[rows, k]])
+        best = np.where((found[:, 6] < best[:, 6])[:, None], found, best)
+        ratio = (box_hi / box_lo) ** (1.5 / (width - 1))
+        box_lo, box_hi = np.maximum(best[:, 4:6] / ratio, low), np.minimum(best[:, 4:6] * ratio, high)
+    best[:, 6] = np.sqrt(best[:, 6] / len(m))
+    return best
+
+
+def svensson_fit_grid(curve: DataFrame, value: str = "zero", levels: int = 4, width: int = 12, min_points: int = 6, stack: int = 64) -> DataFrame:
     """Best decay pair and coefficients per curve date by a refined grid; (curve, d, beta0..3, tau1, tau2, rmse).
 
-    Dates are independent rows; each Arrow batch solves the stacked grid of a date at once and zooms in on the
-    best pair `levels` times.
+    Dates are independent rows; those of an Arrow batch with the same tenors are solved together, `stack` at a time.
     """
     p = pack(curve.filter(F.col(value).isNotNull()), value)
-    schema = T.StructType([p.schema["curve"], p.schema["d"]] + [T.StructField(k, T.DoubleType()) for k in ("beta0", "beta1", "beta2", "beta3", "tau1", "tau2", "rmse")])
-
-    def fit(m: np.ndarray, y: np.ndarray) -> list[float]:
-        lo, hi = np.array([0.1, 1.0]), np.array([10.0, 30.0])
-        box_lo, box_hi = lo, hi
-        best = None
-        for _ in range(levels):
-            t1, t2 = (a.ravel() for a in np.meshgrid(np.geomspace(box_lo[0], box_hi[0], width), np.geomspace(box_lo[1], box_hi[1], width)))
-            ok = t2 - t1 >= 0.5
-            t1, t2 = t1[ok], t2[ok]
-            x1, x2 = m[None, :] / t1[:, None], m[None, :] / t2[:, None]
-            s1, s2 = (1 - np.exp(-x1)) / x1, (1 - np.exp(-x2)) / x2
-            b, err = _bounded_fit(np.stack([np.ones_like(x1), s1, s1 - np.exp(-x1), s2 - np.exp(-x2)], axis=2), y)
-            k = int(np.argmin(err))
-            if best is None or err[k] < best[0]:
-                best = (err[k], b[k], t1[k], t2[k])
-            at = np.array([best[2], best[3]])
-            ratio = (box_hi / box_lo) ** (1.5 / (width - 1))
-            box_lo, box_hi = np.maximum(at / ratio, lo), np.minimum(at * ratio, hi)
-        return [*best[1], best[2], best[3], float(np.sqrt(best[0] / len(m)))]
+    names = ("beta0", "beta1", "beta2", "beta3", "tau1", "tau2", "rmse")
+    schema = T.StructType([p.schema["curve"], p.schema["d"]] + [T.StructField(k, T.DoubleType()) for k in names])
 
     def run(batches):
         for pdf in batches:
-            rows = [(cv, d, *fit(np.asarray(t), np.asarray(y))) for cv, d, t, y in pdf[["curve", "d", "ten", "ys"]].itertuples(index=False) if len(t) >= min_points]
-            yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
+            pdf = pdf[pdf["ten"].map(len) >= min_points]
+            for tenors, same in pdf.groupby(pdf["ten"].map(tuple), sort=False):
+                for at in range(0, len(same), stack):
+                    part = same.iloc[at : at + stack]
+                    fit = _zoomed_fit(np.array(tenors, float), np.array(part["ys"].tolist(), float), levels, width)
+                    yield pd.DataFrame({"curve": part["curve"].to_numpy(), "d": part["d"].to_numpy(), **dict(zip(names, fit.T, strict=True))})
 
     return p.mapInPandas(run, schema)
 

@@ -148,11 +148,8 @@ def state_vs_label(df: DataFrame, by: list[str], p: str = "p", label: str = "lab
 
 
 def regime_asof_daily(days: DataFrame, regimes: DataFrame, by: list[str], lag_days: int = 45) -> DataFrame:
-    """Monthly labels on daily dates once they are published; labels travel as codes through the as-of join."""
-    code = F.coalesce(*[F.when(F.col("regime") == s, F.lit(float(k))) for k, s in enumerate(REGIMES)])
-    released = regimes.select(*by, F.date_add("d", lag_days).alias("d"), code.alias("code"))
-    j = asof(days, released, by, "code")
-    return j.withColumn("regime", F.coalesce(*[F.when(F.col("code") == k, F.lit(s)) for k, s in enumerate(REGIMES)])).drop("code")
+    """Monthly labels on daily dates once they are published."""
+    return asof(days, regimes.select(*by, F.date_add("d", lag_days).alias("d"), "regime"), by, "regime")
 
 
 # ---- regime portfolios ----
