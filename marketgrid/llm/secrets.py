@@ -2,20 +2,22 @@
 
 Three base patterns run over the text. A worklist then unwraps percent encoding, character escapes, base64
 and compressed bytes; each unwrapped layer is scanned with the same patterns and unwrapped again until
-nothing new appears. Every layer keeps, for each of its characters, the range of the original text it came from.
+nothing new appears. Layers are bytes, clean text or not, and keep for each byte the range of the original
+text it came from.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
+import io
 import lzma
 import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import batches, free_name, octets
 
-LAYER_BYTES = 64_000_000  # a compressed layer that opens to more stays closed and is reported
+LAYER_BYTES = 64_000_000  # a compressed layer that opens to more is read in parts of this size and reported
+OVERLAP = 65_536  # bytes that such parts share
 KINDS = ("assign", "access", "hex")
 _ASSIGN = rb"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 _BASE = (
@@ -33,12 +36,16 @@ _BASE = (
 )
 _CUES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _HEX = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
-_PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
-_ESCAPE = re.compile(r"\\u([Dd][89ABab][0-9A-Fa-f]{2})\\u([Dd][C-Fc-f][0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-_TOKEN = re.compile(r"\S+")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_BASE64_BYTES = re.compile(rb"[A-Za-z0-9+/_-]{16,}={0,2}")
-_CONTROL = re.compile(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]")
+_PERCENT = re.compile(rb"%[0-9A-Fa-f]{2}")
+_ESCAPE = re.compile(rb"\\u([Dd][89ABab][0-9A-Fa-f]{2})\\u([Dd][C-Fc-f][0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+_TOKEN = re.compile(rb"\S+")
+_BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{16,}={0,2}")
+_STANDARD = bytes.maketrans(b"-_", b"+/")
+_CONTROL = re.compile(rb"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]")
+_WIDE = tuple(re.compile(p) for p in (rb"(?:[\t\r\n\x20-\x7E]\x00){14,}", rb"(?:\x00[\t\r\n\x20-\x7E]){14,}", rb"(?:[\t\r\n\x20-\x7E]\x00{3}){14,}", rb"(?:\x00{3}[\t\r\n\x20-\x7E]){14,}"))  # ASCII in UTF-16 and UTF-32
+_MAGIC = re.compile(rb"(\x1F\x8B\x08)|(BZh[1-9])(?=1AY&SY)|(\xFD7zXZ\x00)|(x[\x01\x5E\x9C\xDA])|(\x28\xB5\x2F\xFD)")
+_OPENERS = (lambda: zlib.decompressobj(31), bz2.BZ2Decompressor, lzma.LZMADecompressor, zlib.decompressobj, None)
+_BROKEN = (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError)
 
 
 def base_spans(text: bytes) -> list[tuple[str, int, int]]:
@@ -62,66 +69,110 @@ def _points(text: bytes, found: list[tuple[str, int, int]]) -> list[tuple[str, i
     return [(k, place[a], place[b]) for k, a, b in found]
 
 
-def _text(raw: bytes) -> str | None:
-    """Readable text, or None for bytes that aren't."""
+def _clean(data: bytes) -> bool:
+    """Whether the bytes are readable text."""
     try:
-        text = raw.decode("utf-8")
+        data.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    return None if _CONTROL.search(text) else text
+        return False
+    return not _CONTROL.search(data)
 
 
-def _inflate(raw: bytes, limit: int) -> tuple[bytes | None, bool]:
-    """(content, whether it is over the limit) of gzip, zlib, bzip2, xz or zstd bytes; None for others."""
-    for magic, opener in ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ\x00", lzma.LZMADecompressor), (b"x", zlib.decompressobj), (b"\x28\xb5\x2f\xfd", None)):
-        if not raw.startswith(magic):
-            continue
-        try:
-            out = zstandard.ZstdDecompressor().stream_reader(raw).read(limit + 1) if opener is None else opener().decompress(raw, limit + 1)
-        except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError):
-            return None, False
-        return (None, True) if len(out) > limit else (out, False)
-    return None, False
+def _members(raw: bytes, at: int, kind: int) -> Iterator[tuple[bytes, int]]:
+    """(block, where its input ends) of the compressed stream at ``at`` and of the members that follow it.
+
+    The last block is empty and comes only after a stream without an error or a cut end.
+    """
+    step = 1 << 20
+    if _OPENERS[kind] is None:
+        reader = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw[at:]), read_across_frames=True)
+        while block := reader.read(step):
+            yield block, len(raw)
+        yield b"", len(raw)
+        return
+    whole = False
+    while True:
+        d, more = _OPENERS[kind](), b""
+        while not d.eof:
+            if not more and getattr(d, "needs_input", True):
+                if at >= len(raw):
+                    rest = d.flush() if hasattr(d, "flush") else b""
+                    if rest:
+                        yield rest, at
+                    if d.eof:
+                        break
+                    return
+                more = raw[at : at + 65536]
+                at += len(more)
+            block = d.decompress(more, step)
+            more = getattr(d, "unconsumed_tail", b"")
+            if block:
+                yield block, at
+        at -= len(d.unused_data)
+        follows = at
+        while raw[follows : follows + 1] == b"\0":  # padding between members
+            follows += 1
+        whole = True
+        if not ((m := _MAGIC.match(raw, follows)) and m.lastindex == kind + 1):
+            break
+        at = follows
+    if whole:
+        yield b"", at
+
+
+def _inflated(raw: bytes, at: int, kind: int, limit: int) -> Iterator[tuple[bytes, int, bool, bool]]:
+    """(content, end of its input, whether the stream ended well, whether it is over the limit), in parts of ``limit`` bytes that overlap.
+
+    What comes before an error counts. Only what is over the limit makes more than one part.
+    """
+    held, end, well, fresh, cut = bytearray(), at, False, 0, False
+    try:
+        for block, end in _members(raw, at, kind):
+            well = not block
+            held += block
+            fresh += len(block)
+            while fresh > limit:
+                size, cut = len(held) - (fresh - limit), True
+                yield bytes(held[:size]), end, False, True
+                del held[: max(size - OVERLAP, 0)]
+                fresh -= limit
+    except _BROKEN:
+        well = False
+    if fresh:
+        yield bytes(held), end, well, cut
 
 
 class _Layer:
-    """A text and, for each character, its range in the original text."""
+    """Bytes and, for each of them, its range in the original text; two numbers where all have the same range."""
+
+    def __init__(self, data: bytes, starts: np.ndarray | int, ends: np.ndarray | int):
+        self.data, self.starts, self.ends = data, starts, ends
 
-    def __init__(self, text: str, starts: list[int] | range, ends: list[int] | range):
-        self.text, self.starts, self.ends = text, starts, ends
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        if isinstance(self.starts, int):
+            return self.starts, self.ends
+        return int(self.starts[a]), int(self.ends[b - 1])
+
+    def taken(self, data: bytes, first: np.ndarray, last: np.ndarray) -> _Layer:
+        """A layer whose bytes come from the bytes ``first`` to ``last`` of this one."""
+        if isinstance(self.starts, int):
+            return _Layer(data, self.starts, self.ends)
+        return _Layer(data, self.starts[first], self.ends[last])
 
 
 def _pieces(layer: _Layer, a: int, b: int, pattern: re.Pattern, decode) -> _Layer:
-    """Characters a to b with each match of the pattern replaced by what it stands for."""
-    out, starts, ends, raw, where = [], [], [], bytearray(), []
-
-    def flush() -> None:
-        at = 0
-        for c in bytes(raw).decode("utf-8", "replace"):
-            width = min(len(c.encode()), len(where) - at) or 1
-            out.append(c)
-            starts.append(where[min(at, len(where) - 1)][0])
-            ends.append(where[min(at + width, len(where)) - 1][1])
-            at += width
-        raw.clear()
-        where.clear()
-
-    at = a
-    for m in pattern.finditer(layer.text, a, b):
-        if m.start() > at:
-            flush()
-            out.extend(layer.text[at : m.start()])
-            starts.extend(layer.starts[at : m.start()])
-            ends.extend(layer.ends[at : m.start()])
+    """Bytes a to b with each match of the pattern replaced by what it stands for."""
+    if isinstance(layer.starts, int):
+        return _Layer(pattern.sub(decode, layer.data[a:b]), layer.starts, layer.ends)
+    out, first, last, at = [], [], [], a
+    for m in pattern.finditer(layer.data, a, b):
         got = decode(m)
-        raw.extend(got)
-        where.extend([(layer.starts[m.start()], layer.ends[m.end() - 1])] * len(got))
+        out += [layer.data[at : m.start()], got]
+        first += [np.arange(at, m.start()), np.full(len(got), m.start())]
+        last += [np.arange(at, m.start()), np.full(len(got), m.end() - 1)]
         at = m.end()
-    flush()
-    out.extend(layer.text[at:b])
-    starts.extend(layer.starts[at:b])
-    ends.extend(layer.ends[at:b])
-    return _Layer("".join(out), starts, ends)
+    rest = np.arange(at, b)
+    return layer.taken(b"".join([*out, layer.data[at:b]]), np.concatenate([*first, rest]), np.concatenate([*last, rest]))
 
 
 def _escaped(m: re.Match) -> bytes:
@@ -129,42 +180,53 @@ def _escaped(m: re.Match) -> bytes:
         code = 0x10000 + (int(m.group(1), 16) - 0xD800 << 10) + int(m.group(2), 16) - 0xDC00
     else:
         code = int(next(g for g in m.groups() if g), 10 if m.group(8) else 16)
-    return chr(code).encode("utf-8", "surrogatepass") if code < 0x110000 else m.group().encode()
-
-
-def _unwrapped(layer: _Layer, limit: int) -> Iterator[_Layer | None]:
-    """The layers one step inside; None for one over the limit."""
-    text = layer.text
-    for cue, pattern, decode in (("%", _PERCENT, lambda m: bytes([int(m.group()[1:], 16)])), ("\\", _ESCAPE, _escaped), ("&#", _ESCAPE, _escaped)):
-        if cue in text and (cue != "&#" or "\\" not in text) and pattern.search(text):
-            for m in _TOKEN.finditer(text):
-                if pattern.search(text, m.start(), m.end()):
-                    yield _pieces(layer, m.start(), m.end(), pattern, decode)
-    for m in _BASE64.finditer(text):
-        token = m.group().rstrip("=")
-        if len(token) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(token.replace("-", "+").replace("_", "/") + "=" * (-len(token) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        opened, over = _inflate(raw, limit)
-        if over:
-            yield None
-        inside = _text(raw if opened is None else opened)
-        if not inside:
-            continue
-        begin, end = layer.starts[m.start()], layer.ends[m.end() - 1]
-        if opened is not None:
-            yield _Layer(inside, [begin] * len(inside), [end] * len(inside))
-            continue
-        starts, ends, at = [], [], 0
-        for c in inside:
-            width = len(c.encode())
-            starts.append(layer.starts[m.start() + at // 3 * 4])
-            ends.append(layer.ends[min(m.start() + ((at + width - 1) // 3 + 1) * 4, m.end()) - 1])
-            at += width
-        yield _Layer(inside, starts, ends)
+    return chr(code).encode("utf-8", "surrogatepass") if code < 0x110000 else m.group()
+
+
+def _decoded(layer: _Layer, chars: bytes, at: np.ndarray, stop: int) -> _Layer:
+    """Base64 characters, which stand at ``at`` and whose padding ends before ``stop``, as bytes."""
+    if len(chars) % 4 == 1:
+        chars = chars[:-1]
+    raw = binascii.a2b_base64(chars.translate(_STANDARD) + b"=" * (-len(chars) % 4))
+    group = np.arange(len(raw)) // 3 * 4
+    ends = np.concatenate([at[: len(chars)], np.full(4, stop - 1)])
+    return layer.taken(raw, at[group], ends[group + 3])
+
+
+def _unwrapped(layer: _Layer, limit: int) -> Iterator[tuple[_Layer, bool, bool]]:
+    """(layer, whether it is a whole compressed stream, whether it is over the limit) of the layers one step inside."""
+    data = layer.data
+    for cues, pattern, decode in (((b"%",), _PERCENT, lambda m: bytes([int(m.group()[1:], 16)])), ((b"\\", b"&#"), _ESCAPE, _escaped)):
+        if any(c in data for c in cues) and pattern.search(data):
+            for m in _TOKEN.finditer(data):
+                if pattern.search(data, m.start(), m.end()):
+                    yield _pieces(layer, m.start(), m.end(), pattern, decode), False, False
+    for m in _BASE64.finditer(data):
+        chars = m.group().rstrip(b"=")
+        yield _decoded(layer, chars, np.arange(m.start(), m.start() + len(chars)), m.end()), False, False
+
+
+def _opened(layer: _Layer, limit: int) -> Iterator[tuple[_Layer, bool, bool]]:
+    """As `_unwrapped`, the compressed streams and wide characters in bytes that came out of base64 or a stream."""
+    data, at = layer.data, 0
+    while m := _MAGIC.search(data, at):
+        at = m.start() + 1
+        for content, end, well, over in _inflated(data, m.start(), m.lastindex - 1, limit):
+            yield _Layer(content, *layer.span(m.start(), end)), well, over
+            if well:
+                at = end
+    if b"\0" in data:
+        for pattern, width, place in zip(_WIDE, (2, 2, 4, 4), (0, 1, 0, 3), strict=True):
+            for m in pattern.finditer(data):
+                first = np.arange(m.start(), m.end(), width)
+                yield layer.taken(data[m.start() + place : m.end() : width], first, first + width - 1), False, False
+
+
+def _root(text: bytes) -> _Layer:
+    """A text as the first layer; its ranges are code points."""
+    octet = np.frombuffer(text, np.uint8)
+    at = np.arange(len(octet)) if text.isascii() else np.cumsum((octet & 0xC0) != 0x80) - 1
+    return _Layer(text, at, at + 1)
 
 
 def spans(text: bytes | None, limit: int = LAYER_BYTES) -> tuple[list, list, int, bool]:
@@ -172,23 +234,22 @@ def spans(text: bytes | None, limit: int = LAYER_BYTES) -> tuple[list, list, int
     if not text:
         return [], [], 0, False
     base = _points(text, base_spans(text))
-    if b"%" not in text and b"\\" not in text and b"&#" not in text and not _BASE64_BYTES.search(text):
+    if b"%" not in text and b"\\" not in text and b"&#" not in text and not _BASE64.search(text):
         return base, base, 0, False
-    root = text.decode("utf-8", "replace")
-    work, seen, extra, layers, over = [_Layer(root, range(len(root)), range(1, len(root) + 1))], set(), set(), 0, False
+    work, seen, extra, layers, over = [(_root(text.decode("utf-8", "replace").encode()), False)], set(), set(), 0, False
     while work:
-        for inner in _unwrapped(work.pop(), limit):
-            if inner is None:
-                over = True
-                continue
-            mark = hashlib.blake2b(f"{inner.starts[0]}:{inner.ends[-1]}:{inner.text}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            if mark in seen:  # a layer that was here before: a cycle ends
+        layer, binary = work.pop()
+        inside = [_unwrapped(layer, limit), *([_opened(layer, limit)] if binary else [])]
+        for inner, whole, large in (x for it in inside for x in it):
+            over |= large
+            mark = hashlib.blake2b(b"%d:%d:" % inner.span(0, len(inner.data)) + inner.data, digest_size=16).digest() if inner.data else None
+            if mark is None or mark in seen:  # a layer that was here before: a cycle ends
                 continue
             seen.add(mark)
-            layers += 1
-            raw = inner.text.encode("utf-8", "replace")
-            extra.update((k, inner.starts[a], inner.ends[b - 1]) for k, a, b in _points(raw, base_spans(raw)))
-            work.append(inner)
+            found = base_spans(inner.data)
+            extra.update((k, *inner.span(a, b)) for k, a, b in found)
+            layers += bool(found) or whole or _clean(inner.data)  # other bytes, as long words give, aren't one
+            work.append((inner, True))
     return base, [*base, *extra], layers, over
 
 
@@ -215,9 +276,11 @@ def scan(docs: DataFrame, limit: int = LAYER_BYTES) -> DataFrame:
 
     Spans are kind:start:end in code points of the text, end exclusive; one found inside a layer covers the
     encoded characters it came from (all of them for a compressed layer). n_layers counts the layers opened;
-    unopened tells that a compressed layer held more than ``limit`` bytes and was left closed. Null texts are
-    empty, so they have no spans; repeated rows are answered each; an empty table gives an empty table. Other
-    columns are ignored.
+    bytes that are neither text nor a whole compressed stream are scanned too, but only count where they hold a
+    secret. unopened tells that a compressed layer held more than ``limit`` bytes: it is read in parts, each
+    scanned and unwrapped as a layer, and only an encoding that crosses parts by more than OVERLAP bytes may stay
+    closed in part. Null texts are empty, so they have no spans; repeated rows are answered each; an empty table
+    gives an empty table. Other columns are ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(_scan(limit), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long, unopened boolean")
