@@ -34,12 +34,15 @@ _BASE = (
     ("access", re.compile(rb"AKIA[A-Z0-9]+"), lambda m: m.end() - m.start() >= 16),
     ("hex", re.compile(rb"[0-9a-f]+"), lambda m: m.end() - m.start() >= 32),
 )
+_HEAD = re.compile(rb"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?(?=[A-Za-z0-9+/_.=-])", re.I)
+_VALUE = re.compile(rb"[A-Za-z0-9+/_.=-]+")
 _CUES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _HEX = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 _PERCENT = re.compile(rb"%[0-9A-Fa-f]{2}")
 _ESCAPE = re.compile(rb"\\u([Dd][89ABab][0-9A-Fa-f]{2})\\u([Dd][C-Fc-f][0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-_TOKEN = re.compile(rb"\S+")
 _BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED = re.compile(rb"[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}")
+_CHARS = re.compile(rb"[A-Za-z0-9+/_-]+")
 _STANDARD = bytes.maketrans(b"-_", b"+/")
 _CONTROL = re.compile(rb"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]")
 _WIDE = tuple(re.compile(p) for p in (rb"(?:[\t\r\n\x20-\x7E]\x00){14,}", rb"(?:\x00[\t\r\n\x20-\x7E]){14,}", rb"(?:[\t\r\n\x20-\x7E]\x00{3}){14,}", rb"(?:\x00{3}[\t\r\n\x20-\x7E]){14,}"))  # ASCII in UTF-16 and UTF-32
@@ -58,6 +61,18 @@ def base_spans(text: bytes) -> list[tuple[str, int, int]]:
     return found
 
 
+def _layer_spans(data: bytes) -> list[tuple[str, int, int]]:
+    """As `base_spans`, and the assignments that begin inside the match of another keyword, as decoding may put one before them."""
+    found, low = base_spans(data), data.lower()
+    if any(c in low for c in _CUES):
+        stop, held = 0, set(found)
+        for m in _HEAD.finditer(data):
+            stop = stop if m.end() < stop else _VALUE.match(data, m.end()).end()
+            if stop - m.end() >= 8 and ("assign", m.start(), stop) not in held:
+                found.append(("assign", m.start(), stop))
+    return found
+
+
 def _points(text: bytes, found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Byte offsets as code points."""
     if text.isascii() or not found:
@@ -160,19 +175,19 @@ class _Layer:
         return _Layer(data, self.starts[first], self.ends[last])
 
 
-def _pieces(layer: _Layer, a: int, b: int, pattern: re.Pattern, decode) -> _Layer:
-    """Bytes a to b with each match of the pattern replaced by what it stands for."""
+def _pieces(layer: _Layer, pattern: re.Pattern, decode) -> _Layer:
+    """The whole layer with each match of the pattern replaced by what it stands for, so that each keeps its context."""
     if isinstance(layer.starts, int):
-        return _Layer(pattern.sub(decode, layer.data[a:b]), layer.starts, layer.ends)
-    out, first, last, at = [], [], [], a
-    for m in pattern.finditer(layer.data, a, b):
+        return _Layer(pattern.sub(decode, layer.data), layer.starts, layer.ends)
+    out, first, last, at = [], [], [], 0
+    for m in pattern.finditer(layer.data):
         got = decode(m)
         out += [layer.data[at : m.start()], got]
         first += [np.arange(at, m.start()), np.full(len(got), m.start())]
         last += [np.arange(at, m.start()), np.full(len(got), m.end() - 1)]
         at = m.end()
-    rest = np.arange(at, b)
-    return layer.taken(b"".join([*out, layer.data[at:b]]), np.concatenate([*first, rest]), np.concatenate([*last, rest]))
+    rest = np.arange(at, len(layer.data))
+    return layer.taken(b"".join([*out, layer.data[at:]]), np.concatenate([*first, rest]), np.concatenate([*last, rest]))
 
 
 def _escaped(m: re.Match) -> bytes:
@@ -198,12 +213,18 @@ def _unwrapped(layer: _Layer, limit: int) -> Iterator[tuple[_Layer, bool, bool]]
     data = layer.data
     for cues, pattern, decode in (((b"%",), _PERCENT, lambda m: bytes([int(m.group()[1:], 16)])), ((b"\\", b"&#"), _ESCAPE, _escaped)):
         if any(c in data for c in cues) and pattern.search(data):
-            for m in _TOKEN.finditer(data):
-                if pattern.search(data, m.start(), m.end()):
-                    yield _pieces(layer, m.start(), m.end(), pattern, decode), False, False
+            yield _pieces(layer, pattern, decode), False, False
+    joined = 0
     for m in _BASE64.finditer(data):
-        chars = m.group().rstrip(b"=")
-        yield _decoded(layer, chars, np.arange(m.start(), m.start() + len(chars)), m.end()), False, False
+        runs = [m]
+        if m.start() >= joined and data[m.end() : m.end() + 1] in (b"\r", b"\n") and (lines := _WRAPPED.match(data, m.start())):
+            joined = lines.end()
+            runs.append(lines)
+        for run in runs:
+            parts = [(x.group(), x.start()) for x in _CHARS.finditer(data, run.start(), run.end())]
+            chars, at = b"".join(c for c, _ in parts), np.concatenate([np.arange(a, a + len(c)) for c, a in parts])
+            for skip in range(4):  # what a run is glued to, as a path, may shift it
+                yield _decoded(layer, chars[skip:], at[skip:], run.end()), False, False
 
 
 def _opened(layer: _Layer, limit: int) -> Iterator[tuple[_Layer, bool, bool]]:
@@ -246,7 +267,7 @@ def spans(text: bytes | None, limit: int = LAYER_BYTES) -> tuple[list, list, int
             if mark is None or mark in seen:  # a layer that was here before: a cycle ends
                 continue
             seen.add(mark)
-            found = base_spans(inner.data)
+            found = _layer_spans(inner.data)
             extra.update((k, *inner.span(a, b)) for k, a, b in found)
             layers += bool(found) or whole or _clean(inner.data)  # other bytes, as long words give, aren't one
             work.append((inner, True))

@@ -53,3 +53,26 @@ def test_large_layers_open_in_parts():
             assert secrets.spans(blob.encode(), limit=100_000)[3]
     cut = gzip.compress(SECRET + random.Random(2).randbytes(5000))[:3000]
     assert found(b64(cut))
+
+
+def test_encoded_values_keep_their_keywords():
+    for text, want in (
+        ("set api_key = abc%2Bdefgh123456 now", "api_key = abc%2Bdefgh123456"), ('a password: "\\u0068unter2hunter2" b', 'password: "\\u0068unter2hunter2'), ("token : abc&#100;efghij", "token : abc&#100;efghij"),
+        ("é%20é token: %61bcdefghijk", "token: %61bcdefghijk"), ("password: token:%61bcdefghij", "token:%61bcdefghij"), ("%70assword%20= abcdefghij", "%70assword%20= abcdefghij"),
+    ):
+        assert found(text)[-1] == want, text
+
+
+def test_wrapped_and_glued_base64():
+    r = random.Random(3)
+    filler = bytes(r.choice(b"abcdefgh \n") for _ in range(500))
+    for raw in (filler[:50] + SECRET + filler, gzip.compress(filler + SECRET + r.randbytes(300))):
+        whole = b64(raw)
+        for gap in ("\n", "\r\n", "\n    "):
+            wrapped = gap.join(whole[i : i + 76] for i in range(0, len(whole), 76))
+            shown = found(f"-----BEGIN-----\n{wrapped}\n-----END-----")[-1]
+            assert shown in wrapped and ("\n" in shown)
+    for glue in ("cb/", "a-", "xy_", "file", "/"):
+        for raw in (SECRET, gzip.compress(SECRET)):
+            text = f"see {glue}{b64(raw)} end"
+            assert b64(raw) in found(text)[-1], glue
