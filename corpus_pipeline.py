@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from marketgrid.llm import decontam, neardup, packing, quality, secrets
 from marketgrid.llm.common import stored, table
-from marketgrid.llm.queries import TOKENIZER
+from marketgrid.llm.queries import ADDED, TOKENIZER
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -31,7 +31,7 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document, with its place in a training window."""
-    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER), added=packing.added_tokens(public_tokenizers.path(ADDED)))
 
 
 STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("hide_secrets", hide_secrets), ("pack", pack)]

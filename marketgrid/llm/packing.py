@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -43,9 +45,33 @@ def encoder(path: str):
     return _ENCODERS[path]
 
 
-def _cut(path: str, capacity: int, piece: int, end: int):
+def added_tokens(path: str) -> dict[str, int]:
+    """Text -> id of the added tokens of a tokenizers .json, which its defaults find in plain text."""
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f)["added_tokens"]
+    if any(t[k] for t in tokens for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("an added token that isn't matched by its text alone")
+    return {t["content"]: t["id"] for t in tokens}
+
+
+def with_added(encode, added: dict[str, int]):
+    """``encode`` between the added tokens, which keep their own ids; of two at one place the longer one counts."""
+    if not added:
+        return encode
+    cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+
+    def run(text: str) -> list[int]:
+        parts = cut.split(text)
+        if len(parts) == 1:
+            return encode(text)
+        return [i for k, part in enumerate(parts) for i in ([added[part]] if k % 2 else encode(part) if part else [])]
+
+    return run
+
+
+def _cut(path: str, capacity: int, piece: int, end: int, added: dict[str, int]):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = with_added(encoder(path), added)
         for batch in batches(it):
             rows, starts, lengths, sums, totals = [], [], [], [], []
             for i, text in enumerate(octets(batch.column("text"))):
@@ -142,10 +168,12 @@ def _place(capacity: int, block: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, piece: int = PIECE, block: int = BLOCK, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, piece: int = PIECE, block: int = BLOCK, end: int = END, added: dict[str, int] | None = None) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     ``tokenizer`` is the path of the vocabulary file, on every machine. ``end`` follows each document's ids.
+    ``added`` holds tokens with ids of their own, wherever they stand in a text (`added_tokens`); without it they
+    are plain text.
     Pieces are written once; the packing then reads them task by task in blocks of ``block`` rests, without a
     shuffle, so neither one document's length nor repeated rows gather anywhere. A task that runs again reads
     the same split and numbers its windows alike. Null and empty texts are the end id alone; repeated rows are
@@ -153,5 +181,5 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, piece: int =
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     shape = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
-    pieces = stored(docs.select("doc_id", "text").mapInArrow(_cut(tokenizer, capacity, piece, end), shape))
+    pieces = stored(docs.select("doc_id", "text").mapInArrow(_cut(tokenizer, capacity, piece, end, added or {}), shape))
     return pieces.mapInArrow(_place(capacity, block), f"{shape}, sequence_id long, offset long")

@@ -12,6 +12,7 @@ from . import decontam, langid, licenses, neardup, packing, preference, quality,
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"  # the same vocabulary as byte_bpe_50k.json, as ranks
+ADDED = "byte_bpe_50k.json"  # it alone holds the added tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -105,7 +106,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_packing")
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), added=packing.added_tokens(public_tokenizers.path(ADDED)))
 
 
 @query("op4_language")
