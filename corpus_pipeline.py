@@ -15,8 +15,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that with the smallest id."""
-    return neardup.drop_near_duplicates(docs)
+    """One document of each near-duplicate group stays, that with the smallest id, or one without an id where no other has one."""
+    return neardup.drop_near_duplicates(docs, unnamed=True)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -141,19 +141,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return counted.where(F.col("shared") * 100 >= F.col("total") * percent).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs(doc_id, text)``.
-
-    Equal texts fold into one class before anything else, so copies never meet in a bucket. A pair at
-    exactly the threshold misses all bands with a chance of (1 - 0.75**rows)**bands, 1e-5 here. In a bucket
-    each class is first compared with one leader; only where classes of different groups still share a bucket
-    are these compared, across groups. Of those pairs a parity sketch rules out nearly all that can't be links,
-    by a bound that never errs, so few rows are made and no candidate link is skipped.
-
-    Null and wordless texts have an empty set and are alone; their component_id is their own doc_id. Repeated
-    rows are copies of each other. A null doc_id takes part by its text and is never the smallest id; a class of
-    nothing else has a null component_id and isn't kept. Columns other than doc_id and text are ignored.
-    """
+def _classes(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, n_shingles) of each row, and (key, node, low, comp) of each class of equal texts with words; see `near_duplicates`."""
     texts = docs.select("doc_id", "text", F.unhex(F.md5("text")).alias("key"))
     signed = stored(texts.mapInArrow(_signatures(words, bands, rows), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, n_shingles long, bands array<long>"))
     classes = stored(
@@ -185,6 +174,22 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bands: int = BANDS, row
             groups = stored(components(groups.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(more)))
 
     joined = classes.select("key", "node", "low").join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    return signed.select("doc_id", "key", "n_shingles"), joined
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs(doc_id, text)``.
+
+    Equal texts fold into one class before anything else, so copies never meet in a bucket. A pair at
+    exactly the threshold misses all bands with a chance of (1 - 0.75**rows)**bands, 1e-5 here. In a bucket
+    each class is first compared with one leader; only where classes of different groups still share a bucket
+    are these compared, across groups. Of those pairs a parity sketch rules out nearly all that can't be links,
+    by a bound that never errs, so few rows are made and no candidate link is skipped.
+
+    Null and wordless texts have an empty set and are alone; their component_id is their own doc_id. Repeated
+    rows are copies of each other. A null doc_id takes part by its text and is never the smallest id; a class of
+    nothing else has a null component_id and isn't kept. Columns other than doc_id and text are ignored.
+    """
+    signed, joined = _classes(docs, words, bands, rows, percent)
     lowest = stored(joined.groupBy("comp").agg(F.min("low").alias("component_id")))
     named = joined.join(lowest, "comp").select("key", "component_id")
     out = signed.select("doc_id", "n_shingles", "key").join(named, "key", "left")
@@ -192,11 +197,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bands: int = BANDS, row
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, unnamed: bool = False, **options) -> DataFrame:
     """One row of ``docs`` for each group, with all its columns: that with the group's smallest doc_id.
 
-    A row without a doc_id can't be that one and goes; of rows that share the smallest doc_id any one stays.
+    Rows are told apart by doc_id and text, so groups that share a doc_id keep a row each; of equal rows any one
+    stays. A row without a doc_id comes last in its group; a group of nothing else keeps one row if ``unnamed``, and
+    goes if not. Rows without words are alone, and each of them stays (without a doc_id: if ``unnamed``).
     """
-    name = free_name(docs, "kept_id")
-    kept = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(kept, docs["doc_id"] == kept[name], "left_semi").dropDuplicates(["doc_id"])
+    name, key = free_name(docs, "kept_id"), free_name(docs, "kept_key")
+    _, classes = _classes(docs, **options)
+    first = classes.groupBy("comp").agg(F.min(F.struct(F.col("low").isNull().alias("last"), "low", "key")).alias("one")).select(F.col("one.low").alias(name), F.col("one.key").alias(key))
+    if not unnamed:
+        docs, first = docs.where("doc_id is not null"), first.where(F.col(name).isNotNull())
+    worded = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    keyed = docs.where(worded).withColumn(key, F.unhex(F.md5("text")))
+    kept = keyed.join(first, keyed["doc_id"].eqNullSafe(first[name]) & (keyed[key] == first[key]), "left_semi").dropDuplicates(["doc_id", key])
+    return kept.drop(key).union(docs.where(~worded))

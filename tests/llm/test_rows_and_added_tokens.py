@@ -1,4 +1,4 @@
-"""Added tokens of the tokenizer in texts."""
+"""One row of each near-duplicate group also where doc_ids are missing or shared; added tokens of the tokenizer."""
 
 import random
 import sys
@@ -10,7 +10,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 sys.path.insert(0, str(Path(__file__).parent))
-from fixtures import docs  # noqa: E402
+from fixtures import docs, prose  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from marketgrid.llm import packing, queries  # noqa: E402
@@ -40,3 +40,12 @@ def test_random_texts_with_added_tokens_encode_alike():
     r, pieces = random.Random(2), ["<|endoftext|>", "<|", "endoftext", "|>", " the", "  ", "\n", "'ll", "é", "12"]
     texts = ["".join(r.choice(pieces) for _ in range(r.randint(1, 20))) for _ in range(2000)]
     assert [[*encode(x), 1] for x in texts] == want(texts)
+
+
+def test_each_group_keeps_a_row_whatever_its_doc_ids(spark):
+    a, b, c, d = (prose(i, 60) for i in range(900, 904))
+    rows = [(None, a), (None, a), (None, a + " more"), (5, b), (5, c), (4, c), (5, c + " more"), (None, d), (9, d + " more"), (None, None), (7, ""), (7, " ")]
+    left = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs(spark, rows), "").collect()), key=repr)
+    own = [x for x in left if x[0] is None and x[1]]
+    assert len(own) == 1 and own[0][1] in (a, a + " more")
+    assert sorted((x for x in left if x not in own), key=repr) == sorted([(5, b), (4, c), (9, d + " more"), (None, None), (7, ""), (7, " ")], key=repr)
