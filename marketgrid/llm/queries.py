@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, infill, langid, licenses, neardup, packing, preference, quality, sanitise, secrets, warc
+from . import decontam, infill, langid, licenses, neardup, packing, preference, quality, ranked, rulefit, sanitise, secrets, warc
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"  # the same vocabulary as byte_bpe_50k.json, as ranks
@@ -263,3 +263,30 @@ def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = infill.restore(infill.transform(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
     digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
     return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
+@query("op12_quality_rules")
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rulefit.split_classify(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query(
+    "op13_ranked_search",
+    f"""
+    WITH docs AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS w FROM documents),
+    sizes AS (SELECT row, doc_id, CAST(len(w) AS BIGINT) AS n, w FROM docs WHERE len(w) > 0),
+    total AS (SELECT COUNT(*) AS big_n, CAST(SUM(n) AS BIGINT) AS big_l FROM sizes),
+    posts AS (SELECT row, doc_id, n, t, COUNT(*) AS tf FROM (SELECT row, doc_id, n, unnest(w) AS t FROM sizes) GROUP BY ALL),
+    weights AS (SELECT t, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * COUNT(*) + 1))) AS BIGINT) AS weight FROM posts, total GROUP BY t, big_n),
+    items AS (SELECT row_number() OVER () AS item, item_id, {_TERMS} AS w FROM benchmark),
+    asked AS (SELECT item, item_id, t, COUNT(*) AS c FROM (SELECT item, item_id, unnest(w) AS t FROM items) GROUP BY ALL),
+    scored AS (SELECT item, item_id, row, doc_id, CAST(SUM(c * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l)))) AS BIGINT) AS score
+               FROM asked JOIN weights USING (t) JOIN posts USING (t), total GROUP BY ALL)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 20""",
+)
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(spark, ranked.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
