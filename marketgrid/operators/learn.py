@@ -2,27 +2,24 @@
 
 Linear models need only the Gram matrix of (signals, target) over the training rows. Those matrices come from
 the same mergeable pair sums as covariances, with one series per signal, so every refit of every asset is one
-aggregation followed by a small solve; no training rows are collected. Trees and classifiers are Spark ML fits,
-one model per refit date over all assets.
+aggregation followed by a small solve; no training rows are collected. Logistic regressions (`logit`) and trees
+(`trees`) of all refits are solved together, one pooled model per refit date over all assets.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Interaction, OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expr import win
-from ..session import stored
 from .covariance import calendar, chunks, epoch_sums, pair_sums, series_means
+from .logit import LOGITS, walk_forward_logit
+from .trees import walk_forward_events, walk_forward_trees
+
+__all__ = ["CLASSIFIERS", "GRIDS", "LOGITS", "MODELS", "linear_coefficients", "linear_forecasts", "solve_linear", "walk_forward_classifier", "walk_forward_logit", "walk_forward_trees"]
 
 TARGET = "\x01target"  # sorts before every signal name
 
@@ -134,119 +131,18 @@ def linear_forecasts(panel: DataFrame, coefs: DataFrame, asset: str = "asset", d
     return g.filter("_k = _n").select(asset, "spec", d, (F.col("_z") * F.col("_s") + F.col("_m")).alias("forecast"))
 
 
-def tree_model(name: str, prm: dict | None = None):
-    """Spark ML regressor for a registered tree model; values differ from other libraries' trees."""
-    prm = prm or {}
-    common = {"featuresCol": "_f", "labelCol": "y", "predictionCol": "forecast", "seed": 0}
-    if name == "random_forest":
-        return RandomForestRegressor(numTrees=prm.get("n_estimators", 300), maxDepth=prm.get("max_depth", 4), minInstancesPerNode=20, featureSubsetStrategy="all", **common)
-    if name == "gradient_boosting":
-        return GBTRegressor(maxIter=prm.get("n_estimators", 200), maxDepth=prm.get("max_depth", 2), stepSize=prm.get("learning_rate", 0.02), subsamplingRate=0.7, **common)
-    if name == "shallow_tree":
-        return DecisionTreeRegressor(maxDepth=prm.get("max_depth", 3), minInstancesPerNode=24, **common)
-    raise ValueError(f"unknown tree model: {name}")
-
-
 MODELS = ("elastic_net", "ridge", "random_forest", "gradient_boosting", "shallow_tree")
-
-
-def refit_dates(dates: DataFrame, first: int, every: int, back: int, d: str = "d") -> list[tuple]:
-    """(fit date, last training date, end of use) per refit; one short row per refit reaches the driver."""
-    cal = dates.select(d).distinct().withColumn("_u", F.lit(1))
-    w = win(["_u"], d)
-    c = cal.withColumn("rn", F.row_number().over(w) - 1).withColumn("train_end", F.lag(d, back + 1).over(w)).withColumn("until", F.lead(d, every).over(w))
-    rows = c.filter((F.col("rn") >= first) & ((F.col("rn") - first) % every == 0)).select(d, "train_end", "until").orderBy(d).collect()
-    return [(r[0], r[1], r[2]) for r in rows]
-
-
-def _complete(features: list[str]):
-    return reduce(lambda a, b: a & b, (F.col(k).isNotNull() & ~F.isnan(F.col(k).cast("double")) for k in features))
-
-
-def _joined(rows: DataFrame, parts: list[DataFrame], first, value: str, d: str) -> DataFrame:
-    """Every row from the first refit on; those without all features have a null value."""
-    keys = rows.filter(F.col(d) >= F.lit(first)).select("asset", d)
-    return keys.join(reduce(DataFrame.unionByName, parts), ["asset", d], "left").select("asset", d, value)
-
-
-def asset_features(rows: DataFrame, features: list[str], out: str = "_f") -> DataFrame:
-    """The features, which asset it is, and each feature of that asset alone, as one sparse vector.
-
-    Signals are common to all assets, so a pooled model needs the last two to tell assets apart.
-    """
-    v = VectorAssembler(inputCols=features, outputCol="_x").transform(rows)
-    indexed = StringIndexer(inputCol="asset", outputCol="_a", stringOrderType="alphabetAsc").fit(v).transform(v)
-    hot = OneHotEncoder(inputCol="_a", outputCol="_hot", dropLast=False).fit(indexed).transform(indexed)
-    own = Interaction(inputCols=["_hot", "_x"], outputCol="_own").transform(hot)
-    return VectorAssembler(inputCols=["_x", "_hot", "_own"], outputCol=out).transform(own).drop("_x", "_a", "_hot", "_own")
-
-
-def walk_forward_trees(wide: DataFrame, features: list[str], specs: list[tuple[str, str, dict | None]], min_train: int = 180, refit_every: int = 12,
-                       horizon: int = 1, embargo: int = 12, d: str = "d") -> DataFrame:
-    """(asset, d, spec, forecast) of tree models fitted per refit date with purged training rows.
-
-    `wide` is (asset, d, y, features...), `specs` lists (name, model, parameters). Each fit is one distributed job
-    over all assets with asset-own features. Rows that lack a feature train nothing and get a null forecast.
-    """
-    refits = refit_dates(wide, min_train + horizon + embargo, refit_every, horizon + embargo, d)
-    if not refits:
-        return wide.select("asset", d, F.lit("").alias("spec"), F.lit(0.0).alias("forecast")).limit(0)
-    rows = stored(asset_features(wide.filter(_complete(features)), features).select("asset", d, "y", "_f"))
-    out = []
-    for name, model, prm in specs:
-        parts = []
-        for at, train_end, until in refits:
-            fitted = tree_model(model, prm).fit(rows.filter((F.col(d) <= F.lit(train_end)) & F.col("y").isNotNull()))
-            use = rows.filter((F.col(d) >= F.lit(at)) & ((F.col(d) < F.lit(until)) if until is not None else F.lit(True)))
-            parts.append(fitted.transform(use).select("asset", d, "forecast"))
-        out.append(_joined(wide, parts, refits[0][0], "forecast", d).select("asset", d, F.lit(name).alias("spec"), "forecast"))
-    return reduce(DataFrame.unionByName, out)
-
-
-def classifier(name: str, n: int):
-    """Spark ML classifier for a registered model on n training rows.
-
-    Penalties are stated per row: a penalty weight C on the summed loss is 1 / (C n) on Spark's mean loss. The
-    intercept is never penalised.
-    """
-    common = {"featuresCol": "_f", "labelCol": "y", "predictionCol": "_cls"}
-    if name == "logit":
-        return LogisticRegression(maxIter=200, regParam=1.0 / (1.0 * n), elasticNetParam=0.0, standardization=True, **common).setProbabilityCol("_prob")
-    if name == "logit_l1":
-        return LogisticRegression(maxIter=400, regParam=1.0 / (0.1 * n), elasticNetParam=1.0, **common).setProbabilityCol("_prob")
-    if name == "random_forest":
-        return RandomForestClassifier(numTrees=300, maxDepth=4, minInstancesPerNode=12, seed=20260830, **common).setProbabilityCol("_prob")
-    if name == "gradient_boosting":
-        return GBTClassifier(maxIter=200, maxDepth=2, stepSize=0.05, seed=20260830, **common).setProbabilityCol("_prob")
-    raise ValueError(f"unknown classifier: {name}")
-
-
 CLASSIFIERS = ("logit", "logit_l1", "random_forest", "gradient_boosting")
 
 
 def walk_forward_classifier(wide: DataFrame, features: list[str], model: str = "logit", min_train: int = 120, window: int | None = None,
-                            refit_every: int = 1, d: str = "d") -> DataFrame:
-    """Probability of the event from expanding or rolling fits on the rows before each refit date.
+                            refit_every: int = 1, d: str = "d", ddof: int = 1) -> DataFrame:
+    """Probability of the event from expanding or rolling fits on the rows before each refit date; (asset, d, p).
 
     A training set with one class predicts its base rate; one with fewer than half of `min_train` rows predicts
-    nothing. Rows that lack a feature train nothing and get a null probability. The labelled rows and events of each
-    date reach the driver, one short row a date, so a refit asks for nothing but its fit.
+    nothing. Rows that lack a feature train nothing and get a null probability. A window counts dates; `ddof` is that of
+    the deviations by which the logits standardise.
     """
-    refits = refit_dates(wide, min_train, refit_every, 0, d)
-    if not refits:
-        return wide.select("asset", d).withColumn("p", F.lit(0.0)).limit(0)
-    rows = stored(VectorAssembler(inputCols=features, outputCol="_f").transform(wide.filter(_complete(features))).select("asset", d, "y", "_f"))
-    days = [tuple(r) for r in rows.filter("y is not null").groupBy(d).agg(F.count("*"), F.sum("y")).orderBy(d).collect()]
-    parts = []
-    for at, train_end, until in refits:
-        known = [r for r in days if train_end is not None and r[0] <= train_end][-(window or 0):]
-        n, events = sum(r[1] for r in known), sum(r[2] for r in known)
-        use = rows.filter((F.col(d) >= F.lit(at)) & ((F.col(d) < F.lit(until)) if until is not None else F.lit(True)))
-        if not n or n < min_train // 2:
-            parts.append(use.select("asset", d, F.lit(None).cast("double").alias("p")))
-        elif events in (0, n):
-            parts.append(use.select("asset", d, F.lit(float(events) / n).alias("p")))
-        else:
-            train = rows.filter(F.col("y").isNotNull() & F.col(d).between(F.lit(known[0][0]), F.lit(train_end)))
-            parts.append(classifier(model, n).fit(train).transform(use).select("asset", d, vector_to_array("_prob")[1].alias("p")))
-    return _joined(wide, parts, refits[0][0], "p", d)
+    if model in LOGITS:
+        return walk_forward_logit(wide, features, model, min_train, window, refit_every, d, ddof)[0]
+    return walk_forward_events(wide, features, model, min_train, window, refit_every, d)

@@ -169,7 +169,7 @@ def _(t):
 @query("linear_models")
 def _(t):
     x, y = ml_inputs(t)
-    c = L.linear_coefficients(x, y, SPECS, min_train=30, refit_every=24, horizon=1, embargo=3)
+    c = L.linear_coefficients(x, y, SPECS, min_train=30, refit_every=12, horizon=1, embargo=3)
     return out(c, "b", "mx", "sx", keys=("asset", "fit", "spec", "signal"))
 
 
@@ -181,7 +181,7 @@ def tree_wide(t):
 
 def forest(t, specs):
     wide, names = tree_wide(t)
-    return L.walk_forward_trees(wide, names, specs, min_train=30, refit_every=24, embargo=3)
+    return L.walk_forward_trees(wide, names, specs, min_train=30, refit_every=12, embargo=3)
 
 
 @query("tune_grid")
@@ -203,14 +203,51 @@ def _(t):
     return out(f.withColumnRenamed("spec", "model"), "forecast", keys=("asset", "model", "d"))
 
 
+def events(t):
+    """Events that are visible by now, and the two latest returns."""
+    w = win(["asset"])
+    return stored(FC.visible_target(evt(t), ["asset"], "y", 6, lag=6).select("asset", "d", F.col("target").alias("y"), F.lag("r", 1).over(w).alias("x1"), F.lag("r", 2).over(w).alias("x2")))
+
+
 @query("walk_forward_classifier")
 def _(t):
-    w = win(["asset"])
-    e = stored(FC.visible_target(evt(t), ["asset"], "y", 6, lag=6).select("asset", "d", F.col("target").alias("y"), F.lag("r", 1).over(w).alias("x1"), F.lag("r", 2).over(w).alias("x2")))
-    each = [L.walk_forward_classifier(e, ["x1", "x2"], m, min_train=36, refit_every=24).withColumn("model", F.lit(m)) for m in L.CLASSIFIERS]
+    e = events(t)
+    each = [L.walk_forward_classifier(e, ["x1", "x2"], m, min_train=36, refit_every=1, ddof=0).withColumn("model", F.lit(m)) for m in L.CLASSIFIERS]
     return out(reduce(lambda a, b: a.unionByName(b), each), "p", keys=("asset", "d", "model"))
 
 
+view("evt_v", """SELECT asset, d, LAG(target, 6) OVER w AS y, LAG(r, 1) OVER w AS x1, LAG(r, 2) OVER w AS x2 FROM evt_f WINDOW w AS (PARTITION BY asset ORDER BY d)""")
+view("evt_cal", "SELECT d, row_number() OVER (ORDER BY d) - 1 AS pos FROM (SELECT DISTINCT d FROM evt_v)")
+
+
+@query("walk_forward_classifier_check", """WITH t AS (SELECT c.d AS fit, v.* FROM evt_cal c JOIN evt_cal e ON e.pos < c.pos JOIN evt_v v ON v.d = e.d WHERE c.pos >= 36 AND y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL),
+  s AS (SELECT fit, COUNT(*) AS n, SUM(y) AS events, AVG(x1) AS m1, AVG(x2) AS m2, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2 FROM t GROUP BY 1 HAVING COUNT(*) >= 18 AND SUM(y) BETWEEN 1 AND COUNT(*) - 1)
+  SELECT fit, model, k.term, n, events, round(CASE k.term WHEN 'x1' THEN m1 WHEN 'x2' THEN m2 END, 6)+0.0 AS mean_x, round(CASE k.term WHEN 'x1' THEN s1 WHEN 'x2' THEN s2 END, 6)+0.0 AS sd_x, 0.0::DOUBLE AS residual
+  FROM s, (VALUES ('(intercept)'), ('x1'), ('x2')) k(term), (VALUES ('logit'), ('logit_l1')) g(model)""")
+def _(t):
+    """Every fit of both logits solves its score equations: residuals balance the penalty, or lie within it where a beta is zero."""
+    e = events(t)
+    rows = e.dropna(subset=["y", "x1", "x2"])
+    parts = []
+    for model, (inverse, kind) in L.LOGITS.items():
+        f = stored(L.walk_forward_logit(e, ["x1", "x2"], model, min_train=36, refit_every=1, ddof=0)[1].filter("intercept is not null"))
+        z = lambda i: (F.col(f"x{i}") - F.col("terms")[i - 1]["mean"]) / F.col("terms")[i - 1]["sd"]
+        score = F.col("intercept") + F.col("terms")[0]["beta"] * z(1) + F.col("terms")[1]["beta"] * z(2)
+        miss = 1.0 / (1.0 + F.exp(-score)) - F.col("y")
+        j = f.join(rows, F.col("d") < F.col("fit"))
+        g = j.groupBy("fit", "n", "events", "terms").agg(F.sum(miss).alias("g0"), *(F.sum(miss * z(i)).alias(f"g{i}") for i in (1, 2)))
+
+        def residual(beta, grad):
+            if kind == "l2":
+                return grad + beta / inverse
+            return F.when(beta != 0, grad + F.signum(beta) / inverse).otherwise(F.greatest(F.abs(grad) - 1.0 / inverse, F.lit(0.0)))
+
+        lines = [F.struct(F.lit("(intercept)").alias("term"), F.lit(None).cast("double").alias("mean_x"), F.lit(None).cast("double").alias("sd_x"), F.col("g0").alias("residual"))]
+        lines += [F.struct(F.lit(f"x{i}").alias("term"), F.col("terms")[i - 1]["mean"].alias("mean_x"), F.col("terms")[i - 1]["sd"].alias("sd_x"), residual(F.col("terms")[i - 1]["beta"], F.col(f"g{i}")).alias("residual")) for i in (1, 2)]
+        parts.append(g.select("fit", F.lit(model).alias("model"), "n", "events", F.explode(F.array(*lines)).alias("l")).select("fit", "model", "n", "events", "l.*"))
+    return out(reduce(lambda a, b: a.unionByName(b), parts), "mean_x", "sd_x", "residual", keys=("fit", "model", "term", "n", "events"))
+
+
 @query("skill_split", """WITH f AS (SELECT f.*, bench, row_number() OVER (PARTITION BY f.asset, signal ORDER BY f.d) - 1 AS k FROM fc_m f JOIN bench_fc b USING (asset, d)),
   s AS (SELECT asset, signal, 'all rows' AS sample, 1 - AVG(POW(y - forecast, 2))/AVG(POW(y - bench, 2)) AS r2 FROM f WHERE forecast IS NOT NULL AND bench IS NOT NULL GROUP BY 1, 2
     UNION ALL SELECT asset, signal, 'every third', 1 - AVG(POW(y - forecast, 2))/AVG(POW(y - bench, 2)) FROM f WHERE forecast IS NOT NULL AND bench IS NOT NULL AND k % 3 = 0 GROUP BY 1, 2)
