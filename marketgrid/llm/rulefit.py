@@ -139,9 +139,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = stored(labels_once(labels, key, label))
     total = known.count()
     if total > fit_rows:
-        known = known.where(F.pmod(F.xxhash64(key, F.lit("draw")), F.lit(1 << 30)) < F.lit(int((1 << 30) * fit_rows / total)))
+        known = stored(known.where(F.pmod(F.xxhash64(key, F.lit("draw")), F.lit(1 << 30)) < F.lit(int((1 << 30) * fit_rows / total))))
+        total = known.count()
+    known = known.select(F.col(key).alias("key"), "label")
+    if total <= 2 * fit_rows:  # always but for a freak draw: so many keys are small, and the texts needn't move to them
+        known = F.broadcast(known)
     names, prefix = list(statistics(F.lit(""))), "s_"
-    rows = stored(with_statistics(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(known.select(F.col(key).alias("key"), "label"), "key"), "text", ["label"], prefix))
+    rows = stored(with_statistics(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(known, "key"), "text", ["label"], prefix))
     n, good = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if good in (0, n):
         return Model(math.log((good + 1) / (n - good + 1)), ())
