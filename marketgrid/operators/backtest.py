@@ -3,16 +3,20 @@
 Between trades held weights have a closed form: target times the asset's growth since the trade, over the
 portfolio's growth. Date-driven schedules therefore need no sequential step: one running product per
 (strategy, asset) and one sum per (strategy, date). Costs are settled on the much smaller epoch table.
-Only band schedules depend on their own path and fold over dates, one group per strategy.
+Band schedules depend on their own path, but only since their last trade: each date's next trade is searched
+without the past, and the chain from the first date is marked by pointer doubling.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.expr import c, clip, div, ffill, win
+from ..functions.expr import clip, div, ffill, win
+from ..session import stored
 from .dates import every_nth, period_bucket
 
 KEYS = ["universe", "strategy"]
@@ -55,8 +59,93 @@ def train_window(rn: Column, lag: int = 1, window: int | None = None) -> tuple[C
     return (F.lit(0) if window is None else F.greatest(end - window, F.lit(0))), end
 
 
-def _total(x: Column) -> Column:
-    return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+CHUNK = 256  # dates that a task of the band search holds of one strategy, twice
+
+
+def _band_dates(returns: DataFrame, path: DataFrame, d: str) -> DataFrame:
+    """A row for each strategy and date: position i, targets by asset, and each asset's growth before the date.
+
+    Growth is the running product of the factors that aren't zero, and how many were, so that the growth between two
+    dates is a quotient. Arrays are as long as the strategy has assets.
+    """
+    grid = path.select(*KEYS, d).distinct().join(path.select(*KEYS, "asset").distinct(), KEYS)
+    cells = grid.join(path.select(*KEYS, "asset", d, "target"), [*KEYS, "asset", d], "left").join(returns.select("universe", "asset", d, "r"), ["universe", "asset", d], "left")
+    factor = 1.0 + F.coalesce("r", F.lit(0.0)).cast("double")
+    before = win([*KEYS, "asset"], d).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("_f", factor).withColumn("grown", F.coalesce(F.product(F.when(F.col("_f") != 0, F.col("_f")).otherwise(1.0)).over(before), F.lit(1.0)))
+    cells = cells.withColumn("zeros", F.coalesce(F.sum((F.col("_f") == 0).cast("int")).over(before), F.lit(0)).cast("int"))
+    cell = F.struct("asset", F.coalesce("target", F.lit(0.0)).cast("double").alias("goal"), "grown", "zeros")
+    dates = cells.groupBy(*KEYS, d).agg(F.sort_array(F.collect_list(cell)).alias("_c"))
+    dates = dates.select(*KEYS, d, *(F.col(f"_c.{k}").alias(k) for k in ("goal", "grown", "zeros")))
+    return dates.withColumn("i", F.row_number().over(win(KEYS, d)).cast("long") - 1).withColumn("c", F.floor(F.col("i") / CHUNK))
+
+
+def _first_hits(band: float, kind: str, min_gap: int):
+    """For the waiting dates of one chunk, the first date of another at which a portfolio traded then leaves the band."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["waits"]], pdf[~pdf["waits"]].sort_values("i")
+        i, j = a["i"].to_numpy(), b["i"].to_numpy()
+        if not len(i) or not len(j):
+            return pd.DataFrame({"universe": [], "strategy": [], "i": [], "nx": []})
+        goal, grown, zeros = (np.stack(a[k].to_numpy()) for k in ("goal", "grown", "zeros"))
+        goal_b, grown_b, zeros_b = (np.stack(b[k].to_numpy()) for k in ("goal", "grown", "zeros"))
+        hit = np.full(len(i), -1)
+        for n in range(len(i)):
+            value = goal[n] * np.where(zeros_b == zeros[n], grown_b / grown[n], 0.0)
+            whole = value.sum(1) + 1.0 - goal[n].sum()
+            alive = np.minimum.accumulate(whole > 0)
+            held = np.where(alive[:, None], value / np.where(alive, whole, 1.0)[:, None], goal[n])
+            off = np.abs(goal_b - held).sum(1) >= band if kind == "l1" else np.abs(held - goal[n]).max(1) > band
+            at = np.flatnonzero(off & (j >= i[n] + max(min_gap, 1)))
+            hit[n] = j[at[0]] if len(at) else -1
+        return pd.DataFrame({"universe": key[0], "strategy": key[1], "i": i[hit >= 0], "nx": hit[hit >= 0]})
+
+    return run
+
+
+def next_trades(dates: DataFrame, band: float, kind: str, min_gap: int) -> DataFrame:
+    """(universe, strategy, i, nx): where a portfolio traded at date i trades next; dates without a next trade are absent.
+
+    A trade forgets the past, so all dates are searched side by side: first in their own and the next chunk, those
+    still waiting in the two after it, then four, and so on. A task sees two chunks.
+    """
+    ends = dates.groupBy(*KEYS).agg(F.max("c").alias("_last"))
+    most = ends.agg(F.max("_last")).first()[0]
+    kinds = dates.select(*KEYS).schema
+    schema = kinds.add("i", "long").add("nx", "long")
+    waiting, found, lo, hi = dates.withColumn("c0", F.col("c")), None, 0, 1
+    while most is not None:
+        pairs = waiting.select(*KEYS, "c0").distinct().join(ends, KEYS).filter(F.col("c0") + lo <= F.col("_last"))
+        pairs = pairs.select(*KEYS, "c0", F.explode(F.sequence(F.col("c0") + lo, F.least(F.col("c0") + hi, F.col("_last")))).alias("at"))
+        fields = ["i", "goal", "grown", "zeros"]
+        a = waiting.join(pairs, [*KEYS, "c0"]).select(*KEYS, "c0", "at", F.lit(True).alias("waits"), *fields)
+        b = dates.join(pairs.withColumnRenamed("at", "c"), [*KEYS, "c"]).select(*KEYS, "c0", F.col("c").alias("at"), F.lit(False).alias("waits"), *fields)
+        hits = a.unionByName(b).groupBy(*KEYS, "c0", "at").applyInPandas(_first_hits(band, kind, min_gap), schema)
+        hits = stored(hits.groupBy(*KEYS, "i").agg(F.min("nx").alias("nx")))
+        found = hits if found is None else found.unionByName(hits)
+        if hi >= most:
+            break
+        waiting = stored(waiting.join(hits.select(*KEYS, "i"), [*KEYS, "i"], "left_anti"))
+        if waiting.isEmpty():
+            break
+        lo, hi = hi + 1, 2 * hi + 1
+    return found if found is not None else dates.select(*KEYS, "i", F.col("i").alias("nx")).limit(0)
+
+
+def reached(start: DataFrame, nxt: DataFrame) -> DataFrame:
+    """(universe, strategy, i): what the pointers lead to from the start, by pointer doubling.
+
+    After k rounds the pointers jump 2^k trades and the first 2^k trades are marked, so rounds grow with the logarithm
+    of the trades. A step back in time is impossible, so chains end.
+    """
+    seen, jump = stored(start.select(*KEYS, "i")), nxt
+    while True:
+        new = stored(seen.join(jump, [*KEYS, "i"]).select(*KEYS, F.col("nx").alias("i")))
+        if new.isEmpty():
+            return seen
+        seen = stored(seen.unionByName(new).distinct())
+        jump = stored(jump.join(jump.select(*KEYS, F.col("i").alias("nx"), F.col("nx").alias("_far")), [*KEYS, "nx"]).select(*KEYS, "i", F.col("_far").alias("nx")))
 
 
 def band_trades(returns: DataFrame, path: DataFrame, band: float, kind: str = "l1", min_gap: int = 1, d: str = "d") -> DataFrame:
@@ -64,32 +153,14 @@ def band_trades(returns: DataFrame, path: DataFrame, band: float, kind: str = "l
 
     "l1": total distance of the proposed target from the drifted weights reaches the band; "max": largest
     drift from the last traded target exceeds it. The first date always trades. `path` holds a target per
-    (universe, strategy, asset, d); a missing one counts as zero. A strategy's dates are one row of arrays, bounded
-    by the calendar, and the fold over them stays in the engine.
+    (universe, strategy, asset, d); a missing one counts as zero, as does a missing return. A portfolio that has lost
+    everything counts with its targets until it trades again. No row or task holds a strategy's whole path.
     """
     if kind not in ("l1", "max"):
         raise ValueError(f"unknown band: {kind}")
-    grid = path.select(*KEYS, d).distinct().join(path.select(*KEYS, "asset").distinct(), KEYS)
-    cells = grid.join(path.select(*KEYS, "asset", d, "target"), [*KEYS, "asset", d], "left").join(returns.select("universe", "asset", d, "r"), ["universe", "asset", d], "left")
-    cell = F.struct("asset", F.coalesce("target", F.lit(0.0)).cast("double").alias("goal"), F.coalesce("r", F.lit(0.0)).cast("double").alias("r"))
-    dates = cells.groupBy(*KEYS, d).agg(F.sort_array(F.collect_list(cell)).alias("_c")).select(*KEYS, F.struct(F.col(d).alias("d"), F.col("_c.goal").alias("goal"), F.col("_c.r").alias("r")).alias("_d"))
-    paths = dates.groupBy(*KEYS).agg(F.sort_array(F.collect_list("_d")).alias("_p"))
-    day = path.schema[d].dataType.simpleString()
-    none = F.expr("cast(array() as array<double>)")
-    start = F.struct(none.alias("held"), none.alias("last"), F.lit(0).alias("at"), F.lit(0).alias("i"), F.expr(f"cast(array() as array<{day}>)").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        far = lambda a, b: F.zip_with(a, b, lambda u, v: F.abs(u - v))
-        off = _total(far(x["goal"], acc["held"])) >= band if kind == "l1" else F.array_max(far(acc["held"], acc["last"])) > band
-        go = (F.size(acc["held"]) == 0) | ((acc["i"] - acc["at"] >= min_gap) & off)
-        held = F.when(go, x["goal"]).otherwise(acc["held"])
-        grown = F.zip_with(held, x["r"], lambda h, r: h * (1.0 + r))
-        whole = _total(grown) + 1.0 - _total(held)
-        drifted = F.when(whole > 0, F.transform(grown, lambda g: g / whole)).otherwise(held)
-        return F.struct(drifted.alias("held"), F.when(go, x["goal"]).otherwise(acc["last"]).alias("last"), F.when(go, acc["i"]).otherwise(acc["at"]).alias("at"), (acc["i"] + 1).alias("i"),
-                        F.when(go, F.concat(acc["out"], F.array(x["d"]))).otherwise(acc["out"]).alias("out"))
-
-    return paths.select(*KEYS, F.explode(F.aggregate("_p", start, step, lambda acc: acc["out"])).alias(d))
+    dates = stored(_band_dates(returns, path, d))
+    nxt = next_trades(dates, band, kind, min_gap)
+    return reached(dates.filter("i = 0"), nxt).join(dates.select(*KEYS, "i", d), [*KEYS, "i"]).select(*KEYS, d)
 
 
 # ---- cost ----

@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.expr import safe_corr, win
+from ..session import stored
+from .blocks import Blocks
 
 SUMS = ("n", "s10", "s01", "s20", "s02", "s11", "s30", "s03", "s21", "s12", "s22", "s31", "s13")
 SECOND = SUMS[:6]  # what covariances and correlations need; shrinkage needs the rest
@@ -141,6 +143,39 @@ def participation_ratio(corr: DataFrame, by: list[str]) -> DataFrame:
     return corr.groupBy(*by).agg(n.cast("long").alias("n_assets"), (n * n / sq).alias("participation_ratio"))
 
 
+def corr_eigen(corr: DataFrame, by: list[str], dense: int = 2000, leading: int = 50) -> DataFrame:
+    """(by, rank, eigenvalue, share, cumulative) of each universe's correlation matrix, largest first.
+
+    Universes of up to `dense` assets go to a task each and give all eigenvalues. Larger ones stay in blocks and give
+    the `leading` ones; shares are of the trace, which is the number of assets.
+    """
+
+    def eigen(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(set(pdf["i"]) | set(pdf["j"]))
+        pos = {k: n for n, k in enumerate(names)}
+        s = np.eye(len(names))
+        a, b = pdf["i"].map(pos), pdf["j"].map(pos)
+        s[a, b] = s[b, a] = pdf["rho"]
+        vals = np.linalg.eigvalsh(s)[::-1]
+        out = pd.DataFrame({"rank": range(1, len(vals) + 1), "eigenvalue": vals, "share": vals / vals.sum(), "cumulative": np.cumsum(vals) / vals.sum()})
+        for k in by:
+            out[k] = pdf[k].iloc[0]
+        return out[[*by, "rank", "eigenvalue", "share", "cumulative"]]
+
+    size = corr.filter("i = j").groupBy(*by).agg(F.count("*").alias("_n"))
+    sized = stored(corr.select(*by, "i", "j", "rho").join(size, by))
+    schema = corr.select(*by).schema.add("rank", "integer").add("eigenvalue", "double").add("share", "double").add("cumulative", "double")
+    small = sized.filter(F.col("_n") <= dense).drop("_n").groupBy(*by).applyInPandas(eigen, schema)
+    large = sized.filter(F.col("_n") > dense).drop("_n")
+    if large.isEmpty():
+        return small
+    m = Blocks(large, by, "rho")
+    ids = m.place.select(*by, "_k").distinct()
+    rows = [(k, r + 1, float(v), float(v) / len(m.diagonal[k]), float(c) / len(m.diagonal[k])) for k, vals in m.leading(leading).items() for r, (v, c) in enumerate(zip(vals, np.cumsum(vals)))]
+    found = corr.sparkSession.createDataFrame(rows, "_k long, rank int, eigenvalue double, share double, cumulative double")
+    return ids.join(found, "_k").drop("_k").unionByName(small)
+
+
 def _central(pairs: DataFrame) -> DataFrame:
     """Population central moments s, vi, vj, m22, m31, m13 of each pair from its raw sums."""
     n, p, q = F.col("n"), F.col("s10") / F.col("n"), F.col("s01") / F.col("n")

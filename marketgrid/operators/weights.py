@@ -12,6 +12,10 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import solvers
+from ..session import stored
+from . import blocks, hierarchy
+
+DENSE = 2000  # assets of a matrix that one task may hold, 32 MB
 
 
 def _matrix(pdf: pd.DataFrame) -> tuple[list[str], np.ndarray]:
@@ -24,8 +28,39 @@ def _matrix(pdf: pd.DataFrame) -> tuple[list[str], np.ndarray]:
     return names, s
 
 
-def cov_rule(cov: DataFrame, keys: list[str], rule: str | Callable[[np.ndarray], np.ndarray] = "erc", extra: DataFrame | None = None) -> DataFrame:
-    """Apply ``rule(S) -> w`` to each key's matrix; (keys, asset, w). A rule is a registered name or a function."""
+def _large(cov: DataFrame, keys: list[str], dense: int) -> tuple[DataFrame, DataFrame]:
+    """(matrices that fit a task, larger ones) by their number of assets."""
+    size = cov.filter("i = j").groupBy(*keys).agg(F.count("*").alias("_n"))
+    split = stored(cov.select(*keys, "i", "j", "s").join(size, keys, "left"))
+    few = F.coalesce("_n", F.lit(0)) <= dense
+    return split.filter(few).drop("_n"), split.filter(~few).drop("_n")
+
+
+def _by_blocks(cov: DataFrame, keys: list[str], rule: str) -> DataFrame:
+    """A registered rule on large matrices; no task holds one whole."""
+    if rule == "hrp":
+        return hierarchy.hrp(cov, keys).select(*keys, F.col("asset").cast("string").alias("asset"), "w")
+    if rule == "inverse_vol":
+        return inverse_vol(cov, keys)
+    if rule == "equal":
+        return equal_weight(cov.filter("i = j").select(*keys, F.col("i").alias("asset")), keys)
+    m = blocks.Blocks(cov, keys)
+    if rule == "erc":
+        return m.table(m.erc())
+    if rule == "min_variance":
+        raw = m.solve({k: np.ones(len(d)) for k, d in m.diagonal.items()})
+        return m.table({k: solvers.normalise(np.maximum(x / x.sum(), 0.0)) for k, x in raw.items()})
+    if rule == "max_diversification":
+        return m.table({k: solvers.normalise(np.maximum(x, 0.0)) for k, x in m.solve({k: np.sqrt(d) for k, d in m.diagonal.items()}).items()})
+    raise ValueError(f"unknown rule: {rule}")
+
+
+def cov_rule(cov: DataFrame, keys: list[str], rule: str | Callable[[np.ndarray], np.ndarray] = "erc", extra: DataFrame | None = None, dense: int = DENSE) -> DataFrame:
+    """Apply ``rule(S) -> w`` to each key's matrix; (keys, asset, w). A rule is a registered name or a function.
+
+    Matrices of up to `dense` assets go to a task each. Larger ones stay in blocks or in the pair table under a
+    registered rule; a function needs its matrix whole.
+    """
     fn = solvers.RULES[rule] if isinstance(rule, str) else rule
     schema = T.StructType([cov.schema[k] for k in keys] + [T.StructField("asset", T.StringType()), T.StructField("w", T.DoubleType())])
 
@@ -36,11 +71,15 @@ def cov_rule(cov: DataFrame, keys: list[str], rule: str | Callable[[np.ndarray],
             out[k] = pdf[k].iloc[0]
         return out[[*keys, "asset", "w"]]
 
-    return cov.select(*keys, "i", "j", "s").groupBy(*keys).applyInPandas(run, schema)
+    if not isinstance(rule, str):
+        return cov.select(*keys, "i", "j", "s").groupBy(*keys).applyInPandas(run, schema)
+    small, large = _large(cov, keys, dense)
+    whole = small.groupBy(*keys).applyInPandas(run, schema)
+    return whole if large.isEmpty() else _by_blocks(large, keys, rule).unionByName(whole)
 
 
-def cov_rules(cov: DataFrame, keys: list[str], rules: list[str]) -> DataFrame:
-    """Several registered rules on the same matrices in one pass; (keys, rule, asset, w)."""
+def cov_rules(cov: DataFrame, keys: list[str], rules: list[str], dense: int = DENSE) -> DataFrame:
+    """Several registered rules on the same matrices in one pass; (keys, rule, asset, w). Large matrices as in `cov_rule`."""
     schema = T.StructType([cov.schema[k] for k in keys] + [T.StructField("rule", T.StringType()), T.StructField("asset", T.StringType()),
                                                           T.StructField("w", T.DoubleType())])
 
@@ -51,7 +90,12 @@ def cov_rules(cov: DataFrame, keys: list[str], rules: list[str]) -> DataFrame:
             out[k] = pdf[k].iloc[0]
         return out[[*keys, "rule", "asset", "w"]]
 
-    return cov.select(*keys, "i", "j", "s").groupBy(*keys).applyInPandas(run, schema)
+    small, large = _large(cov, keys, dense)
+    out = small.groupBy(*keys).applyInPandas(run, schema)
+    if not large.isEmpty():
+        for r in rules:
+            out = out.unionByName(_by_blocks(large, keys, r).withColumn("rule", F.lit(r)))
+    return out
 
 
 def train_rule(history: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame, pd.Series], pd.Series], asset: str = "asset", d: str = "d",
@@ -70,9 +114,10 @@ def train_rule(history: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame,
     return history.groupBy(*keys, epoch).applyInPandas(run, schema)
 
 
-def mean_variance(cov: DataFrame, mu: DataFrame, keys: list[str], max_gross: float = 2.0) -> DataFrame:
-    """Unbounded mean-variance weights scaled to the gross limit; `mu` is (keys, asset, mu)."""
-    joined = cov.select(*keys, "i", "j", "s").join(mu.select(*keys, F.col("asset").alias("i"), "mu"), [*keys, "i"])
+def mean_variance(cov: DataFrame, mu: DataFrame, keys: list[str], max_gross: float = 2.0, dense: int = DENSE) -> DataFrame:
+    """Unbounded mean-variance weights scaled to the gross limit; `mu` is (keys, asset, mu). Large matrices stay in blocks."""
+    small, large = _large(cov, keys, dense)
+    joined = small.join(mu.select(*keys, F.col("asset").alias("i"), "mu"), [*keys, "i"])
     schema = T.StructType([cov.schema[k] for k in keys] + [T.StructField("asset", T.StringType()), T.StructField("w", T.DoubleType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -83,7 +128,15 @@ def mean_variance(cov: DataFrame, mu: DataFrame, keys: list[str], max_gross: flo
             out[k] = pdf[k].iloc[0]
         return out[[*keys, "asset", "w"]]
 
-    return joined.groupBy(*keys).applyInPandas(run, schema)
+    whole = joined.groupBy(*keys).applyInPandas(run, schema)
+    if large.isEmpty():
+        return whole
+    m = blocks.Blocks(large, keys)
+    mean = {k: np.zeros(len(d)) for k, d in m.diagonal.items()}
+    for k, p, x in m.place.join(mu.select(*keys, "asset", "mu"), [*keys, "asset"]).select("_k", "_p", "mu").collect():  # a number an asset
+        mean[k][p] = x
+    raw = m.solve(mean)
+    return m.table({k: x * min(max_gross / max(np.abs(x).sum(), solvers.FLOOR), 1.0) for k, x in raw.items()}).unionByName(whole)
 
 
 def group_risk_budget(cov: DataFrame, groups: DataFrame, keys: list[str], budget: dict[str, float] | None = None) -> DataFrame:

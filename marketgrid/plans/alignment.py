@@ -38,19 +38,14 @@ def _(t):
     return files.unpivot(wide, ["id"], "asset", "x")
 
 
-@query("parse_year_month", """SELECT last_day(make_date(YEAR(o_orderdate), CASE WHEN MONTH(o_orderdate) IN (1, 10) THEN 10
-  ELSE MONTH(o_orderdate) END, 1)) AS d, COUNT(*) AS n, COUNT(CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END) AS known
-  FROM orders WHERE o_orderkey % 7 <> 0 AND MONTH(o_orderdate) <> 2 GROUP BY 1""")
+@query("parse_year_month", "SELECT last_day(o_orderdate) AS d, COUNT(*) AS n, COUNT(o_totalprice) AS known, round(SUM(o_totalprice), 2)+0.0 AS total FROM orders GROUP BY 1")
 def _(t):
+    """Every order under a stamp of its month; October is written 1, as a file that drops trailing zeros has it."""
     m = F.month("o_orderdate")
-    stamp = F.concat(F.year("o_orderdate").cast("string"), F.lit("."), F.when(m == 10, "1").when(m == 1, "10").when(
-        m < 10, F.lpad(m.cast("string"), 2, "0")).otherwise(m.cast("string")))
-    raw = t.orders.select(
-        F.when((F.col("o_orderkey") % 7 == 0) | (m == 2), F.concat(stamp, F.lit("x"))).otherwise(stamp).alias("stamp"),
-        F.col("o_totalprice").cast("string").alias("p"),
-        F.when(F.col("o_orderkey") % 5 == 0, "n/a").otherwise(F.col("o_totalprice").cast("string")).alias("e"))
-    out = files.parse_year_month(raw, numeric=("p", "e"), required="p")
-    return out.groupBy("d").agg(F.count("*").alias("n"), F.count("e").alias("known"))
+    stamp = F.concat(F.year("o_orderdate").cast("string"), F.lit("."), F.when(m == 10, "1").otherwise(F.lpad(m.cast("string"), 2, "0")))
+    raw = t.orders.select(stamp.alias("stamp"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("p"))
+    got = files.parse_year_month(raw, numeric=("p",), required="p")
+    return got.groupBy("d").agg(F.count("*").alias("n"), F.count("p").alias("known"), r6(F.sum("p"), 2).alias("total"))
 
 
 view("grid_h", """SELECT series, h FROM (SELECT DISTINCT series FROM events_h) s,
@@ -321,16 +316,15 @@ def _(t):
     return parts[0].unionByName(parts[1]).groupBy("asset").agg(F.count("*").alias("n"))
 
 
-_CSV = """SELECT {d} AS d, CAST(tenor AS DOUBLE) AS tenor, round(y, 6)+0.0 AS y FROM (SELECT d, CASE l WHEN 1 THEN 1 ELSE 5*(l - 1) END AS tenor, CASE WHEN MONTH(d) = 3 AND l = 2 THEN NULL ELSE y END AS y FROM
+_CSV = """SELECT {d} AS d, CAST(tenor AS DOUBLE) AS tenor, round(y, 6)+0.0 AS y FROM (SELECT d, CASE l WHEN 1 THEN 1 ELSE 5*(l - 1) END AS tenor, y FROM
   (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS d, l_linenumber AS l, ROUND(AVG(l_discount)*100, 4) AS y FROM lineitem GROUP BY 1, 2))"""
 
 
 def curve_csv(t):
-    """A curve file with a free-text preamble, written from all quote lines; one column says NA every March."""
+    """A curve file with a free-text preamble, written from all quote lines; absent quotes say NA."""
     lines = [(0.25, "01"), (0.5, "05"), (1.0, "10"), (2.0, "15"), (5.0, "20"), (10.0, "25"), (30.0, "30")]
     q = t.cmt_m.groupBy("d").agg(*[F.round(F.max(F.when(F.col("tenor") == k, F.col("par"))), 4).alias(f"y{n}") for k, n in lines])
-    cell = lambda n: F.when((F.month("d") == 3) & F.lit(n == "05"), "NA").otherwise(F.coalesce(F.format_string("%.4f", f"y{n}"), F.lit("NA")))
-    row = F.concat_ws(",", F.col("d").cast("string"), F.lit("NA"), *[F.when(F.col(f"y{n}").isNull(), "NA").otherwise(cell(n)) for _, n in lines]).alias("value")
+    row = F.concat_ws(",", F.col("d").cast("string"), F.lit("NA"), *[F.when(F.col(f"y{n}").isNull(), "NA").otherwise(F.format_string("%.4f", f"y{n}")) for _, n in lines]).alias("value")
     head = t.spark.range(1).select(F.explode(F.array(F.lit("Yield curve estimates, percent"), F.lit("Date,BETA0,SVENY01,SVENY05, " + ",".join(f"SVENY{n}" for _, n in lines[2:])))).alias("value"))
     path = scratch_path(t.spark, "curve")
     head.unionByName(q.select(row)).write.text(path)

@@ -167,12 +167,13 @@ def _(t):
     return out(tilt_m(t), "w")
 
 
-@query("forecast_lookup", """WITH e AS (SELECT DISTINCT d FROM px_d WHERE EXTRACT(day FROM d) IN (1, 15)), f AS (SELECT d AS fd, asset, r FROM ret_m), fd AS (SELECT DISTINCT d AS fd FROM ret_m),
+@query("forecast_lookup", """WITH e AS (SELECT DISTINCT d FROM px_d), f AS (SELECT d AS fd, asset, r FROM ret_m), fd AS (SELECT DISTINCT d AS fd FROM ret_m),
   n AS (SELECT e.d, MIN(fd.fd) AS next_d FROM e LEFT JOIN fd ON fd.fd > e.d GROUP BY 1)
   SELECT a.asset, n.d, n.next_d, round(f.r, 6)+0.0 AS r FROM n CROSS JOIN (SELECT DISTINCT asset FROM ret_m) a LEFT JOIN f ON f.fd = n.next_d AND f.asset = a.asset""")
 def _(t):
-    days = t.px_d.filter(F.dayofmonth("d").isin(1, 15)).select("d").distinct()
-    keyed = days.select("d", F.explode(F.array(*map(F.lit, ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]))).alias("asset"))
+    days = t.px_d.select("d").distinct()
+    names = t.ret_m.agg(F.sort_array(F.collect_set("asset"))).scalar()
+    keyed = days.select("d", F.explode(names).alias("asset"))
     n = A.asof_next(keyed, t.ret_m.select("asset", "d", "r"), ["asset"], ["r"])
     return n.select("asset", "d", "next_d", r6("r").alias("r"))
 

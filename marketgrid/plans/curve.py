@@ -192,10 +192,10 @@ def _(t):
     return out(C.risk_free_from_curve(curve(t)), "rf_curve", keys=("d",))
 
 
-@query("compare_risk_free", """WITH q AS (SELECT d, (100 - 100*(1 - rf*12*28/360))/(100*(1 - rf*12*28/360))*365/28*100 AS bey FROM rf_m WHERE MONTH(d) <> 2)
+@query("compare_risk_free", """WITH q AS (SELECT d, (100 - 100*(1 - rf*12*28/360))/(100*(1 - rf*12*28/360))*365/28*100 AS bey FROM rf_m)
   SELECT last_day(COALESCE(c.d, q.d)) AS d, round(rf_curve, 6)+0.0 AS curve_1m, round(bey, 6)+0.0 AS dtb4wk_bey, round(rf*1200, 6)+0.0 AS french_rf FROM rfc_m c FULL JOIN q ON c.d = q.d LEFT JOIN rf_m f ON f.d = COALESCE(c.d, q.d)""")
 def _(t):
-    bills = t.rf_m.filter(F.month("d") != 2).select("d", (F.col("rf") * 1200).alias("quote"))
+    bills = t.rf_m.select("d", (F.col("rf") * 1200).alias("quote"))
     return out(C.compare_risk_free(C.risk_free_from_curve(curve(t)), bills, t.rf_m), "curve_1m", "dtb4wk_bey", "french_rf", keys=("d",))
 
 

@@ -172,8 +172,8 @@ def _(t):
     return B.band_trades(r, path, 0.1, "max").select("d")
 
 
-# long-only path re-targeted every 6 rows, with missing rows falling back to 1/n
-view("lo_z", "SELECT asset, d, rn, CASE WHEN YEAR(d) = 1999 AND asset = 'PROMO' THEN NULL ELSE greatest(r, 0) END AS z FROM bt_r WHERE rn >= 24")
+# long-only path re-targeted every 6 rows; dates without a positive return fall back to 1/n
+view("lo_z", "SELECT asset, d, rn, greatest(r, 0) AS z FROM bt_r WHERE rn >= 24")
 view("lo_t", """SELECT 'lo' AS strategy, asset, d, CASE WHEN COUNT(z) OVER w = COUNT(*) OVER w AND SUM(z) OVER w > 0 THEN z/SUM(z) OVER w ELSE 1.0/COUNT(*) OVER w END AS target FROM lo_z WHERE rn % 6 = 0 WINDOW w AS (PARTITION BY d)""")
 bt_chain("btl", "lo_t")
 
@@ -181,8 +181,7 @@ bt_chain("btl", "lo_t")
 def long_path(t):
     r = returns(t)
     p = with_rn(r).filter((F.col("rn") >= FIRST) & (F.col("rn") % 6 == 0))
-    z = F.when(~((F.year("d") == 1999) & (F.col("asset") == "PROMO")), F.greatest("r", F.lit(0.0)))
-    return r, p.select("universe", F.lit("lo").alias("strategy"), "asset", "d", z.alias("target"))
+    return r, p.select("universe", F.lit("lo").alias("strategy"), "asset", "d", F.greatest("r", F.lit(0.0)).alias("target"))
 
 
 @query("backtest_weight_path", "SELECT strategy, d, round(gross - cost, 6)+0.0 AS net, round(CASE WHEN epoch = 1 THEN 0 ELSE turnover/2 END, 6)+0.0 AS turnover FROM btl")
@@ -191,7 +190,7 @@ def _(t):
     return out(B.backtest(r, p, rates(t), turnover="one_way", renormalise=True), "net", "turnover", keys=("strategy", "d"))
 
 
-view("ls_t", "SELECT 'ls' AS strategy, asset, d, target FROM (SELECT asset, d, CASE WHEN YEAR(d) = 1999 AND MONTH(d) < 7 THEN NULL ELSE r - AVG(r) OVER (PARTITION BY d) END AS target FROM bt_r WHERE rn >= 24 AND rn % 3 = 0) WHERE target IS NOT NULL")
+view("ls_t", "SELECT 'ls' AS strategy, asset, d, target FROM (SELECT asset, d, r - AVG(r) OVER (PARTITION BY d) AS target FROM bt_r WHERE rn >= 24 AND rn % 3 = 0) WHERE target IS NOT NULL")
 bt_chain("bts", "ls_t", drift=False)
 
 
@@ -199,7 +198,7 @@ bt_chain("bts", "ls_t", drift=False)
 def _(t):
     r = returns(t)
     p = with_rn(r).filter((F.col("rn") >= FIRST) & (F.col("rn") % 3 == 0))
-    z = F.when(~((F.year("d") == 1999) & (F.month("d") < 7)), F.col("r") - F.avg("r").over(X.over(["universe", "d"])))
+    z = F.col("r") - F.avg("r").over(X.over(["universe", "d"]))
     tg = B.hold_last_valid(p.select("universe", F.lit("ls").alias("strategy"), "asset", "d", z.alias("target")))
     return out(B.backtest(r, tg, rates(t), drift=False), "net", "cost", keys=("strategy", "d"))
 

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.expr import expanding, r6, win
 from ..operators import align as A
 from ..operators import covariance as V
 from ..operators import crosssection as X
+from ..operators import hierarchy
 from ..operators import weights as P
 from ..session import stored
 from .registry import QUERIES, query, view
@@ -168,19 +168,7 @@ def _(t):
 
 @query("corr_eigen")
 def _(t):
-    def eigen(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(pdf["i"]) | set(pdf["j"]))
-        pos = {k: n for n, k in enumerate(names)}
-        s = np.eye(len(names))
-        a, b = pdf["i"].map(pos), pdf["j"].map(pos)
-        s[a, b] = s[b, a] = pdf["rho"]
-        vals = np.linalg.eigvalsh(s)[::-1]
-        return pd.DataFrame({"universe": pdf["universe"].iloc[0], "rank": range(1, len(vals) + 1), "eigenvalue": vals,
-                             "share": vals / vals.sum(), "cumulative": np.cumsum(vals) / vals.sum()})
-
-    c = V.corr_matrix(ex_q(t), U)
-    e = c.groupBy("universe").applyInPandas(eigen, "universe int, rank int, eigenvalue double, share double, cumulative double")
-    return out(e, "eigenvalue", "share", "cumulative", keys=("universe", "rank"))
+    return out(V.corr_eigen(V.corr_matrix(ex_q(t), U), U), "eigenvalue", "share", "cumulative", keys=("universe", "rank"))
 
 
 @query("risk_share", "WITH v AS (SELECT asset, var_samp(x) AS v FROM excess_m GROUP BY 1) SELECT asset, round(v/SUM(v) OVER (), 6)+0.0 AS risk_share FROM v")
@@ -232,7 +220,7 @@ def _(t):
 
 @query("hrp")
 def _(t):
-    return out(P.cov_rule(lw_epochs(t), KD, "hrp"), "w", keys=("d", "asset"))
+    return out(hierarchy.hrp(lw_epochs(t), KD), "w", keys=("d", "asset"))
 
 
 @query("group_risk_budget")
@@ -344,11 +332,13 @@ def _(t):
     return out(w.withColumn("mu", F.col("sw") * scale).withColumn("within", F.sum(F.abs("w")).over(one) <= 2.0 + 1e-9), "mu", keys=("d", "asset", "within"))
 
 
-@query("hrp_check", "SELECT ed AS d, COUNT(*) AS assets, 1.0::DOUBLE AS total, TRUE AS positive FROM lw_ep WHERE i = j GROUP BY 1")
+@query("hrp_check", """SELECT ed AS d, COUNT(*) AS assets, 1.0::DOUBLE AS total, TRUE AS positive, 0.0::DOUBLE AS gap FROM lw_ep WHERE i = j GROUP BY 1""")
 def _(t):
-    """Hierarchical weights are positive and sum to one over all assets."""
-    w = P.cov_rule(lw_epochs(t), KD, "hrp")
-    return w.groupBy("d").agg(F.count("*").alias("assets"), r6(F.sum("w")).alias("total"), F.min(F.col("w") > 0).alias("positive"))
+    """Hierarchical weights are positive, sum to one, and agree with those from whole small matrices."""
+    cov = stored(lw_epochs(t))
+    whole = P.cov_rule(cov, KD, "hrp").withColumnRenamed("w", "_whole")
+    w = hierarchy.hrp(cov, KD).join(whole, [*KD, "asset"])
+    return w.groupBy("d").agg(F.count("*").alias("assets"), r6(F.sum("w")).alias("total"), F.min(F.col("w") > 0).alias("positive"), r6(F.max(F.abs(F.col("w") - F.col("_whole")))).alias("gap"))
 
 
 @query("rule_registry_check", """WITH v AS (SELECT ed AS d, 1/greatest(sqrt(s*12), 1e-9) AS iv FROM lw_ep WHERE i = j), h AS (SELECT d, SUM(iv*iv)/POW(SUM(iv), 2) AS c, COUNT(*) AS n FROM v GROUP BY 1)

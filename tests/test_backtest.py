@@ -93,3 +93,66 @@ def test_breakeven_spread_meets_the_benchmark(spark):
     a = M.performance(lev, ["strategy"]).first().sharpe
     b = M.performance(df.filter("strategy = 'b'"), ["strategy"]).first().sharpe
     assert a == pytest.approx(b, abs=1e-9)
+
+
+def fold(r, goals, band, kind, min_gap):
+    """Trade positions by stepping through the dates."""
+    held = last = None
+    at, out = 0, []
+    for i in range(len(r)):
+        off = held is None or (np.abs(goals[i] - held).sum() >= band if kind == "l1" else np.abs(held - last).max() > band)
+        if held is None or (i - at >= min_gap and off):
+            held, last, at = goals[i], goals[i], i
+            out.append(i)
+        whole = (held * (1 + r[i])).sum() + 1 - held.sum()
+        held = held * (1 + r[i]) / whole
+    return out
+
+
+@pytest.mark.parametrize("kind,band,min_gap,chunk", [("l1", 0.12, 1, 256), ("l1", 0.2, 4, 7), ("max", 0.05, 1, 5), ("max", 0.5, 1, 4), ("l1", 0.0, 3, 16)])
+def test_band_trades_equal_the_fold(spark, monkeypatch, kind, band, min_gap, chunk):
+    monkeypatch.setattr(B, "CHUNK", chunk)
+    rows, rets, want = [], [], set()
+    for u, n in (("u", 90), ("v", 1), ("w", 33)):
+        rng = np.random.default_rng(n)
+        names, day = ["a", "b", "c"], months(n)
+        r = rng.normal(0, 0.06, (n, 3))
+        r[rng.random((n, 3)) < 0.05] = 0.0
+        if n > 50:
+            r[20, 1] = -1.0  # one asset is lost, also for trades after it
+        rets += [(u, a, day[i], float(r[i, k])) for i in range(n) for k, a in enumerate(names) if r[i, k] or i % 2]
+        for s in ("x", "y"):
+            goals = rng.dirichlet(np.ones(3), n) * (0.9 if s == "x" else 1.0) if s == "x" else np.tile([0.5, 0.3, 0.2], (n, 1))
+            rows += [(u, s, a, day[i], float(goals[i, k])) for i in range(n) for k, a in enumerate(names)]
+            want |= {(u, s, day[i]) for i in fold(r, goals, band, kind, min_gap)}
+    path = spark.createDataFrame(rows, "universe string, strategy string, asset string, d date, target double")
+    got = B.band_trades(spark.createDataFrame(rets, "universe string, asset string, d date, r double"), path, band, kind, min_gap).collect()
+    assert len(got) == len(want) and {tuple(x) for x in got} == want
+
+
+def test_band_search_never_holds_a_path(spark, monkeypatch):
+    monkeypatch.setattr(B, "CHUNK", 8)
+    day = months(100)
+    path = spark.createDataFrame([("u", "s", "a", x, 0.5) for x in day], "universe string, strategy string, asset string, d date, target double")
+    rets = spark.createDataFrame([("u", "a", x, 0.01) for x in day], "universe string, asset string, d date, r double")
+    sizes = []
+    plain = B._first_hits
+
+    def watched(*args):
+        run = plain(*args)
+
+        def counted(key, pdf):
+            assert len(pdf) <= 16
+            return run(key, pdf)
+
+        return counted
+
+    monkeypatch.setattr(B, "_first_hits", watched)
+    assert B.band_trades(rets, path, 9.0).count() == 1 and not sizes  # never trades again: every date waits to the end
+    assert B.band_trades(rets.limit(0), path.limit(0), 0.1).count() == 0
+
+
+def test_trades_with_a_missing_target_keep_the_last_ones(spark):
+    rows = [("u", "s", a, months(3)[i], t) for i, (x, y) in enumerate([(0.5, 0.5), (None, 1.0), (0.2, 0.8)]) for a, t in (("a", x), ("b", y))]
+    got = B.hold_last_valid(spark.createDataFrame(rows, "universe string, strategy string, asset string, d date, target double")).collect()
+    assert {r.d for r in got} == {months(3)[0], months(3)[2]}
