@@ -286,11 +286,44 @@ def curve_pca(curve: DataFrame, n_components: int = 3, zero: str = "zero") -> tu
 BETA_LOW, BETA_HIGH = (0.0, -20.0, -30.0, -30.0), (20.0, 20.0, 30.0, 30.0)
 
 
+def _boxed(gram: np.ndarray, cross: np.ndarray, start: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Least squares in a box, many small systems at once, by primal active sets from a feasible start.
+
+    The coefficients off the box are solved exactly; a step that would leave it stops at its first wall, which becomes
+    active; a full step gives up the active wall whose gradient points inside the most, or ends.
+    """
+    x, todo = start.copy(), np.arange(len(start))
+    fixed = (x <= lo) | (x >= hi)
+    for _ in range(40):
+        g, k, v, held = gram[todo], cross[todo], x[todo], fixed[todo]
+        right = np.where(held, v, k - np.einsum("gij,gj->gi", g, np.where(held, v, 0.0)))
+        only = np.where(~held[:, :, None] & ~held[:, None, :], g, np.eye(4) * held[:, :, None])
+        goal = (np.linalg.pinv(only, hermitian=True) @ right[..., None])[..., 0]
+        move = np.where(held, 0.0, goal - v)
+        wall = np.where(move < 0, lo, hi)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            room = np.where(move != 0, (wall - v) / move, np.inf)
+        far = np.minimum(room.min(axis=1), 1.0)
+        hit = (room <= far[:, None]) & (far[:, None] < 1.0)
+        v = np.where(hit, wall, np.clip(v + far[:, None] * move, lo, hi))
+        slope = k - np.einsum("gij,gj->gi", g, v)
+        inward = np.where(held & (far[:, None] >= 1.0), np.where(v <= lo, slope, -slope), 0.0)
+        worst = inward.argmax(axis=1)
+        loose = inward[np.arange(len(v)), worst] > 1e-12
+        held = held | hit
+        held[np.flatnonzero(loose), worst[loose]] = False
+        x[todo], fixed[todo] = v, held
+        todo = todo[loose | (far < 1.0)]
+        if not len(todo):
+            break
+    return x
+
+
 def _bounded_fit(basis: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Box-bounded least squares for stacks of bases (dates, grid, tenors, 4) on curves (dates, tenors).
 
     Gives coefficients (dates, grid, 4) and squared errors (dates, grid). Unbounded solutions inside the box stand;
-    the rest are improved by exact coordinate steps.
+    the rest are solved by active sets.
     """
     lo, hi = np.array(BETA_LOW), np.array(BETA_HIGH)
     gram = np.swapaxes(basis, -1, -2) @ basis
@@ -298,13 +331,7 @@ def _bounded_fit(basis: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarr
     b = (np.linalg.pinv(gram, hermitian=True) @ cross[..., None])[..., 0]
     out = ((b < lo) | (b > hi)).any(axis=-1)
     if out.any():
-        g, k = gram[out], cross[out]
-        v = np.clip(b[out], lo, hi)
-        for _ in range(400):
-            for i in range(4):
-                rest = k[:, i] - np.einsum("gj,gj->g", g[:, i], v) + g[:, i, i] * v[:, i]
-                v[:, i] = np.clip(rest / g[:, i, i], lo[i], hi[i])
-        b[out] = v
+        b[out] = _boxed(gram[out], cross[out], np.clip(b[out], lo, hi), lo, hi)
     err = (((basis @ b[..., None])[..., 0] - y[:, None, :]) ** 2).sum(axis=-1)
     return b, err
 

@@ -14,11 +14,12 @@ from ..operators import timeseries as T
 from ..operators import weights as P
 from ..session import stored
 from .forecasting import bench, evt, forecasts
-from .registry import query, view
-from .risk import U, ex_m
+from .portfolio import bt_chain
+from .registry import query, view, views
+from .risk import U, ex_m, lw_views
 from .scoring import SPANS
 from .series import out, sq
-from .sqlmath import phi, quantile, t_cdf, t_quantile
+from .sqlmath import erc_views, phi, quantile, t_cdf, t_quantile
 
 view("ev", "SELECT f.asset, f.signal, f.d, f.y, f.forecast, b.bench FROM fc_m f JOIN bench_fc b ON b.asset = f.asset AND b.d = f.d WHERE f.forecast IS NOT NULL AND b.bench IS NOT NULL")
 view("r2_m", "SELECT asset, signal, COUNT(*) AS n, 1 - AVG(POW(y - forecast, 2))/AVG(POW(y - bench, 2)) AS r2 FROM ev GROUP BY 1, 2 HAVING COUNT(*) >= 12")
@@ -259,7 +260,18 @@ def _(t):
     return out(z.join(b, keys), "edge", "z", "p_t", "p_boot", keys=("strategy", "span", "n"))
 
 
-@query("robustness_grid")
+view("rg_s", "SELECT * FROM (VALUES " + ", ".join(f"('L{lb or 'all'}_e{ev}', {lb or 'NULL'}, {ev})" for lb in (None, 24, 36) for ev in (3, 6, 12)) + ") v(spec, lb, ev)")
+view("rg_e", "SELECT spec, d AS ed, rn AS ern, lb, spec || '|' || d AS gk FROM (SELECT DISTINCT d, rn FROM ex_rn), rg_s WHERE rn >= 36 AND (rn = 36 OR rn % ev = 0)")
+view("rg_src", "SELECT e.gk, x.asset, x.d, x.x FROM rg_e e JOIN ex_rn x ON x.rn < e.ern AND x.rn >= COALESCE(greatest(e.ern - lb, 0), 0)")
+lw_views("lw_rg", "rg_src", "gk")
+views(erc_views("rg_w", "SELECT gk AS k, i, j, s FROM lw_rg"))
+view("rg_t", "SELECT e.spec AS strategy, w.asset, e.ed AS d, w.w AS target FROM rg_w w JOIN rg_e e ON e.gk = w.k UNION ALL SELECT 'eq ' || e.spec, w.asset, e.ed, 1.0/COUNT(*) OVER (PARTITION BY w.k) FROM rg_w w JOIN rg_e e ON e.gk = w.k")
+bt_chain("btr", "rg_t")
+view("rg_z", """SELECT strategy, mult, span, AVG(z)*12/NULLIF(stddev_samp(z)*sqrt(12), 0) AS sharpe FROM (SELECT strategy, mult, span, gross - mult*turnover*0.001 - rf AS z FROM btr JOIN rf_m USING (d), (SELECT unnest([0.0, 1.0, 2.0])::DOUBLE AS mult),
+  (VALUES ('dev', DATE '1995-01-01', DATE '1999-12-31'), ('oos', DATE '2000-01-01', DATE '2001-12-31')) s(span, lo, hi) WHERE d BETWEEN lo AND hi) GROUP BY 1, 2, 3""")
+
+
+@query("robustness_grid", "SELECT a.strategy, a.mult, a.span, round(a.sharpe, 6)+0.0 AS sharpe, round(a.sharpe - b.sharpe, 6)+0.0 AS edge FROM rg_z a JOIN rg_z b ON b.strategy = 'eq ' || a.strategy AND b.mult = a.mult AND b.span = a.span")
 def _(t):
     """27 specs (lookback x cadence x cost) from one table of running pair sums."""
     x = ex_m(t)

@@ -12,8 +12,9 @@ from ..operators import forecast as FC
 from ..operators import learn as L
 from ..operators import timeseries as T
 from ..session import stored
-from .registry import query, view
+from .registry import query, view, views
 from .series import F_, gd, out, sq
+from .sqlmath import net_views, solve_views
 
 MIN = 24
 # lagged signals common to all assets: three-row momentum and six-row volatility of each
@@ -160,13 +161,28 @@ def linear(t, specs):
     return L.linear_forecasts(x, stored(coefs)), y
 
 
-@query("walk_forward_ml")
+# every refit on the complete rows before it, solved in SQL; k names the fit as asset|position
+view("ml_w", "SELECT asset, d, list(x ORDER BY signal) AS xs, list(signal ORDER BY signal) AS names, COUNT(x) AS known, COUNT(*) AS width, ANY_VALUE(y) AS y, row_number() OVER (PARTITION BY asset ORDER BY d) - 1 AS rn FROM fx GROUP BY asset, d")
+view("ml_e", "SELECT a.asset, a.rn, b.d AS fit, a.asset || '|' || a.rn AS k FROM ml_w a JOIN ml_w b ON b.asset = a.asset AND b.rn = a.rn + 4 WHERE a.rn >= 30 AND (a.rn - 30) % 12 = 0")
+view("ml_t", "SELECT e.k, t.d, t.xs, t.y, COUNT(*) OVER (PARTITION BY e.k) AS n FROM ml_e e JOIN ml_w t ON t.asset = e.asset AND t.rn < e.rn WHERE t.known = t.width AND t.y IS NOT NULL")
+view("ml_u", "SELECT k, n, d, y, unnest(xs) AS x, generate_subscripts(xs, 1) AS i FROM ml_t WHERE n >= 15")
+view("ml_s", "SELECT k, i, ANY_VALUE(n) AS n, AVG(x) AS mx, CASE WHEN stddev_pop(x) > 0 THEN stddev_pop(x) ELSE 1 END AS sx, AVG(y) AS my, stddev_samp(y) AS sy, covar_pop(x, y) AS c FROM ml_u GROUP BY 1, 2")
+view("ml_g", "SELECT a.k, a.i, b.i AS j, covar_pop(a.x, b.x) AS g FROM ml_u a JOIN ml_u b ON a.k = b.k AND a.d = b.d GROUP BY 1, 2, 3")
+view("ml_m", "SELECT g.k, g.i, list(g.g/s.sx/r.sx ORDER BY g.j) AS r, ANY_VALUE(s.c/s.sx/s.sy) AS c, ANY_VALUE(s.n) AS n FROM ml_g g JOIN ml_s s ON s.k = g.k AND s.i = g.i JOIN ml_s r ON r.k = g.k AND r.i = g.j GROUP BY 1, 2")
+views(solve_views("ml_ridge", "SELECT k, list(list_append(list_transform(range(1, 13), lambda j: r[j] + CASE WHEN i = j THEN 10.0/n ELSE 0 END), c) ORDER BY i) AS a FROM ml_m GROUP BY 1", 12))
+views(net_views("ml_net", "SELECT k, list(r ORDER BY i) AS g, list(c ORDER BY i) AS c FROM ml_m GROUP BY 1", 12, 0.05, 0.05))
+view("ml_b", "SELECT k, 'ridge' AS spec, x FROM ml_ridge UNION ALL SELECT k, 'elastic_net', x FROM ml_net")
+view("ml_c", "SELECT e.asset, e.fit, b.spec, s.i, b.x[s.i] AS b, s.mx, s.sx, s.my, s.sy FROM ml_b b JOIN ml_s s USING (k) JOIN ml_e e USING (k)")
+view("ml_l", "SELECT w.*, e.fit FROM ml_w w ASOF JOIN (SELECT DISTINCT asset, fit FROM ml_c) e ON e.asset = w.asset AND w.d >= e.fit")
+
+
+@query("walk_forward_ml", "SELECT l.asset, c.spec, l.d, round(SUM(c.b*(l.xs[c.i] - c.mx)/c.sx)*ANY_VALUE(c.sy) + ANY_VALUE(c.my), 6)+0.0 AS forecast FROM ml_l l JOIN ml_c c ON c.asset = l.asset AND c.fit = l.fit WHERE l.known = l.width GROUP BY 1, 2, 3")
 def _(t):
     f, _y = linear(t, SPECS)
     return out(f, "forecast", keys=("asset", "spec", "d"))
 
 
-@query("linear_models")
+@query("linear_models", "SELECT c.asset, c.fit, c.spec, w.names[c.i] AS signal, round(c.b, 6)+0.0 AS b, round(c.mx, 6)+0.0 AS mx, round(c.sx, 6)+0.0 AS sx FROM ml_c c JOIN ml_w w ON w.asset = c.asset AND w.d = c.fit")
 def _(t):
     x, y = ml_inputs(t)
     c = L.linear_coefficients(x, y, SPECS, min_train=30, refit_every=12, horizon=1, embargo=3)

@@ -11,9 +11,10 @@ from ..operators import crosssection as X
 from ..operators import metrics as M
 from ..operators import weights as P
 from ..session import stored
-from .registry import query, view
+from .registry import QUERIES, query, view, views
 from .risk import U, due, ex_m
 from .series import out, sq
+from .sqlmath import erc_views
 
 BPS = [("ECONOMY", 5.0), ("LARGE", 10.0), ("MEDIUM", 15.0), ("PROMO", 20.0)]
 FIRST = 24
@@ -160,16 +161,16 @@ def fixed_mix(t):
     return r, p.select("universe", F.lit("mix").alias("strategy"), "asset", "d", mix.alias("target"))
 
 
-@query("schedule_band_l1", bd_sql("l1 >= 0.25 AND r1 - r0 >= 2"))
+@query("schedule_band_l1", bd_sql("l1 >= 0.05 AND r1 - r0 >= 2"))
 def _(t):
     r, path = fixed_mix(t)
-    return B.band_trades(r, path, 0.25, "l1", min_gap=2).select("d")
+    return B.band_trades(r, path, 0.05, "l1", min_gap=2).select("d")
 
 
-@query("schedule_band_max", bd_sql("mx > 0.1"))
+@query("schedule_band_max", bd_sql("mx > 0.02"))
 def _(t):
     r, path = fixed_mix(t)
-    return B.band_trades(r, path, 0.1, "max").select("d")
+    return B.band_trades(r, path, 0.02, "max").select("d")
 
 
 # long-only path re-targeted every 6 rows; dates without a positive return fall back to 1/n
@@ -228,6 +229,18 @@ def _(t):
     return out(B.backtest(r, tg, rates(t)), "net", "turnover", keys=("strategy", "d"))
 
 
+view("cr_c", "SELECT ed AS k, i, j, s*sqrt(a.nw*b.nw) AS s FROM lw_ep JOIN nw_m a ON a.asset = i JOIN nw_m b ON b.asset = j")
+views(erc_views("cr_w", "SELECT * FROM cr_c"))
+view("cr_t", "SELECT 'erc' AS strategy, asset, k AS d, w AS target FROM cr_w UNION ALL SELECT 'equal', asset, k, 1.0/COUNT(*) OVER (PARTITION BY k) FROM cr_w")
+bt_chain("btc", "cr_t")
+
+
+@query("backtest_cov_rule_check", "SELECT strategy, d, round(gross - cost, 6)+0.0 AS net, round(CASE WHEN epoch = 1 THEN 0 ELSE turnover/2 END, 6)+0.0 AS turnover FROM btc")
+def _(t):
+    """The two rules that SQL can restate, from covariance to net returns."""
+    return QUERIES["backtest_cov_rule"](t.spark, t.sf_dir).filter("strategy in ('erc', 'equal')")
+
+
 @query("turnover_from_path", """WITH k AS (SELECT asset, d, held, row_number() OVER (PARTITION BY asset ORDER BY d) - 1 AS i FROM bta_h), c AS (SELECT d, abs(held - LAG(held) OVER (PARTITION BY asset ORDER BY d)) AS c FROM k WHERE i % 6 = 0),
   s AS (SELECT d, COALESCE(SUM(c), 0) AS c FROM c GROUP BY 1) SELECT round(AVG(c)*2/2, 6)+0.0 AS turnover_pa FROM s""")
 def _(t):

@@ -43,6 +43,12 @@ def view(name: str, text: str) -> None:
     VIEWS[name] = text
 
 
+def views(pairs: list[tuple[str, str]]) -> None:
+    """Add several shared views."""
+    for name, text in pairs:
+        view(name, text)
+
+
 def with_views(body: str) -> str:
     """Prefix the views a query mentions, directly or through other views."""
     names = list(VIEWS)

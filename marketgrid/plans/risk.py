@@ -12,8 +12,9 @@ from ..operators import crosssection as X
 from ..operators import hierarchy
 from ..operators import weights as P
 from ..session import stored
-from .registry import QUERIES, query, view
+from .registry import QUERIES, query, view, views
 from .series import out, sq
+from .sqlmath import erc_views
 
 U = ["universe"]
 
@@ -213,7 +214,10 @@ def _(t):
     return out(P.inverse_vol(lw_epochs(t), KD), "w", keys=("d", "asset"))
 
 
-@query("erc")
+views(erc_views("erc_ep", "SELECT ed AS k, i, j, s FROM lw_ep"))
+
+
+@query("erc", "SELECT k AS d, asset, round(w, 6)+0.0 AS w FROM erc_ep")
 def _(t):
     return out(P.cov_rule(lw_epochs(t), KD, "erc"), "w", keys=("d", "asset"))
 
