@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.expr import div, finite, safe_corr, win
+from ..functions.expr import div, finite, win
 from .covariance import cov_of, pair_sums, total
-from .crosssection import avg_rank
 from .curves import bond_excess_returns, forward_rates, pack
 from .dates import month_end
 
@@ -386,12 +385,44 @@ def svensson_fit_grid(curve: DataFrame, value: str = "zero", levels: int = 4, wi
 # ---- adaptive window choice ----
 
 
+def _ranks(x: np.ndarray) -> np.ndarray:
+    """Ranks from 1, ties at their mean."""
+    _, place, count = np.unique(x, return_inverse=True, return_counts=True)
+    return (np.cumsum(count) - (count - 1) / 2.0)[place]
+
+
+def _trailing_ic(keys: list[str], burn_in: int, step: int, window: int, horizon: int, min_pairs: int):
+    """Rank correlation of signal and forward return before each choice of one stretch."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rn")
+        rn, x, y = (pdf[c].to_numpy() for c in ("rn", "x", "y"))
+        first = int(pdf["_b"].iloc[0]) * window
+        at = np.arange(max(burn_in, first + (burn_in - first) % step), first + window, step)
+        out = []
+        for g in at:
+            lo, hi = np.searchsorted(rn, [g - window, g - horizon])
+            if hi - lo < min_pairs:
+                continue
+            a, b = _ranks(x[lo:hi]), _ranks(y[lo:hi])
+            a, b = a - a.mean(), b - b.mean()
+            size = np.sqrt((a @ a) * (b @ b))
+            if size > 0:
+                out.append((g, a @ b / size))
+        res = pd.DataFrame(out, columns=["rn", "ic"])
+        for k in keys:
+            res[k] = pdf[k].iloc[0]
+        return res[[*keys, "rn", "ic"]]
+
+    return run
+
+
 def adaptive_choice(cand: DataFrame, returns: DataFrame, by: list[str], burn_in: int, step: int = 21, window: int = 1260, horizon: int = 1, min_pairs: int = 252) -> DataFrame:
     """Candidate with the highest trailing rank correlation with the forward return, re-chosen every `step` rows.
 
     `cand` is (by, asset, d, pos, candidate, x), `returns` (by, asset, d, r). Output (by, asset, d, candidate) on every
-    live date. Ranks are windows by (asset, candidate, choice date), so a long history is split by its choices. Ties and
-    dates without any correlation go to the first candidate.
+    live date. A long history is split into stretches of `window` rows; each row goes to two of them, however many choices
+    look back on it. Ties and dates without any correlation go to the first candidate.
     """
     w = win([*by, "asset"])
     f = returns.withColumn("rn", F.row_number().over(w) - 1)
@@ -402,15 +433,14 @@ def adaptive_choice(cand: DataFrame, returns: DataFrame, by: list[str], burn_in:
         f = f.withColumn("fwd", F.when(F.count("r").over(ahead) == horizon, F.sum("r").over(ahead)))
     j = cand.join(f.select(*by, "asset", "d", "rn", "fwd"), [*by, "asset", "d"])
     keys = [*by, "asset", "pos", "candidate"]
-    # a row takes part in the choices made from horizon + 1 to `window` rows later
-    first = F.ceil(F.greatest(F.col("rn") + horizon + 1 - burn_in, F.lit(0)) / step) * step + burn_in
+    # the choices of a stretch of `window` rows read that stretch and the one before
     pairs = j.select(*keys, "rn", finite("x").alias("x"), finite("fwd").alias("y")).filter("x is not null and y is not null")
-    each = pairs.withColumn("_from", first.cast("long")).withColumn("_to", (F.col("rn") + window).cast("long")).filter("_from <= _to")
-    each = each.select(*keys, "x", "y", F.explode(F.sequence("_from", "_to", F.lit(step).cast("long"))).alias("g"))
-    ranked = each.select(*keys, "g", avg_rank("x", [*keys, "g"]).alias("rx"), avg_rank("y", [*keys, "g"]).alias("ry"))
-    scored = ranked.groupBy(*keys, "g").agg(F.when(F.count("*") >= min_pairs, F.round(safe_corr("rx", "ry"), 12)).alias("ic"))  # below that, candidates tie
+    stretch = F.floor(F.col("rn") / window)
+    halves = pairs.select("*", F.explode(F.array(stretch, stretch + 1)).alias("_b"))
+    schema = pairs.select(*keys, "rn").schema.add("ic", "double")
+    scored = halves.groupBy(*keys, "_b").applyInPandas(_trailing_ic(keys, burn_in, step, window, horizon, min_pairs), schema).withColumn("ic", F.round("ic", 12))  # below that, candidates tie
     due = j.filter((F.col("rn") >= burn_in) & ((F.col("rn") - burn_in) % step == 0)).select(*keys, "rn")
-    ic = due.join(scored.withColumnRenamed("g", "rn"), [*keys, "rn"], "left")
+    ic = due.join(scored, [*keys, "rn"], "left")
     score = F.struct(F.coalesce(F.col("ic"), F.lit(float("-inf"))).alias("ic"), (-F.col("pos")).alias("p"), F.col("candidate"))
     pick = ic.groupBy(*by, "asset", "rn").agg(F.max(score).alias("_b")).select(*by, "asset", "rn", F.col("_b.candidate").alias("candidate"))
     live = f.filter(F.col("rn") >= burn_in).select(*by, "asset", "d", "rn")

@@ -1,12 +1,17 @@
 """Inference: stationary bootstrap, Sharpe comparisons, reality check, deflated Sharpe, rank evidence.
 
 Random numbers are hashes of (seed, resample, step), so draws do not depend on partitioning, and every
-strategy of a comparison sees the same resamples. A resample is folded over a path held in one row, as an
-array bounded by the calendar; blocks of resamples spread over tasks and nothing is joined or sorted per draw.
+strategy of a comparison sees the same resamples. Sums over a resample are products of its counts of positions with the
+paths, drawn once for a block of paths; blocks of resamples spread over tasks and nothing is joined or sorted per draw.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,21 +57,56 @@ def bootstrap_index(lengths: DataFrame, reps: int, mean_block: float = 12.0, see
     return g.select(*by, "rep", "t", F.pmod(F.col("_b.s") + F.col("t") - F.col("_b.t0"), F.col("n").cast("int")).alias("idx"))
 
 
+def resample_counts(n: int, reps: range, mean_block: float, seed: int) -> np.ndarray:
+    """How often each of n positions occurs in each resample (resamples by positions), from the draws of `bootstrap_index`."""
+    jump, start = np.empty((len(reps), n), bool), np.empty((len(reps), n))
+    for row, rep in enumerate(reps):
+        h = [hashlib.md5(f"{seed}:{rep}:{t}".encode()).hexdigest() for t in range(n)]
+        jump[row] = [int(x[:13], 16) / 4503599627370496.0 < 1.0 / max(mean_block, 1.0) for x in h]
+        start[row] = [int(x[13:26], 16) / 4503599627370496.0 for x in h]
+    jump[:, 0] = True
+    t = np.arange(n)
+    last = np.maximum.accumulate(np.where(jump, t, 0), axis=1)
+    place = (np.floor(np.take_along_axis(start, last, 1) * n).astype(np.int64) + t - last) % n
+    return np.bincount((place + n * np.arange(len(reps))[:, None]).ravel(), minlength=n * len(reps)).reshape(len(reps), n).astype(float)
+
+
+STRATEGIES = 256  # paths that one task multiplies with the same resamples
+
+
 def _resampled_sums(paths: DataFrame, by: list[str], reps: int, mean_block: float, seed: int, blocks: int, with_b: bool) -> DataFrame:
-    """Sums of each resample; `paths` has arrays S (and B) and the length n per key."""
-    jump, start = _draw_sql("x.h", "n", "x.t", mean_block)
+    """Sums of each resample; `paths` has arrays S (and B) and the length n per key.
+
+    Paths of one length see the same resamples, so these are drawn once for up to STRATEGIES paths, as counts of the
+    positions, and multiplied with all of them; a row holds a block of paths, and blocks of resamples spread over tasks.
+    """
+    names = ["S", "B"] if with_b else ["S"]
+    dealt = paths.withColumn("_p", F.floor((F.row_number().over(Window.partitionBy("n").orderBy(*by)) - 1) / STRATEGIES))
+    panels = dealt.groupBy("n", "_p").agg(F.collect_list(F.struct(*by, *names)).alias("_k"))  # STRATEGIES paths at most
+    spread = _spread(panels.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), blocks, "n", "_p", "_blk")
     per = -(-reps // blocks)
-    spread = _spread(paths.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), blocks, *by, "_blk")
-    lo = F.col("_blk") * per
-    spread = spread.withColumn("rep", F.explode(F.filter(F.sequence(lo, lo + per - 1), lambda r: r < reps)))
-    spread = spread.withColumn("_d", F.expr(
-        f"transform(transform(sequence(0, cast(n as int) - 1), t -> struct(t as t, {_hash_sql(seed, 'rep', 't')} as h)), x -> struct({jump} as j, {start} as s))"))
-    nxt = "case when d.j then d.s else (a.i + 1) % cast(n as int) end"
-    x, y = f"element_at(S, {nxt} + 1)", f"element_at(B, {nxt} + 1)"
-    extra0 = ", 0D as b, 0D as bb" if with_b else ""
-    extra = f", a.b + {y} as b, a.bb + {y} * {y} as bb" if with_b else ""
-    fold = f"aggregate(_d, struct(0 as i, 0D as s, 0D as ss{extra0}), (a, d) -> struct({nxt} as i, a.s + {x} as s, a.ss + {x} * {x} as ss{extra}))"
-    return spread.select(*by, "rep", "n", F.expr(fold).alias("_a")).select(*by, "rep", "n", "_a.*").drop("i")
+    sums = ["s", "ss", "b", "bb"] if with_b else ["s", "ss"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                mine = range(batch.column("_blk")[row].as_py() * per, min((batch.column("_blk")[row].as_py() + 1) * per, reps))
+                n, held = int(batch.column("n")[row].as_py()), batch.column("_k")[row].values
+                if not len(mine):
+                    continue
+                counts = resample_counts(n, mine, mean_block, seed)
+                out = []
+                for c in names:
+                    x = held.field(c).flatten().to_numpy(zero_copy_only=False).reshape(len(held), n)
+                    out += [counts @ x.T, counts @ (x * x).T]  # resamples by paths
+                of = pa.array(np.tile(np.arange(len(held)), len(mine)))
+                cols = [held.field(k).take(of) for k in by] + [pa.array(np.repeat(np.array(mine, np.int32), len(held))), pa.array(np.full(len(of), float(n)))]
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(v.ravel()) for v in out)], [*by, "rep", "n", *sums])
+
+    schema = paths.select(*by).schema.add("rep", "integer").add("n", "double")
+    for k in sums:
+        schema = schema.add(k, "double")
+    return spread.mapInArrow(run, schema)
 
 
 def _sharpe_from_sums(s: str, ss: str, n: str, ppy: int) -> Column:

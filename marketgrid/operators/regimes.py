@@ -11,7 +11,7 @@ from . import covariance as V
 from . import weights as P
 from .align import asof
 from .crosssection import xs_z_pop
-from .timeseries import REGIMES, rank_pct, trend_deviation
+from .timeseries import REGIMES, trend_deviation, with_rank_pct
 
 
 def quadrant(growth_up: Column, inflation_up: Column) -> Column:
@@ -44,8 +44,7 @@ def classify_hybrid(df: DataFrame, by: list[str], window: int = 36, growth_floor
 
 
 def classify_percentile(df: DataFrame, by: list[str], window: int = 240, cutoff: float = 0.5, g: str = "growth", i: str = "inflation") -> DataFrame:
-    w = win(by)
-    d = df.withColumn("_g", rank_pct(g, w, window)).withColumn("_i", rank_pct(i, w, window))
+    d = with_rank_pct(with_rank_pct(df, by, g, "_g", window), by, i, "_i", window)
     return d.withColumn("regime", quadrant(F.col("_g") > cutoff, F.col("_i") > cutoff)).drop("_g", "_i")
 
 

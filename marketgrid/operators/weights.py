@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import solvers
+from ..functions.expr import win
 from ..session import stored
 from . import blocks, hierarchy
 
@@ -114,6 +115,58 @@ def train_rule(history: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame,
     return history.groupBy(*keys, epoch).applyInPandas(run, schema)
 
 
+PARTS = 8  # groups that the choices of one universe are dealt to
+
+
+def train_rule_windows(panel: DataFrame, epochs: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame, pd.Series], pd.Series], lookback: int | None = None,
+                       parts: int = PARTS, asset: str = "asset", d: str = "d", r: str = "r", rf: str = "rf") -> DataFrame:
+    """User rule on the window before each epoch, without a copy of the window for each; (keys, epoch, asset, w).
+
+    `panel` is (keys, asset, d, r, rf), `epochs` (keys, epoch date). Epochs that follow each other share a group, which
+    gets the rows from the first one's window to the last one: with a lookback that is each row about twice, as groups
+    are as long as the lookback; without one, at most `parts` times. A task holds what its last window needs anyway.
+    """
+    cal = panel.select(*keys, d).distinct().withColumn("_n", F.row_number().over(win(keys, d)).cast("long") - 1)
+    rows = panel.join(cal, [*keys, d])
+    # an epoch's end: how many dates lie before it
+    marks = cal.select(*keys, F.col(d).alias("_at"), F.lit(None).cast("date").alias("epoch")).unionByName(epochs.select(*keys, F.col("epoch").alias("_at"), "epoch"))
+    before = Window.partitionBy(*keys).orderBy(F.col("_at"), F.col("epoch").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    ends = marks.withColumn("_end", F.count(F.when(F.col("epoch").isNull(), 1)).over(before)).filter("epoch is not null").select(*keys, "epoch", "_end")
+    if lookback is None:
+        dealt = ends.withColumn("_g", F.ntile(parts).over(Window.partitionBy(*keys).orderBy("epoch")).cast("long"))
+    else:
+        dealt = ends.withColumn("_g", F.floor(F.col("_end") / lookback))
+    low = F.lit(0) if lookback is None else F.greatest(F.min("_end") - lookback, F.lit(0))
+    groups = dealt.groupBy(*keys, "_g").agg(low.cast("long").alias("_lo"), F.max("_end").alias("_hi"), F.collect_list(F.struct("epoch", "_end")).alias("_e"))
+    spans = groups.select(*keys, "_g", F.explode(F.sequence("_lo", F.col("_hi") - 1)).alias("_n")) if lookback is not None else None
+    if spans is None:
+        mine = rows.join(groups.select(*keys, "_g", "_hi"), keys).filter(F.col("_n") < F.col("_hi")).drop("_hi")
+    else:
+        mine = rows.join(spans, [*keys, "_n"])
+    wanted = stored(groups.select(*keys, "_g", F.explode("_e").alias("_e")).select(*keys, "_g", "_e.*"))
+    schema = T.StructType([panel.schema[k] for k in keys] + [T.StructField("epoch", epochs.schema["epoch"].dataType), T.StructField("asset", T.StringType()), T.StructField("w", T.DoubleType())])
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        parts_ = []
+        if len(left):
+            whole = left.pivot(index="_n", columns=asset, values=r).sort_index()
+            days = left.drop_duplicates("_n").set_index("_n")[d].reindex(whole.index)
+            free = left.groupby("_n")[rf].first().reindex(whole.index)
+            for epoch, end in zip(right["epoch"], right["_end"]):
+                inside = (whole.index < end) & (whole.index >= (0 if lookback is None else end - lookback))
+                if not inside.any():
+                    continue
+                train = whole[inside].set_axis(pd.Index(days[inside], name=d)).dropna(axis=1, how="all")
+                w = fn(train, free[inside].set_axis(train.index))
+                parts_.append(pd.DataFrame({"epoch": epoch, "asset": list(train.columns), "w": np.asarray(w, dtype=float)}))
+        out = pd.concat(parts_) if parts_ else pd.DataFrame({"epoch": [], "asset": [], "w": []})
+        for n, k in enumerate(keys):
+            out[k] = key[n]
+        return out[[*keys, "epoch", "asset", "w"]]
+
+    return mine.groupBy(*keys, "_g").cogroup(wanted.groupBy(*keys, "_g")).applyInPandas(run, schema)
+
+
 def mean_variance(cov: DataFrame, mu: DataFrame, keys: list[str], max_gross: float = 2.0, dense: int = DENSE) -> DataFrame:
     """Unbounded mean-variance weights scaled to the gross limit; `mu` is (keys, asset, mu). Large matrices stay in blocks."""
     small, large = _large(cov, keys, dense)

@@ -292,9 +292,7 @@ def _(t):
 @query("weight_fn_train", """WITH c AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS rn FROM (SELECT DISTINCT d FROM ret_m WHERE r IS NOT NULL)), e AS (SELECT d AS epoch, rn FROM c WHERE rn >= 24 AND rn % 24 = 0),
   s AS (SELECT epoch, asset, 1/stddev_samp(r.r) AS iv FROM e JOIN c ON c.rn < e.rn JOIN ret_m r ON r.d = c.d WHERE r.r IS NOT NULL GROUP BY 1, 2) SELECT epoch, asset, round(iv/SUM(iv) OVER (PARTITION BY epoch), 6)+0.0 AS w FROM s""")
 def _(t):
-    r = returns(t).join(t.rf_m, "d")
-    cal = V.chunks(V.calendar(r, U), U, due(FIRST, 24))
-    epochs = cal.filter("due").select("universe", F.col("d").alias("epoch"), F.col("rn").alias("_e"))
-    hist = r.join(cal.select("universe", "d", "rn"), ["universe", "d"]).join(epochs, "universe").filter("rn < _e")
-    w = P.train_rule(hist, U, lambda train, rf: 1.0 / train.std() / (1.0 / train.std()).sum())
+    r = stored(returns(t).join(t.rf_m, "d"))
+    epochs = V.calendar(r, U).filter(due(FIRST, 24)).select("universe", F.col("d").alias("epoch"))
+    w = P.train_rule_windows(r, epochs, U, lambda train, rf: 1.0 / train.std() / (1.0 / train.std()).sum())
     return out(w, "w", keys=("epoch", "asset"))

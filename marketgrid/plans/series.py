@@ -90,7 +90,7 @@ def _(t):
         FROM p a JOIN p b ON a.asset = b.asset AND b.i BETWEEN a.i - 35 AND a.i GROUP BY 1, 2, 3, 4)
   SELECT asset, d, round(CASE WHEN known >= 9 THEN CASE WHEN r IS NULL THEN 0.0 ELSE below END / NULLIF(n, 0) END, 6)+0.0 AS rk FROM s""")
 def _(t):
-    return out(t.ret_m.withColumn("rk", T.rank_pct("r", wa(), 36)), "rk")
+    return out(T.with_rank_pct(t.ret_m, ["asset"], "r", "rk", 36), "rk")
 
 
 @query("winsorize", f"""WITH q AS (SELECT asset, d, r, CASE WHEN COUNT(r) OVER {F_(36)} >= 9 THEN quantile_cont(r, 0.05) OVER {F_(36)} END AS lo,

@@ -120,3 +120,81 @@ def test_bands_equal_a_plain_walk_on_many_strategies(spark):
             got.setdefault((row.universe, row.strategy), set()).add((row.d - D0).days)
         assert {k: sorted(v) for k, v in got.items()} == {k: plain_band(*v, band, kind, gap) for k, v in want.items()}
         assert max(map(len, got.values())) > 5
+
+
+def test_sliding_ranks_equal_the_window_expression(spark):
+    from marketgrid.functions.expr import win
+    from marketgrid.operators import timeseries as T
+
+    rng = np.random.default_rng(6)
+    rows = [(k, D0 + dt.timedelta(days=i), None if rng.random() < 0.1 else float(rng.integers(0, 6))) for k, n in (("a", 130), ("b", 7), ("c", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, d date, x double")
+    for window, need in ((5, 1), (24, None), (200, 3)):
+        both = T.with_rank_pct(df, ["k"], "x", "got", window, need).withColumn("want", T.rank_pct("x", win(["k"]), window, need)).collect()
+        assert len(both) == len(rows) and all(r.got == pytest.approx(r.want) if r.want is not None else r.got is None for r in both)
+
+
+def plain_choice(x, r, burn, step, window, horizon, need):
+    """Candidate with the best trailing rank correlation at each choice."""
+    n, out, now = len(r), {}, None
+    fwd = np.array([r[i + 1 : i + 1 + horizon].sum() if i + horizon < n else np.nan for i in range(n)])
+    for t in range(burn, n):
+        if (t - burn) % step == 0:
+            best = []
+            for pos, name in enumerate(sorted(x)):
+                lo, hi = max(t - window, 0), t - horizon
+                a, b = x[name][lo:hi], fwd[lo:hi]
+                ok = ~np.isnan(a) & ~np.isnan(b)
+                a, b = pd.Series(a[ok]).rank(), pd.Series(b[ok]).rank()
+                ic = a.corr(b) if ok.sum() >= need and a.std() > 0 and b.std() > 0 else -np.inf
+                best.append((-round(ic, 12) if np.isfinite(ic) else np.inf, pos, name))
+            now = min(best)[2]
+        out[t] = now
+    return out
+
+
+@pytest.mark.parametrize("burn,step,window,horizon", [(20, 3, 15, 1), (10, 7, 40, 2), (30, 5, 9, 1)])
+def test_window_choice_moves_each_row_twice(spark, burn, step, window, horizon):
+    rng = np.random.default_rng(7)
+    ret, cand, want = [], [], {}
+    for k in ("p", "q"):
+        r = rng.normal(size=80).round(1)
+        x = {c: np.where(rng.random(80) < 0.1, np.nan, rng.integers(0, 9, 80)) for c in ("c0", "c1", "c2")}
+        ret += [("u", k, D0 + dt.timedelta(days=i), float(r[i])) for i in range(80)]
+        cand += [("u", k, D0 + dt.timedelta(days=i), p, c, None if np.isnan(x[c][i]) else float(x[c][i])) for p, c in enumerate(sorted(x)) for i in range(80)]
+        want |= {(k, D0 + dt.timedelta(days=t)): c for t, c in plain_choice(x, r, burn, step, window, horizon, 5).items()}
+    c = spark.createDataFrame(cand, "universe string, asset string, d date, pos int, candidate string, x double")
+    got = CO.adaptive_choice(c, spark.createDataFrame(ret, "universe string, asset string, d date, r double"), ["universe"], burn, step, window, horizon, 5).collect()
+    assert {(r.asset, r.d): r.candidate for r in got} == want
+
+
+@pytest.mark.parametrize("lookback", [None, 12])
+def test_training_windows_share_their_rows(spark, lookback):
+    rng = np.random.default_rng(8)
+    rows = [(u, f"a{k}", D0 + dt.timedelta(days=i), float(rng.normal()), 0.01 * i) for u, n in (("u", 60), ("v", 20)) for i in range(n) for k in range(3) if not (k == 2 and i < 30)]
+    panel = spark.createDataFrame(rows, "universe string, asset string, d date, r double, rf double")
+    epochs = spark.createDataFrame([(u, D0 + dt.timedelta(days=i)) for u, n in (("u", 60), ("v", 20)) for i in range(0, n, 4)], "universe string, epoch date")
+    fn = lambda train, rf: train.sum() + rf.iloc[-1] + len(train)
+    got = {(r.universe, r.epoch, r.asset): r.w for r in W.train_rule_windows(panel, epochs, ["universe"], fn, lookback, parts=3).collect()}
+    want = {}
+    for u, n in (("u", 60), ("v", 20)):
+        for e in range(0, n, 4):
+            mine = [x for x in rows if x[0] == u and (x[2] - D0).days < e and (lookback is None or (x[2] - D0).days >= e - lookback)]
+            for k in {x[1] for x in mine}:
+                want[u, D0 + dt.timedelta(days=e), k] = sum(x[3] for x in mine if x[1] == k) + max(x[4] for x in mine) + len({x[2] for x in mine})
+    assert set(got) == set(want)
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v)
+
+
+def test_resample_counts_do_not_grow_with_strategies(spark, monkeypatch):
+    from marketgrid.operators import inference as I
+
+    rng = np.random.default_rng(9)
+    days = [D0 + dt.timedelta(days=i) for i in range(30)]
+    rows = [(f"s{k:02d}", days[i], float(rng.normal()), float(rng.normal())) for k in range(9) for i in range(30 - (k % 2) * 5)]
+    df = spark.createDataFrame(rows, "strategy string, d date, r double, b double")
+    one = {r.strategy: r for r in I.sharpe_difference(df, ["strategy"], reps=40, blocks=3, rf=None).collect()}
+    monkeypatch.setattr(I, "STRATEGIES", 2)
+    two = {r.strategy: r for r in I.sharpe_difference(df, ["strategy"], reps=40, blocks=5, rf=None).collect()}
+    assert len(one) == 9 and all(one[k].se == pytest.approx(two[k].se) and one[k].p_upper == two[k].p_upper for k in one)
