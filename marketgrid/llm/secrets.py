@@ -2,20 +2,24 @@
 
 Three base patterns run over the text. A worklist then unwraps percent encoding, character escapes, base64
 and compressed bytes; each unwrapped layer is scanned with the same patterns and unwrapped again until
-nothing new appears. Layers are bytes, clean text or not, and keep for each byte the range of the original
-text it came from.
+nothing new appears. Layers are bytes, clean text or not; a rule, not an array, maps their bytes to the range of
+the original text they came from, so memory follows the text and the layer that is open.
 """
 
 from __future__ import annotations
 
 import binascii
 import bz2
+import codecs
 import hashlib
 import io
 import lzma
 import re
 import zlib
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +31,7 @@ from .common import batches, free_name, octets
 
 LAYER_BYTES = 64_000_000  # a compressed layer that opens to more is read in parts of this size and reported
 OVERLAP = 65_536  # bytes that such parts share
+BLOCK = 4096  # bytes of a text between counts of its code points
 KINDS = ("assign", "access", "hex")
 _ASSIGN = rb"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 _BASE = (
@@ -36,14 +41,15 @@ _BASE = (
 )
 _HEAD = re.compile(rb"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?(?=[A-Za-z0-9+/_.=-])", re.I)
 _VALUE = re.compile(rb"[A-Za-z0-9+/_.=-]+")
-_CUES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-_HEX = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
+_CUE = re.compile(rb"passw(?:or)?d|secret|token|api_?key", re.I)
+_LONG_HEX = re.compile(rb"[0-9a-f]{32}")
 _PERCENT = re.compile(rb"%[0-9A-Fa-f]{2}")
 _ESCAPE = re.compile(rb"\\u([Dd][89ABab][0-9A-Fa-f]{2})\\u([Dd][C-Fc-f][0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{16,}={0,2}")
 _WRAPPED = re.compile(rb"[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}")
 _CHARS = re.compile(rb"[A-Za-z0-9+/_-]+")
 _STANDARD = bytes.maketrans(b"-_", b"+/")
+_READABLE = re.compile(rb"[\t\r\n\x20-\x7E]{16,}")
 _CONTROL = re.compile(rb"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]")
 _WIDE = tuple(re.compile(p) for p in (rb"(?:[\t\r\n\x20-\x7E]\x00){14,}", rb"(?:\x00[\t\r\n\x20-\x7E]){14,}", rb"(?:[\t\r\n\x20-\x7E]\x00{3}){14,}", rb"(?:\x00{3}[\t\r\n\x20-\x7E]){14,}"))  # ASCII in UTF-16 and UTF-32
 _MAGIC = re.compile(rb"(\x1F\x8B\x08)|(BZh[1-9])(?=1AY&SY)|(\xFD7zXZ\x00)|(x[\x01\x5E\x9C\xDA])|(\x28\xB5\x2F\xFD)")
@@ -53,9 +59,9 @@ _BROKEN = (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, V
 
 def base_spans(text: bytes) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the base patterns, in bytes."""
-    low, found = text.lower(), []
+    found = []
     for kind, pattern, good in _BASE:
-        if kind == "assign" and not any(c in low for c in _CUES) or kind == "access" and b"AKIA" not in text or kind == "hex" and b"x" * 32 not in text.translate(_HEX):
+        if kind == "assign" and not _CUE.search(text) or kind == "access" and b"AKIA" not in text or kind == "hex" and not _LONG_HEX.search(text):
             continue
         found += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if good(m)]
     return found
@@ -63,8 +69,8 @@ def base_spans(text: bytes) -> list[tuple[str, int, int]]:
 
 def _layer_spans(data: bytes) -> list[tuple[str, int, int]]:
     """As `base_spans`, and the assignments that begin inside the match of another keyword, as decoding may put one before them."""
-    found, low = base_spans(data), data.lower()
-    if any(c in low for c in _CUES):
+    found = base_spans(data)
+    if _CUE.search(data):
         stop, held = 0, set(found)
         for m in _HEAD.finditer(data):
             stop = stop if m.end() < stop else _VALUE.match(data, m.end()).end()
@@ -84,13 +90,21 @@ def _points(text: bytes, found: list[tuple[str, int, int]]) -> list[tuple[str, i
     return [(k, place[a], place[b]) for k, a, b in found]
 
 
-def _clean(data: bytes) -> bool:
-    """Whether the bytes are readable text."""
+def _utf8(data: bytes) -> bool:
+    """Whether the bytes are UTF-8; checked in stretches, since a decoded copy may be four times as long."""
+    check = codecs.getincrementaldecoder("utf-8")()
     try:
-        data.decode("utf-8")
+        for a in range(0, len(data), 1 << 20):
+            check.decode(data[a : a + (1 << 20)])
+        check.decode(b"", True)
     except UnicodeDecodeError:
         return False
-    return not _CONTROL.search(data)
+    return True
+
+
+def _clean(data: bytes) -> bool:
+    """Whether the bytes are readable text."""
+    return not _CONTROL.search(data) and _utf8(data)
 
 
 def _members(raw: bytes, at: int, kind: int) -> Iterator[tuple[bytes, int]]:
@@ -140,7 +154,7 @@ def _inflated(raw: bytes, at: int, kind: int, limit: int) -> Iterator[tuple[byte
 
     What comes before an error counts. Only what is over the limit makes more than one part.
     """
-    held, end, well, fresh, cut = bytearray(), at, False, 0, False
+    held, end, well, fresh, cut = bytearray(), at, False, 0, False  # of `held`, the last `fresh` bytes are new
     try:
         for block, end in _members(raw, at, kind):
             well = not block
@@ -154,40 +168,111 @@ def _inflated(raw: bytes, at: int, kind: int, limit: int) -> Iterator[tuple[byte
     except _BROKEN:
         well = False
     if fresh:
-        yield bytes(held), end, well, cut
+        content, held = bytes(held), None
+        yield content, end, well, cut
 
 
-class _Layer:
-    """Bytes and, for each of them, its range in the original text; two numbers where all have the same range."""
+class _Points:
+    """Where the bytes of a text stand in code points: counts by blocks, the rest looked up."""
+
+    def __init__(self, text: bytes):
+        self.lead = None if text.isascii() else np.frombuffer(text, np.uint8)
+        if self.lead is not None:
+            self.before = np.concatenate([[0], np.cumsum([np.count_nonzero((self.lead[i : i + BLOCK] & 0xC0) != 0x80) for i in range(0, len(text), BLOCK)])])
+
+    def point(self, at: int) -> int:
+        if self.lead is None:
+            return at
+        block = at // BLOCK
+        return int(self.before[block]) + int(np.count_nonzero((self.lead[block * BLOCK : at + 1] & 0xC0) != 0x80)) - 1
+
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        return self.point(a), self.point(b - 1) + 1
+
+
+class _Fixed:
+    """All bytes come from one range."""
+
+    def __init__(self, start: int, end: int):
+        self.range = start, end
+
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        return self.range
+
+
+class _Decoded:
+    """Bytes of base64 characters that stand in runs of the outer layer, from character `skip` on; padding ends before `stop`."""
+
+    def __init__(self, outer, starts: list[int], before: list[int], skip: int, count: int, stop: int):
+        self.outer, self.starts, self.before, self.skip, self.count, self.stop = outer, starts, before, skip, count, stop
+
+    def place(self, n: int) -> int:
+        run = bisect_right(self.before, n) - 1
+        return self.starts[run] + n - self.before[run]
+
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        last = (b - 1) // 3 * 4 + 3
+        end = self.place(self.skip + last) + 1 if last < self.count else self.stop
+        return self.outer.span(self.place(self.skip + a // 3 * 4), end)
+
+
+class _Replaced:
+    """A stretch of the outer layer with matches replaced: for each match its start, end, and place and length in the result."""
+
+    def __init__(self, outer, begin: int, starts: array, ends: array, places: array, sizes: array):
+        self.outer, self.begin, self.starts, self.ends, self.places, self.sizes = outer, begin, starts, ends, places, sizes
 
-    def __init__(self, data: bytes, starts: np.ndarray | int, ends: np.ndarray | int):
-        self.data, self.starts, self.ends = data, starts, ends
+    def source(self, at: int) -> tuple[int, int]:
+        k = bisect_right(self.places, at) - 1
+        if k < 0:
+            return self.begin + at, self.begin + at + 1
+        over = at - self.places[k] - self.sizes[k]
+        return (self.starts[k], self.ends[k]) if over < 0 else (self.ends[k] + over, self.ends[k] + over + 1)
 
     def span(self, a: int, b: int) -> tuple[int, int]:
-        if isinstance(self.starts, int):
-            return self.starts, self.ends
-        return int(self.starts[a]), int(self.ends[b - 1])
-
-    def taken(self, data: bytes, first: np.ndarray, last: np.ndarray) -> _Layer:
-        """A layer whose bytes come from the bytes ``first`` to ``last`` of this one."""
-        if isinstance(self.starts, int):
-            return _Layer(data, self.starts, self.ends)
-        return _Layer(data, self.starts[first], self.ends[last])
-
-
-def _pieces(layer: _Layer, pattern: re.Pattern, decode) -> _Layer:
-    """The whole layer with each match of the pattern replaced by what it stands for, so that each keeps its context."""
-    if isinstance(layer.starts, int):
-        return _Layer(pattern.sub(decode, layer.data), layer.starts, layer.ends)
-    out, first, last, at = [], [], [], 0
-    for m in pattern.finditer(layer.data):
+        return self.outer.span(self.source(a)[0], self.source(b - 1)[1])
+
+
+class _Wide:
+    """Characters of `width` bytes each."""
+
+    def __init__(self, outer, begin: int, width: int):
+        self.outer, self.begin, self.width = outer, begin, width
+
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        return self.outer.span(self.begin + a * self.width, self.begin + b * self.width)
+
+
+class _Layer:
+    """Bytes and the map of their ranges to the text. `good` tells that they are readable text or hold a whole stream."""
+
+    def __init__(self, data: bytes, where):
+        self.data, self.where, self.good = data, where, False
+
+    def within(self, make, *args):
+        """The map of a layer inside; a fixed range stays what it is."""
+        return self.where if isinstance(self.where, _Fixed) else make(self.where, *args)
+
+
+def _pieces(layer: _Layer, a: int, b: int, pattern: re.Pattern, decode) -> _Layer:
+    """Bytes a to b of the layer with each match of the pattern replaced by what it stands for, so that each keeps its context."""
+    data = layer.data if (a, b) == (0, len(layer.data)) else layer.data[a:b]
+    if isinstance(layer.where, _Fixed):
+        return _Layer(pattern.sub(decode, data), layer.where)
+    starts, ends, places, sizes = (array("q") for _ in range(4))
+    grown = 0
+
+    def replace(m: re.Match) -> bytes:
+        nonlocal grown
         got = decode(m)
-        out += [layer.data[at : m.start()], got]
-        first += [np.arange(at, m.start()), np.full(len(got), m.start())]
-        last += [np.arange(at, m.start()), np.full(len(got), m.end() - 1)]
-        at = m.end()
-    rest = np.arange(at, len(layer.data))
-    return layer.taken(b"".join([*out, layer.data[at:]]), np.concatenate([*first, rest]), np.concatenate([*last, rest]))
+        starts.append(a + m.start())
+        ends.append(a + m.end())
+        places.append(m.start() + grown)
+        sizes.append(len(got))
+        grown += len(got) - (m.end() - m.start())
+        return got
+
+    return _Layer(pattern.sub(replace, data), _Replaced(layer.where, a, starts, ends, places, sizes))
 
 
 def _escaped(m: re.Match) -> bytes:
@@ -198,33 +283,49 @@ def _escaped(m: re.Match) -> bytes:
     return chr(code).encode("utf-8", "surrogatepass") if code < 0x110000 else m.group()
 
 
-def _decoded(layer: _Layer, chars: bytes, at: np.ndarray, stop: int) -> _Layer:
-    """Base64 characters, which stand at ``at`` and whose padding ends before ``stop``, as bytes."""
-    if len(chars) % 4 == 1:
-        chars = chars[:-1]
-    raw = binascii.a2b_base64(chars.translate(_STANDARD) + b"=" * (-len(chars) % 4))
-    group = np.arange(len(raw)) // 3 * 4
-    ends = np.concatenate([at[: len(chars)], np.full(4, stop - 1)])
-    return layer.taken(raw, at[group], ends[group + 3])
-
-
-def _unwrapped(layer: _Layer, limit: int) -> Iterator[tuple[_Layer, bool, bool]]:
-    """(layer, whether it is a whole compressed stream, whether it is over the limit) of the layers one step inside."""
+def _run_layers(layer: _Layer, a: int, b: int) -> Iterator[_Layer]:
+    """The base64 run at a to b, lines joined, decoded; shifted by what it may be glued to, as a path, until that makes sense."""
+    starts, before, chars = [], [], []
+    total = 0
+    for x in _CHARS.finditer(layer.data, a, b):
+        starts.append(x.start())
+        before.append(total)
+        chars.append(x.group())
+        total += len(chars[-1])
+    run = b"".join(chars).translate(_STANDARD)
+    del chars
+    for skip in range(4):
+        size = total - skip
+        size -= size % 4 == 1
+        raw = binascii.a2b_base64(run[skip : skip + size] + b"=" * (-size % 4))
+        inner = _Layer(raw, layer.within(_Decoded, starts, before, skip, size, b))
+        del raw
+        yield inner
+        if inner.good:
+            return
+
+
+def _unwrapped(layer: _Layer) -> Iterator[tuple[_Layer, bool, bool]]:
+    """(layer, whether it is a whole compressed stream, whether it is over the limit) of the layers one step inside.
+
+    Percent and character encodings are text: in bytes that are no clean text, only long readable stretches are
+    decoded, each alone, as a compressed stream holds such characters by chance.
+    """
     data = layer.data
+    text = None
     for cues, pattern, decode in (((b"%",), _PERCENT, lambda m: bytes([int(m.group()[1:], 16)])), ((b"\\", b"&#"), _ESCAPE, _escaped)):
         if any(c in data for c in cues) and pattern.search(data):
-            yield _pieces(layer, pattern, decode), False, False
+            text = _clean(data) if text is None else text
+            if text:
+                yield _pieces(layer, 0, len(data), pattern, decode), False, False
+            else:
+                yield from ((_pieces(layer, m.start(), m.end(), pattern, decode), False, False) for m in _READABLE.finditer(data) if pattern.search(data, m.start(), m.end()))
     joined = 0
     for m in _BASE64.finditer(data):
-        runs = [m]
+        yield from ((x, False, False) for x in _run_layers(layer, m.start(), m.end()))
         if m.start() >= joined and data[m.end() : m.end() + 1] in (b"\r", b"\n") and (lines := _WRAPPED.match(data, m.start())):
             joined = lines.end()
-            runs.append(lines)
-        for run in runs:
-            parts = [(x.group(), x.start()) for x in _CHARS.finditer(data, run.start(), run.end())]
-            chars, at = b"".join(c for c, _ in parts), np.concatenate([np.arange(a, a + len(c)) for c, a in parts])
-            for skip in range(4):  # what a run is glued to, as a path, may shift it
-                yield _decoded(layer, chars[skip:], at[skip:], run.end()), False, False
+            yield from ((x, False, False) for x in _run_layers(layer, m.start(), joined))
 
 
 def _opened(layer: _Layer, limit: int) -> Iterator[tuple[_Layer, bool, bool]]:
@@ -233,44 +334,50 @@ def _opened(layer: _Layer, limit: int) -> Iterator[tuple[_Layer, bool, bool]]:
     while m := _MAGIC.search(data, at):
         at = m.start() + 1
         for content, end, well, over in _inflated(data, m.start(), m.lastindex - 1, limit):
-            yield _Layer(content, *layer.span(m.start(), end)), well, over
+            layer.good |= well
+            yield _Layer(content, _Fixed(*layer.where.span(m.start(), end))), well, over
+            content = None
             if well:
                 at = end
     if b"\0" in data:
         for pattern, width, place in zip(_WIDE, (2, 2, 4, 4), (0, 1, 0, 3), strict=True):
             for m in pattern.finditer(data):
-                first = np.arange(m.start(), m.end(), width)
-                yield layer.taken(data[m.start() + place : m.end() : width], first, first + width - 1), False, False
-
-
-def _root(text: bytes) -> _Layer:
-    """A text as the first layer; its ranges are code points."""
-    octet = np.frombuffer(text, np.uint8)
-    at = np.arange(len(octet)) if text.isascii() else np.cumsum((octet & 0xC0) != 0x80) - 1
-    return _Layer(text, at, at + 1)
+                yield _Layer(data[m.start() + place : m.end() : width], layer.within(_Wide, m.start(), width)), False, False
 
 
 def spans(text: bytes | None, limit: int = LAYER_BYTES) -> tuple[list, list, int, bool]:
-    """(base spans, all spans, layers opened, whether one was too large) with code point ranges of the text."""
+    """(base spans, all spans, layers opened, whether one was too large) with code point ranges of the text.
+
+    The worklist goes depth first and takes each layer, and each part of a large one, as it comes, so only the layers
+    around the current one are held.
+    """
     if not text:
         return [], [], 0, False
     base = _points(text, base_spans(text))
     if b"%" not in text and b"\\" not in text and b"&#" not in text and not _BASE64.search(text):
         return base, base, 0, False
-    work, seen, extra, layers, over = [(_root(text.decode("utf-8", "replace").encode()), False)], set(), set(), 0, False
+    if not _utf8(text):
+        text = text.decode("utf-8", "replace").encode()
+    work, seen, extra, layers, over = [_unwrapped(_Layer(text, _Points(text)))], set(), set(), 0, False
     while work:
-        layer, binary = work.pop()
-        inside = [_unwrapped(layer, limit), *([_opened(layer, limit)] if binary else [])]
-        for inner, whole, large in (x for it in inside for x in it):
-            over |= large
-            mark = hashlib.blake2b(b"%d:%d:" % inner.span(0, len(inner.data)) + inner.data, digest_size=16).digest() if inner.data else None
-            if mark is None or mark in seen:  # a layer that was here before: a cycle ends
-                continue
-            seen.add(mark)
-            found = _layer_spans(inner.data)
-            extra.update((k, *inner.span(a, b)) for k, a, b in found)
-            layers += bool(found) or whole or _clean(inner.data)  # other bytes, as long words give, aren't one
-            work.append((inner, True))
+        inner, whole, large = next(work[-1], (None, False, False))
+        if inner is None:
+            work.pop()
+            continue
+        over |= large
+        mark = hashlib.blake2b(b"%d:%d:" % inner.where.span(0, len(inner.data)), digest_size=16) if inner.data else None
+        if mark is None:
+            continue
+        mark.update(inner.data)
+        if mark.digest() in seen:  # a layer that was here before: a cycle ends
+            continue
+        seen.add(mark.digest())
+        found = _layer_spans(inner.data)
+        extra.update((k, *inner.where.span(a, b)) for k, a, b in found)
+        inner.good = _clean(inner.data)
+        layers += bool(found) or whole or inner.good  # other bytes, as long words give, aren't one
+        work.append(chain(_unwrapped(inner), _opened(inner, limit)))
+        inner = None
     return base, [*base, *extra], layers, over
 
 

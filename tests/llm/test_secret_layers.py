@@ -76,3 +76,64 @@ def test_wrapped_and_glued_base64():
         for raw in (SECRET, gzip.compress(SECRET)):
             text = f"see {glue}{b64(raw)} end"
             assert b64(raw) in found(text)[-1], glue
+
+
+def test_percent_signs_in_a_stream_are_no_layer():
+    r = random.Random(5)
+    raw = b"%41%42%43 " + r.randbytes(2000) + b"%70assword=abcdefghij%31 and more" + r.randbytes(2000)
+    assert found(b64(raw))[0] in b64(raw)  # a long readable stretch is decoded, alone
+    words = " ".join(r.choice(["alpha", "beta", "gamma", "delta"]) + str(r.randrange(10**9)) for _ in range(60000)).encode()
+    base, every, layers, over = secrets.spans(b64(gzip.compress(words)).encode())
+    assert (base, every, over) == ([], [], False) and layers == 1  # the words; nothing by chance
+
+
+def test_shifts_stop_at_the_one_that_makes_sense():
+    opened = []
+    plain = secrets._run_layers
+
+    def counted(*args):
+        for layer in plain(*args):
+            opened.append(1)
+            yield layer
+
+    secrets._run_layers = counted
+    try:
+        secrets.spans(f"see {b64(b'just some readable text here')} end".encode())
+        secrets.spans(f"see {b64(gzip.compress(random.Random(1).randbytes(500)))} end".encode())
+    finally:
+        secrets._run_layers = plain
+    assert len(opened) == 2
+
+
+_MEASURE = """
+import base64, gzip, random, resource, sys, time
+sys.path.insert(0, {root!r})
+from marketgrid.llm import secrets
+r = random.Random(1)
+words = [("".join(r.choice("abcdefghijklmnop") for _ in range(3 + i % 7))).encode() for i in range(3000)]
+part = b" ".join(r.choice(words) for _ in range(200_000))
+whole = b"".join(part[k * 7 % 1000 :] + b" %d " % k for k in range({mb} * 1_000_000 // len(part) + 1))[: {mb} * 1_000_000]
+text = base64.b64encode(gzip.compress(whole[:-30] + b" password=hunter2hunter2 ", 1))
+del whole, part
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+start = time.process_time()
+base, every, layers, over = secrets.spans(text)
+assert ("assign", 0, len(text)) in every and not over, every
+print(len(text), time.process_time() - start, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024, before / 1024)
+"""
+
+
+def measured(mb):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(__file__).resolve().parents[2])
+    got = subprocess.run([sys.executable, "-c", _MEASURE.format(root=root, mb=mb)], capture_output=True, text=True, timeout=300, check=True)
+    return [float(x) for x in got.stdout.split()]
+
+
+def test_one_large_nested_text_stays_within_bounds():
+    small, large = measured(12), measured(50)
+    assert large[2] < 500, large  # MB at the peak, text and all
+    assert large[1] / large[0] < 3 * small[1] / small[0] + 1e-6, (small, large)  # seconds a byte don't grow
