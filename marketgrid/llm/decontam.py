@@ -1,7 +1,8 @@
 """Benchmark decontamination with a positional inverted index of the training documents.
 
 The index is partitioned by document: each row holds a document's postings (term -> positions) for the terms
-of the test items, so a term that occurs in every document never meets in one task and no posting is shuffled.
+of the test items, so a term that occurs in every document never meets in one task and no posting is shuffled. It is
+written once for all test items; these then go over it in blocks, so the texts are read once however many there are.
 Term frequencies over the whole index give the rarest terms. A phrase is found by intersecting offset-adjusted
 posting lists, rarest term first; a proximity match needs the rarest distinct terms of an item close together
 in any order.
@@ -21,6 +22,7 @@ from .common import batches, octets, stored
 
 WINDOW, NEAR_TERMS, NEAR_SPAN = 10, 4, 20
 BLOCK_BYTES = 4_000_000  # of test text that is broadcast at a time
+VOCABULARY_BYTES = 64_000_000  # of distinct test terms in one index; more make another
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _STATE = "hits array<struct<start:long,stop:long>>, items array<string>, near array<string>"
 _RUNS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
@@ -51,7 +53,7 @@ def _blocks(benchmark: DataFrame, limit: int) -> Iterator[tuple[list[tuple[str |
         yield block, True
 
 
-def _postings(shared, first: str, keep: bool):
+def _postings(shared, carried: list[str]):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {w: i for i, w in enumerate(shared.value)}
         for batch in batches(it):
@@ -65,8 +67,7 @@ def _postings(shared, first: str, keep: bool):
                 terms.append(term)
                 counts.append(count.astype(np.int32))
                 places.append(order)
-            names = [first, *(["text"] if keep else []), "hits", "items", "near"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sizes, pa.int64()), pa.array(terms, _INTS), pa.array(counts, _INTS), pa.array(places, _INTS)], [*names, "n_words", "terms", "counts", "places"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(sizes, pa.int64()), pa.array(terms, _INTS), pa.array(counts, _INTS), pa.array(places, _INTS)], [*carried, "n_words", "terms", "counts", "places"])
 
     return run
 
@@ -122,7 +123,20 @@ def _close(lists: dict[int, np.ndarray], terms: list[int], span: int) -> bool:
     return bool((last.astype(np.int64) - begins < span).any())
 
 
-def _search(shared, window: int, span: int, carried: str, keep: bool):
+def _merged(runs: list[tuple[int, int]]) -> list[dict[str, int]]:
+    """Overlapping and touching runs as one, in order."""
+    out: list[list[int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [{"start": a, "stop": b} for a, b in out]
+
+
+def _search(shared, window: int, span: int, carried: list[str], sparse: bool):
+    """What the block's items have in each document: hits, items, near; with `sparse` only documents that have something."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = shared.value
         names, phrases, near = plan["names"], plan["phrases"], plan["near"]
@@ -130,7 +144,7 @@ def _search(shared, window: int, span: int, carried: str, keep: bool):
             column = lambda c: batch.column(c)  # noqa: B023, E731
             flat = [column(c).flatten().to_numpy(zero_copy_only=False) for c in ("terms", "counts", "places")]
             ends = [np.concatenate([[0], np.cumsum(column(c).value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64) for c in ("terms", "places")]
-            hits, items, close = (column(c).to_pylist() for c in ("hits", "items", "near"))
+            hits, items, close = ([[] for _ in range(batch.num_rows)] for _ in range(3))
             for i in range(batch.num_rows):
                 terms, counts = (f[ends[0][i] : ends[0][i + 1]] for f in flat[:2])
                 if not len(terms):
@@ -138,7 +152,7 @@ def _search(shared, window: int, span: int, carried: str, keep: bool):
                 cuts = np.concatenate([[0], np.cumsum(counts)])
                 places = flat[2][ends[1][i] : ends[1][i + 1]]
                 lists = {int(t): places[a:b] for t, a, b in zip(terms, cuts[:-1], cuts[1:], strict=True)}
-                got, numbers, nearby = [(h["start"], h["stop"]) for h in hits[i]], set(), set()
+                got, numbers, nearby = [], set(), set()
                 for t in lists:
                     for steps, owner in phrases.get(t, ()):
                         if (at := _starts(lists, steps)) is not None:
@@ -147,46 +161,88 @@ def _search(shared, window: int, span: int, carried: str, keep: bool):
                     for number, rarest in near.get(t, ()):
                         if _close(lists, rarest, span):
                             nearby.add(number)
-                merged: list[list[int]] = []
-                for a, b in sorted(got):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
-                hits[i] = [{"start": a, "stop": b} for a, b in merged]
-                items[i] = sorted({*items[i], *(names[n] for n in numbers if names[n] is not None)})
-                close[i] = sorted({*close[i], *(names[n] for n in nearby if names[n] is not None)})
-            first = [carried, *(["text"] if keep else []), "n_words"]
-            yield pa.RecordBatch.from_arrays([*(column(c) for c in first), pa.array(hits, _RUNS), pa.array(items, _NAMES), pa.array(close, _NAMES)], [*first, "hits", "items", "near"])
+                hits[i] = _merged(got)
+                items[i] = sorted({names[n] for n in numbers if names[n] is not None})
+                close[i] = sorted({names[n] for n in nearby if names[n] is not None})
+            out = pa.RecordBatch.from_arrays([*(column(c) for c in carried), pa.array(hits, _RUNS), pa.array(items, _NAMES), pa.array(close, _NAMES)], [*carried, "hits", "items", "near"])
+            yield out.filter(pa.array([bool(h or n) for h, n in zip(hits, close, strict=True)], pa.bool_())) if sparse else out
 
     return run
 
 
-def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near_terms: int = NEAR_TERMS, near_span: int = NEAR_SPAN, block_bytes: int = BLOCK_BYTES, first: str = "doc_id") -> DataFrame:
+def _gathered(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Finds of several blocks for one document as one."""
+    for batch in it:
+        hits = [_merged([(h["start"], h["stop"]) for part in row for h in part]) for row in batch.column("hits").to_pylist()]
+        names = [[sorted({n for part in row for n in part}) for row in batch.column(c).to_pylist()] for c in ("items", "near")]
+        yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(hits, _RUNS), *(pa.array(n, _NAMES) for n in names)], ["rid", "hits", "items", "near"])
+
+
+def _vocabularies(benchmark: DataFrame, block_bytes: int, limit: int) -> Iterator[tuple[int, list[bytes]]]:
+    """(blocks, their distinct terms) of the test items; a vocabulary closes when it passes `limit` bytes."""
+    held, size, blocks = set(), 0, 0
+    for items, last in _blocks(benchmark, block_bytes):
+        new = {w for _, found in items for w in found} - held
+        held |= new
+        size, blocks = size + sum(map(len, new)), blocks + 1
+        if size > limit or last:
+            yield blocks, sorted(held)
+            held, size, blocks = set(), 0, 0
+
+
+def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near_terms: int = NEAR_TERMS, near_span: int = NEAR_SPAN, block_bytes: int = BLOCK_BYTES, first: str = "doc_id",
+            vocabulary_bytes: int = VOCABULARY_BYTES) -> DataFrame:
     """(doc_id, n_words, hits, items, near) for each row of ``docs(doc_id, text)`` against ``benchmark(item_id, text)``.
 
     hits: runs [start, stop) of words that lie inside occurrences of item windows of ``window`` words (a shorter
     item is one window); items: the ids of those items; near: ids of items whose ``near_terms`` rarest distinct
     terms occur within ``near_span`` words. Rarity is the number of documents with the term, then its bytes.
 
-    Test items go out in blocks of bounded size, one after another, each over the whole index; what is found
-    is carried along the documents' own rows. Null and wordless texts have no words and no hits; items of that
-    kind match nothing; an item with a null id marks words but isn't listed; equal ids count once. Repeated rows
-    are answered each; an empty table on either side gives no hits. Other columns are ignored; ``first`` names the
-    one to carry along in place of doc_id.
+    The documents are indexed once for all items (once for every VOCABULARY_BYTES of distinct test terms). Items then
+    go out in blocks of bounded size, each over the whole index; what more than one block finds meets by document.
+    Null and wordless texts have no words and no hits; items of that kind match nothing; an item with a null id marks
+    words but isn't listed; equal ids count once. Repeated rows are answered each; an empty table on either side gives
+    no hits. Other columns are ignored; ``first`` names the one to carry along in place of doc_id.
     """
     kind = docs.schema[first].dataType.simpleString()
-    empty = [F.expr(f"cast(array() as {c.split(' ', 1)[1]})").alias(c.split(" ", 1)[0]) for c in _STATE.split(", ")]
-    state = docs.select(first, "text", *empty)
-    for items, last in _blocks(benchmark, block_bytes):
-        text = "" if last else "text string, "
+    lists = "terms array<int>, counts array<int>, places array<int>"
+    context = spark.sparkContext
+    items, only = next(_blocks(benchmark, block_bytes))
+
+    def indexed(rows: DataFrame, terms: list[bytes], carried: list[str]) -> DataFrame:
+        fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in carried)
+        return stored(rows.mapInArrow(_postings(context.broadcast(terms), carried), f"{fields}, n_words long, {lists}"))
+
+    def planned(terms: list[bytes], seen: dict[int, int], block: list):
+        return context.broadcast(_plan(block, {w: i for i, w in enumerate(terms)}, seen, window, near_terms))
+
+    def counted(index: DataFrame) -> dict[int, int]:
+        return {r[0]: r[1] for r in index.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}  # a row for each test term
+
+    if only:
         terms = sorted({w for _, found in items for w in found})
-        shared = spark.sparkContext.broadcast(terms)
-        index = stored(state.mapInArrow(_postings(shared, first, not last), f"{first} {kind}, {text}{_STATE}, n_words long, terms array<int>, counts array<int>, places array<int>"))
-        seen = {r[0]: r[1] for r in index.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}  # a row for each term of the block
-        plan = spark.sparkContext.broadcast(_plan(items, {w: i for i, w in enumerate(terms)}, seen, window, near_terms))
-        state = index.mapInArrow(_search(plan, window, near_span, first, not last), f"{first} {kind}, {text}n_words long, {_STATE}")
-    return state
+        index = indexed(docs.select(first, "text"), terms, [first])
+        return index.mapInArrow(_search(planned(terms, counted(index), items), window, near_span, [first, "n_words"], False), f"{first} {kind}, n_words long, {_STATE}")
+    groups = list(_vocabularies(benchmark, block_bytes, vocabulary_bytes))
+    rows, finds, base = docs.select(first, "text", F.monotonically_increasing_id().alias("rid")), [], None
+    blocks = _blocks(benchmark, block_bytes)
+    for number, (count, terms) in enumerate(groups):
+        keep = [first, "rid", *(["text"] if len(groups) > 1 else [])]
+        index = indexed(rows, terms, keep if number == 0 else ["rid"])
+        if number == 0:
+            base, rows = index, index  # later vocabularies read the written rows, whose numbers stand
+        seen = counted(index)
+        for _ in range(count):
+            plan = planned(terms, seen, next(blocks)[0])
+            finds.append(stored(index.select("rid", "terms", "counts", "places").mapInArrow(_search(plan, window, near_span, ["rid"], True), f"rid long, {_STATE}")))
+            plan.unpersist()
+    all_finds = finds[0]
+    for f in finds[1:]:
+        all_finds = all_finds.unionByName(f)
+    each = all_finds.groupBy("rid").agg(*(F.collect_list(c).alias(c) for c in ("hits", "items", "near")))  # a list a block
+    found = stored(each.mapInArrow(_gathered, f"rid long, {_STATE}"))
+    empty = {c.split(" ", 1)[0]: F.expr(f"cast(array() as {c.split(' ', 1)[1]})") for c in _STATE.split(", ")}
+    return base.select("rid", first, "n_words").join(found, "rid", "left").select(first, "n_words", *(F.coalesce(c, e).alias(c) for c, e in empty.items()))
 
 
 def summary(found: DataFrame) -> DataFrame:

@@ -213,8 +213,13 @@ def _preference_sql() -> str:
     ends = lambda x: f"list_transform(range(1, len({x}) + 1), lambda i: list_sum(list_transform({x}[1:i], lambda t: 5 + length(t.role) + length(t.text) + 8)))"
     mask = lambda x: f"coalesce(array_to_string(list_filter(list_transform({ends(x)}, lambda e, i: CASE WHEN {x}[i].role = 'assistant' THEN CAST(e - length({x}[i].text) - 8 AS BIGINT) || ':' || CAST(e AS BIGINT) END), lambda s: s IS NOT NULL), ','), '')"
     return f"""
-    WITH convs AS (SELECT conv_id, list({{'turn': turn, 'role': {clean('role', 'unknown')}, 'text': {clean('text', '')}}} ORDER BY turn, {clean('role', 'unknown')}, {clean('text', '')}) AS t FROM conversations GROUP BY conv_id),
-    pairs AS (SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, MIN(conv_id) FILTER (conv_id % 2 = 0) AS chosen_id, MIN(conv_id) FILTER (conv_id % 2 = 1) AS rejected_id FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+    WITH src AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+    answers AS (SELECT conv_id, turn, text FROM (SELECT conv_id, turn, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, coalesce(text, '') DESC) AS k FROM src WHERE role = 'assistant') WHERE k = 1),
+    told AS (SELECT 2 * conv_id AS conv_id, turn, role, text FROM src UNION ALL
+             SELECT 2 * s.conv_id + 1, s.turn, s.role, CASE WHEN s.role = 'assistant' AND s.turn IS NOT DISTINCT FROM a.turn AND coalesce(s.text, '') = a.text THEN coalesce(b.text, '') ELSE s.text END
+             FROM src s LEFT JOIN answers a ON a.conv_id = s.conv_id LEFT JOIN answers b ON b.conv_id = xor(s.conv_id, 1)),
+    convs AS (SELECT conv_id, list({{'turn': turn, 'role': {clean('role', 'unknown')}, 'text': {clean('text', '')}}} ORDER BY turn, {clean('role', 'unknown')}, {clean('text', '')}) AS t FROM told GROUP BY conv_id),
+    pairs AS (SELECT DISTINCT conv_id AS pair_id, 2 * conv_id AS chosen_id, 2 * conv_id + 1 AS rejected_id FROM src),
     both_ AS (SELECT pair_id, chosen_id, rejected_id, coalesce(a.t, []) AS a, coalesce(b.t, []) AS b FROM pairs LEFT JOIN convs a ON a.conv_id = chosen_id LEFT JOIN convs b ON b.conv_id = rejected_id),
     cut AS (SELECT *, len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: len(list_filter(range(1, i + 1), lambda j: a[j].role <> b[j].role OR a[j].text <> b[j].text)) = 0)) AS n FROM both_),
     parts AS (SELECT pair_id, chosen_id, rejected_id, n, a[1:n] AS p, a[n + 1:] AS c, b[n + 1:] AS r FROM cut)
@@ -223,8 +228,7 @@ def _preference_sql() -> str:
 
 @query("op7_preference", _preference_sql())
 def op7_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
-    return preference.format_pairs(turns, preference.neighbours(turns))
+    return preference.format_pairs(*preference.other_answers(table(spark, sf_dir, "conversations")))
 
 
 def _license_sql() -> str:

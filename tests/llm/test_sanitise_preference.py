@@ -125,3 +125,18 @@ def test_any_pairs_also_missing_and_repeated_ones(spark):
     got = sorted((r.pair_id, r.n_prompt_turns, len(r.chosen), len(r.rejected)) for r in preference.format_pairs(table, pairs).collect())
     assert got == [(1, 1, 50022, 23), (1, 1, 50022, 23), (2, 1, 23, 50022), (3, 0, 50040, 0), (4, 0, 0, 0)]
     assert preference.format_pairs(table, pairs.limit(0)).count() == 0 and preference.neighbours(table.limit(0)).count() == 0
+
+
+def test_a_conversation_against_itself_shares_all_but_its_last_answer(spark):
+    rows = [(2, 0, "user", "Hi"), (2, 1, "assistant", "One"), (2, 2, "user", "And?"), (2, 3, "assistant", "Two"), (2, 4, "user", "Bye"), (3, 0, "user", "Yo"), (3, 1, "assistant", "Other"), (5, 0, "user", "alone"), (5, 1, "assistant", "mine"),
+            (6, 0, "user", "no answer"), (8, None, "assistant", None), (9, 0, "assistant", "x"), (9, 0, "assistant", "y"), (None, 0, "assistant", "no id")]
+    got = {r.pair_id: r for r in preference.format_pairs(*preference.other_answers(turns(spark, rows))).collect()}
+    assert set(got) == {2, 3, 5, 6, 8, 9} and all((r.chosen_id, r.rejected_id) == (2 * k, 2 * k + 1) for k, r in got.items())
+    show = lambda *t: "".join(f"<|{r}|>\n{x}<|end|>\n" for r, x in t)
+    assert got[2].n_prompt_turns == 3 and got[2].prompt == show(("user", "Hi"), ("assistant", "One"), ("user", "And?"))
+    assert got[2].chosen == show(("assistant", "Two"), ("user", "Bye")) and got[2].rejected == show(("assistant", "Other"), ("user", "Bye"))
+    assert (got[3].chosen, got[3].rejected) == (show(("assistant", "Other")), show(("assistant", "Two")))
+    assert (got[5].n_prompt_turns, got[5].rejected) == (1, show(("assistant", ""))) and (got[6].n_prompt_turns, got[6].chosen, got[6].rejected) == (1, "", "")
+    assert got[8].chosen == show(("assistant", "")) and got[8].rejected == show(("assistant", "y")) and got[9].n_prompt_turns == 1 and got[9].rejected == show(("assistant", ""))
+    mixed, none = preference.other_answers(turns(spark, []))
+    assert preference.format_pairs(mixed, none).count() == 0
