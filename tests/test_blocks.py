@@ -46,8 +46,8 @@ def test_rules_on_blocks_equal_whole_matrices(spark, rule, monkeypatch):
 
 def test_large_and_small_matrices_share_a_call(spark):
     mats = matrices()
-    got = W.cov_rules(frame(spark, mats), ["u", "d"], ["erc", "hrp"], dense=10)
-    for rule in ("erc", "hrp"):
+    got = W.cov_rules(frame(spark, mats), ["u", "d"], ["inverse_vol", "hrp"], dense=10)
+    for rule in ("inverse_vol", "hrp"):
         by = gathered(got.filter(F.col("rule") == rule))
         for k, m in mats.items():
             assert by[k] == pytest.approx(S.RULES[rule](m), abs=1e-8)
