@@ -31,3 +31,11 @@ def test_orders_without_price_or_date_are_counted(equal):
     rows = [(1, 10.004, day(1)), (2, 20.004, day(1)), (3, None, day(1)), (4, 5.0, day(10)), (5, None, day(12)), (6, 7.0, None), (7, None, None)]
     got = equal("parse_year_month", orders=(rows, "o_orderkey long, o_totalprice double, o_orderdate timestamp"))
     assert {r[0]: r[1:] for r in got} == {dt.date(1996, 1, 31): (3, 2, 30.01), dt.date(1996, 10, 31): (1, 1, 5.0), dt.date(1996, 12, 31): (1, 0, None), None: (2, 1, 7.0)}
+
+
+def test_curve_file_has_all_quotes_and_no_others(equal):
+    a, b, c = (dt.datetime(1996, m, 5) for m in (1, 2, 3))
+    rows = [(1, 0.05, a), (2, 0.04, a), (8, 0.03, a), (9, 0.07, b), (7, 0.09, b), (2, None, b), (1, 0.02, None), (3, 0.01, c), (3, 0.02, c), (None, 0.06, c)]
+    got = equal("read_curve_csv", lineitem=(rows, "l_linenumber int, l_discount double, l_shipdate timestamp"))
+    a, b, c = (x.date().replace(day=1) for x in (a, b, c))
+    assert {r[:2]: r[2] for r in got} == {(a, 1.0): 5.0, (a, 5.0): 4.0, (a, 35.0): 3.0, (b, 40.0): 7.0, (b, 30.0): 9.0, (b, 5.0): None, (None, 1.0): 2.0, (c, 10.0): 1.5, (c, None): 6.0}
