@@ -39,3 +39,19 @@ def test_curve_file_has_all_quotes_and_no_others(equal):
     got = equal("read_curve_csv", lineitem=(rows, "l_linenumber int, l_discount double, l_shipdate timestamp"))
     a, b, c = (x.date().replace(day=1) for x in (a, b, c))
     assert {r[:2]: r[2] for r in got} == {(a, 1.0): 5.0, (a, 5.0): 4.0, (a, 35.0): 3.0, (b, 40.0): 7.0, (b, 30.0): 9.0, (b, 5.0): None, (None, 1.0): 2.0, (c, 10.0): 1.5, (c, None): 6.0}
+
+
+def gappy(*gaps):
+    """Monthly prices of three assets over 40 months; `gaps` are (asset, month) without lines."""
+    rows = [(p, 100.0 + (37 * m * (p + 2) + m * m) % 23, 1.0, 0.05, dt.datetime(1995 + m // 12, m % 12 + 1, 9)) for p in range(3) for m in range(40) if (p, m) not in gaps]
+    return {"lineitem": (rows, "l_partkey long, l_extendedprice double, l_quantity double, l_discount double, l_shipdate timestamp"),
+            "part": ([(p, t) for p, t in enumerate(("ECONOMY", "LARGE", "PROMO"))], "p_partkey long, p_type string")}
+
+
+# months of a return before the first trade, of a trade, of a trade's last month, and from the start
+GAPS = ((1, 7), (2, 25), (0, 30), (1, 31), (2, 34), (2, 37))
+
+
+def test_weight_path_of_assets_with_gaps(equal):
+    got = equal("backtest_weight_path", **gappy(*GAPS))
+    assert len(got) == 15 and sum(r[3] > 0 for r in got) == 2  # every date from position 24 of the calendar; trades at 24, 30 and 36
