@@ -55,3 +55,8 @@ GAPS = ((1, 7), (2, 25), (0, 30), (1, 31), (2, 34), (2, 37))
 def test_weight_path_of_assets_with_gaps(equal):
     got = equal("backtest_weight_path", **gappy(*GAPS))
     assert len(got) == 15 and sum(r[3] > 0 for r in got) == 2  # every date from position 24 of the calendar; trades at 24, 30 and 36
+
+
+def test_spread_of_assets_with_gaps(equal):
+    got = equal("backtest_spread", **gappy(*GAPS))
+    assert len(got) == 15 and sum(r[3] > 0 for r in got) == 5  # trades at 24, 27, 30, 33 and 36
