@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from marketgrid.plans import alignment
 from test_registry import table
 
 
@@ -41,6 +42,28 @@ def test_curve_file_has_all_quotes_and_no_others(equal):
     assert {r[:2]: r[2] for r in got} == {(a, 1.0): 5.0, (a, 5.0): 4.0, (a, 35.0): 3.0, (b, 40.0): 7.0, (b, 30.0): 9.0, (b, 5.0): None, (None, 1.0): 2.0, (c, 10.0): 1.5, (c, None): 6.0}
 
 
+def test_curve_file_says_na_and_the_result_depends_on_it(equal, spark, tmp_path, monkeypatch):
+    """Without hiding a quote, each month of the file has an NA cell; a reader that takes NA for a yield gives other rows."""
+    a, b = (dt.datetime(1996, m, 5) for m in (3, 4))
+    rows = [(1, 0.05, a), (2, 0.04, a), (1, 0.03, b), (2, 0.02, b), (3, None, b)]
+    cells = []
+    keep = alignment.files.curve_yields
+
+    def read(df, prefix, fill=None):
+        got = keep(df, prefix)
+        cells.append(sorted(tuple(r) for r in got.filter("y is null").collect()))
+        return got if fill is None else got.na.fill(fill, ["y"])
+
+    monkeypatch.setattr(alignment.files, "curve_yields", read)
+    got = equal("read_curve_csv", lineitem=(rows, "l_linenumber int, l_discount double, l_shipdate timestamp"))
+    a, b = (x.date().replace(day=1) for x in (a, b))
+    assert {r[:2]: r[2] for r in got} == {(a, 1.0): 5.0, (a, 5.0): 4.0, (b, 1.0): 3.0, (b, 5.0): 2.0, (b, 10.0): None}
+    assert cells == [[(a, 10.0, None), (a, 11.0, None), (b, 10.0, None), (b, 11.0, None)]]
+    monkeypatch.setattr(alignment.files, "curve_yields", lambda df, prefix: read(df, prefix, 0.0))
+    wrong = entry.queries()["read_curve_csv"](spark, str(tmp_path))
+    assert {tuple(r)[:2] for r in wrong.collect()} == {r[:2] for r in got} | {(a, 10.0), (a, 11.0), (b, 11.0)}
+
+
 def gappy(*gaps):
     """Monthly prices of three assets over 40 months; `gaps` are (asset, month) without lines."""
     rows = [(p, 100.0 + (37 * m * (p + 2) + m * m) % 23, 1.0, 0.05, dt.datetime(1995 + m // 12, m % 12 + 1, 9)) for p in range(3) for m in range(40) if (p, m) not in gaps]
