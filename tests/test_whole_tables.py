@@ -3,6 +3,7 @@
 import datetime as dt
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -80,6 +81,31 @@ def test_weight_path_of_assets_with_gaps(equal):
     assert len(got) == 15 and sum(r[3] > 0 for r in got) == 2  # every date from position 24 of the calendar; trades at 24, 30 and 36
 
 
+def test_weight_path_falls_back_where_an_asset_has_no_return(equal):
+    """A trade row with a missing weight is 1/n of all assets, that one too, as a plain loop has it; no return is flat."""
+    gaps = ((2, 27), (1, 31), (0, 33))  # months between trades, of the second trade, and between trades
+    got = {r[1]: r[2:] for r in equal("backtest_weight_path", **gappy(*gaps))}
+    px = np.full((40, 3), np.nan)
+    for p, price, *_, day in gappy(*gaps)["lineitem"][0]:
+        px[(day.year - 1995) * 12 + day.month - 1, p] = price
+    held, rates, want = None, np.array([5.0, 10.0, 20.0]) / 10_000 * 2, {}
+    last = px[0]
+    for m in range(1, 40):  # the first return is of month 1, position 0
+        r, last = np.where(np.isnan(px[m]), np.nan, px[m] / last - 1), np.where(np.isnan(px[m]), last, px[m])
+        if m < 25:
+            continue
+        cost = turnover = 0.0
+        if (m - 1) % 6 == 0:
+            w = np.clip(r, 0, None)
+            goal = np.ones(3) / 3 if not np.isfinite(w).all() or w.sum() <= 0 else w / w.sum()
+            moved = np.abs(goal - (0 if held is None else held))
+            cost, turnover, held = moved @ rates, 0.0 if held is None else moved.sum() / 2, goal
+        r = np.nan_to_num(r)
+        want[dt.date(1995 + m // 12, m % 12 + 1, 1)] = (held @ r - cost, turnover)
+        held = held * (1 + r) / (held * (1 + r)).sum()
+    assert got.keys() == want.keys() and all(got[d] == pytest.approx(want[d], abs=2e-6) for d in want)
+
+
 def test_spread_of_assets_with_gaps(equal):
     got = equal("backtest_spread", **gappy(*GAPS))
     assert len(got) == 15 and sum(r[3] > 0 for r in got) == 5  # trades at 24, 27, 30, 33 and 36
